@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from graphloom.llm.byte_bpe import op4_byte_bpe
 from graphloom.llm.chat import op5_chat_format
+from graphloom.llm.decontamination import op1_decontamination
+from graphloom.llm.language_id import op7_language_id
+from graphloom.llm.license_scan import op9_license_scan
 from graphloom.llm.token_counts import op10_token_counts
 from graphloom.llm.topk import OP3_SQL, op3_exact_topk
 
-QUERIES = {f.__name__: f for f in (op3_exact_topk, op4_byte_bpe, op5_chat_format, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_exact_topk, op4_byte_bpe, op5_chat_format, op7_language_id, op9_license_scan, op10_token_counts)}
 ORACLE: dict[str, str] = {"op3_exact_topk": OP3_SQL}
