@@ -15,34 +15,41 @@ import heapq
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Longer pre-tokens (bytes) have too many rounds for the query; a heap makes the same merges.
 LONG = 128
-REMEMBERED = 250_000
-ROUND = 20_000
+REMEMBERED = 400_000
+ROUND = 30_000
 _coders: dict[tuple[str, str], Coder] = {}
 
+#: State rows hold a token, the position and token after it, and the token that the two join to, if any. A word's
+#: least joined token (which is the pair's rank), at the leftmost position, is contracted in each step.
 CONTRACT = """
-WITH RECURSIVE state(step, word, pos, id) AS (
-    SELECT 0, word, pos, id FROM start
+WITH RECURSIVE state(step, word, pos, id, next_pos, next_id, joined) AS (
+    SELECT 0, s.word, s.pos, s.id, s.next_pos, s.next_id, m.joined
+    FROM start s LEFT JOIN merges m ON m.pair = s.id * 65536 + s.next_id
   UNION ALL
-    (WITH paired AS (
-        SELECT step, word, pos, id, lead(id) OVER w AS next_id FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)),
-     ranked AS (
-        SELECT p.step, p.word, p.pos, p.id, m.joined,
-               min(CASE WHEN m.joined IS NOT NULL THEN m.joined::BIGINT * 1024 + p.pos END) OVER (PARTITION BY p.word) AS best
-        FROM paired p LEFT JOIN merges m ON m.l = p.id AND m.r = p.next_id),
-     marked AS (
-        SELECT step, word, pos, id, joined, best, best % 1024 AS spot,
-               lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before
-        FROM ranked WHERE best IS NOT NULL)
-     SELECT step + 1, word, pos, CASE WHEN pos = spot THEN joined ELSE id END
-     FROM marked WHERE before IS NULL OR before <> spot)
+    (WITH best AS (
+        SELECT word, min(joined * 1024 + pos) AS b FROM state WHERE joined IS NOT NULL GROUP BY word),
+     spot AS (
+        SELECT s.word, s.pos AS p, s.joined AS j, s.next_pos AS q
+        FROM best JOIN state s ON s.word = best.word AND s.joined * 1024 + s.pos = best.b),
+     hit AS (
+        SELECT spot.*, s.next_pos AS after, s.next_id AS after_id
+        FROM spot JOIN state s ON s.word = spot.word AND s.pos = spot.q),
+     contracted AS (
+        SELECT s.step + 1 AS step, s.word, s.pos,
+               CASE WHEN s.pos = p THEN j ELSE s.id END AS id,
+               CASE WHEN s.pos = p THEN after ELSE s.next_pos END AS next_pos,
+               CASE WHEN s.pos = p THEN after_id WHEN s.next_pos = p THEN j ELSE s.next_id END AS next_id
+        FROM state s JOIN hit ON hit.word = s.word WHERE s.pos <> q)
+     SELECT c.*, m.joined FROM contracted c LEFT JOIN merges m ON m.pair = c.id * 65536 + c.next_id)
 ), last AS (SELECT word, max(step) AS step FROM state GROUP BY word)
-SELECT s.word, list(s.id ORDER BY s.pos) AS ids, list(v.hex ORDER BY s.pos) AS decoded
+SELECT s.word, list(s.id ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS decoded
 FROM state s JOIN last USING (word, step) JOIN vocabulary v ON v.id = s.id
 GROUP BY s.word
 """
@@ -60,12 +67,13 @@ class Coder:
         self.pairs = {(l, r): i for t, i in self.ranks.items() for k in range(1, len(t)) if (l := self.ranks.get(t[:k])) is not None and (r := self.ranks.get(t[k:])) is not None}
         self.bytes = {i: t for t, i in self.ranks.items()}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
-        merges = pa.table({"l": pa.array([k[0] for k in self.pairs], pa.int32()), "r": pa.array([k[1] for k in self.pairs], pa.int32()), "joined": pa.array(self.pairs.values(), pa.int32())})
+        merges = pa.table({"pair": pa.array([l << 16 | r for l, r in self.pairs], pa.int64()), "joined": pa.array(self.pairs.values(), pa.int64())})
         vocabulary = pa.table({"id": pa.array(self.bytes, pa.int32()), "hex": pa.array([t.hex() for t in self.bytes.values()])})
         self.db.register("m", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", vocabulary)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
+        self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         #: pre-token -> (ids as little-endian 32-bit integers, decoded bytes)
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.before: dict[str, tuple[bytes, bytes]] = {}
@@ -87,13 +95,20 @@ class Coder:
                 rest.append((w, b))
         for at in range(0, len(rest), ROUND):
             part = rest[at : at + ROUND]
-            one = [self.ranks[bytes([i])] for i in range(256)]
-            start = pa.table({"word": pa.array([i for i, (_, b) in enumerate(part) for _ in b], pa.int32()), "pos": pa.array([j for _, b in part for j in range(len(b))], pa.int32()), "id": pa.array([one[x] for _, b in part for x in b], pa.int32())})
+            size = np.array([len(b) for _, b in part])
+            ids = self.single[np.frombuffer(b"".join(b for _, b in part), np.uint8)]
+            pos = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+            ends = np.cumsum(size) - 1
+            following, next_ids = pos + 1, np.append(ids[1:], -1)
+            following[ends], next_ids[ends] = -1, -1
+            start = pa.table({"word": np.repeat(np.arange(len(part)), size), "pos": pos, "id": ids, "next_pos": following, "next_id": next_ids})
             self.db.register("start", start)
             out = self.db.sql(CONTRACT).to_arrow_table()
             self.db.unregister("start")
-            for i, ids, text in zip(*(out.column(k).to_pylist() for k in range(3)), strict=True):
-                self.known[part[i][0]] = (struct.pack(f"<{len(ids)}I", *ids), bytes.fromhex("".join(text)))
+            lists = out.column("ids").combine_chunks()
+            flat, cut = lists.flatten().to_numpy().astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+            for i, a, b, text in zip(out.column("word").to_pylist(), cut[:-1], cut[1:], out.column("decoded").to_pylist(), strict=True):
+                self.known[part[i][0]] = (flat[a:b], bytes.fromhex(text))
 
     def pack(self, ids: list[int]) -> tuple[bytes, bytes]:
         return struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.bytes.__getitem__, ids))
