@@ -24,7 +24,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i in 0..n-1."""
     if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = (int(n) // (1 << 20) + 1) << 20
         for name, b in (("up", BASE), ("down", INVERSE)):
             x = np.full(size, b, np.uint64)
             x[0] = 1

@@ -8,8 +8,9 @@ from graphloom.llm.decontamination import op1_decontamination
 from graphloom.llm.jaccard_join import op6_jaccard_join
 from graphloom.llm.language_id import op7_language_id
 from graphloom.llm.license_scan import op9_license_scan
+from graphloom.llm.suffix_dedup import op8_suffix_dedup
 from graphloom.llm.token_counts import op10_token_counts
 from graphloom.llm.topk import OP3_SQL, op3_exact_topk
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_exact_topk, op4_byte_bpe, op5_chat_format, op6_jaccard_join, op7_language_id, op9_license_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_exact_topk, op4_byte_bpe, op5_chat_format, op6_jaccard_join, op7_language_id, op8_suffix_dedup, op9_license_scan, op10_token_counts)}
 ORACLE: dict[str, str] = {"op3_exact_topk": OP3_SQL}
