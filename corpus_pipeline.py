@@ -1,10 +1,72 @@
-"""The corpus pipeline; counted as part of the llm subpackage."""
+"""The corpus pipeline: language identification, near duplicates, repeated strings, decontamination, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of
+``documents``. run() writes each stage's rows to the shared folder and reads them back as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import byte_bpe, decontamination, jaccard_join, language_id, suffix_dedup
+from graphloom.llm.shared import Tables
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id isn't in ``ids``; ids are broadcast only while there are few."""
+    ids = Tables(docs.sparkSession, "without").write(ids.select("doc_id").distinct())
+    few = ids.limit(jaccard_join.SMALL + 1).count() <= jaccard_join.SMALL
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, of which no language can be told, go."""
+    return language_id.identified(docs, language_id.train(docs.select("doc_id", "text", "lang")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays; of rows repeated under an id, one."""
+    found = Tables(spark, "near").write(jaccard_join.jaccard_components(docs))
+    kept = without(docs, found.where("doc_id <> component_id"))
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    single = without(kept, twice)
+    return single.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(single.columns))
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that occur more than once are cut out of the texts."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return without(docs, decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the digest of the text that the ids stand for."""
+    import public_tokenizers as P
+
+    out = byte_bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language identification", known_language),
+    ("near duplicates", near_duplicates),
+    ("repeated strings", repeated_strings),
+    ("decontamination", decontaminated),
+    ("byte-level BPE", encoded),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark, "pipeline")
+    for _, stage in STAGES:
+        docs = tables.write(stage(spark, docs, sf_dir))
+    return docs

@@ -174,6 +174,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return m
 
 
+def classify(text: str | None, idf: np.ndarray, weights: np.ndarray, languages: list[str], temperature: float) -> tuple[str, float]:
+    if not has_letter(text):
+        return UNDETERMINED, 0.0
+    p = softmax((features(text, idf) @ weights).astype(np.float64)[None] / temperature)[0]
+    k = int(p.argmax())
+    return languages[k], min(1.0, float(p[k]))
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of each row."""
     if model is None:
@@ -187,20 +195,32 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             pred, score = [], []
             for text in b.column(1).to_pylist():
-                if not has_letter(text):
-                    pred.append(UNDETERMINED)
-                    score.append(0.0)
-                    continue
-                p = softmax((features(text, idf) @ full).astype(np.float64)[None] / temperature)[0]
-                k = int(p.argmax())
-                pred.append(languages[k])
-                score.append(min(1.0, float(p[k])))
+                lang, p = classify(text, idf, full, languages, temperature)
+                pred.append(lang)
+                score.append(p)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of which the language could be told, with all their columns: what predict() calls ``und`` goes."""
+    if model is None:
+        return docs.limit(0)
+    at, w = model.sparse
+    idf, languages, temperature = model.idf, model.languages, model.temperature
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.zeros((DIMS, len(languages)), np.float32)
+        full[at] = w
+        for b in batches:
+            pred = [classify(t, idf, full, languages, temperature)[0] for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield b.filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
