@@ -11,7 +11,9 @@ A document's set is its distinct 5-word shingles. Two documents link when 100 *
 3. Candidate pairs are verified fragment by fragment: partial overlaps are counted separately and summed per pair.
    Candidates are drawn in stars: in each posting list of a prefix shingle, one document against the others. Verified
    links merge components, and only pairs across components remain to be tested. When these are few for the number of
-   postings, all of them are tested. So a group of near copies needs about as many tests as it has members.
+   postings, or a round of stars draws few, all that remain are tested. So a group of near copies needs about as many
+   tests as it has members. Pairs are dropped before verification only where their sizes and the places of their shared
+   prefix shingles leave no room for the overlap they need.
 
 Null and wordless texts have the empty set and link with nothing. Fewer than 5 words make one shingle. An id names one
 text; a row repeated as it is counts as a copy. Rows without an id have no component.
@@ -40,7 +42,7 @@ CHUNK = 8 << 20
 SMALL = 500_000
 #: All pairs across components are tested when they are at most so many times the postings.
 FEW = 2
-STAR_ROUNDS = 12
+STAR_ROUNDS = 5
 META = np.dtype([("id", "<i8"), ("n", "<i8"), ("f1", "<i8"), ("f2", "<i8"), ("f3", "<i8"), ("f4", "<i8")])
 
 
@@ -167,10 +169,30 @@ def ordered(docs: DataFrame) -> DataFrame:
     place = Window.partitionBy("doc").orderBy("df", "sh")
     own = Window.partitionBy("doc")
     t = t.withColumn("rank", F.col("n") - F.count("*").over(own) + F.row_number().over(place))
+    t = t.withColumn("central", F.sum("df").over(own) / F.col("n"))
     need = F.ceil(F.col("n") * PERCENT / 100.0)
-    prefix = F.col("rank") <= F.col("n") - need + 1
-    t = t.withColumn("prefix", prefix).withColumn("any", F.max("prefix").over(own)).where("any")
-    return t.select("doc", "n", "sh", (F.col("df") + F.col("sh") / float(1 << 63) * 0.49).alias("k"), "prefix")
+    t = t.withColumn("prefix", F.col("rank") <= F.col("n") - need + 1).withColumn("any", F.max("prefix").over(own)).where("any")
+    return t.select("doc", "n", "sh", (F.col("df") + F.col("sh") / float(1 << 63) * 0.49).alias("k"), "rank", "central", "prefix")
+
+
+def least_overlap(na: Column, nb: Column) -> Column:
+    """The smallest intersection with which sets of these sizes link."""
+    return F.floor((PERCENT * (na + nb) + (100 + PERCENT - 1)) / (100 + PERCENT)).cast("long")
+
+
+def meet(x: str, y: str) -> Column:
+    """A shared shingle stands in the prefix that these two sizes leave, in both sets."""
+    need = least_overlap(F.col(f"{x}.n"), F.col(f"{y}.n"))
+    return (F.col(f"{x}.rank") <= F.col(f"{x}.n") - need + 1) & (F.col(f"{y}.rank") <= F.col(f"{y}.n") - need + 1)
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """Pairs (a, na, b, nb) of the documents x and y of each row. What follows the last shared prefix shingle bounds the overlap."""
+    low = F.col("x.doc") < F.col("y.doc")
+    pick = lambda c, first: F.when(low if first else ~low, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
+    pairs = met.select(pick("doc", True).alias("a"), pick("n", True).alias("na"), pick("rank", True).alias("ra"), pick("doc", False).alias("b"), pick("n", False).alias("nb"), pick("rank", False).alias("rb"))
+    most = F.count("*") + F.least(F.col("na") - F.max("ra"), F.col("nb") - F.max("rb"))
+    return pairs.groupBy("a", "na", "b", "nb").agg(most.alias("most")).where(F.col("most") >= least_overlap(F.col("na"), F.col("nb"))).drop("most")
 
 
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -190,36 +212,41 @@ def links(docs: DataFrame, tables: Tables) -> DataFrame | None:
     cuts = order.select(F.percentile_approx("k", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 2000)).head()[0]
     fragment = sum((F.when(F.col("k") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     segments = tables.write(order.groupBy("doc", fragment.alias("fragment")).agg(F.collect_list("sh").alias("part")))
-    postings = tables.write(order.where("prefix").select("sh", "doc", "n"))
+    postings = tables.write(order.where("prefix").select("sh", "doc", "n", "rank", "central"))
     tables.drop(order)
+    # of two sets that link, the smaller has a shared shingle in this shorter prefix
+    short = F.col("rank") <= F.col("n") - least_overlap(F.col("n"), F.col("n")) + 1
     size = postings.count()
     found = tested = comp = None
+    drawn = size
     for round_ in range(STAR_ROUNDS + 1):
         now = postings if comp is None else postings.join(comp, "doc", "left")
-        now = now.withColumn("c", F.col("doc") if comp is None else F.coalesce("component", "doc")).select("sh", "doc", "n", "c")
-        same = now.groupBy("sh", "c").agg(F.count("*").alias("k")).groupBy("sh").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        cross = same.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).head()[0] or 0
+        now = now.withColumn("c", F.col("doc") if comp is None else F.coalesce("component", "doc")).withColumn("short", short).drop("component")
+        by = now.groupBy("sh", "c").agg(F.count("*").alias("k"), F.count_if("short").alias("i")).groupBy("sh").agg(*[F.sum(e).alias(n) for n, e in (("s", F.col("k")), ("q", F.col("k") * F.col("k")), ("t", F.col("k") - F.col("i")), ("r", (F.col("k") - F.col("i")) * (F.col("k") - F.col("i"))))])
+        cross = by.agg(F.sum((F.col("s") * F.col("s") - F.col("q") - F.col("t") * F.col("t") + F.col("r")) / 2)).head()[0] or 0
         if not cross:
             break
-        last = cross <= FEW * size or round_ == STAR_ROUNDS
+        last = cross <= FEW * size or drawn <= size // 100 or round_ == STAR_ROUNDS
         if last:
-            x, y = now.alias("x"), now.alias("y")
-            pairs = x.join(y, (F.col("x.sh") == F.col("y.sh")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.c") != F.col("y.c")))
-            pairs = pairs.select(F.col("x.doc").alias("a"), F.col("x.n").alias("na"), F.col("y.doc").alias("b"), F.col("y.n").alias("nb"))
+            x, y = now.where("short").alias("x"), now.alias("y")
+            larger = (F.col("y.n") > F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.doc") > F.col("x.doc")))
+            met = x.join(y, (F.col("x.sh") == F.col("y.sh")) & larger & (F.col("x.c") != F.col("y.c")) & meet("x", "y"))
         else:
-            center = now.groupBy("sh").agg(F.min(F.struct(F.xxhash64("doc", F.lit(round_)), "doc", "n", "c")).alias("m"))
-            pairs = now.join(center, "sh").where("c <> m.c")
-            low = F.col("doc") < F.col("m.doc")
-            pairs = pairs.select(F.least("doc", "m.doc").alias("a"), F.when(low, F.col("n")).otherwise(F.col("m.n")).alias("na"), F.greatest("doc", "m.doc").alias("b"), F.when(low, F.col("m.n")).otherwise(F.col("n")).alias("nb"))
-        pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT).distinct()
+            # first the documents that share most of their shingles with most others, then others by chance
+            key = -F.col("central") if not round_ else F.xxhash64("doc", F.lit(round_)).cast("double")
+            center = now.groupBy("sh").agg(F.min(F.struct(key.alias("key"), "doc", "n", "rank", "c")).alias("m")).select("sh", "m.*")
+            x, y = now.alias("x"), center.alias("y")
+            met = x.join(y, (F.col("x.sh") == F.col("y.sh")) & (F.col("x.c") != F.col("y.c")) & meet("x", "y"))
+        pairs = candidates(met)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = tables.write(pairs)
+        drawn = pairs.count()
         new = tables.write(verified(pairs, segments))
         found = new if found is None else tables.write(found.unionByName(new))
-        tested = pairs.select("a", "b") if tested is None else tables.write(tested.unionByName(pairs.select("a", "b")))
         if last:
             break
+        tested = pairs.select("a", "b") if tested is None else tables.write(tested.unionByName(pairs.select("a", "b")))
         comp = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), tables).withColumnRenamed("node", "doc")
     return None if found is None else found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
