@@ -104,11 +104,17 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each lower-cased word, and each row's range in them (rows + 1)."""
-    low = LOWER[data]
-    starts, ends, rows = word_spans(low, off)
-    return span_hash(prefix_hash(low), starts, ends), rows
+def word_hashes(data: np.ndarray, off: np.ndarray, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each lower-cased word, and each row's range in them (rows + 1). Rows are taken ``part`` bytes at a time."""
+    hashes, rows, at, base = [], [np.zeros(1, np.int64)], 0, 0
+    while at < len(off) - 1:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + part, "right")) - 1)
+        low = LOWER[data[off[at] : off[to]]]
+        starts, ends, r = word_spans(low, off[at : to + 1] - off[at])
+        hashes.append(span_hash(prefix_hash(low), starts, ends))
+        rows.append(r[1:] + base)
+        base, at = base + len(starts), to
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.concatenate(rows)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
