@@ -319,7 +319,7 @@ def backend_gate(d: Data) -> DataFrame:
 
 
 @query("agg42_alerts", """
-WITH g AS (SELECT tenant, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS error_rate, quantile_cont(latency_ms, 0.95) AS p95 FROM kpi GROUP BY tenant), m AS (SELECT tenant, 'error_rate' AS gauge, error_rate AS v, 0.19 AS top FROM g UNION ALL SELECT tenant, 'p95', p95, 90.0 FROM g)
+WITH g AS (SELECT tenant, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS error_rate, quantile_cont(latency_ms, 0.95) AS p95 FROM kpi GROUP BY tenant), m AS (SELECT tenant, 'error_rate' AS gauge, error_rate AS v, CAST(0.19 AS DOUBLE) AS top FROM g UNION ALL SELECT tenant, 'p95', p95, 90.0 FROM g)
 SELECT tenant, gauge, round(v, 6) AS v FROM m WHERE v > top""")
 def alerts(d: Data) -> DataFrame:
     g = d.kpi.groupBy("tenant").agg(F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).alias("error_rate"), F.percentile("latency_ms", F.lit(0.95)).alias("p95"))
