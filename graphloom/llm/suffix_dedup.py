@@ -37,8 +37,6 @@ GRAM = 100
 REACH = LENGTH - GRAM
 CHUNK = 2 << 20
 CROWD = 20_000
-#: Bytes of packed positions that are broadcast at most; more are joined by a shuffle.
-SMALL = 32 << 20
 
 
 def _sliding_least(key: np.ndarray, size: int) -> np.ndarray:
@@ -159,9 +157,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["khash", "doc_id", "first", "before", "windows", "alone", "part"])
 
-    small = wanted.agg(F.sum(F.size("packed"))).head()[0] or 0
-    joined = docs.join(F.broadcast(wanted) if small * 40 <= SMALL else wanted, "doc_id")
-    return joined.select("doc_id", "text", "packed").mapInArrow(run, "khash long, doc_id long, first long, before int, windows int, alone boolean, part binary")
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "packed").mapInArrow(run, "khash long, doc_id long, first long, before int, windows int, alone boolean, part binary")
 
 
 def _groups(parts: DataFrame) -> DataFrame:
@@ -262,8 +258,6 @@ def with_spans(docs: DataFrame) -> DataFrame:
     tables = Tables(docs.sparkSession, "suffix")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = tables.write(repeats(slim, tables).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")))
-    size = spans.agg(F.sum(F.size("_spans") * 24 + 40)).head()[0] or 0
-    spans = F.broadcast(spans) if size <= SMALL else spans
     return docs.join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
 
 
