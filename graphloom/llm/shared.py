@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +38,22 @@ class Tables:
         out._graphloom_path = path
         return out
 
+    def write_by(self, df: DataFrame, column: str, values: tuple) -> dict:
+        """A table for each value of an integer column, from one pass over ``df``."""
+        self.n += 1
+        df.write.partitionBy(column).parquet(f"{self.at}/{self.n}")
+        out = {}
+        for v in values:
+            path = f"{self.at}/{self.n}/{column}={v}"
+            rest = StructType([f for f in df.schema if f.name != column])
+            try:
+                got = self.spark.read.schema(rest).parquet(path)
+            except AnalysisException:  # no row has the value
+                got = self.spark.createDataFrame([], rest)
+            out[v] = got.select(*[F.lit(v).cast(f.dataType).alias(column) if f.name == column else F.col(f.name) for f in df.schema])
+            out[v]._graphloom_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for t in tables:
