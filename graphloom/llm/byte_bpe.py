@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Longer pre-tokens (bytes) have too many rounds for the query; a heap makes the same merges.
 LONG = 128
-REMEMBERED = 400_000
-ROUND = 30_000
+REMEMBERED = 300_000
+ROUND = 20_000
 _coders: dict[tuple[str, str], Coder] = {}
 
 #: State rows hold a token, the position and token after it, and the token that the two join to, if any. A word's
@@ -66,7 +66,7 @@ class Coder:
         self.iter = regex.compile(pattern).finditer
         self.pairs = {(l, r): i for t, i in self.ranks.items() for k in range(1, len(t)) if (l := self.ranks.get(t[:k])) is not None and (r := self.ranks.get(t[k:])) is not None}
         self.bytes = {i: t for t, i in self.ranks.items()}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "preserve_insertion_order": False})
         merges = pa.table({"pair": pa.array([l << 16 | r for l, r in self.pairs], pa.int64()), "joined": pa.array(self.pairs.values(), pa.int64())})
         vocabulary = pa.table({"id": pa.array(self.bytes, pa.int32()), "hex": pa.array([t.hex() for t in self.bytes.values()])})
         self.db.register("m", merges)
@@ -74,9 +74,11 @@ class Coder:
         self.db.register("v", vocabulary)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        #: pre-token -> (ids as little-endian 32-bit integers, decoded bytes)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.before: dict[str, tuple[bytes, bytes]] = {}
+        #: pre-token -> ids as little-endian 32-bit integers
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        #: decoded pre-tokens that are not the pre-token itself (none, unless the vocabulary lacks a byte)
+        self.unlike: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         new = {w for w in words if w not in self.known}
@@ -88,9 +90,10 @@ class Coder:
             if (old := self.before.get(w)) is not None:
                 self.known[w] = old
             elif (i := self.ranks.get(b)) is not None:
-                self.known[w] = (struct.pack("<I", i), self.bytes[i])
+                self.keep(w, struct.pack("<I", i), self.bytes[i])
             elif len(b) > LONG:
-                self.known[w] = self.pack(self.long(b))
+                ids = self.long(b)
+                self.keep(w, struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.bytes.__getitem__, ids)))
             else:
                 rest.append((w, b))
         for at in range(0, len(rest), ROUND):
@@ -108,10 +111,13 @@ class Coder:
             lists = out.column("ids").combine_chunks()
             flat, cut = lists.flatten().to_numpy().astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
             for i, a, b, text in zip(out.column("word").to_pylist(), cut[:-1], cut[1:], out.column("decoded").to_pylist(), strict=True):
-                self.known[part[i][0]] = (flat[a:b], bytes.fromhex(text))
+                self.keep(part[i][0], flat[a:b], bytes.fromhex(text))
 
-    def pack(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.bytes.__getitem__, ids))
+    def keep(self, word: str, ids: bytes, decoded: bytes) -> None:
+        """Remembers a word's ids. What they decode to is compared with the word and stored only where it is another text."""
+        self.known[word] = ids
+        if decoded != word.encode():
+            self.unlike[word] = decoded
 
     def long(self, b: bytes) -> list[int]:
         ids = [self.ranks[bytes([x])] for x in b]
@@ -136,10 +142,10 @@ class Coder:
         """Packed ids and decoded bytes of each text. A text's pre-tokens are listed once and looked up."""
         cut = [self.find(t) if t else [] for t in texts]
         self.learn(set().union(*cut))
-        get = self.known.__getitem__
+        get, unlike = self.known.__getitem__, self.unlike
         for words in cut:
-            pairs = [get(w) for w in words]
-            yield b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
+            text = b"".join(unlike.get(w) or w.encode() for w in words) if unlike else "".join(words).encode()
+            yield b"".join(map(get, words)), text
 
 
 def coder(path: str, pattern: str) -> Coder:

@@ -30,6 +30,13 @@ UNDETERMINED = "und"
 _letter = re.compile(r"[^\W\d_]")
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and _letter.search(text) is not None
 
@@ -121,7 +128,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIMS, np.int64), 0
         seen = np.zeros(DIMS, bool)
-        for b in batches:
+        for b in few(batches):
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
@@ -192,7 +199,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros((DIMS, len(languages)), np.float32)
         full[at] = w
-        for b in batches:
+        for b in few(batches):
             pred, score = [], []
             for text in b.column(1).to_pylist():
                 lang, p = classify(text, idf, full, languages, temperature)
@@ -214,7 +221,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros((DIMS, len(languages)), np.float32)
         full[at] = w
-        for b in batches:
+        for b in few(batches):
             pred = [classify(t, idf, full, languages, temperature)[0] for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield b.filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
 
