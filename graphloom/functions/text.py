@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Agencies whose name may stand before a regulation's.
 AGENCIES = ("easa", "faa", "icao", "iso", "nist", "sae")
@@ -48,7 +49,7 @@ def short_names(c: Column) -> Column:
     return F.array_compact(F.array(F.array_join(words, " "), F.when(F.size(words) >= 2, initials)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(s: pd.Series) -> pd.Series:
     """Without diacritics (NFKD, combining marks dropped)."""
     import unicodedata
@@ -56,7 +57,7 @@ def folded(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * LCS / (len a + len b), by bit-parallel longest common subsequences; 1 for two empty strings."""
 
