@@ -253,12 +253,21 @@ def removed(n: int, spans: list | None) -> list[tuple[int, int]]:
     return [(a, min(b, n)) for a, b in out]
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """The documents with a column of repeated window ranges, ``_spans`` (null: none)."""
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_spans(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a column ``name`` of repeated window ranges (null: none)."""
     tables = Tables(docs.sparkSession, "suffix")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = tables.write(repeats(slim, tables).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")))
-    return docs.join(spans, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    key = unused("_id", [*docs.columns, name])
+    spans = tables.write(repeats(slim, tables).select(F.col("doc_id").alias(key), F.col("spans").alias(name)))
+    return docs.join(spans, docs["doc_id"].cast("long") == spans[key], "left").drop(spans[key])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -266,24 +275,24 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character cut in half goes whole. A null text stays null.
     """
+    name = unused("_spans", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 texts = []
-                for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True):
+                for t, s in zip(b.column("text").to_pylist(), b.column(name).to_pylist(), strict=True):
                     if t is not None and s:
                         t = cut(t.encode(), s).decode(errors="ignore")
                     texts.append(t)
-                cols = {c: b.column(c) for c in b.schema.names if c != "_spans"}
+                cols = {c: b.column(c) for c in b.schema.names if c != name}
                 cols["text"] = pa.array(texts, pa.string())
                 if "n_chars" in cols:
                     cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return with_spans(docs).mapInArrow(run, kinds)
+    return with_spans(docs, name).mapInArrow(run, docs.schema)
 
 
 def cut(text: bytes, spans: list | None) -> bytes:
@@ -307,4 +316,4 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_spans(docs).select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, "_spans").select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
