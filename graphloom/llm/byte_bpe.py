@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrays import slices, trimmed
+
 #: Longer pre-tokens (bytes) have too many rounds for the query; a heap makes the same merges.
 LONG = 128
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 ROUND = 20_000
 _coders: dict[tuple[str, str], Coder] = {}
 
@@ -155,8 +157,6 @@ def coder(path: str, pattern: str) -> Coder:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    from graphloom.llm.arrays import slices
-
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
             yield from slices(iter([whole.slice(at, rows)]), whole.schema.names[-1], size)
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), flat, pa.array([d.decode() for _, d in packed], pa.string())], [id_col, "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded string")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -192,7 +192,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([got.get(i, "") for i in range(b.num_rows)], pa.string())], [id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, text string")
 
 
 def _sums(sizes: Iterator[int]) -> Iterator[int]:
@@ -216,7 +216,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import slices, utf8
+from graphloom.llm.arrays import slices, trimmed, utf8
 from graphloom.llm.windows import Items, item_blocks
 
 THRESHOLD = 0.75
@@ -112,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                     row, item, sim, first, n = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), names.take(pa.array(item)), pa.array(sim), pa.array(first, pa.int64()), pa.array(n, pa.int64())], [id_col, "item_id", "similarity", "first_word", "n_words"])
 
-        part = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+        part = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), schema)
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.arrays import mix, shingles, slices, utf8, word_hashes
+from graphloom.llm.arrays import mix, shingles, slices, trimmed, utf8, word_hashes
 from graphloom.llm.components import components
 from graphloom.llm.shared import Tables, width
 
@@ -140,9 +140,9 @@ def shared_counts(docs: DataFrame, by_class: bool = False) -> DataFrame:
             m = np.frombuffer(meta, META)
             yield pa.RecordBatch.from_arrays([*(pa.array(m[c]) for c in META.names), pa.array(total[chunk])], ["doc_id", *META.names[1:], "shared"])
 
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scatter, "bucket int, chunk long, block binary, meta binary, rows int")
-    counted = blocks.repartitionById(parts, F.col("bucket")).mapInArrow(count, "chunk long, counts binary, meta binary")
-    return counted.repartition(parts, "chunk").mapInArrow(gather, "doc_id long, n long, f1 long, f2 long, f3 long, f4 long, shared long")
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(scatter), "bucket int, chunk long, block binary, meta binary, rows int")
+    counted = blocks.repartitionById(parts, F.col("bucket")).mapInArrow(trimmed(count), "chunk long, counts binary, meta binary")
+    return counted.repartition(parts, "chunk").mapInArrow(trimmed(gather), "doc_id long, n long, f1 long, f2 long, f3 long, f4 long, shared long")
 
 
 def only(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
@@ -164,7 +164,7 @@ def ordered(docs: DataFrame) -> DataFrame:
                 s, r = sh[at : at + 100_000], row[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(meta["id"][r]), pa.array(meta["n"][r]), pa.array(s.view(np.int64))], ["doc", "n", "sh"])
 
-    t = docs.select("doc_id", "text").mapInArrow(run, "doc long, n long, sh long")
+    t = docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc long, n long, sh long")
     t = t.withColumn("df", F.count("*").over(Window.partitionBy("sh"))).where("df > 1")
     place = Window.partitionBy("doc").orderBy("df", "sh")
     own = Window.partitionBy("doc")

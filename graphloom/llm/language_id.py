@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.arrays import trimmed
+
 DIMS = 1 << 15
 #: Documents a language that the weights are fitted on, on average; and languages at most.
-SAMPLE = 700
+SAMPLE = 500
 MAX_LANGUAGES = 1000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
@@ -98,8 +100,8 @@ class Model:
 
     def fit(self, rows: list[tuple[int, str, str]]) -> Model:
         """rows: (hash, text, language), in the order of the hash; each fifth sets the temperature."""
-        seen = [(np.flatnonzero(x), x, self.languages.index(lang)) for _, text, lang in rows for x in [features(text, self.idf)]]
-        seen = [(at, x[at].astype(np.float64), y) for at, x, y in seen]
+        place = {lang: i for i, lang in enumerate(self.languages)}
+        seen = [(at, x[at], place[lang]) for _, text, lang in rows for x in [features(text, self.idf)] for at in [np.flatnonzero(x).astype(np.uint16)]]
         held = [r for i, r in enumerate(seen) if i % 5 == 4] or seen
         fitted = [r for i, r in enumerate(seen) if i % 5 != 4] or seen
         for _ in range(EPOCHS):
@@ -146,7 +148,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 df, n = df + np.frombuffer(v, np.int64), n + k
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([n])], ["df", "n"])
 
-    parts = docs.select("text").mapInArrow(run, "df binary, n long").repartition(8).mapInArrow(add, "df binary, n long")
+    parts = docs.select("text").mapInArrow(trimmed(run), "df binary, n long").repartition(8).mapInArrow(trimmed(add), "df binary, n long")
     rows = parts.collect()  # eight vectors of DIMS counts
     return sum((np.frombuffer(r.df, np.int64) for r in rows), np.zeros(DIMS, np.int64)), sum(r.n for r in rows)
 
@@ -175,7 +177,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         at = np.flatnonzero(np.abs(w).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([w[at].astype(np.float32).tobytes()], pa.binary()), pa.array([m.temperature])], ["at", "w", "t"])
 
-    got = chosen.repartition(1).mapInArrow(fit, "at binary, w binary, t double").head()
+    got = chosen.repartition(1).mapInArrow(trimmed(fit), "at binary, w binary, t double").head()
     m = Model(languages, idf)
     m.temperature, m.sparse = got.t, (np.frombuffer(got.at, np.int32), np.frombuffer(got.w, np.float32).reshape(-1, len(languages)))
     return m
@@ -208,7 +210,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -225,7 +227,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
             pred = [classify(t, idf, full, languages, temperature)[0] for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield b.filter(pa.array([p != UNDETERMINED for p in pred], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def remainder(modulus: int):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import mix, slices, utf8
+from graphloom.llm.arrays import mix, slices, trimmed, utf8
 from graphloom.llm.windows import Items
 
 THRESHOLD = 0.75
@@ -86,7 +86,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
                 row, item, share, first, n = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), names.take(pa.array(item)), pa.array(share), pa.array(first, pa.int64()), pa.array(n, pa.int64())], [id_col, "license", "containment", "first_word", "n_words"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, license string, containment double, first_word long, n_words long")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, license string, containment double, first_word long, n_words long")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

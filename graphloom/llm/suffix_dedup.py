@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import mix, prefix_hash, slices, span_hash, spread, utf8
+from graphloom.llm.arrays import mix, prefix_hash, slices, span_hash, spread, trimmed, utf8
 from graphloom.llm.shared import Tables, width
 from graphloom.llm.suffix_sort import lcp, suffix_array
 
@@ -157,7 +157,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["khash", "doc_id", "first", "before", "windows", "alone", "part"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "packed").mapInArrow(run, "khash long, doc_id long, first long, before int, windows int, alone boolean, part binary")
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "packed").mapInArrow(trimmed(run), "khash long, doc_id long, first long, before int, windows int, alone boolean, part binary")
 
 
 def _groups(parts: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _groups(parts: DataFrame) -> DataFrame:
         if out:
             yield flush()
 
-    return parts.mapInArrow(run, "doc_id long, first long, last long")
+    return parts.mapInArrow(trimmed(run), "doc_id long, first long, last long")
 
 
 def _crowds(parts: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _crowds(parts: DataFrame) -> DataFrame:
                 h = span_hash(p, s, s + LENGTH)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(mix(h ^ np.uint64(before) - s.astype(np.uint64)).view(np.int64)), pa.array(np.full(n, doc)), pa.array(s + first), pa.array(np.full(n, alone))], ["h", "g", "doc_id", "first", "alone"])
 
-    w = parts.mapInArrow(run, "h long, g long, doc_id long, first long, alone boolean")
+    w = parts.mapInArrow(trimmed(run), "h long, g long, doc_id long, first long, alone boolean")
     twice = w.groupBy("h", "g").agg(F.count("*").alias("k")).where("k > 1").select("h", "g")
     return w.where("alone").join(twice, ["h", "g"]).select("doc_id", "first", F.col("first").alias("last"))
 
@@ -220,7 +220,7 @@ def repeats(docs: DataFrame, tables: Tables) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(a), pa.array(s1), pa.array(s2), pa.array(h.view(np.int64)), pa.array(seg.view(np.int64))], ["doc_id", "anchor", "first", "last", "khash", "seg"])
 
     docs = docs.where("doc_id IS NOT NULL")
-    found = tables.write(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, anchor long, first long, last long, khash long, seg long"))
+    found = tables.write(docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, anchor long, first long, last long, khash long, seg long"))
     shared = found.groupBy("khash").agg(F.count("*").alias("k")).where("k > 1").select("khash")
     common = tables.write(found.join(shared, "khash"))
     tables.drop(found)
@@ -292,7 +292,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return with_spans(docs, name).mapInArrow(run, docs.schema)
+    return with_spans(docs, name).mapInArrow(trimmed(run), docs.schema)
 
 
 def cut(text: bytes, spans: list | None) -> bytes:
@@ -316,4 +316,4 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_spans(docs, "_spans").select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, "_spans").select("doc_id", "text", "_spans").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
