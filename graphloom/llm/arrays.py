@@ -22,19 +22,35 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
-def trimmed(run: Callable) -> Callable:
-    """The same partition function, which at its end gives memory that it has freed back to the system: workers are used again."""
+#: What operators keep in a worker from one partition to the next, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def _begin(keeps: str) -> None:
+    for name, cache in CACHES.items():
+        if name != keeps:
+            cache.clear()
+
+
+def _end() -> None:
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable, keeps: str = "") -> Callable:
+    """The same partition function for a worker that is used again: caches of other operators than ``keeps`` are dropped at
+    its start, and memory that it has freed goes back to the system at its end."""
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(keeps)
         try:
             yield from run(batches)
         finally:
-            _powers.clear()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            _end()
 
     return lean
 

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import slices, trimmed
+from graphloom.llm.arrays import CACHES, slices, trimmed
 
 #: Longer pre-tokens (bytes) have too many rounds for the query; a heap makes the same merges.
 LONG = 128
-REMEMBERED = 250_000
-ROUND = 20_000
-_coders: dict[tuple[str, str], Coder] = {}
+REMEMBERED = 200_000
+ROUND = 10_000
+_coders: dict[tuple[str, str], Coder] = CACHES.setdefault("byte_bpe", {})
 
 #: State rows hold a token, the position and token after it, and the token that the two join to, if any. A word's
 #: least joined token (which is the pair's rank), at the leftmost position, is contracted in each step.
@@ -68,7 +68,7 @@ class Coder:
         self.iter = regex.compile(pattern).finditer
         self.pairs = {(l, r): i for t, i in self.ranks.items() for k in range(1, len(t)) if (l := self.ranks.get(t[:k])) is not None and (r := self.ranks.get(t[k:])) is not None}
         self.bytes = {i: t for t, i in self.ranks.items()}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB", "preserve_insertion_order": False})
         merges = pa.table({"pair": pa.array([l << 16 | r for l, r in self.pairs], pa.int64()), "joined": pa.array(self.pairs.values(), pa.int64())})
         vocabulary = pa.table({"id": pa.array(self.bytes, pa.int32()), "hex": pa.array([t.hex() for t in self.bytes.values()])})
         self.db.register("m", merges)
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), flat, pa.array([d.decode() for _, d in packed], pa.string())], [id_col, "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run, "byte_bpe"), f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded string")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -192,7 +192,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([got.get(i, "") for i in range(b.num_rows)], pa.string())], [id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, text string")
+    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(trimmed(run, "byte_bpe"), f"`{id_col}` {kind}, text string")
 
 
 def _sums(sizes: Iterator[int]) -> Iterator[int]:
@@ -216,7 +216,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run, "byte_bpe"), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import trimmed
+from graphloom.llm.arrays import CACHES, trimmed
 
 MARK = "▁"
 NO_RANK = np.int64(1 << 40)
@@ -29,7 +29,7 @@ LONG = 400
 #: Distinct pre-tokens that a worker remembers.
 REMEMBERED = 400_000
 SLICE = 1 << 20
-_models: dict[str, Merger] = {}
+_models: dict[str, Merger] = CACHES.setdefault("token_counts", {})
 
 
 class Merger:
@@ -209,7 +209,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(trimmed(run, "token_counts"), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
