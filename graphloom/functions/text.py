@@ -148,3 +148,81 @@ def query_kind(c: Column) -> Column:
     for kind, words in reversed(KINDS):
         out = F.when(F.lower(c).rlike(rf"\b({'|'.join(words)})\b"), kind).otherwise(out)
     return out
+
+
+@F.pandas_udf(DoubleType())
+def opening_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matching-block similarity of the first 300 normalised characters."""
+    import difflib
+    import re
+
+    norm = lambda t: re.sub(r"\s+", " ", (t or "").lower()).strip()[:300]
+    return pd.Series([difflib.SequenceMatcher(None, norm(x), norm(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+
+
+def cross_score(text: Column, question: str) -> Column:
+    """A stand-in for a cross-encoder: 0.5 for the phrase, 0.1 a term, 0.05 for each pair of neighbouring terms; 0.8 of it
+    for texts of more than 1000 characters; 1 at most."""
+    t, terms = F.lower(text), question.lower().split()
+    score = F.when(t.contains(question.lower()), 0.5).otherwise(0.0)
+    for w in terms:
+        score = score + F.when(t.contains(w), 0.1).otherwise(0.0)
+    for a, b in zip(terms[:-1], terms[1:], strict=True):
+        score = score + F.when(t.contains(f"{a} {b}"), 0.05).otherwise(0.0)
+    return F.least(F.lit(1.0), score * F.when(F.length(text) > 1000, 0.8).otherwise(1.0))
+
+
+def citations(c: Column) -> Column:
+    """Bracketed numbers and [source: name] marks."""
+    return F.array_distinct(F.concat(F.regexp_extract_all(c, F.lit(r"\[(\d+)\]"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"\[source: ([^\]]+)\]"), F.lit(1))))
+
+
+def citation_state(cited: Column, known: Column, text: Column) -> Column:
+    """verified: known and named in the text; unverified: known only; fake: not known."""
+    return F.when(~F.array_contains(known, cited), "fake").when(text.contains(cited), "verified").otherwise("unverified")
+
+
+def section_chunks(df, key: str, text: str, soft: int = 1200, size: int = 512, overlap: int = 64):
+    """(key, chunk, heading, body): a text cut at its heading lines (#, or numbered); sections longer than ``soft`` are cut into
+    pieces of ``size`` characters that share ``overlap``; each piece carries its heading."""
+    lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("_i", "_l"))
+    from pyspark.sql.window import Window
+
+    head = F.col("_l").rlike(r"^(#+ |\d+(\.\d+)*\.? +\S)")
+    w = Window.partitionBy(key).orderBy("_i")
+    s = lines.withColumn("_s", F.sum(head.cast("int")).over(w))
+    per = s.groupBy(key, "_s").agg(F.first(F.when(head, F.col("_l")), ignorenulls=True).alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_l"))), lambda x: x["_l"]), "\n").alias("_b"))
+    pieces = F.when(F.length("_b") > soft, fixed_chunks(F.col("_b"), size, overlap)).otherwise(F.array("_b"))
+    out = per.select(key, "_s", "heading", F.posexplode(pieces).alias("_p", "body"))
+    return out.select(key, F.row_number().over(Window.partitionBy(key).orderBy("_s", "_p")).alias("chunk"), F.coalesce("heading", F.lit("")).alias("heading"), "body")
+
+
+#: Frequent short words of four languages.
+STOP_WORDS = {"de": ("der", "die", "und", "das", "mit"), "en": ("the", "of", "and", "that", "with"), "es": ("de", "que", "los", "para", "por"), "fr": ("le", "la", "et", "des", "pour")}
+
+
+def stop_word_language(text: Column) -> Column:
+    """The language with most of its frequent words in a text, the first by name on a tie; null where there are none."""
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+    def found(own: tuple) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*own)))
+
+    ranked = [(lang, found(own)) for lang, own in sorted(STOP_WORDS.items())]
+    most = F.greatest(*[n for _, n in ranked])
+    out = F.lit(None).cast("string")
+    for lang, n in reversed(ranked):
+        out = F.when(n == most, lang).otherwise(out)
+    return F.when(most > 0, out)
+
+
+def cache_key(question: Column, *settings: Column) -> Column:
+    """SHA-256 of a question without regard to case and spacing, with its settings."""
+    return F.sha2(F.concat_ws("\u001f", F.trim(F.regexp_replace(F.lower(question), r"\s+", " ")), *settings), 256)
+
+
+def read_only(statement: str) -> bool:
+    """Whether a statement only reads: one SELECT or WITH, no writing or calling words, no second statement."""
+    import re
+
+    s = re.sub(r"'[^']*'|--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S).strip().rstrip(";")
+    return bool(re.match(r"(?i)(select|with)\b", s)) and not re.search(r"(?i);|\b(insert|update|delete|merge|drop|create|alter|truncate|call|service|load)\b", s)

@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 def _load() -> None:
     import importlib
 
-    for m in ("aggregates", "joins", "windows", "predicates", "graph", "retrieval", "text", "resolution", "temporal", "sales", "streams"):
+    for m in ("aggregates", "joins", "windows", "predicates", "graph", "retrieval", "text", "resolution", "temporal", "sales", "streams", "sources"):
         importlib.import_module(f"graphloom.plans.{m}")
 
 

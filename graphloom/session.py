@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,16 @@ def session(master: str = "local[*]", partitions: int = 8) -> SparkSession:
     return SparkSession.builder.master(master).appName("graphloom").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", str(partitions)).config("spark.ui.enabled", "false").getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="graphloom-")
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+
+
 #: The graph read from the relational tables, in SQL that Spark and DuckDB both take. Evidence has a row for each
 #: document (order) that says so; relations are certain ones, with one row each.
 VIEWS = {

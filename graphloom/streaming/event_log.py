@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import scratch
+
 #: How late an event may come.
 LATE = "10 minutes"
 
@@ -24,12 +25,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def once(stream: DataFrame, mode: str, work: str | None = None) -> DataFrame:
     """All that the stream has now, as a table: every batch is appended (or, in complete mode, the last one kept)."""
     spark = stream.sparkSession
-    work = work or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not work:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        work = tempfile.mkdtemp(prefix="graphloom-")
-    at = f"{work.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    at = f"{work.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}" if work else scratch(spark)
     put = "append" if mode == "append" else "overwrite"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -89,3 +85,22 @@ def split_errors(batch: DataFrame, ok) -> tuple[DataFrame, DataFrame]:
     """Good rows, and those for the dead-letter table with the reason."""
     good = F.coalesce(ok, F.lit(False))
     return batch.where(good), batch.where(~good).withColumn("reason", F.lit("rejected"))
+
+
+def read_kafka(spark: SparkSession, servers: str, topic: str, schema: str) -> DataFrame:
+    """A topic of JSON rows; offsets are kept by the checkpoint, so a row is seen at least once and a keyed sink makes it once."""
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r"), F.col("timestamp").alias("received")).select("r.*", "received")
+
+
+def since(events: DataFrame, recorded: str, revision, ended) -> DataFrame:
+    """Rows recorded after one revision and up to another: what an incremental refresh has to look at."""
+    return events.where((F.col(recorded) > revision) & (F.col(recorded) <= ended))
+
+
+def affected(changed: DataFrame, total: DataFrame, key: str, full_at: float = 0.2) -> DataFrame:
+    """Keys to refresh: those with changes; all of them once the changed share reaches ``full_at``."""
+    c = changed.select(key).distinct()
+    share = c.agg(F.count("*").alias("_c")).crossJoin(total.agg(F.count_distinct(key).alias("_t"))).select((F.col("_c") >= F.col("_t") * full_at).alias("_full"))
+    every = total.select(key).distinct().crossJoin(F.broadcast(share)).where("_full").select(key)
+    return c.unionByName(every).distinct()
