@@ -217,3 +217,45 @@ def missing_tails(edges: DataFrame, rel: str, k: int) -> DataFrame:
     votes = near.join(e.withColumnRenamed("src", "peer"), "peer").groupBy("src", "tgt").agg(F.sum("common").alias("score"))
     new = votes.join(e, ["src", "tgt"], "left_anti")
     return new.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "tgt"))).where(F.col("_r") <= k).drop("_r")
+
+
+def _moves(e: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """(node, community) by greedy modularity moves. In a round about half of the nodes (by a hash) may move at once, each to
+    the neighbouring community of most gain, ties to the smallest; half, so that neighbours don't swap for ever."""
+    degree = cut(e.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
+    whole = degree.agg(F.sum("k")).head()[0] or 1.0
+    label = cut(degree.select("node", F.col("node").alias("c")))
+    still = 0
+    for r in range(rounds):
+        size = label.join(degree, "node").groupBy("c").agg(F.sum("k").alias("inside"))
+        to = e.where("u <> v").join(label.select(F.col("node").alias("v"), "c"), "v").groupBy(F.col("u").alias("node"), "c").agg(F.sum("w").alias("w"))
+        own = label.select("node", F.col("c").alias("own"))
+        # staying is a candidate, too; a node's own degree doesn't count in the community it would join
+        option = to.unionByName(label.select("node", "c", F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
+        j = option.join(size, "c").join(degree, "node").join(own, "node")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("inside") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / whole
+        best = j.withColumn("g", F.round(gain, 9)).groupBy("node", "own").agg(F.min_by("c", F.struct(-F.col("g"), F.col("c") != F.col("own"), "c")).alias("to"))
+        turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+        new = cut(best.select("node", "own", F.when(turn, F.col("to")).otherwise(F.col("own")).alias("c")))
+        still = 0 if new.where("own <> c").limit(1).count() else still + 1
+        label = new.select("node", "c")
+        if still == 2:
+            break
+    return label.select("node", F.col("c").alias("community"))
+
+
+def community_hierarchy(edges: DataFrame, levels: int = 3, resolution: float = 1.0, least: int = 1, rounds: int = 12) -> DataFrame:
+    """(node, level, community) of an undirected graph (src, tgt, weight): communities of one level are the nodes of the
+    next, with half of its resolution. A community is named by one of its nodes; smaller ones than ``least`` are left out."""
+    e = cut(edges.where("src <> tgt").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight").groupBy("src", "tgt").agg(F.sum("weight").alias("w")))
+    e = cut(both_ways(e, "w"))
+    member, out = None, None
+    for level in range(levels):
+        found = _moves(e, resolution * 0.5**level, rounds)
+        member = cut(found if member is None else member.join(found.select(F.col("node").alias("community"), F.col("community").alias("up")), "community").select("node", F.col("up").alias("community")))
+        out = member.withColumn("level", F.lit(level)) if out is None else out.unionByName(member.withColumn("level", F.lit(level)))
+        a, b = found.select(F.col("node").alias("u"), F.col("community").alias("cu")), found.select(F.col("node").alias("v"), F.col("community").alias("cv"))
+        # edges inside a community become a loop, which keeps its weight in the degrees
+        e = cut(e.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+    big = out.groupBy("level", "community").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("level", "community")
+    return out.join(big, ["level", "community"]).select("node", "level", "community")

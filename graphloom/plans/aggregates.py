@@ -24,7 +24,7 @@ SELECT event_type, count(*) AS n, round(avg(latency_ms), 4) AS avg_value, min(la
        round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95
 FROM kpi WHERE day >= DATE '2024-01-08' GROUP BY event_type""")
 def kpi_summary(d: Data) -> DataFrame:
-    return A.latency_summary(d.kpi.where("day >= DATE '2024-01-08'"), ["event_type"], "latency_ms")
+    return A.latency_summary(d.kpi.where("ts >= TIMESTAMP_NTZ '2024-01-08'"), ["event_type"], "latency_ms")
 
 
 @query("agg02_exact_percentile", "SELECT tenant, round(quantile_cont(latency_ms, 0.25), 6) AS p25, round(quantile_cont(latency_ms, 0.99), 6) AS p99 FROM kpi GROUP BY tenant")

@@ -201,3 +201,8 @@ def overmerged(d: Data) -> DataFrame:
 WITH p AS (SELECT src, rel, tgt, doc, max(confidence) AS c FROM evidence GROUP BY src, rel, tgt, doc) SELECT src, rel, tgt, round(1 - product(1 - c), 6) AS confidence, count(*) AS docs FROM p GROUP BY src, rel, tgt""")
 def evidence_merge(d: Data) -> DataFrame:
     return d.edges.select("src", "rel", "tgt", F.round("confidence", 6).alias("confidence"), "docs")
+
+
+@query("grf06_community_hierarchy")
+def community_hierarchy(d: Data) -> DataFrame:
+    return G.community_hierarchy(d.relations.select("src", "tgt", F.col("confidence").alias("weight")), levels=2, least=3)

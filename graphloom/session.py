@@ -43,7 +43,7 @@ SELECT concat('SUPPLIER:', CAST(l_suppkey AS STRING)) AS src, 'SUPPLIES' AS rel,
        l_orderkey AS doc, round(CAST(0.5 AS DOUBLE) + l_discount * 4, 2) AS confidence, CAST(l_shipdate AS DATE) AS valid_from, CAST(o_orderdate AS DATE) AS recorded_at
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "kpi": """
-SELECT event_id, concat('t', CAST(user_id % 3 AS STRING)) AS tenant, user_id, event_type, value AS latency_ms, CAST(ts AS DATE) AS day FROM events""",
+SELECT event_id, concat('t', CAST(user_id % 3 AS STRING)) AS tenant, user_id, event_type, value AS latency_ms, ts, CAST(ts AS DATE) AS day FROM events""",
     "claims": """
 SELECT c_custkey AS subject, o_orderpriority AS predicate, o_orderkey AS claim_id, o_orderstatus AS object, CAST(o_orderdate AS DATE) AS valid_from, o_totalprice AS amount
 FROM orders JOIN customer ON o_custkey = c_custkey""",

@@ -155,3 +155,15 @@ def test_gcn_matches_dense(spark):
     xs = spark.createDataFrame([(i, 0, float(x[i])) for i in range(6)], "node int, dim int, value double")
     got = {r.node: r.value for r in graph.gcn_layer(adj, xs).collect()}
     assert np.allclose([got[i] for i in range(6)], want)
+
+
+def test_communities_of_cliques(spark):
+    edges = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "abcd" for i in range(5) for j in range(i)] + [("a0", "b0", 1.0), ("b1", "c0", 1.0), ("c1", "d0", 1.0)]
+    e = spark.createDataFrame(edges, "src string, tgt string, weight double")
+    got = graph.community_hierarchy(e, levels=2).collect()
+    first = {r.node: r.community for r in got if r.level == 0}
+    assert all(len({first[f"{c}{i}"] for i in range(5)}) == 1 for c in "abcd") and len(set(first.values())) == 4
+    m = spark.createDataFrame(list(first.items()), "node string, community string")
+    assert aggregates.modularity(e, m).head()[0] > 0.6
+    top = {r.node: r.community for r in got if r.level == 1}
+    assert all(len({top[n] for n in first if first[n] == c}) == 1 for c in set(first.values()))  # levels nest
