@@ -234,7 +234,8 @@ def links(docs: DataFrame, tables: Tables) -> DataFrame | None:
         else:
             # first the documents that share most of their shingles with most others, then others by chance
             key = -F.col("central") if not round_ else F.xxhash64("doc", F.lit(round_)).cast("double")
-            center = now.groupBy("sh").agg(F.min(F.struct(key.alias("key"), "doc", "n", "rank", "c")).alias("m")).select("sh", "m.*")
+            # written, so that Spark can split the join of a shingle that many documents have
+            center = tables.write(now.groupBy("sh").agg(F.min(F.struct(key.alias("key"), "doc", "n", "rank", "c")).alias("m")).select("sh", "m.*"))
             x, y = now.alias("x"), center.alias("y")
             met = x.join(y, (F.col("x.sh") == F.col("y.sh")) & (F.col("x.c") != F.col("y.c")) & meet("x", "y"))
         pairs = candidates(met)

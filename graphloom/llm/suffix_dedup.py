@@ -221,9 +221,10 @@ def repeats(docs: DataFrame, tables: Tables) -> DataFrame:
 
     docs = docs.where("doc_id IS NOT NULL")
     found = tables.write(docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, anchor long, first long, last long, khash long, seg long"))
-    shared = found.groupBy("khash").agg(F.count("*").alias("k")).where("k > 1").select("khash")
+    # written, so that both sides of the join are shuffled as they are, and Spark can split a hot anchor's partition
+    shared = tables.write(found.groupBy("khash").agg(F.count("*").alias("k")).where("k > 1").select("khash"))
     common = tables.write(found.join(shared, "khash"))
-    tables.drop(found)
+    tables.drop(found, shared)
     segs = common.groupBy("khash", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "anchor", "first", "last")).alias("one"))
     segs = tables.write(segs)
     whole = common.join(segs.where("copies > 1").select("khash", "seg"), ["khash", "seg"]).select("doc_id", "first", "last")
