@@ -24,8 +24,8 @@ from graphloom.llm.arrays import CACHES, slices, trimmed
 
 #: Longer pre-tokens (bytes) have too many rounds for the query; a heap makes the same merges.
 LONG = 128
-REMEMBERED = 200_000
-ROUND = 10_000
+REMEMBERED = 300_000
+ROUND = 20_000
 _coders: dict[tuple[str, str], Coder] = CACHES.setdefault("byte_bpe", {})
 
 #: State rows hold a token, the position and token after it, and the token that the two join to, if any. A word's
@@ -33,7 +33,7 @@ _coders: dict[tuple[str, str], Coder] = CACHES.setdefault("byte_bpe", {})
 CONTRACT = """
 WITH RECURSIVE state(step, word, pos, id, next_pos, next_id, joined) AS (
     SELECT 0, s.word, s.pos, s.id, s.next_pos, s.next_id, m.joined
-    FROM start s LEFT JOIN merges m ON m.pair = s.id * 65536 + s.next_id
+    FROM start s LEFT JOIN merges m ON m.pair = s.id::BIGINT * 65536 + s.next_id
   UNION ALL
     (WITH best AS (
         SELECT word, min(joined * 1024 + pos) AS b FROM state WHERE joined IS NOT NULL GROUP BY word),
@@ -49,8 +49,8 @@ WITH RECURSIVE state(step, word, pos, id, next_pos, next_id, joined) AS (
                CASE WHEN s.pos = p THEN after ELSE s.next_pos END AS next_pos,
                CASE WHEN s.pos = p THEN after_id WHEN s.next_pos = p THEN j ELSE s.next_id END AS next_id
         FROM state s JOIN hit ON hit.word = s.word WHERE s.pos <> q)
-     SELECT c.*, m.joined FROM contracted c LEFT JOIN merges m ON m.pair = c.id * 65536 + c.next_id)
-), last AS (SELECT word, max(step) AS step FROM state GROUP BY word)
+     SELECT c.*, m.joined FROM contracted c LEFT JOIN merges m ON m.pair = c.id::BIGINT * 65536 + c.next_id)
+), last AS (SELECT word, max(step) AS step FROM state WHERE pos = 0 GROUP BY word)
 SELECT s.word, list(s.id ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS decoded
 FROM state s JOIN last USING (word, step) JOIN vocabulary v ON v.id = s.id
 GROUP BY s.word
@@ -106,7 +106,8 @@ class Coder:
             ends = np.cumsum(size) - 1
             following, next_ids = pos + 1, np.append(ids[1:], -1)
             following[ends], next_ids[ends] = -1, -1
-            start = pa.table({"word": np.repeat(np.arange(len(part)), size), "pos": pos, "id": ids, "next_pos": following, "next_id": next_ids})
+            columns = {"word": np.repeat(np.arange(len(part)), size), "pos": pos, "id": ids, "next_pos": following, "next_id": next_ids}
+            start = pa.table({k: v.astype(np.int32) for k, v in columns.items()})
             self.db.register("start", start)
             out = self.db.sql(CONTRACT).to_arrow_table()
             self.db.unregister("start")
