@@ -37,7 +37,7 @@ SIZE = 5
 #: Links need PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 75
 FRAGMENTS = 8
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Ids of a semi-join are broadcast up to this number (8 bytes each); beyond it Spark shuffles.
 SMALL = 500_000
 #: All pairs across components are tested when they are at most so many times the postings.
@@ -72,19 +72,20 @@ def chunk_sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _code(values: np.ndarray, row: np.ndarray) -> bytes:
-    """Sorted 48-bit values as 32-bit steps (64 where one is longer), with their rows in 2 or 4 bytes."""
+    """Sorted 48-bit values as 32-bit steps (with what is above 32 bits of the few longer ones), their rows in 2 or 4 bytes."""
     step = np.diff(values, prepend=values[:1])
-    wide = bool(len(step)) and int(step.max()) >= 1 << 32
+    wide = np.flatnonzero(step >> np.uint64(32))
     rows = row.astype("<u2") if not len(row) or int(row.max()) < 1 << 16 else row.astype("<u4")
     first = int(values[0]) if len(values) else 0
-    return np.array([len(values), first, wide, rows.itemsize], "<i8").tobytes() + step.astype("<u8" if wide else "<u4").tobytes() + rows.tobytes()
+    return b"".join((np.array([len(values), first, len(wide), rows.itemsize], "<i8").tobytes(), (step & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), wide.astype("<u4").tobytes(), (step[wide] >> np.uint64(32)).astype("<u4").tobytes(), rows.tobytes()))
 
 
 def _decode(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, first, wide, size = np.frombuffer(b, "<i8", 4).tolist()
-    step = np.frombuffer(b, "<u8" if wide else "<u4", n, 32).astype(np.uint64)
-    at = 32 + n * (8 if wide else 4)
-    return np.cumsum(step, dtype=np.uint64) + np.uint64(first), np.frombuffer(b, "<u2" if size == 2 else "<u4", n, at)
+    n, first, k, size = np.frombuffer(b, "<i8", 4).tolist()
+    step = np.frombuffer(b, "<u4", n, 32).astype(np.uint64)
+    at, high = np.frombuffer(b, "<u4", k, 32 + 4 * n), np.frombuffer(b, "<u4", k, 32 + 4 * (n + k))
+    step[at] |= high.astype(np.uint64) << np.uint64(32)
+    return np.cumsum(step, dtype=np.uint64) + np.uint64(first), np.frombuffer(b, "<u2" if size == 2 else "<u4", n, 32 + 4 * (n + 2 * k))
 
 
 def shared_counts(docs: DataFrame, by_class: bool = False) -> DataFrame:

@@ -35,7 +35,7 @@ from graphloom.llm.suffix_sort import lcp, suffix_array
 LENGTH = 400
 GRAM = 100
 REACH = LENGTH - GRAM
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 CROWD = 20_000
 
 
