@@ -24,7 +24,7 @@ from graphloom.llm.arrays import trimmed
 DIMS = 1 << 15
 #: Documents a language that the weights are fitted on, on average; and languages at most.
 SAMPLE = 500
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 200
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 SLICE = 1 << 20

@@ -142,7 +142,7 @@ def repeated_windows(members: list[tuple[bytes, int, int]]) -> list[list[tuple[i
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(khash, doc_id, first, before, windows, open, part) for each wanted segment. wanted: doc_id, packed."""
+    """(khash, doc_id, first, before, windows, alone, part, crowd) for each wanted segment. wanted: doc_id, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -153,11 +153,11 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for r, (doc, packed) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                     text = data[off[r] : off[r + 1]].tobytes()
                     for s in packed:
-                        out.append((s["khash"], doc, s["first"], s["anchor"] - s["first"], s["last"] - s["first"] + 1, s["alone"], text[s["first"] : s["last"] + LENGTH]))
+                        out.append((s["khash"], doc, s["first"], s["anchor"] - s["first"], s["last"] - s["first"] + 1, s["alone"], text[s["first"] : s["last"] + LENGTH], s["crowd"]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["khash", "doc_id", "first", "before", "windows", "alone", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_()), strict=True)], ["khash", "doc_id", "first", "before", "windows", "alone", "part", "crowd"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "packed").mapInArrow(trimmed(run), "khash long, doc_id long, first long, before int, windows int, alone boolean, part binary")
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "packed").mapInArrow(trimmed(run), "khash long, doc_id long, first long, before int, windows int, alone boolean, part binary, crowd boolean")
 
 
 def _groups(parts: DataFrame) -> DataFrame:
@@ -229,17 +229,13 @@ def repeats(docs: DataFrame, tables: Tables) -> DataFrame:
     segs = tables.write(segs)
     whole = common.join(segs.where("copies > 1").select("khash", "seg"), ["khash", "seg"]).select("doc_id", "first", "last")
     kinds = segs.groupBy("khash").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    need = segs.join(kinds, "khash").select("khash", "kinds", "one.*", (F.col("copies") == 1).alias("alone"))
+    need = segs.join(kinds, "khash").select("khash", "kinds", "one.*", (F.col("copies") == 1).alias("alone"), (F.col("kinds") > CROWD).alias("crowd"))
     need = tables.write(need)
-    wanted = tables.write(need.groupBy("doc_id").agg(F.collect_list(F.struct("khash", "anchor", "first", "last", "alone")).alias("packed")))
+    wanted = tables.write(need.groupBy("doc_id").agg(F.collect_list(F.struct("khash", "anchor", "first", "last", "alone", "crowd")).alias("packed")))
     texts = _texts(docs.select("doc_id", "text"), wanted)
-    crowded = [r.khash for r in need.where(F.col("kinds") > CROWD).select("khash").distinct().limit(100_001).collect()]
-    if len(crowded) > 100_000:
-        raise ValueError("too many crowded anchors")
-    usual = texts.where(~F.col("khash").isin(crowded)) if crowded else texts
-    parts = _groups(usual.repartition(width(docs.sparkSession), "khash").sortWithinPartitions("khash"))
-    if crowded:
-        parts = parts.unionByName(_crowds(texts.where(F.col("khash").isin(crowded))))
+    parts = _groups(texts.where("NOT crowd").drop("crowd").repartition(width(docs.sparkSession), "khash").sortWithinPartitions("khash"))
+    if not need.where("crowd").isEmpty():
+        parts = parts.unionByName(_crowds(texts.where("crowd").drop("crowd")))
     return whole.unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
