@@ -310,3 +310,54 @@ def dirty_ancestors(d: Data) -> DataFrame:
 def revisions(d: Data) -> DataFrame:
     rows = S.once(S.read(d.spark, f"{d.dir}/events.parquet").select("event_id"), "append")
     return rows.agg(F.max("event_id").alias("revision"), F.count("*").alias("n"))
+
+
+@query("src02_table_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def table_scan(d: Data) -> DataFrame:
+    from graphloom.sources.relational import read_table
+
+    return read_table(d.spark, d.dir, "nation")
+
+
+@query("snk10_appended_events", "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY event_type")
+def appended_events(d: Data) -> DataFrame:
+    at = scratch(d.spark)
+    for _ in range(2):
+        d.events.select("event_id", "event_type").write.mode("append").parquet(at)
+    return d.spark.read.parquet(at).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("flt01_scoped_edges", "SELECT r.src, r.tgt FROM relations r JOIN entities a ON a.id = r.src AND a.tenant = 't2' JOIN entities b ON b.id = r.tgt AND b.tenant = 't2'")
+def scoped_edges(d: Data) -> DataFrame:
+    from graphloom.operators.predicates import tenant_scope
+
+    own = tenant_scope(d.entities, "t2").select("id")
+    return induced(d.relations, own).select("src", "tgt")
+
+
+def induced(edges: DataFrame, own: DataFrame) -> DataFrame:
+    return edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "tgt"), "tgt", "left_semi")
+
+
+@query("top10_candidate_pool", "WITH p AS (SELECT DISTINCT s_suppkey, levenshtein(s_name, 'Supplier#000000042') AS d FROM supplier WHERE s_nationkey < 20 OR s_acctbal > 0) SELECT s_suppkey, d FROM p ORDER BY d, s_suppkey LIMIT 50")
+def candidate_pool(d: Data) -> DataFrame:
+    s = d.supplier
+    pool = s.where("s_nationkey < 20").unionByName(s.where("s_acctbal > 0")).dropDuplicates(["s_suppkey"])
+    far = F.levenshtein("s_name", F.lit("Supplier#000000042")).cast("long")
+    return pool.select("s_suppkey", far.alias("d")).orderBy("d", "s_suppkey").limit(50)
+
+
+@query("str13_egress", "SELECT conv_id, turn, regexp_replace('mail a.b@c.org or ' || coalesce(left(text, 10), ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS safe FROM conversations")
+def egress(d: Data) -> DataFrame:
+    t = F.concat(F.lit("mail a.b@c.org or "), F.coalesce(F.left("text", F.lit(10)), F.lit("")))
+    return d.conversations.select("conv_id", "turn", T.redacted(t).alias("safe"))
+
+
+@query("stm03_at_least_once", "SELECT count(*) AS n, count(DISTINCT event_id) AS events FROM events")
+def at_least_once(d: Data) -> DataFrame:
+    """Every row delivered twice; the keyed sink has it once."""
+    from graphloom.operators.temporal import insert_new
+
+    rows = S.once(S.read(d.spark, f"{d.dir}/events.parquet").select("event_id", "value"), "append")
+    sink = insert_new(rows.limit(0), rows.unionAll(rows), "event_id", "value")
+    return sink.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))

@@ -106,3 +106,14 @@ def test_indel_ratio_is_symmetric_and_bounded(a, b):
     f = T.indel_ratio.func
     x, y = f(pd.Series([a]), pd.Series([b]))[0], f(pd.Series([b]), pd.Series([a]))[0]
     assert x == y and 0 <= x <= 1 and (x == 1) == (a == b)
+
+
+def test_jdbc_round_trip(spark):
+    """Through the embedded database that Spark brings along."""
+    from graphloom.sources.relational import read_jdbc
+
+    url = "jdbc:derby:memory:t;create=true"
+    spark.range(5).withColumnRenamed("id", "k").write.format("jdbc").options(url=url, dbtable="numbers_", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    assert read_jdbc(spark, url, "numbers_", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").count() == 5
+    with pytest.raises(ValueError):
+        read_jdbc(spark, url, "rows; drop table rows")
