@@ -9,6 +9,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -204,19 +207,67 @@ def isolated_below(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return below.join(outside, "node", "left_anti")
 
 
+#: So many sources of a target meet in one task; the pairs of a target with more are dealt over several.
+CROWD = 1000
+#: About so many counts of peers, and edges, are in memory at once when targets are voted for.
+CELL = 1_000_000
+
+
 def missing_tails(edges: DataFrame, rel: str, k: int) -> DataFrame:
     """(src, tgt, score): for each source the k targets it lacks that most of its co-sources have.
 
-    Only the hundred busiest sources of a target vote, so a hub adds no more than that to a source's candidates.
+    Every other source of a target votes, with the number of targets that it has in common. A target of many sources is
+    dealt over parts by a hash of the source, and the counts of the parts are added up. The votes are the product of two
+    sparse matrices, taken in cells of some sources by some targets, each of which keeps its k best a source.
     """
-    e = edges.where(F.col("rel") == rel).select("src", "tgt").distinct()
-    busy = F.row_number().over(Window.partitionBy("tgt").orderBy(F.xxhash64("src"), "src"))
-    few = e.withColumn("_r", busy).where("_r <= 100").drop("_r")
-    peers = few.join(few.withColumnRenamed("src", "peer"), "tgt").where("src <> peer").groupBy("src", "peer").agg(F.count("*").alias("common"))
-    near = peers.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("common"), "peer"))).where("_r <= 10")
-    votes = near.join(e.withColumnRenamed("src", "peer"), "peer").groupBy("src", "tgt").agg(F.sum("common").alias("score"))
-    new = votes.join(e, ["src", "tgt"], "left_anti")
-    return new.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "tgt"))).where(F.col("_r") <= k).drop("_r")
+    e = cut(edges.where(F.col("rel") == rel).select("src", "tgt").dropna().distinct())
+    parts = e.groupBy("tgt").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
+    s = e.join(parts, "tgt")
+    one = s.select("src", "tgt", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int").alias("part"))
+    other = s.select(F.col("src").alias("peer"), "tgt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    peers = cut(one.join(other, ["tgt", "part"]).where("src <> peer").groupBy("src", "peer").agg(F.count("*").alias("common")))
+
+    side = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = max(-(-peers.count() // CELL), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    columns = max(1, -(-e.count() // CELL))
+    left = peers.select(side("src", rows).alias("i"), every(columns).alias("j"), "src", "peer", "common")
+    right = e.select(every(rows).alias("i"), side("tgt", columns).alias("j"), "src", "tgt")
+    kinds = {c: e.schema[c].dataType.simpleString() for c in ("src", "tgt")}
+
+    def vote(counts: pa.Table, has: pa.Table) -> pa.Table:
+        places = lambda values, known: pc.index_in(values, value_set=known).to_numpy(zero_copy_only=False)
+        flat = lambda c: c.combine_chunks()
+        owners, tails = pc.unique(flat(has["src"])), pc.unique(flat(has["tgt"]))
+        tails = tails.take(pc.sort_indices(tails))
+        # the targets of owner p are to[at[p] : at[p + 1]]
+        own, to = places(flat(has["src"]), owners), places(flat(has["tgt"]), tails)
+        order = np.argsort(own, kind="stable")
+        to, at = to[order], np.searchsorted(own[order], np.arange(len(owners) + 1))
+        c = counts.filter(pc.is_in(counts["peer"], value_set=owners))
+        sources = pc.unique(flat(c["src"]))
+        src, peer, common = places(flat(c["src"]), sources), places(flat(c["peer"]), owners), flat(c["common"]).to_numpy()
+        order = np.argsort(src, kind="stable")
+        src, peer, common = src[order], peer[order], common[order]
+        self_at = pc.index_in(sources, value_set=owners).to_pylist()
+        bounds, who, what, score = np.searchsorted(src, np.arange(len(sources) + 1)), [], [], []
+        for s in range(len(sources)):
+            votes = np.zeros(len(tails), np.int64)
+            for p, n in zip(peer[bounds[s] : bounds[s + 1]], common[bounds[s] : bounds[s + 1]], strict=True):
+                votes[to[at[p] : at[p + 1]]] += n  # an owner has a target once
+            if self_at[s] is not None:
+                votes[to[at[self_at[s]] : at[self_at[s] + 1]]] = 0
+            found = np.flatnonzero(votes)
+            if len(found) > k:
+                found = found[votes[found] >= np.partition(votes[found], len(found) - k)[len(found) - k]]
+            found = found[np.lexsort((found, -votes[found]))][:k]
+            who += [s] * len(found)
+            what += found.tolist()
+            score += votes[found].tolist()
+        return pa.table({"src": sources.take(pa.array(who, pa.int64())), "tgt": tails.take(pa.array(what, pa.int64())), "score": pa.array(score, pa.int64())})
+
+    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(vote, f"src {kinds['src']}, tgt {kinds['tgt']}, score long")
+    return best.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "tgt"))).where(F.col("_r") <= k).drop("_r")
 
 
 def _moves(e: DataFrame, resolution: float, rounds: int) -> DataFrame:

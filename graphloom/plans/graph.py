@@ -182,7 +182,7 @@ def type_expansion(d: Data) -> DataFrame:
 
 @query("grf28_missing_links")
 def missing_links(d: Data) -> DataFrame:
-    e = d.lineitem.where("l_quantity > 45").select(F.col("l_suppkey").alias("src"), F.lit("SUPPLIES").alias("rel"), F.col("l_partkey").alias("tgt"))
+    e = d.lineitem.select(F.col("l_suppkey").alias("src"), F.lit("SUPPLIES").alias("rel"), F.col("l_partkey").alias("tgt"))
     return G.missing_tails(e, "SUPPLIES", 3)
 
 

@@ -1,6 +1,7 @@
 """Ontology, approximate search, streams, and invariants that hold whatever the rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.operators import graph, ontology, retrieval, windows
 from graphloom.operators.intents import answer
+from graphloom.plans.registry import QUERIES
 from graphloom.session import Data
 from graphloom.streaming import event_log
 from tests.conftest import SMALL
@@ -117,3 +119,29 @@ def test_jdbc_round_trip(spark):
     assert read_jdbc(spark, url, "numbers_", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").count() == 5
     with pytest.raises(ValueError):
         read_jdbc(spark, url, "rows; drop table rows")
+
+
+@pytest.mark.parametrize(("crowd", "cell"), [(1000, 1_000_000), (30, 100)])
+def test_missing_tails_of_hubs(spark, monkeypatch, crowd, cell):
+    monkeypatch.setattr(graph, "CROWD", crowd)
+    monkeypatch.setattr(graph, "CELL", cell)
+    rng = random.Random(9)
+    pairs = {(s, 0) for s in range(130)} | {(s, rng.randint(1, 25)) for s in range(130) for _ in range(rng.randint(0, 4))}
+    got = graph.missing_tails(spark.createDataFrame(sorted(pairs), "src long, tgt long").withColumn("rel", F.lit("r")), "r", 3)
+    has = {s: {t for u, t in pairs if u == s} for s in range(130)}
+    want = set()
+    for s in has:
+        votes = Counter()
+        for p in has:
+            if p != s:
+                votes.update({t: len(has[s] & has[p]) for t in has[p] - has[s] if has[s] & has[p]})
+        want |= {(s, t, n) for t, n in sorted(votes.items(), key=lambda v: (-v[1], v[0]))[:3]}
+    assert {(r.src, r.tgt, r.score) for r in got.collect()} == want
+
+
+def test_missing_links_read_every_line(spark):
+    d = Data(spark, SMALL)
+    lines = d.lineitem.select(F.col("l_suppkey").alias("src"), F.lit("SUPPLIES").alias("rel"), F.col("l_partkey").alias("tgt"))
+    got = {tuple(r) for r in QUERIES["grf28_missing_links"](spark, SMALL).select("src", "tgt").collect()}
+    have = {(r.src, r.tgt) for r in lines.distinct().collect()}
+    assert got and not got & have
