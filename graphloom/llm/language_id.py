@@ -214,9 +214,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of which the language could be told, with all their columns: what predict() calls ``und`` goes."""
+    """The rows of which the language could be told, with all their columns: texts without a letter go.
+
+    That is what predict() calls ``und`` with a model. Without one, as no row has a label, the same rows stay.
+    """
     if model is None:
-        return docs.limit(0)
+
+        def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in few(batches):
+                yield b.filter(pa.array([has_letter(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(trimmed(lettered), docs.schema)
     at, w = model.sparse
     idf, languages, temperature = model.idf, model.languages, model.temperature
 

@@ -100,6 +100,18 @@ def test_language(spark, no_docs):
     assert {r.lang_pred for r in language_id.predict(df.limit(5), None).collect()} == {"und"}
 
 
+def test_no_labels_reject_no_text(spark, odd_docs):
+    from corpus_pipeline import known_language
+
+    bare = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = known_language(spark, bare, "")
+    labelled = language_id.identified(bare, language_id.train(odd_docs))
+    assert kept.columns == bare.columns
+    ids = sorted(r.doc_id for r in kept.collect())
+    assert ids == sorted(r.doc_id for r in labelled.select("doc_id").collect())
+    assert ids == sorted(r.doc_id for r in bare.where(F.col("text").rlike(r"\p{L}")).collect()) and ids
+
+
 def test_language_slices(monkeypatch):
     t = "abc déf " * 300
     whole = language_id.counts(t)
