@@ -150,14 +150,49 @@ def query_kind(c: Column) -> Column:
     return out
 
 
+#: Openings count as near from this ratio on.
+NEAR = 0.85
+
+
+@F.pandas_udf(StringType())
+def opening(t: pd.Series) -> pd.Series:
+    """The first 300 normalised characters."""
+    import re
+
+    return pd.Series([re.sub(r"\s+", " ", (x or "").lower()).strip()[:300] for x in t])
+
+
 @F.pandas_udf(DoubleType())
 def opening_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block similarity of the first 300 normalised characters."""
+    """Matching-block similarity of two openings; null where their longest common subsequence shows that it is under NEAR."""
     import difflib
-    import re
 
-    norm = lambda t: re.sub(r"\s+", " ", (t or "").lower()).strip()[:300]
-    return pd.Series([difflib.SequenceMatcher(None, norm(x), norm(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+    masks: dict[str, dict[str, int]] = {}
+
+    def common(x: str, y: str) -> int:
+        if x not in masks:
+            at: dict[str, int] = {}
+            for i, ch in enumerate(x):
+                at[ch] = at.get(ch, 0) | 1 << i
+            masks.clear()
+            masks[x] = at
+        at, full = masks[x], (1 << len(x)) - 1
+        row = full
+        for ch in y:
+            u = row & at.get(ch, 0)
+            row = (row + u | row - u) & full
+        return len(x) - row.bit_count()
+
+    def one(x: str, y: str) -> float | None:
+        if x == y:
+            return 1.0
+        n = len(x) + len(y)
+        # matching blocks are a common subsequence, so they have no more characters than the longest
+        if 2.0 * min(len(x), len(y)) / n < NEAR or 2.0 * common(x, y) / n < NEAR:
+            return None
+        return difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def cross_score(text: Column, question: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.functions import text as T
+
 #: Queries that a k-nearest search broadcasts at once; more are taken block by block.
 QUERY_BLOCK = 20_000
 
@@ -88,6 +91,20 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text:
     return s.select("term", "doc_id", part.alias("part")).join(q, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
+def near_openings(docs: DataFrame) -> DataFrame:
+    """(a, b, ratio): all pairs of documents (doc_id, text, lang) of one language, a < b, whose openings are near.
+
+    Every pair meets in one cell of a square of blocks; a bound that loses none spares most of them the exact ratio.
+    """
+    side = max(1, math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    x = docs.select("doc_id", T.opening("text").alias("x"), "lang").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(side)))
+    cells = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    a = x.select(F.col("doc_id").alias("a"), "x", F.col("lang").alias("la"), F.col("block").alias("i"), cells.alias("j"))
+    b = x.select(F.col("doc_id").alias("b"), F.col("x").alias("y"), F.col("lang").alias("lb"), F.col("block").alias("n"), cells.alias("m"))
+    pairs = a.join(b, F.col("la").eqNullSafe(F.col("lb")) & (F.col("i") == F.col("m")) & (F.col("j") == F.col("n")) & (F.col("a") < F.col("b")))
+    return pairs.select("a", "b", T.opening_ratio("x", "y").alias("ratio")).where(F.col("ratio") >= T.NEAR)
+
+
 def ranked(df: DataFrame, by: str, score: str, tie: str, k: int | None = None) -> DataFrame:
     """``df`` with a 0-based ``rank``; of ``k`` rows a key at most."""
     out = df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie)) - 1)

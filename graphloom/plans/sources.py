@@ -134,9 +134,7 @@ def merged_files(d: Data) -> DataFrame:
 
 @query("str08_opening_ratio")
 def opening_ratio(d: Data) -> DataFrame:
-    x = d.documents.where("doc_id < 40").select(F.col("doc_id").alias("a"), F.col("text").alias("x"), "lang")
-    y = x.toDF("b", "y", "lang")
-    return x.join(y, "lang").where("a < b").select("a", "b", F.round(T.opening_ratio("x", "y"), 6).alias("ratio")).where("ratio >= 0.85")
+    return R.near_openings(d.documents).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 @query("str11_cross_score", "SELECT doc_id, round(least(1.0, (CASE WHEN contains(lower(text), 'the of') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(text), 'of') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(text), 'the of') THEN 0.05 ELSE 0 END) * CASE WHEN length(text) > 1000 THEN 0.8 ELSE 1.0 END), 4) AS score FROM documents")
@@ -236,9 +234,10 @@ def diverse_rerank(d: Data) -> DataFrame:
 
 @query("ret09_local_search")
 def local_search(d: Data) -> DataFrame:
-    """Lexical and vector ranks fused, then a tie-break by the length of the text."""
-    lexical = R.ranked(R.bm25(d.documents, d.benchmark.where("item_id < 5"), "doc_id", "item_id").withColumn("s", F.round("score", 6)), "query_id", "s", "doc_id", 50)
-    near = R.knn(d.embeddings.where("vec_id < 5"), d.embeddings, 50).select("query_id", F.col("vec_id").alias("doc_id"), (F.col("place") - 1).alias("rank"))
+    """Lexical and vector ranks fused, then a tie-break by the length of the text; a query is a benchmark item and the vector of its id."""
+    lexical = R.ranked(R.bm25(d.documents, d.benchmark, "doc_id", "item_id").withColumn("s", F.round("score", 6)), "query_id", "s", "doc_id", 50)
+    asked = d.embeddings.join(d.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    near = R.knn(asked, d.embeddings, 50).select("query_id", F.col("vec_id").alias("doc_id"), (F.col("place") - 1).alias("rank"))
     fused = R.fused([lexical, near], "query_id", "doc_id").join(d.documents.select("doc_id", "n_chars"), "doc_id")
     return R.ranked(fused.withColumn("s", F.round(F.col("score") + 1e-6 * F.least(F.col("n_chars"), F.lit(9999)) / 9999, 12)), "query_id", "s", "doc_id", 10).select("query_id", "doc_id", "rank")
 

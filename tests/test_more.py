@@ -1,5 +1,6 @@
 """Ontology, approximate search, streams, and invariants that hold whatever the rows."""
 
+import difflib
 import random
 from collections import Counter
 
@@ -121,6 +122,37 @@ def test_jdbc_round_trip(spark):
         read_jdbc(spark, url, "rows; drop table rows")
 
 
+def test_near_openings_are_those_of_all_pairs(spark, tmp_path):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        if i % 3 and texts:
+            w = rng.choice(texts).split(" ")
+            for _ in range(rng.randint(0, 14)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w))
+        else:
+            texts.append(" ".join(rng.choice(words) for _ in range(rng.randint(3, 120))))
+    docs = [(i + 100, t, [None, "aa", "bb"][i % 7 % 3]) for i, t in enumerate([*texts, "", "", None, "A  b", "a b"])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    norm = lambda t: " ".join((t or "").lower().split())[:300]
+    want = {}
+    for a, x, la in docs:
+        for b, y, lb in docs:
+            ratio = difflib.SequenceMatcher(None, norm(x), norm(y), autojunk=False).ratio()
+            if a < b and la == lb and ratio >= 0.85:
+                want[a, b] = round(ratio, 6)
+    got = QUERIES["str08_opening_ratio"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b): r.ratio for r in got} == want and len(got) == len(want) > 20
+
+
+def test_local_search_asks_every_item(spark):
+    d = Data(spark, SMALL)
+    got = {r.query_id for r in QUERIES["ret09_local_search"](spark, SMALL).select("query_id").distinct().collect()}
+    assert got == {r.item_id for r in d.benchmark.collect()}
+
+
 @pytest.mark.parametrize(("crowd", "cell"), [(1000, 1_000_000), (30, 100)])
 def test_missing_tails_of_hubs(spark, monkeypatch, crowd, cell):
     monkeypatch.setattr(graph, "CROWD", crowd)
