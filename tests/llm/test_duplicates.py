@@ -86,7 +86,7 @@ def digests(df):
     out = {}
     for r in suffix_dedup.with_spans(df.select("doc_id", "text"), "s").collect():
         b = (r.text or "").encode()
-        gone = suffix_dedup.removed(len(b), r.s)
+        gone = suffix_dedup.removed(b, r.s)
         out[r.doc_id] = (len(b), sum(y - x for x, y in gone), len(gone), hashlib.sha256(suffix_dedup.cut(b, r.s)).hexdigest())
     return out
 
@@ -115,7 +115,67 @@ def test_pieces_share_windows(monkeypatch):
         assert starts == list(range(n))
 
 
+def words_kept(rows, size=50):
+    """(repeated words, the text without them) by brute force."""
+    spans = {i: [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0d]+", t or "")] for i, t in rows}
+    own = {i: words(t) for i, t in rows}
+    at = defaultdict(int)
+    for w in own.values():
+        for s in range(len(w) - size + 1):
+            at[tuple(w[s : s + size])] += 1
+    out = {}
+    for i, t in rows:
+        w, gone = own[i], [False] * len(own[i])
+        for s in range(len(w) - size + 1):
+            if at[tuple(w[s : s + size])] > 1:
+                gone[s : s + size] = [True] * size
+        text, k = list(t or ""), 0
+        while k < len(w):
+            e = k
+            while e < len(w) and gone[e]:
+                e += 1
+            if e > k:
+                text[spans[i][k][0] : spans[i][e - 1][1]] = [""] * (spans[i][e - 1][1] - spans[i][k][0])
+            k = e + 1
+        out[i] = (sum(gone), "".join(text))
+    return out
+
+
+@pytest.mark.parametrize("crowd,chunk", [(20_000, 1 << 20), (1, 300)])
+def test_repeated_words_are_brute_force(odd_docs, odd_texts, monkeypatch, crowd, chunk):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rows = [(i, t if t is None or len(t) < 9000 else t[:9000]) for i, t in odd_texts]
+    rows += [(900, "Tail " + " ".join(f"Q{k % 61}" for k in range(52))), (901, "  ".join(f"q{k % 61}" for k in range(52)) + "\nend")]
+    df = odd_docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = words_kept(rows)
+    assert want[900][0] == want[901][0] == 52
+    found = suffix_dedup.with_spans(df, "s", (suffix_dedup.WORDS,)).collect()
+    assert {r.doc_id: sum(y - x for x, y in suffix_dedup.runs(r.s, suffix_dedup.WORDS)) for r in found} == {i: n for i, (n, _) in want.items()}
+    assert {r.doc_id: suffix_dedup.cut((r.text or "").encode(), r.s).decode() for r in found} == {i: t for i, (_, t) in want.items()}
+
+
+def test_planted_passages_go(spark):
+    """Passages of 51 to 70 words, far under 400 bytes, that stand in several documents; other texts are left alone."""
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(n))
+    passages = [fresh(n) for n in (51, 55, 60, 70)]
+    rows, clean = [], {}
+    for i in range(60):
+        if i % 2:
+            rows.append((i, f"{fresh(40)} {passages[i % 4]} {fresh(30)}"))
+        else:
+            clean[i] = fresh(100)
+            rows.append((i, clean[i]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs, (suffix_dedup.BYTES, suffix_dedup.WORDS)).collect()}
+    assert all(got[i] == t for i, t in clean.items())
+    assert all(len(got[i].split()) == 70 and passages[i % 4] not in got[i] for i in got if i % 2)
+
+
 def test_texts_keep_their_columns(odd_docs, no_docs):
+    both = suffix_dedup.without_repeats(odd_docs, (suffix_dedup.BYTES, suffix_dedup.WORDS))
+    assert both.columns == odd_docs.columns and both.count() == odd_docs.count()
     out = suffix_dedup.without_repeats(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
     assert suffix_dedup.without_repeats(no_docs).count() == 0
