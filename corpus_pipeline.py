@@ -39,12 +39,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur more than once are cut out of the texts."""
-    return suffix_dedup.without_repeats(docs)
+    """Strings of 400 bytes, and those of 50 words, that occur more than once are cut out of the texts, each copy of them.
+
+    Words are compared with A-Z lower-cased and white space not heeded. Null and empty texts stay as they are, rows of a
+    repeated id are judged as copies, and rows without an id are not judged.
+    """
+    return suffix_dedup.without_repeats(docs, (suffix_dedup.BYTES, suffix_dedup.WORDS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go. Null and empty texts contain none; without benchmark items all stay."""
     return without(docs, decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
