@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 #: Agencies whose name may stand before a regulation's.
 AGENCIES = ("easa", "faa", "icao", "iso", "nist", "sae")
@@ -64,21 +64,24 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str | None, y: str | None) -> float | None:
         if x is None or y is None:
             return None
-        if not x and not y:
-            return 1.0
-        at: dict[str, int] = {}
-        for i, ch in enumerate(x):
-            at[ch] = at.get(ch, 0) | 1 << i
-        full = (1 << len(x)) - 1
-        row = full
-        for ch in y:
-            u = row & at.get(ch, 0)
-            row = (row + u | row - u) & full
-        return 2 * (len(x) - bin(row).count("1")) / (len(x) + len(y))
+        return 2 * common_subsequence(x, y) / (len(x) + len(y)) if x or y else 1.0
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def common_subsequence(x: str, y: str) -> int:
+    """Length of the longest common subsequence, by bit-parallel rows."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(x):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for ch in y:
+        u = row & at.get(ch, 0)
+        row = (row + u | row - u) & full
+    return len(x) - row.bit_count()
+
+
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of the sets of lower-case words."""
     x, y = (F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")) for c in (a, b))
@@ -92,17 +95,83 @@ def term_score(text: Column, terms: Sequence[str]) -> Column:
     return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda w: w.isin(*terms))) / F.size(words))
 
 
-def redacted(c: Column) -> Column:
-    """Mail addresses, long card or phone numbers, IPv4 addresses and long hexadecimal secrets as labels."""
-    for pattern, label in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"), (r"\b[0-9a-f]{32,}\b", "[SECRET]"), (r"\b\d{13,16}\b", "[CARD]"), (r"\+?\d[\d -]{8,}\d", "[PHONE]")):
+#: Patterns of personal data, and how sure a match is.
+PERSONAL = (
+    ("SSN", r"\b\d{3}-\d{2}-\d{4}\b", 0.99),
+    ("PASSPORT", r"\b[A-Z]{1,2}\d{7,9}\b", 0.85),
+    ("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 0.98),
+    ("PHONE", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b", 0.90),
+    ("PHONE_INTL", r"\+\d{1,3}[\s-]\d[\d\s\-]{6,14}\d", 0.85),
+    ("IP_V4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", 0.80),
+    ("IP_V6", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", 0.90),
+    ("CC", r"(?<!\d)(\d[ -]?){13,19}(?!\d)", 0.75),
+    ("NATIONAL_ID", r"\b[A-Z]{2}\d{6,10}\b", 0.60),
+)
+
+
+def redacted(c: Column, least: float = 0.80) -> Column:
+    """Personal data of the classes that are sure enough as [CLASS_REDACTED], the surest class first; JVM-side.
+
+    Where matches of two classes overlap, the surer one is replaced and the other is looked for in what is left;
+    personal_spans() resolves overlaps by position instead.
+    """
+    for kind, pattern, sure in sorted(PERSONAL, key=lambda p: -p[2]):
+        if sure >= least:
+            c = F.regexp_replace(c, pattern, f"[{kind}_REDACTED]")
+    return c
+
+
+@F.pandas_udf(ArrayType(StructType().add("kind", StringType()).add("start", IntegerType()).add("stop", IntegerType()).add("confidence", DoubleType())))
+def personal_spans(texts: pd.Series) -> pd.Series:
+    """Matches of 0.80 and more from left to right; of those that overlap, the one that starts first, then the surest."""
+    import re
+
+    made = [(kind, re.compile(pattern), sure) for kind, pattern, sure in PERSONAL if sure >= 0.80]
+
+    def one(t: str | None) -> list[dict]:
+        found = sorted((m.start(), -sure, m.end(), kind) for kind, p, sure in made for m in p.finditer(t or ""))
+        out, end = [], 0
+        for start, unsure, stop, kind in found:
+            if start >= end:
+                out.append({"kind": kind, "start": start, "stop": stop, "confidence": -unsure})
+                end = stop
+        return out
+
+    return texts.map(one)
+
+
+#: What leaves the house is labelled in this order.
+EGRESS = (
+    (r"\b(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,4}\b", "[CARD_REDACTED]"),
+    (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN_REDACTED]"),
+    (r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[PHONE_REDACTED]"),
+    (r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "[EMAIL_REDACTED]"),
+)
+
+
+def egress(c: Column) -> Column:
+    """Cards, social security and phone numbers and mail addresses as labels."""
+    for pattern, label in EGRESS:
         c = F.regexp_replace(c, pattern, label)
     return c
 
 
+#: Phrases that try to take over a prompt.
+INJECTIONS = (
+    r"ignore\s+(previous|above|all)\s+instructions?",
+    r"disregard\s+(previous|above|all)\s+instructions?",
+    r"forget\s+(previous|above|all)\s+instructions?",
+    r"system\s+prompt",
+    r"reveal\s+(the\s+)?prompt",
+    r"show\s+(me\s+)?(the\s+)?prompt",
+    r"repeat\s+(the\s+)?instructions?",
+)
+
+
 def guarded(c: Column) -> Column:
     """Phrases that try to take over a prompt as [FILTERED]."""
-    for pattern in (r"(?i)ignore (all )?(previous|prior) instructions", r"(?i)you are now", r"(?i)system prompt", r"(?i)disregard .{0,20}rules"):
-        c = F.regexp_replace(c, pattern, "[FILTERED]")
+    for pattern in INJECTIONS:
+        c = F.regexp_replace(c, f"(?i){pattern}", "[FILTERED]")
     return c
 
 
@@ -139,17 +208,36 @@ def chapters_of(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(parts, span)))
 
 
-#: Ordered rules of a question's kind: the first list of which a word occurs wins.
-KINDS = (("comparison", ("compare", "versus", "difference")), ("multi_hop", ("related", "connected", "path")), ("temporal", ("when", "before", "after")), ("global", ("overall", "summary", "themes")))
+#: Ordered rules of a question's kind; the first of which a phrase occurs wins.
+KINDS = (
+    ("contradiction", ("conflict", "contradict", "disagree", "match")),
+    ("multi_hop", ("regulatory path", "regulatory hierarchy", "full compliance story", "full supersession chain", "airlines are affected", "operators are affected")),
+    ("relational", ("how does", "connected", "relationship", "between")),
+    ("multi_hop", ("across", "multiple", "compare", "steps", "chain")),
+    ("negative", ("is there", "any evidence")),
+)
+#: How a kind is answered: mode, rows, and what to do where that fails.
+PLANS = {"factoid": ("local", 5, "hybrid"), "relational": ("hybrid", 8, "agentic"), "contradiction": ("hybrid", 8, "review"), "multi_hop": ("global", 10, "agentic"), "negative": ("hybrid", 10, "review")}
 
 
 def query_kind(c: Column) -> Column:
-    out = F.lit("factual")
-    for kind, words in reversed(KINDS):
-        out = F.when(F.lower(c).rlike(rf"\b({'|'.join(words)})\b"), kind).otherwise(out)
+    """contradiction, multi_hop, relational, negative or factoid; phrases are looked for anywhere, also inside words."""
+    t, out = F.lower(c), F.lit("factoid")
+    for kind, phrases in reversed(KINDS):
+        any_of = F.lit(False)
+        for p in phrases:
+            any_of = any_of | t.contains(p)
+        out = F.when(any_of, kind).otherwise(out)
     return out
 
 
+def query_plan(c: Column) -> Column:
+    """struct(kind, mode, top_k, fallback) of a question."""
+    kind = query_kind(c)
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, p in PLANS.items() for x in (k, p[i])]), kind)
+    return F.struct(kind.alias("kind"), pick(0).alias("mode"), pick(1).alias("top_k"), pick(2).alias("fallback"))
+
+
 #: Openings count as near from this ratio on.
 NEAR = 0.85
 
@@ -196,40 +284,99 @@ def opening_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def cross_score(text: Column, question: str) -> Column:
-    """A stand-in for a cross-encoder: 0.5 for the phrase, 0.1 a term, 0.05 for each pair of neighbouring terms; 0.8 of it
-    for texts of more than 1000 characters; 1 at most."""
-    t, terms = F.lower(text), question.lower().split()
+    """A stand-in for a cross-encoder: 0.5 for the phrase; for each term that occurs 0.1, and 0.05 for each of its
+    neighbours in the question that occurs, too; 0.8 of it for texts of under 20 or over 500 words; 1 at most. Null is empty."""
+    t, terms = F.lower(F.coalesce(text, F.lit(""))), question.lower().split()
     score = F.when(t.contains(question.lower()), 0.5).otherwise(0.0)
-    for w in terms:
-        score = score + F.when(t.contains(w), 0.1).otherwise(0.0)
-    for a, b in zip(terms[:-1], terms[1:], strict=True):
-        score = score + F.when(t.contains(f"{a} {b}"), 0.05).otherwise(0.0)
-    return F.least(F.lit(1.0), score * F.when(F.length(text) > 1000, 0.8).otherwise(1.0))
+    has = [t.contains(w) for w in terms]
+    for i in range(len(terms)):
+        near = F.lit(0.0)
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(terms):
+                near = near + F.when(has[j], 0.05).otherwise(0.0)
+        score = score + F.when(has[i], 0.1 + near).otherwise(0.0)
+    n = F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+"))
+    return F.least(F.lit(1.0), score * F.when((n < 20) | (n > 500), 0.8).otherwise(1.0))
+
+
+#: How a text cites.
+CITED = (r"\[Source:([^\]]+)\]", r"\(Document ([^\)]+)\)", r"according to ([^,\.]+)", r"as mentioned in ([^,\.]+)", r"per ([^,\.'\"]+)'s")
+#: Marks of document ids, and titles of people.
+DOC_MARKS, TITLES = ("DOC-", "MED-", "LAB-"), ("Dr.", "Doctor", "Nurse", "Prof.")
 
 
 def citations(c: Column) -> Column:
-    """Bracketed numbers and [source: name] marks."""
-    return F.array_distinct(F.concat(F.regexp_extract_all(c, F.lit(r"\[(\d+)\]"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"\[source: ([^\]]+)\]"), F.lit(1))))
+    """What a text cites, pattern by pattern; a citation that is made twice is listed twice."""
+    found = F.concat(*[F.regexp_extract_all(c, F.lit(f"(?i){p}"), F.lit(1)) for p in CITED])
+    return F.transform(found, lambda x: F.trim(x))
+
+
+def citation_state(cited: Column, known: Column, sources: Column) -> Column:
+    """verified, unverified, fake_doc or fake_person: ids must stand in the sources' text or be ``known`` ids, people must be
+    named in it, anything else must occur in it in any case."""
+
+    def one_of(marks: Sequence[str]) -> Column:
+        out = F.lit(False)
+        for m in marks:
+            out = out | cited.contains(m)
+        return out
 
+    doc = F.when(sources.contains(cited) | F.array_contains(known, cited), "verified").otherwise("fake_doc")
+    person = F.when(sources.contains(cited), "verified").otherwise("fake_person")
+    other = F.when(F.lower(sources).contains(F.lower(cited)), "verified").otherwise("unverified")
+    return F.when(one_of(DOC_MARKS), doc).when(one_of(TITLES), person).otherwise(other)
+
+
+#: A heading line is a Markdown heading, a numbered title, or a title in capitals.
+HEADING = r"^(#{1,6}\s+.+|\d{1,2}\.\s+[A-Z][A-Z0-9 &/,'\"().-]{1,60}|[A-Z][A-Z0-9 &/,'\"()—-]{1,68}:?)\s*$"
+
+
+def parts_of(text: str, size: int, overlap: int, marks: Sequence[str] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """Pieces of at most ``size`` characters, cut at the coarsest of the marks that a text has; finer marks only inside a
+    part that is too long. A piece begins with the last parts of the one before, up to ``overlap`` characters."""
+    mark = next(m for m in marks if m in text)
+    rest = marks[marks.index(mark) + 1 :]
+    units: list[str] = []
+    for u in text.split(mark) if mark else list(text):
+        units += parts_of(u, size, overlap, rest) if len(u) > size and rest else [u] if u else []
+    out, held = [], []
+    length = lambda us: sum(map(len, us)) + len(mark) * max(0, len(us) - 1)
+    for u in units:
+        if held and length([*held, u]) > size:
+            out.append(mark.join(held).strip())
+            while held and (length(held) > overlap or length([*held, u]) > size):
+                held.pop(0)
+        held.append(u)
+    return [p for p in [*out, mark.join(held).strip()] if p]
+
+
+def section_chunks(df, key: str, text: str, label: Column, size: int = 512, overlap: int = 64, soft: float = 1.6):
+    """(key, chunk, heading, body): sections begin at heading lines (what is before the first has none); one of more than
+    ``soft * size`` characters is cut into parts that each begin with its heading; ``[label]`` stands before every chunk.
+    Null and blank texts have no chunk. Chunks count from 0."""
+    import re
 
-def citation_state(cited: Column, known: Column, text: Column) -> Column:
-    """verified: known and named in the text; unverified: known only; fake: not known."""
-    return F.when(~F.array_contains(known, cited), "fake").when(text.contains(cited), "verified").otherwise("unverified")
+    head, most = re.compile(HEADING), soft * size
 
+    @F.pandas_udf("array<struct<heading:string,body:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict]:
+            sections, out = [("", [])], []
+            for line in (t or "").split("\n"):
+                if head.match(line):
+                    sections.append((line.strip(), []))
+                sections[-1][1].append(line)
+            for heading, lines in sections:
+                body = "\n".join(lines).strip()
+                if body:
+                    for p in [body] if len(body) <= most else parts_of(body, size, overlap):
+                        out.append({"heading": heading, "body": p if not heading or p.startswith(heading) else f"{heading}\n\n{p}"})
+            return out
 
-def section_chunks(df, key: str, text: str, soft: int = 1200, size: int = 512, overlap: int = 64):
-    """(key, chunk, heading, body): a text cut at its heading lines (#, or numbered); sections longer than ``soft`` are cut into
-    pieces of ``size`` characters that share ``overlap``; each piece carries its heading."""
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("_i", "_l"))
-    from pyspark.sql.window import Window
+        return texts.map(one)
 
-    head = F.col("_l").rlike(r"^(#+ |\d+(\.\d+)*\.? +\S)")
-    w = Window.partitionBy(key).orderBy("_i")
-    s = lines.withColumn("_s", F.sum(head.cast("int")).over(w))
-    per = s.groupBy(key, "_s").agg(F.first(F.when(head, F.col("_l")), ignorenulls=True).alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_l"))), lambda x: x["_l"]), "\n").alias("_b"))
-    pieces = F.when(F.length("_b") > soft, fixed_chunks(F.col("_b"), size, overlap)).otherwise(F.array("_b"))
-    out = per.select(key, "_s", "heading", F.posexplode(pieces).alias("_p", "body"))
-    return out.select(key, F.row_number().over(Window.partitionBy(key).orderBy("_s", "_p")).alias("chunk"), F.coalesce("heading", F.lit("")).alias("heading"), "body")
+    out = df.select(key, label.alias("_label"), F.posexplode(cut(F.col(text))).alias("chunk", "_c"))
+    return out.select(key, "chunk", "_c.heading", F.concat(F.lit("["), F.coalesce("_label", F.lit("")), F.lit("]\n\n"), F.col("_c.body")).alias("body"))
 
 
 #: Frequent short words of four languages.
@@ -255,9 +402,14 @@ def cache_key(question: Column, *settings: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", F.trim(F.regexp_replace(F.lower(question), r"\s+", " ")), *settings), 256)
 
 
-def read_only(statement: str) -> bool:
-    """Whether a statement only reads: one SELECT or WITH, no writing or calling words, no second statement."""
-    import re
+#: Forms of a reading query, and words that no reading query has.
+READS = ("SELECT", "ASK", "CONSTRUCT", "DESCRIBE")
+WRITES = ("SERVICE", "LOAD", "INSERT", "DELETE", "CLEAR", "DROP", "CREATE", "ADD", "MOVE", "COPY")
+
 
-    s = re.sub(r"'[^']*'|--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S).strip().rstrip(";")
-    return bool(re.match(r"(?i)(select|with)\b", s)) and not re.search(r"(?i);|\b(insert|update|delete|merge|drop|create|alter|truncate|call|service|load)\b", s)
+def read_only(c: Column) -> Column:
+    """Whether a graph query only reads, and only here: it has a reading form and none of the words that write or call
+    another server. Comments and literals don't count. Null reads nothing: false."""
+    bare = F.upper(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"#[^\n]*", ""), r""" "(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*' """.strip(), '""'))
+    word = lambda ws: rf"\b({'|'.join(ws)})\b"
+    return bare.rlike(word(READS)) & ~bare.rlike(word(WRITES))

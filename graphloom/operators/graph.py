@@ -1,12 +1,11 @@
 """Graph operators over edge tables (src, rel, tgt, confidence).
 
-Loops run on the driver and move no rows there; each round is written to the checkpoint folder, so that plans stay
-short and lost executors cost one round.
+Loops run on the driver and move no rows there; each round is written to the shared folder, so that plans stay short
+and lost executors cost one round.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,17 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.operators.aggregates import noisy_or
+from graphloom.session import written
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in spark.checkpoint.dir; only a session without one gets a local folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc.getConf().get("spark.checkpoint.dir")
-        if not found and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+#: Written tables in place of checkpoints: a checkpoint keeps the size estimate of its plan, which self-joins square each round.
+cut = written
 
 
 def merged_edges(evidence: DataFrame) -> DataFrame:
@@ -173,11 +166,12 @@ def fixpoint(edges: DataFrame, rules: Sequence, most: int = 5) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, age_days: Column, half_life: float, least: float) -> DataFrame:
-    """(u, v, weight): decayed confidence, over ``least``, times the hub penalty min(1, 1 / log1p(degree)) of both ends, both ways."""
-    d = edges.select("src", "tgt", (F.col("confidence") * F.exp(-F.log(F.lit(2.0)) / half_life * age_days)).alias("w")).where(F.col("w") >= least)
-    s = both_ways(d, "w").groupBy("u", "v").agg(F.max("w").alias("w"))
-    deg = s.groupBy("u").agg(F.least(F.lit(1.0), 1 / F.log1p(F.count("*"))).alias("p"))
-    return s.join(deg, "u").join(deg.select(F.col("u").alias("v"), F.col("p").alias("q")), "v").select("u", "v", (F.col("w") * F.col("p") * F.col("q")).alias("weight"))
+    """(u, v, weight), both ways: edges (src, tgt, confidence, weight) whose decayed confidence is at least ``least``; of
+    several the greatest weight, times the smaller hub penalty 1 / log1p(degree) of its ends."""
+    decayed = F.col("confidence") * F.exp(-F.log(F.lit(2.0)) / half_life * age_days)
+    s = both_ways(edges.where((decayed >= least) & (F.col("src") != F.col("tgt"))), "weight").groupBy("u", "v").agg(F.max("weight").alias("w"))
+    deg = s.groupBy("u").agg((1 / F.log1p(F.count("*"))).alias("p"))
+    return s.join(deg, "u").join(deg.select(F.col("u").alias("v"), F.col("p").alias("q")), "v").select("u", "v", (F.col("w") * F.least("p", "q")).alias("weight"))
 
 
 def gcn_layer(adj: DataFrame, x: DataFrame, relu: bool = True) -> DataFrame:
@@ -295,18 +289,39 @@ def _moves(e: DataFrame, resolution: float, rounds: int) -> DataFrame:
     return label.select("node", F.col("c").alias("community"))
 
 
+def _refined(e: DataFrame, member: DataFrame) -> DataFrame:
+    """(node, community): a community whose nodes aren't all joined inside it falls into its connected parts, each named by
+    its smallest node. A split never lowers modularity: no edge is lost, and the degrees' squares get smaller."""
+    a, b = member.select(F.col("node").alias("u"), F.col("community").alias("cu")), member.select(F.col("node").alias("v"), F.col("community").alias("cv"))
+    inside = e.where("u <> v").join(a, "u").join(b, "v").where("cu = cv").select(F.col("u").alias("src"), F.col("v").alias("tgt"))
+    part = connected_components(inside)
+    return member.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
+
+
 def community_hierarchy(edges: DataFrame, levels: int = 3, resolution: float = 1.0, least: int = 1, rounds: int = 12) -> DataFrame:
     """(node, level, community) of an undirected graph (src, tgt, weight): communities of one level are the nodes of the
-    next, with half of its resolution. A community is named by one of its nodes; smaller ones than ``least`` are left out."""
+    next, with half of its resolution. Moves are refined, so that each community hangs together. A community is named by one
+    of its nodes; smaller ones than ``least`` are left out."""
     e = cut(edges.where("src <> tgt").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight").groupBy("src", "tgt").agg(F.sum("weight").alias("w")))
     e = cut(both_ways(e, "w"))
     member, out = None, None
     for level in range(levels):
-        found = _moves(e, resolution * 0.5**level, rounds)
+        found = cut(_refined(e, cut(_moves(e, resolution * 0.5**level, rounds))))
         member = cut(found if member is None else member.join(found.select(F.col("node").alias("community"), F.col("community").alias("up")), "community").select("node", F.col("up").alias("community")))
         out = member.withColumn("level", F.lit(level)) if out is None else out.unionByName(member.withColumn("level", F.lit(level)))
-        a, b = found.select(F.col("node").alias("u"), F.col("community").alias("cu")), found.select(F.col("node").alias("v"), F.col("community").alias("cv"))
-        # edges inside a community become a loop, which keeps its weight in the degrees
-        e = cut(e.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+        if level + 1 < levels:
+            a, b = found.select(F.col("node").alias("u"), F.col("community").alias("cu")), found.select(F.col("node").alias("v"), F.col("community").alias("cv"))
+            # edges inside a community become a loop, which keeps its weight in the degrees
+            e = cut(e.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
     big = out.groupBy("level", "community").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("level", "community")
     return out.join(big, ["level", "community"]).select("node", "level", "community")
+
+
+def blended(chunks: DataFrame, links: DataFrame, alpha: float = 0.7, beta: float = 0.3, unnamed: tuple[str, ...] = ("LOCATION",)) -> DataFrame:
+    """(item, gnn, final, label): alpha * text + beta * max(0, best similarity of a linked entity); the label is the most
+    similar entity, of a kind in ``unnamed`` only where there is no other. chunks: item, text; links: item, entity, kind,
+    similarity. An item without links has no label and no graph score."""
+    named = F.col("kind").isNull() | ~F.col("kind").isin(*unnamed)
+    best = links.groupBy("item").agg(F.max("similarity").alias("_s"), F.max_by("entity", F.struct(named, "similarity", "entity")).alias("label"))
+    gnn = F.greatest(F.lit(0.0), F.coalesce("_s", F.lit(0.0)))
+    return chunks.join(best, "item", "left").select("item", gnn.alias("gnn"), (alpha * F.col("text") + beta * gnn).alias("final"), "label")

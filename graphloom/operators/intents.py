@@ -30,3 +30,30 @@ def answer(question: str, relations: DataFrame) -> DataFrame:
         if re.search(pattern, question, re.I):
             return plan(relations, limit)
     raise ValueError("the question matches no intent")
+
+
+#: The intents that can be asked for, what each needs, and whether a classifier may choose it (aliases it may not).
+CATALOGUE = (
+    ("account-objections", ("opportunity_id",), True),
+    ("open-commitments", ("opportunity_id",), True),
+    ("call-briefing", (), True),
+    ("open-conflicts", ("opportunity_id",), True),
+    ("missing-stakeholders", ("opportunity_id",), True),
+    ("whats-new", ("subject_id", "since"), True),
+    ("as-of", ("subject_id", "as_of"), True),
+    ("recommend-content", ("opportunity_id", "buyer_contact_id"), True),
+    ("content-effectiveness", ("opportunity_id",), True),
+    ("top-objections", ("seller_id",), True),
+    ("opportunity-conflicts", ("opportunity_id",), False),
+    ("buying-committee", ("opportunity_id",), False),
+)
+
+
+def dispatched(asked: DataFrame, sure: float = 0.5) -> DataFrame:
+    """``asked`` (intent, confidence, given: names of parameters) with ``outcome``: the intent that runs, or why it is refused: it isn't
+    in the catalogue, the classifier isn't sure (or says nothing), or a parameter is missing."""
+    known = asked.sparkSession.createDataFrame([(i, list(n)) for i, n, shown in CATALOGUE if shown], "intent string, _needs array<string>")
+    j = asked.join(F.broadcast(known), "intent", "left")
+    short = F.size(F.array_except("_needs", F.coalesce("given", F.array().cast("array<string>")))) > 0
+    outcome = F.when(F.col("_needs").isNull(), "refused: unknown intent").when(F.coalesce("confidence", F.lit(0.0)) < sure, "refused: not sure").when(short, "refused: parameters missing").otherwise(F.col("intent"))
+    return j.withColumn("outcome", outcome).drop("_needs")

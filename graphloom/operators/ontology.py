@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import cut, descendants
+from graphloom.operators.graph import connected_components, cut, descendants
 
 
 def closure(tree: DataFrame, depth: int = 10) -> DataFrame:
@@ -58,52 +58,200 @@ def constraint_violations(values: DataFrame, rules: DataFrame) -> DataFrame:
     return few.unionByName(other)
 
 
-def translations(edges: DataFrame, vectors: DataFrame, rel: str = "rel") -> DataFrame:
-    """(rel, vector): the translation that takes heads to tails best in the mean square, which is the mean of t - h.
+def translations(edges: DataFrame, vectors: DataFrame, dims: int, epochs: int = 12, rate: float = 0.5, margin: float = 1.0, negatives: int = 5, pool: int = 4096, seed: int = 42) -> DataFrame:
+    """(rel, vector): for each relation a unit vector that takes heads to tails, by margin ranking; the nodes' vectors stay.
 
-    edges: src, rel, tgt. vectors: node, vector. Sums are made by dimension, so nothing is gathered.
+    An epoch draws ``negatives`` false edges for each edge, with the head or the tail changed for one of ``pool`` nodes (the
+    first by a hash; all, if there are fewer), and goes one step against the mean gradient of those whose distance isn't
+    greater by ``margin``. edges: src, tgt, rel; vectors: node, vector. Relations start from the unit vectors of their
+    upper-case names; one that never errs keeps its own.
     """
+    from graphloom.functions.vectors import seeded_unit
+
     h, t = vectors.select(F.col("node").alias("src"), F.col("vector").alias("h")), vectors.select(F.col("node").alias("tgt"), F.col("vector").alias("t"))
-    d = edges.select("src", rel, "tgt").join(h, "src").join(t, "tgt").select(rel, F.posexplode(F.zip_with("t", "h", lambda a, b: a - b)).alias("i", "x"))
-    m = d.groupBy(rel, "i").agg(F.avg("x").alias("x"))
-    return m.groupBy(rel).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("vector"))
+    e = cut(edges.select("src", F.upper("rel").alias("rel"), "tgt").join(h, "src").join(t, "tgt"))
+    from pyspark.sql.window import Window
+
+    first = vectors.select("node", "vector").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(pool)  # at most ``pool`` rows
+    drawn = cut(first.select((F.row_number().over(Window.orderBy(F.xxhash64("node", F.lit(seed)), "node")) - 1).alias("at"), F.col("vector").alias("x")))
+    n = drawn.count()
+    rels = cut(e.select("rel").distinct().select("rel", seeded_unit(dims)("rel").alias("r")))
+    for epoch in range(epochs if n else 0):
+        draw = lambda what, epoch=epoch: F.xxhash64("src", "rel", "tgt", "k", F.lit(f"{what}-{epoch}-{seed}"))
+        s = e.join(F.broadcast(rels), "rel").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(negatives))))
+        s = s.withColumn("at", F.pmod(draw("node"), F.lit(n)).cast("int")).withColumn("head", F.pmod(draw("side"), F.lit(2)) == 0).join(F.broadcast(drawn), "at")
+        offset = lambda a, b: F.transform(F.arrays_zip(a.alias("a"), F.col("r").alias("r"), b.alias("b")), lambda z: z["a"] + z["r"] - z["b"])
+        size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)) + 1e-8
+        s = s.withColumn("pos", offset(F.col("h"), F.col("t"))).withColumn("neg", F.when(F.col("head"), offset(F.col("x"), F.col("t"))).otherwise(offset(F.col("h"), F.col("x"))))
+        s = s.withColumn("dp", size(F.col("pos"))).withColumn("dn", size(F.col("neg"))).where(F.col("dp") + margin > F.col("dn"))
+        g = s.select("rel", F.posexplode(F.zip_with(F.transform("pos", lambda x: x / F.col("dp")), F.transform("neg", lambda x: x / F.col("dn")), lambda a, b: a - b)).alias("i", "g")).groupBy("rel", "i").agg(F.avg("g").alias("g"))
+        g = g.groupBy("rel").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda z: z["g"]).alias("g"))
+        moved = rels.join(F.broadcast(g), "rel", "left").select("rel", F.coalesce(F.zip_with("r", "g", lambda a, b: a - rate * b), "r").alias("r"))
+        rels = cut(moved.select("rel", F.transform("r", lambda x: x / size(F.col("r"))).alias("r")))
+    return rels.select("rel", F.col("r").alias("vector"))
+
+
+def density_groups(vectors: DataFrame, node: str, vector: str, least: int = 5, levels: int = 12, near: int = 16) -> DataFrame:
+    """(node, community): clusters of at least ``least`` unit vectors by density, named by their smallest node; null is noise.
+
+    Two vectors are joined at a distance when they and both their cores (the distance to the ``least``-th vector, itself
+    counted) are within it. Components at ``levels`` distances (quantiles of the cores) make a tree; along it a cluster has
+    as much stability as its vectors times the range of 1 / distance it lives through, and the clusters of most stability
+    that don't contain each other are taken, never the root of all. Neighbours are the ``near`` nearest by approximate
+    search. Fewer than 10 vectors are all noise. Null vectors take no part.
+    """
+    x = cut(vectors.where(F.col(vector).isNotNull()).select(F.col(node).cast("long").alias("node"), F.col(vector).alias("v")))
+    none = x.select("node", F.lit(None).cast("long").alias("community"))
+    if x.limit(10).count() < 10:
+        return none
+    pairs = cut(ann_search(x, x, near, id_col="node", vector="v").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("d")))
+    from pyspark.sql.window import Window
 
+    r = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    core = cut(pairs.withColumn("r", r).where(F.col("r") == least - 1).select(F.col("a").alias("node"), F.col("d").alias("core")))
+    reach = pairs.join(core.select(F.col("node").alias("a"), F.col("core").alias("ca")), "a").join(core.select(F.col("node").alias("b"), F.col("core").alias("cb")), "b").select(F.col("a").alias("src"), F.col("b").alias("tgt"), F.greatest("d", "ca", "cb").alias("reach"))
+    reach = cut(reach)
+    steps = core.agg(F.percentile_approx("core", [i / levels for i in range(1, levels + 1)], 100_000).alias("q")).head()[0] or []
+    steps = sorted({s for s in steps if s is not None})
+    below, found = None, None
+    for i, eps in enumerate(steps):
+        # chain: stability since the cluster's last split; split: most stability of clusters under that split
+        part = connected_components(reach.where(F.col("reach") <= eps)).withColumnRenamed("component", "c")
+        size = part.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        lives = 1 / max(eps, 1e-9) - (1 / max(steps[i + 1], 1e-9) if i + 1 < len(steps) else 0.0)
+        member = cut(part.join(size, "c").select("node", "c", "n"))
+        now = size.select("c", (F.col("n") * lives).alias("own"))
+        if below is None:
+            tree = now.select("c", F.col("own").alias("chain"), F.lit(0.0).alias("split"), F.lit(i).alias("born"))
+        else:
+            up = below.join(member.select(F.col("node").alias("c0"), F.col("c").alias("up")), "c0")
+            kids = up.groupBy(F.col("up").alias("c")).agg(F.count("*").alias("kids"), F.first("chain").alias("k_chain"), F.first("split").alias("k_split"), F.first("born").alias("k_born"), F.sum(F.greatest("chain", "split")).alias("best"))
+            j = now.join(kids, "c", "left")
+            one = F.col("kids") == 1
+            tree = j.select("c", F.when(one, F.col("own") + F.col("k_chain")).otherwise(F.col("own")).alias("chain"), F.when(one, F.col("k_split")).otherwise(F.coalesce("best", F.lit(0.0))).alias("split"), F.when(one, F.col("k_born")).otherwise(F.lit(i)).alias("born"))
+        tree = cut(tree.withColumn("level", F.lit(i)))
+        found = tree.join(member, "c").select("node", "level", "c", "born", (F.col("chain") >= F.col("split")).alias("good")) if found is None else found.unionByName(tree.join(member, "c").select("node", "level", "c", "born", (F.col("chain") >= F.col("split")).alias("good")))
+        # a cluster is named by its smallest node, which is in it at every later level
+        below = tree.select(F.col("c").alias("c0"), "chain", "split", "born")
+    if found is None:
+        return none
+    last = found.where(F.col("level") == len(steps) - 1)
+    if last.select("c").distinct().limit(2).count() == 1:  # the root of all is no cluster
+        found = found.join(last.select(F.col("born").alias("root")).distinct().crossJoin(last.select(F.col("c").alias("rc")).distinct()), F.lit(True)).where("level < root").drop("root", "rc")
+    best = found.where("good").groupBy("node").agg(F.max_by("c", "level").alias("community"))
+    return x.select("node").join(best, "node", "left")
 
-def kmeans_groups(vectors: DataFrame, node: str, vector: str, groups: int, seed: int = 42) -> DataFrame:
-    """(node, community) by bisecting k-means over unit vectors; stands in for density clustering."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
 
-    from graphloom.operators.retrieval import unit
+#: Rows that an index is fitted on, and vectors of a cell that meet in one task.
+FITTED, CELL = 20_000, 4096
 
-    x = vectors.select(node, array_to_vector(unit(F.col(vector))).alias("features"))
-    return BisectingKMeans(k=groups, seed=seed).fit(x).transform(x).select(F.col(node).alias("node"), F.col("prediction").alias("community"))
 
+def fitted_cells(corpus: DataFrame, k: int, recall: float, id_col: str, vector: str, seed: int) -> tuple[np.ndarray, int]:
+    """(centroids, cells to probe), from at most about FITTED rows drawn by a hash of the id: k-means of unit vectors, and as many of
+    the nearest cells as hold ``recall`` of the k nearest rows of the sample for 500 of them. In the whole table the k nearest are
+    nearer than in a sample, so they are in no more cells."""
+    n = max(1, corpus.count())
+    share = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) < int(min(1.0, FITTED / n) * (1 << 40))
+    rows = corpus.where(share).select(F.col(vector).cast("array<double>").alias("v"), F.col(id_col).alias("i")).orderBy("i").limit(2 * FITTED).collect()
+    if not rows:
+        return np.empty((0, 0)), 0
+    x = np.array([r.v for r in rows])
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    rng = np.random.default_rng(seed)
+    cells = min(len(x), max(1, min(1024, int(2 * n**0.5))))
+    c = x[rng.choice(len(x), cells, replace=False)]
+    for _ in range(8):
+        own = (x @ c.T).argmax(axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        norm = np.sqrt((total * total).sum(axis=1, keepdims=True))
+        c = np.where(norm > 0, total / np.where(norm > 0, norm, 1), c)
+    own, asked = (x @ c.T).argmax(axis=1), rng.choice(len(x), min(500, len(x)), replace=False)
+    sim = x[asked] @ x.T
+    sim[np.arange(len(asked)), asked] = -np.inf
+    near = np.argsort(-sim, axis=1)[:, : min(k, len(x) - 1)]
+    place = np.argsort(np.argsort(-(x[asked] @ c.T), axis=1), axis=1)
+    depth = np.sort(place[np.arange(len(asked))[:, None], own[near]].ravel())
+    return c, int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1 if len(depth) else 1
 
-def ann_search(queries: DataFrame, corpus: DataFrame, k: int, bits: int = 6, tables: int = 12, id_col: str = "vec_id", vector: str = "embedding", seed: int = 7) -> DataFrame:
-    """(query_id, vec_id, score): approximate neighbours by cosine, from random-hyperplane buckets of several tables, then exact scores.
 
-    Every row of the corpus is in a bucket of each table; recall is measured in the tests.
+def ann_search(queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", seed: int = 7) -> DataFrame:
+    """(query_id, vec_id, score): approximate neighbours by cosine, never itself: every row of the corpus lies in the cell of its
+    nearest centroid, a query looks into so many of its nearest cells as ``recall`` needs by a sample, and scores are exact.
+
+    Cells meet their queries in a shuffle; a cell of more than CELL rows is dealt over several tasks. Null vectors take no part.
     """
-    from graphloom.operators.retrieval import dot, ranked, unit
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
-        for b in batches:
-            x = np.array(b.column(1).to_pylist(), np.float64)
-            if not len(x):
-                continue
-            if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(x.shape[1], bits * tables))
-            s = (x @ planes > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.tolist(), pa.list_(pa.int64()))], ["id", "buckets"])
-
-    def placed(df: DataFrame) -> DataFrame:
-        slim = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        return slim.mapInArrow(signed, "id long, buckets array<bigint>").select("id", F.posexplode("buckets").alias("table", "bucket"))
-
-    q, c = placed(queries).withColumnRenamed("id", "query_id"), placed(corpus).withColumnRenamed("id", "vec_id")
-    near = q.join(c, ["table", "bucket"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
-    vec = lambda df, i, v: df.select(F.col(id_col).cast("long").alias(i), unit(F.col(vector)).alias(v))
-    scored = near.join(vec(corpus, "vec_id", "x"), "vec_id").join(vec(queries, "query_id", "y"), "query_id").select("query_id", "vec_id", F.round(dot(F.col("x"), F.col("y")), 9).alias("score"))
+    from graphloom.operators.retrieval import ranked
+
+    c, q = (cut(df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))) for df in (corpus, queries))
+    centroids, probes = fitted_cells(c, k, recall, "id", "v", seed)
+    none = "query_id long, vec_id long, score double"
+    if not probes:
+        return corpus.sparkSession.createDataFrame([], none)
+
+    def placed(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2048):
+                    b = whole.slice(at, 2048)
+                    x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+                    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+                    near = x @ centroids.T
+                    cells = near.argmax(axis=1)[:, None] if most == 1 else np.argpartition(-near, most - 1, axis=1)[:, :most]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(cells.tolist(), pa.list_(pa.int32()))], ["id", "v", "cells"])
+
+        return run
+
+    own = cut(c.mapInArrow(placed(1), "id long, v array<double>, cells array<int>").select("id", "v", F.col("cells")[0].alias("cell")))
+    size = own.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    rows = own.join(F.broadcast(size), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v")
+    asked = q.mapInArrow(placed(min(probes, len(centroids))), "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
+    asked = asked.join(F.broadcast(size), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if a.num_rows and b.num_rows:
+            ids, qs = b["id"].to_numpy(), a["id"].to_numpy()
+            y = np.array(b["v"].to_pylist())
+            for at in range(0, len(qs), 1024):
+                sim = np.round(np.array(a["v"].slice(at, 1024).to_pylist()) @ y.T, 9)
+                sim[qs[at : at + 1024, None] == ids[None]] = -np.inf
+                m = min(k, len(ids))
+                kth = -np.partition(-sim, m - 1, axis=1)[:, m - 1]
+                r, col = np.nonzero((sim >= kth[:, None]) & (sim > -np.inf))
+                out.append((qs[at + r], ids[col], sim[r, col]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    scored = asked.groupBy("cell", "part").cogroup(rows.groupBy("cell", "part")).applyInArrow(best, none)
     return ranked(scored, "query_id", "score", "vec_id", k).drop("rank")
+
+
+#: Predicates that name a resource, the best first.
+NAMES = ("http://www.w3.org/2004/02/skos/core#prefLabel", "http://www.w3.org/2000/01/rdf-schema#label", "http://www.w3.org/2004/02/skos/core#altLabel")
+TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+
+
+def label_candidates(triples: DataFrame) -> DataFrame:
+    """(uri, label, hint): one candidate for each named resource: its best kind of label (the first by name), and the last
+    part of its type in capitals, CONCEPT where it has none. triples: s, p, o."""
+    order = F.when(F.col("p") == NAMES[0], 0).when(F.col("p") == NAMES[1], 1).when(F.col("p") == NAMES[2], 2)
+    named = triples.where(F.col("p").isin(*NAMES)).groupBy(F.col("s").alias("uri")).agg(F.min_by("o", F.struct(order, "o")).alias("label"))
+    typed = triples.where((F.col("p") == TYPE) & ~F.col("o").endswith("NamedIndividual")).groupBy(F.col("s").alias("uri")).agg(F.min("o").alias("_t"))
+    hint = F.upper(F.regexp_extract("_t", r"([^/#]+)/*$", 1))
+    return named.join(typed, "uri", "left").select("uri", "label", F.coalesce(hint, F.lit("CONCEPT")).alias("hint"))
+
+
+def relations_of(triples: DataFrame, entity: str) -> DataFrame:
+    """(s, p, o) of one entity, but for its types, labels and comments."""
+    return triples.where((F.col("s") == entity) & ~F.col("p").isin("type", "label", "comment")).select("s", "p", "o")
+
+
+def subclass_pairs(triples: DataFrame, root: str | None = None) -> DataFrame:
+    """(s, p, o) of subClassOf, only those right under ``root`` where one is given."""
+    pairs = triples.where(F.col("p") == "subClassOf")
+    return (pairs if root is None else pairs.where(F.col("o") == root)).select("s", "p", "o")
+
+
+def confident(edges: DataFrame, least: float) -> DataFrame:
+    """(s, p, o) of edges (src, rel, tgt, confidence) of at least this confidence."""
+    return edges.where(F.col("confidence") >= least).select(F.col("src").alias("s"), F.col("rel").alias("p"), F.col("tgt").alias("o"))

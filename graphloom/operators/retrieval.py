@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import text as T
+from graphloom.session import written as cut
 
 #: Queries that a k-nearest search broadcasts at once; more are taken block by block.
 QUERY_BLOCK = 20_000
@@ -75,20 +76,23 @@ def tokens(text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of every document that shares a term with a query.
+    """(query_id, doc_id, score) of every document that shares a term with a query. Null texts are empty.
 
-    Only terms of the queries are kept from the documents before anything is shuffled.
+    Only terms of the queries are kept from the documents before anything is shuffled; the counts of those are written
+    once and read for the document frequencies and for the scores.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).withColumn("len", F.size("t"))
-    q = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
-    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    terms = q.select("term").distinct()
-    tf = d.select("doc_id", "len", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    q = cut(queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("term")))
+    d = docs.select(F.col(doc_id).alias("doc_id"), tokens(body).alias("t"))
+    size = F.regexp_count(F.lower(body), F.lit(r"[\p{L}\p{N}]+"))  # as many as there are tokens
+    stats = docs.select(size.alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    tf = d.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    tf = cut(tf.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    s = tf.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return s.select("term", "doc_id", part.alias("part")).join(q, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    weight = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "mean")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    return tf.join(weight, "term").select("term", "doc_id", part.alias("part")).join(q, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
 def near_openings(docs: DataFrame) -> DataFrame:
@@ -146,3 +150,166 @@ def retrieval_metrics(got: DataFrame, gold: DataFrame, by: str, item: str, k: in
     j = got.where(F.col("place") <= k).join(gold.select(by, item).distinct(), [by, item]).groupBy(by).agg(F.count("*").alias("hits"), F.min("place").alias("first"))
     per = gold.select(by, item).distinct().groupBy(by).agg(F.count("*").alias("gold")).join(j, by, "left").fillna(0, ["hits"])
     return per.agg(F.round(F.avg((F.col("hits") > 0).cast("double")), 6).alias("hit_rate"), F.round(F.avg(F.col("hits") / k), 6).alias("prec"), F.round(F.avg(F.col("hits") / F.col("gold")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def reranked(pool: DataFrame, by: str, item: str, doc: str, k: int = 5, floor: int = 2, diverse: int = 3) -> DataFrame:
+    """(by, item, place): the ``k`` seeds of each query, place from 1. pool: by, item, doc, rank (of the fused list, from 0),
+    score (of a model), code (null, or the place of the document's code in the question).
+
+    1. The k best by score. 2. The ``floor`` first of the fused list come in before them, the weakest of the k give way.
+    3. The best of each of the first ``diverse`` documents of the fused list come first (if there are two or more), then the
+    others. 4. What the floor brought in moves to the front. 5. Of each document that the question names, the first in the
+    fused list that isn't a seed yet goes before all, a later code before an earlier one. Ties of scores go by fused rank.
+    """
+    q = Window.partitionBy(by)
+    row = lambda *order: F.row_number().over(q.orderBy(*order))
+    total = lambda c: F.sum(c.cast("int")).over(q)
+    p = pool.select(by, item, doc, "rank", "score", "code").withColumn("_rr", row(F.desc("score"), "rank") - 1).withColumn("_k", F.least(F.lit(k), F.count("*").over(q)))
+    p = p.withColumn("_floor", (F.col("rank") < floor) & (F.col("_rr") >= k)).withColumn("_n", total(F.col("_floor")))
+    p = p.withColumn("_in", F.col("_floor") | (F.col("_rr") < F.col("_k") - F.col("_n"))).withColumn("_pos", row(~F.col("_in"), ~F.col("_floor"), F.when(F.col("_floor"), F.col("rank")).otherwise(F.col("_rr"))))
+    p = p.withColumn("_first", F.col(doc).isNotNull() & (F.row_number().over(Window.partitionBy(by, doc).orderBy("rank")) == 1))
+    p = p.withColumn("_div", F.col("_first") & (F.sum(F.col("_first").cast("int")).over(q.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) <= diverse))
+    p = p.withColumn("_div", F.col("_div") & (total(F.col("_div")) > 1) & (F.col("_k") > 1) & F.lit(diverse > 1))
+    p = p.withColumn("_pos", row(F.when(F.col("_div"), 0).when(F.col("_in"), 1).otherwise(2), F.when(F.col("_div"), F.col("rank")).otherwise(F.col("_pos"))))
+    p = p.withColumn("_in", (F.col("_div") | F.col("_in")) & (F.col("_pos") <= F.col("_k"))).withColumn("_front", F.col("_floor") & F.col("_in"))
+    named = F.row_number().over(Window.partitionBy(by, "code").orderBy("_in", "rank"))
+    p = p.withColumn("_named", F.col("code").isNotNull() & ~F.col("_in") & (named == 1))
+    out = p.where("_in OR _named").withColumn("place", row(~F.col("_named"), F.desc(F.when(F.col("_named"), F.col("code"))), ~F.col("_front"), "_pos"))
+    return out.where(F.col("place") <= F.col("_k")).select(by, item, "place")
+
+
+def with_hops(seeds: DataFrame, edges: DataFrame, by: str, item: str) -> DataFrame:
+    """(by, item, text, via): seeds score 1 - (place - 1) / n; what an edge (src, tgt, score) leads to from a seed, and is none,
+    scores its best edge times 1 / n, so that it never beats a seed. ``via`` is the seed it was reached from (null: a seed)."""
+    n = F.count("*").over(Window.partitionBy(by))
+    s = seeds.select(by, item, "place", n.alias("_n"))
+    own = s.select(by, item, (1 - (F.col("place") - 1) / F.col("_n")).alias("text"), F.lit(None).cast(seeds.schema[item].dataType).alias("via"))
+    hop = s.join(edges.select(F.col("src").alias(item), "tgt", F.col("score").alias("_s")), item).groupBy(by, F.col("tgt").alias("_t"), "_n").agg(F.max("_s").alias("_s"), F.max_by(item, F.struct("_s", item)).alias("via"))
+    new = hop.join(s.select(by, F.col(item).alias("_t")), [by, "_t"], "left_anti").select(by, F.col("_t").alias(item), (F.col("_s") / F.col("_n")).alias("text"), "via")
+    return own.unionByName(new)
+
+
+def tiebroken(scored: DataFrame, by: str, item: str, least: float = 0.4, weight: float = 0.15, top: int = 5) -> DataFrame:
+    """(by, item, final, place): ranked by ``final``; where the best of a query is under ``least``, the ``top`` first get up to
+    ``weight`` more by their share of the greatest ``authority`` among them. scored: by, item, final, authority."""
+    q = Window.partitionBy(by)
+    s = scored.withColumn("_r", F.row_number().over(q.orderBy(F.desc("final"), item)))
+    most = F.max(F.when(F.col("_r") <= top, F.col("authority"))).over(q)
+    weak = F.max("final").over(q) < least
+    s = s.withColumn("_final", F.col("final") + F.when(weak & (F.col("_r") <= top) & (most > 0), weight * F.coalesce("authority", F.lit(0.0)) / most).otherwise(0.0))
+    order = F.row_number().over(q.orderBy(F.col("_r") > top, F.desc("_final"), item))
+    return s.select(by, item, F.col("_final").alias("final"), order.alias("place"))
+
+
+def community_search(queries: DataFrame, snapshots: DataFrame, k: int, tenant: str, valid_at: Column, known_at: Column) -> DataFrame:
+    """(query_id, vec_id, level, score, place): the k nearest communities of a tenant as their summaries stood: valid at one
+    moment and known at another, half-open intervals, null ends open. The filters come before the search, so that other
+    tenants' communities never crowd out its own. snapshots: vec_id, embedding, level, tenant, valid_from, valid_to,
+    known_from, known_to."""
+    from graphloom.operators.joins import visible
+
+    seen = snapshots.where(F.col("tenant") == tenant).where(visible("valid_from", "valid_to", valid_at) & visible("known_from", "known_to", known_at))
+    return knn(queries, seen, k).join(seen.select("vec_id", "level"), "vec_id").select("query_id", "vec_id", "level", "score", "place")
+
+
+def direct_context(found: DataFrame, by: str, community: str, summary: str, budget: int) -> DataFrame:
+    """(by, community, place, taken, part): summaries of each query's communities in their order under headers, until
+    ``budget`` characters are used, headers counted; the last is cut. Blank summaries are left out. found: by, community,
+    level, score, place, summary; a bounded number a query."""
+    f = found.withColumn("_t", F.trim(F.coalesce(F.col(summary), F.lit("")))).where("_t <> ''")
+    head = F.concat(F.lit("[Community "), F.col(community).cast("string"), F.lit(" | Level "), F.col("level").cast("string"), F.lit(" | Similarity "), F.format_string("%.3f", "score"), F.lit("]\n"))
+    f = f.withColumn("_h", head).withColumn("_n", F.length("_h") + F.length("_t"))
+    w = Window.partitionBy(by).orderBy("place")
+    left = budget - (F.sum("_n").over(w) - F.col("_n")) - F.length("_h")
+    return f.withColumn("taken", F.least(F.length("_t"), left).cast("int")).where("taken > 0").select(by, community, "place", "taken", F.concat("_h", F.substring("_t", F.lit(1), F.col("taken"))).alias("part"))
+
+
+def context(pool: DataFrame, by: str, item: str, text: str, k: int = 5, hops: int = 0, least: float = 0.3) -> DataFrame:
+    """(by, item, place): what goes into each query's context: by score, ties to the smaller item, an item once, and none whose
+    opening is near (0.85) that of one taken before; ``k`` of them. After these up to ``hops`` items that were reached by the
+    graph (``hop``) with a graph score of ``least``. pool: by, item, text, score, hop, graph; a bounded pool a query."""
+
+    def run(t: pa.Table) -> pa.Table:
+        import difflib
+
+        rows = sorted(zip(*(t[c].to_pylist() for c in (item, text, "score", "hop", "graph")), strict=True), key=lambda r: (-r[2], r[0]))
+        taken: list[tuple] = []
+        opening = lambda x: " ".join((x or "").lower().split())[:300]
+
+        def fresh(r: tuple) -> bool:
+            known = any(r[0] == i for i, _ in taken)
+            return not known and all(difflib.SequenceMatcher(None, opening(r[1]), o).ratio() < T.NEAR for _, o in taken)
+
+        for r in rows:
+            if len(taken) == k:
+                break
+            if fresh(r):
+                taken.append((r[0], opening(r[1])))
+        have = {i for i, _ in taken}
+        reached = sorted((r for r in rows if r[3] and (r[4] or 0) >= least and r[0] not in have), key=lambda r: (-r[2], r[0]))
+        for r in reached[:hops]:
+            if fresh(r):
+                taken.append((r[0], opening(r[1])))
+        return pa.table({by: pa.array([t[by][0].as_py()] * len(taken), t[by].type), item: pa.array([i for i, _ in taken], t[item].type), "place": pa.array(range(1, len(taken) + 1), pa.int64())})
+
+    kind = pool.schema
+    return pool.select(by, item, text, "score", "hop", "graph").groupBy(by).applyInArrow(run, f"{by} {kind[by].dataType.simpleString()}, {item} {kind[item].dataType.simpleString()}, place long")
+
+
+def ranking_metrics(ranked_items: DataFrame, relevant: DataFrame, by: str, item: str, k: int) -> DataFrame:
+    """(by, precision_at_k, recall_at_k, mrr) of each query of either table: hits over the items shown (0 for none), distinct hits
+    over the relevant ones (1 where there are none), and 1 over the place of the first hit. ranked_items: by, item, place."""
+    top = ranked_items.where(F.col("place") <= k).select(by, item, "place")
+    gold = relevant.select(by, item).distinct()
+    hit = top.join(gold.withColumn("_hit", F.lit(1)), [by, item], "left").groupBy(by).agg(F.count("*").alias("_shown"), F.count("_hit").alias("_hits"), F.count_distinct(F.when(F.col("_hit") == 1, F.col(item))).alias("_found"), F.min(F.when(F.col("_hit") == 1, F.col("place"))).alias("_first"))
+    j = hit.join(gold.groupBy(by).agg(F.count("*").alias("_gold")), by, "full_outer").fillna(0, ["_shown", "_hits", "_found", "_gold"])
+    share = lambda a, b, none: F.when(F.col(b) == 0, F.lit(none)).otherwise(F.col(a) / F.col(b))
+    return j.select(by, share("_hits", "_shown", 0.0).alias("precision_at_k"), share("_found", "_gold", 1.0).alias("recall_at_k"), F.coalesce(1 / F.col("_first"), F.lit(0.0)).alias("mrr"))
+
+
+def sparse_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): the k largest inner products of sparse vectors (query_id / doc_id, dim, w), never with itself,
+    ties to the smaller doc_id. Queries are packed as one map each in blocks of QUERY_BLOCK, and every document, packed as
+    well, meets a block once: no row is made for a shared dimension, and each batch keeps its k best a query."""
+    q = cut(queries.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.collect_list(F.struct("dim", "w")).alias("v")))
+    blocks = -(-max(1, q.count()) // QUERY_BLOCK)
+    packed, out = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct("dim", "w")).alias("v")), None
+    for b in range(blocks):
+        part = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()  # at most about QUERY_BLOCK vectors
+        dims = sorted({x["dim"] for r in part for x in r.v})
+        at = {x: i for i, x in enumerate(dims)}
+        shared = docs.sparkSession.sparkContext.broadcast(([r.query_id for r in part], [[(at[x["dim"]], x["w"]) for x in r.v] for r in part], at))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vectors, at = shared.value
+            if not ids:
+                return
+            # a posting list for each dimension of the queries
+            posting: list[tuple[list, list]] = [([], []) for _ in at]
+            for i, v in enumerate(vectors):
+                for j, w in v:
+                    posting[j][0].append(i)
+                    posting[j][1].append(w)
+            lists, ids = [(np.array(i), np.array(w)) for i, w in posting], np.array(ids)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 256):
+                    batch = whole.slice(lo, 256)
+                    own = batch.column(0).to_numpy()
+                    sim, hit = np.zeros((len(ids), len(own))), np.zeros((len(ids), len(own)), bool)
+                    for c, v in enumerate(batch.column(1).to_pylist()):
+                        for x in v:
+                            j = at.get(x["dim"])
+                            if j is not None:
+                                i, w = lists[j]
+                                sim[i, c] += w * x["w"]
+                                hit[i, c] = True
+                    sim[~hit | (ids[:, None] == own[None])] = -np.inf
+                    m = min(k, len(own))
+                    kth = -np.partition(-np.round(sim, 5), m - 1, axis=1)[:, m - 1]
+                    r, c = np.nonzero((np.round(sim, 5) >= kth[:, None]) & (sim > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(own[c]), pa.array(sim[r, c])], ["query_id", "doc_id", "score"])
+
+        found = packed.mapInArrow(run, "query_id long, doc_id long, score double")
+        out = found if out is None else out.unionAll(found)
+    s = out.withColumn("score", F.round("score", 5))
+    return ranked(s, "query_id", "score", "doc_id", k).select("query_id", "doc_id", "score")

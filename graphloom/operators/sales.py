@@ -22,13 +22,65 @@ def signals(found: dict[str, DataFrame], deal: str) -> DataFrame:
 
 
 def recommendation(needs: DataFrame, assets: DataFrame, seen: DataFrame, key: str, tags: str, asset: str, title: str, k: int) -> DataFrame:
-    """(key, asset, matches): assets that share most tags with a need and weren't seen; ties by title, then asset."""
+    """(key, asset, matches): assets that share most tags with a need and weren't seen; ties by title, then asset.
+
+    Assets are ranked once for each distinct set of tags; a key looks at as many of its set's ranks as it has seen assets, and k
+    more, so nothing grows with keys times assets.
+    """
+    from pyspark.sql.window import Window
+
+    n = needs.select(key, F.array_sort(F.array_distinct(tags)).alias("_set"))
+    sets = n.select("_set").distinct().select("_set", F.explode("_set").alias("_t"))
+    a = assets.select(asset, title, F.explode(F.array_distinct(tags)).alias("_t"))
+    m = sets.join(a, "_t").groupBy("_set", asset, title).agg(F.count("*").alias("matches"))
+    ranked = m.withColumn("_r", F.row_number().over(Window.partitionBy("_set").orderBy(F.desc("matches"), title, asset)))
+    had = seen.select(key, asset).distinct()
+    looks = n.join(had.groupBy(key).agg(F.count("*").alias("_n")), key, "left").select(key, "_set", F.explode(F.sequence(F.lit(1), (k + F.coalesce("_n", F.lit(0))).cast("int"))).alias("_r"))
+    new = looks.join(ranked, ["_set", "_r"]).join(had, [key, asset], "left_anti")
+    w = Window.partitionBy(key).orderBy("_r")
+    return new.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).select(key, asset, "matches")
+
+
+#: Predicates that a briefing shows apart.
+HIGHLIGHTED = {"RAISED_OBJECTION": "objection", "HAS_BLOCKER": "blocker", "HAS_ACTION_ITEM": "action_item"}
+
+
+def briefing(claims: DataFrame) -> DataFrame:
+    """(deal, section, claim, place): the claims of each deal by what they are, the latest first. claims: deal, claim, predicate, at."""
     from pyspark.sql.window import Window
 
-    n, a = needs.select(key, F.explode(tags).alias("_t")).distinct(), assets.select(asset, title, F.explode(tags).alias("_t")).distinct()
-    m = n.join(a, "_t").groupBy(key, asset, title).agg(F.count("*").alias("matches")).join(seen.select(key, asset), [key, asset], "left_anti")
-    w = Window.partitionBy(key).orderBy(F.desc("matches"), title, asset)
-    return m.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(key, asset, "matches")
+    section = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HIGHLIGHTED.items() for x in kv]), F.col("predicate")), F.lit("other"))
+    w = Window.partitionBy("deal", "section").orderBy(F.desc("at"), "claim")
+    return claims.withColumn("section", section).select("deal", "section", "claim", F.row_number().over(w).alias("place"))
+
+
+def open_claims(claims: DataFrame, predicate: str) -> DataFrame:
+    """(deal, claim, place) of the affirmed claims with a predicate that nobody rejected, the latest first: objections, commitments.
+    claims: deal, claim, predicate, polarity, status, at."""
+    from pyspark.sql.window import Window
+
+    live = claims.where((F.col("predicate") == predicate) & (F.col("polarity") == "AFFIRMED") & (F.coalesce("status", F.lit("")) != "REJECTED"))
+    return live.select("deal", "claim", F.row_number().over(Window.partitionBy("deal").orderBy(F.desc("at"), "claim")).alias("place"))
+
+
+def whats_new(claims: DataFrame, since: Column) -> DataFrame:
+    """(deal, claim, place) of claims recorded since a moment, the latest record first. claims: deal, claim, recorded."""
+    from pyspark.sql.window import Window
+
+    return claims.where(F.col("recorded") >= since).select("deal", "claim", F.row_number().over(Window.partitionBy("deal").orderBy(F.desc("recorded"), "claim")).alias("place"))
+
+
+def cited(text: Column) -> Column:
+    """What a narrative cites in brackets, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[([^\[\]]+)\]"), F.lit(1)))
+
+
+def narrative(text: Column, allowed: Column) -> Column:
+    """struct(grounded, unknown, uncited): whether all that is cited is allowed, what isn't (sorted), and how many sentences cite
+    nothing. A narrative without citations is grounded and has only uncited sentences."""
+    unknown = F.array_sort(F.array_except(cited(text), allowed))
+    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    return F.struct((F.size(unknown) == 0).alias("grounded"), unknown.alias("unknown"), F.size(F.filter(sentences, lambda s: ~s.rlike(r"\[([^\[\]]+)\]"))).alias("uncited"))
 
 
 def grounded(answers: DataFrame, cited: str, allowed: str) -> Column:

@@ -6,28 +6,30 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.session import written as cut
 
 
 def skipping_budget(df: DataFrame, by: str, order: list[str], cost: str, budget: int, most: int) -> DataFrame:
-    """Rows of each group in order, each taken if it still fits the budget; at most ``most``. An item too large is skipped.
+    """Rows (by, order..., cost) of each group in order, each taken if it still fits the budget; at most ``most``. An item too
+    large is skipped. Costs aren't negative; null costs nothing. ``order`` tells rows of a group apart.
 
-    Rows stream through in order, so a group is never held.
+    A group may have a large share of all rows, so none is gathered: in each of at most ``most`` rounds an aggregation finds
+    the next row that fits of every group.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, used, taken, first = None, 0, 0, True
-        for b in batches:
-            keep = []
-            for g, c in zip(b.column(by).to_pylist(), b.column(cost).to_pylist(), strict=True):
-                if first or g != now:
-                    now, used, taken, first = g, 0, 0, False
-                ok = taken < most and used + (c or 0) <= budget
-                used, taken = used + (c or 0) * ok, taken + ok
-                keep.append(ok)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    slim = df.select(by, *order, cost)
-    return slim.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, slim.schema)
+    rows = cut(df.select(by, F.struct(*order).alias("_o"), F.coalesce(F.col(cost), F.lit(0)).alias("_c"), F.col(cost).alias("_cost")).where(F.coalesce(F.col(cost), F.lit(0)) <= budget))
+    state = rows.groupBy(by).agg(F.min("_o").alias("_first")).select(F.col(by).alias("_k"), F.lit(None).cast(rows.schema["_o"].dataType).alias("_at"), F.lit(0).cast("double").alias("_used"))
+    out = None
+    for _ in range(most):
+        j = rows.join(state, F.col(by).eqNullSafe(F.col("_k"))).where((F.col("_at").isNull() | (F.col("_o") > F.col("_at"))) & (F.col("_used") + F.col("_c") <= budget))
+        taken = cut(j.groupBy(by, "_used").agg(F.min_by(F.struct("_o", "_c", "_cost"), "_o").alias("_t")))
+        if taken.isEmpty():
+            break
+        found = taken.select(by, *[F.col(f"_t._o.{o}").alias(o) for o in order], F.col("_t._cost").alias(cost))
+        out = found if out is None else out.unionByName(found)
+        state = taken.select(F.col(by).alias("_k"), F.col("_t._o").alias("_at"), (F.col("_used") + F.col("_t._c")).alias("_used"))
+    return df.select(by, *order, cost).limit(0) if out is None else out
 
 
 def transcript_windows(df: DataFrame, gap: float = 3.0, longest: float = 90.0, tokens: int = 200) -> DataFrame:

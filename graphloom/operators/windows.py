@@ -50,3 +50,22 @@ def clean_pages(events: DataFrame, page: list[str], item: str, size: Column, whe
     wrong = events.where(bad).groupBy(*page).agg(F.min(when).alias("_wrong"))
     ok = F.col("_wrong").isNull() | (F.col("_wrong") >= F.col("completed"))
     return done.join(wrong, page, "left").select(*page, "completed", ok.alias("clean"), F.when(ok, bonus).otherwise(0).alias("bonus"))
+
+
+def within_budget(df: DataFrame, by: str, order: str, cost: str, budget: float, blocks: int = 1024) -> DataFrame:
+    """``df`` with ``used``, the running total of ``cost`` of each key in ``order`` (a number, distinct within a key), as far as it is
+    within the budget. Costs aren't negative; null costs nothing.
+
+    A key may have a large share of all rows: the order is cut into blocks, their sums say which blocks the budget reaches, and
+    only the rows of these meet in a window.
+    """
+    c = F.coalesce(F.col(cost), F.lit(0))
+    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    width = F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) / blocks)
+    b = df.crossJoin(F.broadcast(ends)).withColumn("_b", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_lo", "_hi")
+    per = b.groupBy(by, "_b").agg(F.sum(c).alias("_s"))
+    start = F.sum("_s").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")
+    reached = per.withColumn("_start", start).where(F.col("_start") <= budget).select(F.col(by).alias("_k"), F.col("_b").alias("_c"))
+    near = b.join(reached, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_c"))).drop("_b", "_c", "_k")
+    used = F.sum(c).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("used", used).where(F.col("used") <= budget)

@@ -226,7 +226,7 @@ x AS (SELECT src, tgt, d1 AS doc FROM p UNION SELECT src, tgt, d2 FROM p) SELECT
 def corroboration(d: Data) -> DataFrame:
     from graphloom.operators.governance import corroboration
 
-    return corroboration(d.evidence, F.col("d2") - F.col("d1") <= 100)
+    return corroboration(d.evidence.withColumn("position", F.col("doc")), "position", 100)
 
 
 @query("agg29_brier", f"WITH {CALIBRATION} SELECT lang, round(avg((p - y) * (p - y)), 6) AS brier, count(*) AS n FROM samples GROUP BY lang")

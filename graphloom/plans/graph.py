@@ -9,13 +9,14 @@ from graphloom.operators import graph as G
 from graphloom.plans.registry import query
 from graphloom.session import Data
 
-#: A small dense digraph: part keys modulo 97 to sizes and back.
-RING = "ring AS (SELECT DISTINCT CAST(p_partkey % 97 AS BIGINT) AS src, CAST((p_partkey * 7 + p_size) % 97 AS BIGINT) AS tgt FROM part WHERE p_partkey % 10 = 1)"
+#: A digraph of all parts: two arcs by arithmetic on the key, and one to the part whose key is the size, so that there are hubs.
+RING = """ring AS (SELECT DISTINCT src, tgt FROM (SELECT p_partkey AS src, 1 + (p_partkey * 7 + p_size) % n AS tgt FROM part, (SELECT count(*) AS n FROM part) UNION ALL SELECT p_partkey, 1 + (p_partkey * 3 + p_size * 5) % n FROM part, (SELECT count(*) AS n FROM part) UNION ALL SELECT p_partkey, CAST(p_size AS BIGINT) FROM part))"""
 
 
 def ring(d: Data) -> DataFrame:
-    k = F.col("p_partkey")
-    return d.part.where("p_partkey % 10 = 1").select((k % 97).cast("long").alias("src"), ((k * 7 + F.col("p_size")) % 97).cast("long").alias("tgt")).distinct()
+    k, size, n = F.col("p_partkey"), F.col("p_size").cast("long"), F.col("n")
+    p = d.part.select("p_partkey", "p_size").crossJoin(F.broadcast(d.part.agg(F.count("*").alias("n"))))
+    return p.select(k.alias("src"), F.explode(F.array(1 + (k * 7 + size) % n, 1 + (k * 3 + size * 5) % n, size)).alias("tgt")).distinct()
 
 
 @query("grf01_neighbours", "SELECT u AS node, count(*) AS n, min(v) AS first FROM (SELECT src AS u, tgt AS v FROM relations UNION SELECT tgt, src FROM relations) GROUP BY u")
@@ -50,26 +51,25 @@ def propagation(d: Data) -> DataFrame:
 
 
 @query("grf05_pagerank", f"""
-WITH RECURSIVE {RING}, w AS (SELECT src, tgt, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM ring), n AS (SELECT src AS node FROM ring UNION SELECT tgt FROM ring),
-r AS (SELECT 0 AS i, node, 0.15::DOUBLE AS score FROM n UNION ALL SELECT i, node, score FROM (SELECT r.i + 1 AS i, n.node, 0.15 + 0.85 * coalesce(sum(CASE WHEN w.tgt = n.node THEN r.score * w.share END), 0) AS score FROM r LEFT JOIN w ON w.src = r.node CROSS JOIN n WHERE r.i < 20 GROUP BY r.i, n.node))
-SELECT node, round(score, 6) AS score FROM r WHERE i = 20""")
+WITH RECURSIVE {RING}, n AS (SELECT src AS node FROM ring UNION SELECT tgt FROM ring), w AS (SELECT src, tgt, 1.0 / count(*) OVER (PARTITION BY src) AS share FROM ring UNION ALL SELECT node, node, 0.0 FROM n),
+r AS (SELECT 0 AS i, node, 0.15::DOUBLE AS score FROM n UNION ALL SELECT r.i + 1, w.tgt, 0.15 + 0.85 * sum(r.score * w.share) FROM r JOIN w ON w.src = r.node WHERE r.i < 20 GROUP BY r.i, w.tgt)
+SELECT node, round(score, 6) AS score FROM r WHERE i = 20""")
 def pagerank(d: Data) -> DataFrame:
     return G.pagerank(ring(d).withColumn("weight", F.lit(1.0))).select("node", F.round("score", 6).alias("score"))
 
 
 @query("grf06_components", """
-WITH RECURSIVE e AS (SELECT o_custkey % 700 AS u, o_orderkey % 40 + 1000 + o_custkey % 7 * 100 AS v FROM orders WHERE o_orderkey % 9 = 2), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, c) AS (SELECT u, u FROM s UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.node)
+WITH RECURSIVE s AS (SELECT src AS u, tgt AS v FROM relations UNION SELECT tgt, src FROM relations), r(node, c) AS (SELECT u, u FROM s UNION SELECT s.v, r.c FROM r JOIN s ON s.u = r.node)
 SELECT node, min(c) AS component FROM r GROUP BY node""")
 def components(d: Data) -> DataFrame:
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    return G.connected_components(d.orders.where("o_orderkey % 9 = 2").select((c % 700).alias("src"), (o % 40 + 1000 + c % 7 * 100).alias("tgt")))
+    return G.connected_components(d.relations)
 
 
 @query("grf08_cycles", f"""
-WITH {RING}, e AS (SELECT * FROM ring WHERE src <> tgt), two AS (SELECT DISTINCT a.src, b.tgt FROM e a JOIN e b ON a.tgt = b.src), three AS (SELECT DISTINCT a.src, b.tgt FROM two a JOIN e b ON a.tgt = b.src WHERE a.src <> a.tgt), f AS (SELECT src AS node, 2 AS length FROM two WHERE src = tgt UNION ALL SELECT src, 3 FROM three WHERE src = tgt)
+WITH {RING}, e AS (SELECT * FROM ring WHERE src <> tgt), w2 AS (SELECT DISTINCT a.src, b.tgt FROM e a JOIN e b ON a.tgt = b.src), w3 AS (SELECT DISTINCT a.src, b.tgt FROM w2 a JOIN e b ON a.tgt = b.src WHERE a.src <> a.tgt), w4 AS (SELECT DISTINCT a.src, b.tgt FROM w3 a JOIN e b ON a.tgt = b.src WHERE a.src <> a.tgt), f AS (SELECT src AS node, 2 AS length FROM w2 WHERE src = tgt UNION ALL SELECT src, 3 FROM w3 WHERE src = tgt UNION ALL SELECT src, 4 FROM w4 WHERE src = tgt)
 SELECT node, min(length) AS length FROM f GROUP BY node""")
 def cycles(d: Data) -> DataFrame:
-    return G.cycles(ring(d), 3)
+    return G.cycles(ring(d), 4)
 
 
 @query("grf09_descendants", """
@@ -89,12 +89,12 @@ def isolated(d: Data) -> DataFrame:
     return G.isolated_below(d.relations, d.spark.createDataFrame([("NATION:1",), ("NATION:2",)], "node string"), 2)
 
 
-ADJ = f"""{RING}, e AS (SELECT src, tgt, 0.5 + (src % 5) / 10.0 AS w FROM ring WHERE src <> tgt), s AS (SELECT u, v, max(w) AS w FROM (SELECT src AS u, tgt AS v, w FROM e UNION ALL SELECT tgt, src, w FROM e) GROUP BY u, v), g AS (SELECT u, least(1.0, 1 / ln(1 + count(*))) AS p FROM s GROUP BY u), adj AS (SELECT s.u, s.v, s.w * a.p * b.p AS weight FROM s JOIN g a ON a.u = s.u JOIN g b ON b.u = s.v)"""
+ADJ = f"""{RING}, e AS (SELECT src, tgt, 1.0 + src % 3 AS w FROM ring WHERE src <> tgt AND (0.5 + (src % 5) / 10.0) * exp(-ln(2) / 180 * (tgt % 400)) >= 0.3), s AS (SELECT u, v, max(w) AS w FROM (SELECT src AS u, tgt AS v, w FROM e UNION ALL SELECT tgt, src, w FROM e) GROUP BY u, v), g AS (SELECT u, 1 / ln(1 + count(*)) AS p FROM s GROUP BY u), adj AS (SELECT s.u, s.v, s.w * least(a.p, b.p) AS weight FROM s JOIN g a ON a.u = s.u JOIN g b ON b.u = s.v)"""
 
 
 def adjacency_of(d: Data) -> DataFrame:
-    e = ring(d).where("src <> tgt").withColumn("confidence", 0.5 + (F.col("src") % 5) / 10.0)
-    return G.adjacency(e, F.lit(0), 180, 0.1)
+    e = ring(d).where("src <> tgt").withColumn("confidence", 0.5 + (F.col("src") % 5) / 10.0).withColumn("weight", 1.0 + F.col("src") % 3)
+    return G.adjacency(e, F.col("tgt") % 400, 180, 0.3)
 
 
 @query("grf14_adjacency", f"WITH {ADJ} SELECT u, v, round(weight, 6) AS weight FROM adj")
@@ -103,20 +103,20 @@ def adjacency(d: Data) -> DataFrame:
 
 
 @query("grf12_gcn_layer", f"""
-WITH {ADJ}, n AS (SELECT DISTINCT u AS node FROM adj), x AS (SELECT node, node / 97.0 - 0.3 AS value FROM n), a AS (SELECT u, v, weight FROM adj UNION ALL SELECT node, node, 1.0 FROM n), d AS (SELECT u, sum(weight) AS d FROM a GROUP BY u)
+WITH {ADJ}, n AS (SELECT DISTINCT u AS node FROM adj), x AS (SELECT node, (node % 97) / 97.0 - 0.3 AS value FROM n), a AS (SELECT u, v, weight FROM adj UNION ALL SELECT node, node, 1.0 FROM n), d AS (SELECT u, sum(weight) AS d FROM a GROUP BY u)
 SELECT a.u AS node, 0 AS dim, round(greatest(0.0, sum(a.weight / sqrt(d.d * e.d) * x.value)), 6) AS value FROM a JOIN d ON d.u = a.u JOIN d e ON e.u = a.v JOIN x ON x.node = a.v GROUP BY a.u""")
 def gcn_layer(d: Data) -> DataFrame:
     adj = adjacency_of(d)
-    x = adj.select(F.col("u").alias("node")).distinct().select("node", F.lit(0).alias("dim"), (F.col("node") / 97.0 - 0.3).alias("value"))
+    x = adj.select(F.col("u").alias("node")).distinct().select("node", F.lit(0).alias("dim"), ((F.col("node") % 97) / 97.0 - 0.3).alias("value"))
     return G.gcn_layer(adj, x).withColumn("value", F.round("value", 6))
 
 
 @query("grf13_attention_layer", f"""
-WITH {ADJ}, n AS (SELECT DISTINCT u AS node FROM adj), x AS (SELECT node, node / 97.0 - 0.3 AS value FROM n), p AS (SELECT u, v FROM adj UNION SELECT node, node FROM n)
+WITH {ADJ}, n AS (SELECT DISTINCT u AS node FROM adj), x AS (SELECT node, (node % 97) / 97.0 - 0.3 AS value FROM n), p AS (SELECT u, v FROM adj UNION SELECT node, node FROM n)
 SELECT p.u AS node, round(sum(exp(a.value * b.value) * b.value) / sum(exp(a.value * b.value)), 6) AS value FROM p JOIN x a ON a.node = p.u JOIN x b ON b.node = p.v GROUP BY p.u""")
 def attention_layer(d: Data) -> DataFrame:
     adj = adjacency_of(d)
-    x = adj.select(F.col("u").alias("node")).distinct().select("node", (F.col("node") / 97.0 - 0.3).alias("value"))
+    x = adj.select(F.col("u").alias("node")).distinct().select("node", ((F.col("node") % 97) / 97.0 - 0.3).alias("value"))
     return G.attention_layer(adj, x).withColumn("value", F.round("value", 6))
 
 

@@ -176,11 +176,14 @@ def pages(d: Data) -> DataFrame:
 @query("top06_token_budget", """
 WITH r AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) SELECT source, doc_id, CAST(used AS BIGINT) AS used FROM r WHERE used <= 20000""")
 def token_budget(d: Data) -> DataFrame:
-    used = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return d.documents.withColumn("used", used).where("used <= 20000").select("source", "doc_id", "used")
+    from graphloom.operators.windows import within_budget
 
+    return within_budget(d.documents.select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 20000).select("source", "doc_id", "used")
 
-@query("top07_skipping_budget")
+
+@query("top07_skipping_budget", """
+WITH RECURSIVE r AS (SELECT DISTINCT source, CAST(-1 AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS n_chars, 0 AS n FROM documents UNION ALL SELECT r.source, min(d.doc_id), r.used + arg_min(d.n_chars, d.doc_id), arg_min(d.n_chars, d.doc_id), r.n + 1 FROM r JOIN documents d ON d.source = r.source AND d.doc_id > r.doc_id AND r.used + d.n_chars <= 20000 WHERE r.n < 12 GROUP BY r.source, r.used, r.n)
+SELECT source, doc_id, n_chars FROM r WHERE n > 0""")
 def skipping_budget(d: Data) -> DataFrame:
     from graphloom.operators.selection import skipping_budget
 

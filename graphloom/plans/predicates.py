@@ -35,11 +35,11 @@ def call_segments(d: Data) -> DataFrame:
     return call_segments(calls, "conv_id", "body").select("conv_id", "turn", "speaker", F.length("text").cast("long").alias("n"))
 
 
-@query("src12_verse_markers", "WITH s AS (SELECT doc_id, i, CASE WHEN (i - 1) % 4 = 0 THEN 1 ELSE 0 END AS one FROM documents, unnest(range(1, 1 + least(len(string_split(text, chr(10))), 12))) t(i)) SELECT doc_id, i AS pos, CAST(sum(one) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS chapter FROM s")
+@query("src12_verse_markers", "WITH s AS (SELECT doc_id, i, CASE WHEN (i - 1) % 4 = 0 THEN 1 ELSE 0 END AS one FROM documents, unnest(range(1, 1 + len(string_split(text, chr(10))))) t(i)) SELECT doc_id, i AS pos, CAST(sum(one) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS chapter FROM s")
 def verse_markers(d: Data) -> DataFrame:
     from graphloom.sources.adapters import chapters
 
-    lines = d.documents.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 12)).alias("p", "line"))
+    lines = d.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     return chapters(lines.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), ((F.col("p") % 4) == 0).alias("one")), "doc_id", "pos", "one")
 
 

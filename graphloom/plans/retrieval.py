@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.operators import retrieval as R
 from graphloom.plans.registry import query
-from graphloom.session import Data
+from graphloom.session import Data, written
 
 UNIT = """v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
 u AS (SELECT vec_id, label, [x / CASE WHEN list_inner_product(e, e) = 0 THEN 1 ELSE sqrt(list_inner_product(e, e)) END FOR x IN e] AS e FROM v)"""
@@ -30,13 +30,13 @@ def filtered_knn(d: Data) -> DataFrame:
 
 
 BM25 = r"""d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents), l AS (SELECT doc_id, len(t) AS n, t FROM d), g AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS term FROM benchmark WHERE item_id < 10),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS term FROM benchmark),
 w AS (SELECT doc_id, n, unnest(t) AS term FROM l), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 b AS (SELECT q.query_id, tf.doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM tf JOIN df ON df.term = tf.term JOIN q ON q.term = tf.term CROSS JOIN g GROUP BY q.query_id, tf.doc_id)"""
 
 
 def bm25_of(d: Data) -> DataFrame:
-    return R.bm25(d.documents, d.benchmark.where("item_id < 10"), "doc_id", "item_id")
+    return R.bm25(d.documents, d.benchmark, "doc_id", "item_id")
 
 
 @query("ret05_bm25", f"WITH {BM25}, r AS (SELECT query_id, doc_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM b) SELECT query_id, doc_id, score FROM r WHERE r <= 10")
@@ -48,7 +48,7 @@ def bm25(d: Data) -> DataFrame:
 WITH {BM25}, x AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) - 1 AS rank FROM b), y AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY len(t), doc_id) - 1 AS rank FROM b JOIN d USING (doc_id)),
 z AS (SELECT * FROM x WHERE rank < 50 UNION ALL SELECT * FROM y WHERE rank < 50) SELECT query_id, doc_id, round(sum(1.0 / (61 + rank)), 8) AS score FROM z GROUP BY query_id, doc_id""")
 def rank_fusion(d: Data) -> DataFrame:
-    s = bm25_of(d).withColumn("s", F.round("score", 6))
+    s = written(bm25_of(d).withColumn("s", F.round("score", 6)))
     x = R.ranked(s, "query_id", "s", "doc_id", 50)
     n = d.documents.select("doc_id", (-F.size(R.tokens(F.coalesce("text", F.lit(""))))).alias("short"))
     y = R.ranked(s.join(n, "doc_id"), "query_id", "short", "doc_id", 50)
@@ -144,11 +144,12 @@ def precedents(d: Data) -> DataFrame:
 
 
 @query("ret22_sparse_dot", """
-WITH p AS (SELECT l_orderkey AS a, l_suppkey % 20 AS dim, max(ln(1 + l_quantity)) AS w FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2), q AS (SELECT * FROM p WHERE a < 100) SELECT q.a AS query_id, p.a AS doc_id, round(sum(q.w * p.w), 5) AS score FROM q JOIN p ON p.dim = q.dim AND p.a <> q.a GROUP BY 1, 2""")
+WITH p AS (SELECT l_orderkey AS a, l_suppkey % 20 AS dim, max(ln(1 + l_quantity)) AS w FROM lineitem GROUP BY 1, 2), q AS (SELECT * FROM p WHERE a % 20 = 0), s AS (SELECT q.a AS query_id, p.a AS doc_id, round(sum(q.w * p.w), 5) AS score FROM q JOIN p ON p.dim = q.dim AND p.a <> q.a GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) SELECT query_id, doc_id, score FROM r WHERE r <= 10""")
 def sparse_dot(d: Data) -> DataFrame:
-    p = d.lineitem.where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 20).alias("dim")).agg(F.max(F.log1p("l_quantity")).alias("w"))
-    q = p.where("doc_id < 100").select(F.col("doc_id").alias("query_id"), "dim", F.col("w").alias("v"))
-    return p.join(q, "dim").where("doc_id <> query_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("v") * F.col("w")), 5).alias("score"))
+    """Orders as sparse vectors over 20 dimensions; orders divisible by 20 ask all others for their ten best."""
+    p = d.lineitem.groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 20).alias("dim")).agg(F.max(F.log1p("l_quantity")).alias("w"))
+    return R.sparse_search(p.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), p, 10)
 
 
 @query("mth01_cosine_to_first", f"WITH {UNIT} SELECT u.vec_id, round(greatest(0.0, least(1.0, list_inner_product(u.e, f.e))), 6) AS similarity FROM u CROSS JOIN (SELECT e FROM u WHERE vec_id = 0) f")

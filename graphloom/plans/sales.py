@@ -28,11 +28,11 @@ def content_effectiveness(d: Data) -> DataFrame:
 
 
 @query("sal03_recommendation", """
-WITH n AS (SELECT DISTINCT o_custkey AS k, substr(o_orderpriority, 1, 1) AS t FROM orders WHERE o_custkey < 150), a AS (SELECT p_partkey AS asset, p_name AS title, CAST(p_size % 5 + 1 AS VARCHAR) AS t FROM part WHERE p_partkey < 300), seen AS (SELECT DISTINCT o_custkey AS k, l_partkey AS asset FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+WITH n AS (SELECT DISTINCT o_custkey AS k, substr(o_orderpriority, 1, 1) AS t FROM orders), a AS (SELECT p_partkey AS asset, p_name AS title, CAST(p_size % 5 + 1 AS VARCHAR) AS t FROM part), seen AS (SELECT DISTINCT o_custkey AS k, l_partkey AS asset FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 m AS (SELECT k, asset, title, count(*) AS matches FROM n JOIN a USING (t) GROUP BY k, asset, title), r AS (SELECT k, m.asset, matches, row_number() OVER (PARTITION BY k ORDER BY matches DESC, title, m.asset) AS r FROM m WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.k = m.k AND seen.asset = m.asset)) SELECT k, asset, matches FROM r WHERE r <= 3""")
 def recommendation(d: Data) -> DataFrame:
-    needs = d.orders.where("o_custkey < 150").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set(F.substring("o_orderpriority", 1, 1)).alias("tags"))
-    assets = d.part.where("p_partkey < 300").select(F.col("p_partkey").alias("asset"), F.col("p_name").alias("title"), F.array((F.col("p_size") % 5 + 1).cast("string")).alias("tags"))
+    needs = d.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set(F.substring("o_orderpriority", 1, 1)).alias("tags"))
+    assets = d.part.select(F.col("p_partkey").alias("asset"), F.col("p_name").alias("title"), F.array((F.col("p_size") % 5 + 1).cast("string")).alias("tags"))
     seen = d.orders.join(d.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("k"), F.col("l_partkey").alias("asset"))
     return S.recommendation(needs, assets, seen, "k", "tags", "asset", "title", 3)
 
@@ -77,3 +77,51 @@ def grounding(d: Data) -> DataFrame:
     k = F.col("o_orderkey")
     a = d.orders.select("o_orderkey", F.array(k, F.when(k % 3 == 0, k + 1).otherwise(k)).alias("cited"), F.array(k, k - 1).alias("allowed"))
     return a.select("o_orderkey", S.grounded(a, "cited", "allowed").alias("grounded"))
+
+
+CLAIMS = """cl AS (SELECT o_custkey AS deal, o_orderkey AS claim, CASE left(o_orderpriority, 1) WHEN '1' THEN 'RAISED_OBJECTION' WHEN '2' THEN 'HAS_BLOCKER' WHEN '3' THEN 'HAS_ACTION_ITEM' ELSE 'MENTIONED' END AS predicate, CASE WHEN o_orderkey % 7 = 0 THEN 'NEGATED' ELSE 'AFFIRMED' END AS polarity, CASE WHEN o_orderstatus = 'P' THEN 'REJECTED' WHEN o_orderstatus = 'F' THEN 'APPROVED' END AS status, o_orderdate AS said FROM orders)"""
+
+
+def deal_claims(d: Data) -> DataFrame:
+    k = F.left("o_orderpriority", F.lit(1))
+    predicate = F.when(k == "1", "RAISED_OBJECTION").when(k == "2", "HAS_BLOCKER").when(k == "3", "HAS_ACTION_ITEM").otherwise("MENTIONED")
+    return d.orders.select(F.col("o_custkey").alias("deal"), F.col("o_orderkey").alias("claim"), predicate.alias("predicate"), F.when(F.col("o_orderkey") % 7 == 0, "NEGATED").otherwise("AFFIRMED").alias("polarity"), F.when(F.col("o_orderstatus") == "P", "REJECTED").when(F.col("o_orderstatus") == "F", "APPROVED").alias("status"), F.col("o_orderdate").alias("at"), F.col("o_orderdate").alias("recorded"))
+
+
+@query("sal07_deal_answers", f"""
+WITH {CLAIMS}, live AS (SELECT * FROM cl WHERE polarity = 'AFFIRMED' AND coalesce(status, '') <> 'REJECTED')
+SELECT 'objections' AS intent, deal, claim, row_number() OVER (PARTITION BY deal ORDER BY said DESC, claim) AS place FROM live WHERE predicate = 'RAISED_OBJECTION' UNION ALL SELECT 'commitments', deal, claim, row_number() OVER (PARTITION BY deal ORDER BY said DESC, claim) FROM live WHERE predicate = 'HAS_ACTION_ITEM'
+UNION ALL SELECT 'new', deal, claim, row_number() OVER (PARTITION BY deal ORDER BY said DESC, claim) FROM cl WHERE said >= TIMESTAMP '1998-01-01' UNION ALL SELECT 'briefing:' || s, deal, claim, row_number() OVER (PARTITION BY deal, s ORDER BY said DESC, claim) FROM (SELECT *, CASE predicate WHEN 'RAISED_OBJECTION' THEN 'objection' WHEN 'HAS_BLOCKER' THEN 'blocker' WHEN 'HAS_ACTION_ITEM' THEN 'action_item' ELSE 'other' END AS s FROM cl)""")
+def deal_answers(d: Data) -> DataFrame:
+    """What four of the catalogue's intents answer, for every deal."""
+    c = deal_claims(d)
+    found = {"objections": S.open_claims(c, "RAISED_OBJECTION"), "commitments": S.open_claims(c, "HAS_ACTION_ITEM"), "new": S.whats_new(c, F.lit("1998-01-01").cast("timestamp_ntz"))}
+    out = S.briefing(c).select(F.concat(F.lit("briefing:"), "section").alias("intent"), "deal", "claim", "place")
+    for intent, df in found.items():
+        out = out.unionByName(df.select(F.lit(intent).alias("intent"), "deal", "claim", "place"))
+    return out
+
+
+@query("sal10_narratives", r"""
+WITH o AS (SELECT o_orderkey AS k, 'Claim [' || CAST(o_orderkey AS VARCHAR) || '] stands. It was seen before! ' || CASE WHEN o_orderkey % 3 = 0 THEN 'So does [' || CAST(o_orderkey + 1 AS VARCHAR) || '] and [x].' ELSE '' END AS t FROM orders)
+SELECT k, k % 3 <> 0 AS grounded, CASE WHEN k % 3 = 0 THEN CAST(k + 1 AS VARCHAR) || ',x' ELSE '' END AS unknown, 1 AS uncited FROM o""")
+def narratives(d: Data) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Claim ["), k.cast("string"), F.lit("] stands. It was seen before! "), F.when(k % 3 == 0, F.concat(F.lit("So does ["), (k + 1).cast("string"), F.lit("] and [x]."))).otherwise(""))
+    n = S.narrative(text, F.array(k.cast("string"), (k - 1).cast("string")))
+    return d.orders.select(k.alias("k"), n.alias("n")).select("k", "n.grounded", F.array_join("n.unknown", ",").alias("unknown"), "n.uncited")
+
+
+@query("sal08_dispatch", """
+WITH q AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'account-objections' WHEN 1 THEN 'open-commitments' WHEN 2 THEN 'call-briefing' WHEN 3 THEN 'whats-new' WHEN 4 THEN 'as-of' WHEN 5 THEN 'top-objections' WHEN 6 THEN 'buying-committee' WHEN 7 THEN 'recommend-content' ELSE 'sing-a-song' END AS intent, (event_id * 7) % 100 / 100.0 AS confidence, CASE event_id % 4 WHEN 0 THEN 'opportunity_id' WHEN 1 THEN 'subject_id,since,as_of' WHEN 2 THEN 'opportunity_id,buyer_contact_id' ELSE '' END AS given FROM events),
+c(intent, needs, hidden) AS (VALUES ('account-objections', 'opportunity_id', false), ('open-commitments', 'opportunity_id', false), ('call-briefing', '', false), ('whats-new', 'subject_id,since', false), ('as-of', 'subject_id,as_of', false), ('top-objections', 'seller_id', false), ('buying-committee', 'opportunity_id', true), ('recommend-content', 'opportunity_id,buyer_contact_id', false))
+SELECT event_id, CASE WHEN c.intent IS NULL OR hidden THEN 'refused: unknown intent' WHEN confidence < 0.5 THEN 'refused: not sure' WHEN len(list_filter(string_split(needs, ','), lambda n: n <> '' AND NOT list_contains(string_split(given, ','), n))) > 0 THEN 'refused: parameters missing' ELSE c.intent END AS outcome FROM q LEFT JOIN c ON c.intent = q.intent""")
+def dispatch(d: Data) -> DataFrame:
+    """Classified questions, one an event, against the catalogue."""
+    from graphloom.operators.intents import dispatched
+
+    k, g = F.col("event_id") % 9, F.col("event_id") % 4
+    intent = F.when(k == 0, "account-objections").when(k == 1, "open-commitments").when(k == 2, "call-briefing").when(k == 3, "whats-new").when(k == 4, "as-of").when(k == 5, "top-objections").when(k == 6, "buying-committee").when(k == 7, "recommend-content").otherwise("sing-a-song")
+    given = F.when(g == 0, F.array(F.lit("opportunity_id"))).when(g == 1, F.array(F.lit("subject_id"), F.lit("since"), F.lit("as_of"))).when(g == 2, F.array(F.lit("opportunity_id"), F.lit("buyer_contact_id"))).otherwise(F.array().cast("array<string>"))
+    asked = d.events.select("event_id", intent.alias("intent"), ((F.col("event_id") * 7) % 100 / 100).alias("confidence"), given.alias("given"))
+    return dispatched(asked).select("event_id", "outcome")

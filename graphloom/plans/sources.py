@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,25 +14,27 @@ from graphloom.operators import graph as G
 from graphloom.operators import ontology as O
 from graphloom.operators import retrieval as R
 from graphloom.plans.registry import query
+from graphloom.plans.retrieval import BM25
 from graphloom.plans.windows import CLEAN
-from graphloom.session import Data, scratch
+from graphloom.session import Data, scratch, written
 from graphloom.sources import adapters, sinks
 from graphloom.streaming import event_log as S
 
 
-@query("src06_text_files", "SELECT item_id, md5(text) AS digest FROM benchmark WHERE item_id < 5")
+@query("src06_text_files", "SELECT item_id, md5(text) AS digest, 'txt' AS kind FROM benchmark")
 def text_files(d: Data) -> DataFrame:
     at = scratch(d.spark)
-    d.benchmark.where("item_id < 5").select(F.col("item_id").alias("id"), F.regexp_replace("text", "\n$", "").alias("value")).repartition("id").write.partitionBy("id").option("lineSep", "\u0000").text(at)
-    docs = adapters.documents(d.spark, f"{at}/*/*.txt")
-    return docs.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("long").alias("item_id"), F.md5(F.rtrim("text", F.lit("\u0000"))).alias("digest"))
+    d.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("value")).repartition("id").write.partitionBy("id").option("lineSep", "\u0000").text(at)
+    docs = adapters.documents(d.spark, at)
+    return docs.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("long").alias("item_id"), F.md5(F.rtrim("text", F.lit("\u0000"))).alias("digest"), "kind")
 
 
-@query("src07_crm_accounts", "SELECT coalesce(CASE WHEN c_custkey % 6 = 0 THEN 'A1' END, 'A' || CAST(c_custkey AS VARCHAR)) AS account, 'A' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer WHERE c_custkey < 100 AND c_custkey % 5 <> 0")
+@query("src07_crm_accounts", "SELECT coalesce(CASE WHEN c_custkey % 6 = 0 THEN 'A1' END, 'A' || CAST(c_custkey AS VARCHAR)) AS account, 'A' || CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer WHERE c_custkey % 5 <> 0")
 def crm_accounts(d: Data) -> DataFrame:
+    """Exports of a hundred accounts each."""
     k = F.col("c_custkey")
     a = F.struct(F.concat(F.lit("A"), k).alias("Id"), F.col("c_name").alias("Name"), (k % 5 == 0).alias("IsDeleted"), F.when(k % 6 == 0, "A1").alias("MasterRecordId"))
-    body = d.customer.where("c_custkey < 100").groupBy((k % 4).alias("g")).agg(F.to_json(F.struct(F.collect_list(a).alias("accounts"))).alias("body"))
+    body = d.customer.groupBy(F.floor(k / 100).alias("g")).agg(F.to_json(F.struct(F.collect_list(a).alias("accounts"))).alias("body"))
     return adapters.crm_accounts(body, "body")
 
 
@@ -48,11 +52,10 @@ def golden_rows(d: Data) -> DataFrame:
     return adapters.golden_rows(d.spark, at).select("id", "question")
 
 
-@query("src11_study_rows", "SELECT CAST(event_id AS VARCHAR) AS task_id, CASE WHEN user_id % 2 = 0 THEN 'manual' ELSE 'assisted' END AS condition, round(value, 4) AS duration_seconds FROM events WHERE event_id < 200")
+@query("src11_study_rows", "SELECT CAST(event_id AS VARCHAR) AS task_id, CASE WHEN user_id % 2 = 0 THEN 'manual' ELSE 'assisted' END AS condition, round(value, 4) AS duration_seconds FROM events")
 def study_rows(d: Data) -> DataFrame:
     at = scratch(d.spark)
-    e = d.events.where("event_id < 200")
-    e.select(F.col("event_id").alias("task_id"), F.when(F.col("user_id") % 2 == 0, "manual").otherwise("assisted").alias("condition"), F.col("value").alias("duration_seconds"), F.lit(0.5).alias("evidence_score"), F.lit(True).alias("success")).write.option("header", True).csv(at)
+    d.events.select(F.col("event_id").alias("task_id"), F.when(F.col("user_id") % 2 == 0, "manual").otherwise("assisted").alias("condition"), F.col("value").alias("duration_seconds"), F.lit(0.5).alias("evidence_score"), F.lit(True).alias("success")).write.option("header", True).csv(at)
     return adapters.study_rows(d.spark, at).select("task_id", "condition", F.round("duration_seconds", 4).alias("duration_seconds"))
 
 
@@ -69,18 +72,31 @@ def triples(d: Data) -> DataFrame:
     return adapters.triples(d.spark, at)
 
 
-@query("src15_label_candidates", "SELECT id AS s, name AS label FROM entities WHERE type = 'NATION'")
+@query("src15_label_candidates", """
+SELECT id AS uri, CASE WHEN type = 'NATION' THEN lower(name) WHEN type = 'REGION' THEN name ELSE 'alt ' || name END AS label, CASE WHEN type = 'SUPPLIER' THEN 'CONCEPT' ELSE type END AS hint FROM entities WHERE type IN ('NATION', 'REGION', 'SUPPLIER')""")
 def label_candidates(d: Data) -> DataFrame:
-    e = d.entities.where("type IN ('NATION', 'REGION')")
-    t = e.select(F.col("id").alias("s"), F.lit("label").alias("p"), F.col("name").alias("o")).unionAll(e.select("id", F.lit("type"), "type"))
-    labels, kinds = t.where("p = 'label'").select("s", F.col("o").alias("label")), t.where("p = 'type' AND o = 'NATION'").select("s")
-    return labels.join(kinds, "s", "left_semi")
-
-
-@query("snk09_score_upsert", "SELECT user_id, CAST(sum(CASE event_type WHEN 'purchase' THEN 5 WHEN 'click' THEN 1 ELSE 0 END) AS BIGINT) AS points FROM events GROUP BY user_id")
+    e = d.entities.where("type IN ('NATION', 'REGION', 'SUPPLIER')")
+    said = F.array(
+        F.when(F.col("type") == "NATION", F.struct(F.lit("http://www.w3.org/2004/02/skos/core#prefLabel").alias("p"), F.lower("name").alias("o"))),
+        F.when(F.col("type") != "SUPPLIER", F.struct(F.lit("http://www.w3.org/2000/01/rdf-schema#label").alias("p"), F.col("name").alias("o"))),
+        F.struct(F.lit("http://www.w3.org/2004/02/skos/core#altLabel").alias("p"), F.concat(F.lit("alt "), "name").alias("o")),
+        F.when(F.col("type") != "SUPPLIER", F.struct(F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#type").alias("p"), F.concat(F.lit("http://example.org/kinds#"), F.initcap("type")).alias("o"))),
+    )
+    t = e.select(F.col("id").alias("s"), F.explode(F.array_compact(said)).alias("x")).select("s", "x.p", "x.o")
+    return O.label_candidates(t)
+
+
+@query("snk09_score_upsert", """
+WITH changed AS (SELECT DISTINCT user_id FROM events WHERE event_id % 50 = 0), p AS (SELECT user_id, CAST(sum(CASE event_type WHEN 'purchase' THEN 5 WHEN 'click' THEN 1 ELSE 0 END) AS BIGINT) AS points FROM events WHERE user_id IN (SELECT user_id FROM changed) GROUP BY user_id)
+SELECT user_id, points FROM p UNION ALL SELECT DISTINCT user_id, CAST(-1 AS BIGINT) FROM events WHERE user_id % 10 <> 0 AND user_id NOT IN (SELECT user_id FROM changed)""")
 def score_upsert(d: Data) -> DataFrame:
+    """A table of scores in which a tenth of the users is missing; the users of every fiftieth event are computed anew."""
+    from graphloom.operators.temporal import merge_scores
+
     points = F.sum(F.when(F.col("event_type") == "purchase", 5).when(F.col("event_type") == "click", 1).otherwise(0))
-    return S.recompute(d.events, lambda: d.events, "user_id", lambda e: e.groupBy("user_id").agg(points.alias("points")))
+    known = d.events.where("user_id % 10 <> 0").select("user_id").distinct().withColumn("points", F.lit(-1).cast("long"))
+    new = S.recompute(d.events.where("event_id % 50 = 0"), lambda: d.events, "user_id", lambda e: e.groupBy("user_id").agg(points.alias("points")))
+    return merge_scores(known, new, "user_id")
 
 
 @query("snk11_by_day", "SELECT event_id FROM kpi WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-06'")
@@ -105,15 +121,22 @@ def document_upsert(d: Data) -> DataFrame:
     return upsert(x.where("doc_id % 2 = 0"), x.where("doc_id % 2 = 1"), "source", "doc_id")
 
 
-@query("flt10_filtered_top", "SELECT vec_id FROM embeddings WHERE label = 5 ORDER BY vec_id LIMIT 10")
+@query("flt10_filtered_top", """
+WITH v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND b.label = 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS r FROM s) SELECT query_id, vec_id, round(score, 6) AS score FROM r WHERE r <= 10""")
 def filtered_top(d: Data) -> DataFrame:
-    return d.embeddings.where("label = 5").orderBy("vec_id").limit(10).select("vec_id")
+    """The tag is filtered before the search."""
+    return R.knn(d.embeddings.where("vec_id % 20 = 0"), d.embeddings.where("label = 5"), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("flt17_read_only", "SELECT n_nationkey, n_nationkey % 2 = 0 AS ok FROM nation")
+@query("flt17_read_only", r"""
+WITH s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'SELECT ?x WHERE { ?x a "' || p_name || '" } # delete it later' WHEN 1 THEN 'ASK { SERVICE <http://x> { ?s ?p "' || p_name || '" } }' WHEN 2 THEN 'INSERT DATA { <a> <b> "' || p_name || '" }' WHEN 3 THEN 'describe <' || p_brand || '> "say \" DROP \" twice"' ELSE p_name END AS q FROM part)
+SELECT p_partkey, regexp_matches(u, '\b(SELECT|ASK|CONSTRUCT|DESCRIBE)\b') AND NOT regexp_matches(u, '\b(SERVICE|LOAD|INSERT|DELETE|CLEAR|DROP|CREATE|ADD|MOVE|COPY)\b') AS ok FROM (SELECT p_partkey, upper(regexp_replace(regexp_replace(q, '#[^\n]*', '', 'g'), '"(?:[^"\\]|\\.)*"|' || chr(39) || '(?:[^' || chr(39) || '\\]|\\.)*' || chr(39), '""', 'g')) AS u FROM s)""")
 def read_only(d: Data) -> DataFrame:
-    ok, bad = T.read_only("SELECT 1 -- drop\n"), T.read_only("WITH x AS (SELECT 1) DELETE FROM x")
-    return d.nation.select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.lit(ok)).otherwise(F.lit(bad)).alias("ok"))
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    q = F.when(k == 0, F.concat(F.lit('SELECT ?x WHERE { ?x a "'), name, F.lit('" } # delete it later'))).when(k == 1, F.concat(F.lit('ASK { SERVICE <http://x> { ?s ?p "'), name, F.lit('" } }')))
+    q = q.when(k == 2, F.concat(F.lit('INSERT DATA { <a> <b> "'), name, F.lit('" }'))).when(k == 3, F.concat(F.lit("describe <"), "p_brand", F.lit('> "say \\" DROP \\" twice"'))).otherwise(name)
+    return d.part.select("p_partkey", T.read_only(q).alias("ok"))
 
 
 @query("win05_clean_pages_by_fold", CLEAN)
@@ -137,21 +160,32 @@ def opening_ratio(d: Data) -> DataFrame:
     return R.near_openings(d.documents).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 
-@query("str11_cross_score", "SELECT doc_id, round(least(1.0, (CASE WHEN contains(lower(text), 'the of') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(text), 'of') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(text), 'the of') THEN 0.05 ELSE 0 END) * CASE WHEN length(text) > 1000 THEN 0.8 ELSE 1.0 END), 4) AS score FROM documents")
+@query("str11_cross_score", r"""
+WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), c AS (SELECT doc_id, contains(t, 'of the and') AS phrase, contains(t, 'of') AS a, contains(t, 'the') AS b, contains(t, 'and') AS c, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM t)
+SELECT doc_id, round(least(1.0, (CASE WHEN phrase THEN 0.5 ELSE 0 END + CASE WHEN a THEN 0.1 + CASE WHEN b THEN 0.05 ELSE 0 END ELSE 0 END + CASE WHEN b THEN 0.1 + CASE WHEN a THEN 0.05 ELSE 0 END + CASE WHEN c THEN 0.05 ELSE 0 END ELSE 0 END + CASE WHEN c THEN 0.1 + CASE WHEN b THEN 0.05 ELSE 0 END ELSE 0 END) * CASE WHEN n < 20 OR n > 500 THEN 0.8 ELSE 1.0 END), 4) AS score FROM c""")
 def cross_score(d: Data) -> DataFrame:
-    return d.documents.select("doc_id", F.round(T.cross_score(F.col("text"), "the of"), 4).alias("score"))
+    return d.documents.select("doc_id", F.round(T.cross_score(F.col("text"), "of the and"), 4).alias("score"))
 
 
-@query("str15_citations", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS cited, CASE WHEN o_orderkey % 2 = 1 THEN 'fake' ELSE 'verified' END AS state FROM orders WHERE o_orderkey < 300")
+@query("str15_citations", r"""
+WITH o AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderkey AS VARCHAR) AS k, o_orderkey % 4 AS m FROM orders), s AS (SELECT o_orderkey, m, c, k, CASE WHEN m = 0 THEN 'doc-' || c || ' DOC-' || c || ' Dr. N' || k WHEN m = 1 THEN 'an ANNEX ' || k || ' of smith' ELSE 'none' END AS src, CASE WHEN m = 2 THEN 'LAB-' || k ELSE '-' END AS known FROM o),
+x AS (SELECT o_orderkey, src, known, unnest(['DOC-' || c, 'LAB-' || k, 'Dr', 'annex ' || k, 'Smith']) AS cited FROM s)
+SELECT o_orderkey, cited, CASE WHEN contains(cited, 'DOC-') OR contains(cited, 'LAB-') THEN CASE WHEN contains(src, cited) OR known = cited THEN 'verified' ELSE 'fake_doc' END WHEN contains(lower(src), lower(cited)) THEN 'verified' ELSE 'unverified' END AS state FROM x""")
 def citations(d: Data) -> DataFrame:
-    text = F.concat(F.lit("as said in ["), F.col("o_custkey").cast("string"), F.lit("]"))
-    o = d.orders.where("o_orderkey < 300").select("o_orderkey", text.alias("t"), F.array(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise("none")).alias("known"))
-    return o.select("o_orderkey", "t", "known", F.explode(T.citations(F.col("t"))).alias("cited")).select("o_orderkey", "cited", T.citation_state(F.col("cited"), F.col("known"), F.col("t")).alias("state"))
+    c, k, m = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
+    text = F.concat(F.lit("It stands [source: DOC-"), c, F.lit("] and (document LAB-"), k, F.lit("), according to Dr. N"), k, F.lit(", as mentioned in annex "), k, F.lit(". So per Smith's view."))
+    sources = F.when(m == 0, F.concat(F.lit("doc-"), c, F.lit(" DOC-"), c, F.lit(" Dr. N"), k)).when(m == 1, F.concat(F.lit("an ANNEX "), k, F.lit(" of smith"))).otherwise("none")
+    o = d.orders.select("o_orderkey", text.alias("t"), sources.alias("src"), F.array(F.when(m == 2, F.concat(F.lit("LAB-"), k)).otherwise("-")).alias("known"))
+    return o.select("o_orderkey", "src", "known", F.explode(T.citations(F.col("t"))).alias("cited")).select("o_orderkey", "cited", T.citation_state(F.col("cited"), F.col("known"), F.col("src")).alias("state"))
 
 
 @query("str16_section_chunks")
 def section_chunks(d: Data) -> DataFrame:
-    return T.section_chunks(d.documents, "doc_id", "text").select("doc_id", "chunk", F.length("body").alias("n"))
+    """Documents with a heading line before every tenth line, so that sections of all sizes come up."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    titled = F.array_join(F.transform(lines, lambda x, i: F.when(i % 10 == 9, F.concat(F.lit("SECTION "), i.cast("string"), F.lit(":\n"), x)).otherwise(x)), "\n")
+    c = T.section_chunks(d.documents.select("doc_id", "source", titled.alias("text")), "doc_id", "text", F.col("source"))
+    return c.select("doc_id", "chunk", "heading", F.length("body").alias("n"), F.md5("body").alias("digest"))
 
 
 @query("str21_stop_word_language")
@@ -159,14 +193,14 @@ def stop_word_language(d: Data) -> DataFrame:
     return d.documents.select("doc_id", T.stop_word_language(F.col("text")).alias("guess"), "lang")
 
 
-@query("str27_cache_key", r"SELECT item_id, sha256(trim(regexp_replace(lower('  What   IS ' || left(text, 20)), '\s+', ' ', 'g')) || chr(31) || 'k=5') AS key FROM benchmark")
+@query("str27_cache_key", r"SELECT item_id, sha256(trim(regexp_replace(lower('  What   IS ' || text), '\s+', ' ', 'g')) || chr(31) || 'k=5') AS key FROM benchmark")
 def cache_key(d: Data) -> DataFrame:
-    return d.benchmark.select("item_id", T.cache_key(F.concat(F.lit("  What   IS "), F.left("text", F.lit(20))), F.lit("k=5")).alias("key"))
+    return d.benchmark.select("item_id", T.cache_key(F.concat(F.lit("  What   IS "), "text"), F.lit("k=5")).alias("key"))
 
 
 @query("mth03_seeded_vectors")
 def seeded_vectors(d: Data) -> DataFrame:
-    return d.nation.select("n_nationkey", V.seeded_unit(8)("n_name").alias("v")).select("n_nationkey", F.round(R.dot(F.col("v"), F.col("v")), 9).alias("norm"))
+    return d.nation.select("n_nationkey", F.posexplode(V.seeded_unit(8)("n_name")).alias("dim", "value"))
 
 
 TREE = [("REGION", "PLACE"), ("NATION", "PLACE"), ("SUPPLIER", "PARTY"), ("CUSTOMER", "PARTY"), ("PARTY", "THING"), ("PLACE", "THING")]
@@ -181,12 +215,18 @@ def common_ancestor(d: Data) -> DataFrame:
 
 @query("grf07_semantic_groups")
 def semantic_groups(d: Data) -> DataFrame:
-    return O.kmeans_groups(d.embeddings, "vec_id", "embedding", 8)
+    return O.density_groups(d.embeddings, "vec_id", "embedding")
 
 
-@query("grf15_blend", "WITH s AS (SELECT s_suppkey, s_acctbal / 10000 AS t, s_nationkey / 25.0 - 0.3 AS c FROM supplier) SELECT s_suppkey, round(0.7 * t + 0.3 * greatest(0, c), 4) AS score FROM s")
+@query("grf15_blend", """
+WITH l AS (SELECT l_suppkey AS item, 'PART:' || CAST(l_partkey AS VARCHAR) AS entity, 'PART' AS kind, max(l_discount * 6 - 0.2) AS sim FROM lineitem GROUP BY 1, 2 UNION ALL SELECT s_suppkey, 'NATION:' || CAST(s_nationkey AS VARCHAR), 'LOCATION', 0.9 FROM supplier), b AS (SELECT item, max(sim) AS s, max_by(entity, (kind <> 'LOCATION', sim, entity)) AS label FROM l GROUP BY item)
+SELECT s_suppkey AS item, round(greatest(0, coalesce(s, 0)), 6) AS gnn, round(0.7 * s_acctbal / 10000 + 0.3 * greatest(0, coalesce(s, 0)), 6) AS final, label FROM supplier LEFT JOIN b ON item = s_suppkey""")
 def blend(d: Data) -> DataFrame:
-    return d.supplier.select("s_suppkey", F.round(0.7 * (F.col("s_acctbal") / 10000) + 0.3 * F.greatest(F.lit(0.0), F.col("s_nationkey") / 25.0 - 0.3), 4).alias("score"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")).alias("entity")
+    links = d.lineitem.groupBy(F.col("l_suppkey").alias("item"), name("PART", "l_partkey")).agg(F.max(F.col("l_discount") * 6 - 0.2).alias("similarity")).select("item", "entity", F.lit("PART").alias("kind"), "similarity")
+    links = links.unionByName(d.supplier.select(F.col("s_suppkey").alias("item"), name("NATION", "s_nationkey"), F.lit("LOCATION").alias("kind"), F.lit(0.9).alias("similarity")))
+    out = G.blended(d.supplier.select(F.col("s_suppkey").alias("item"), (F.col("s_acctbal") / 10000).alias("text")), links)
+    return out.select("item", F.round("gnn", 6).alias("gnn"), F.round("final", 6).alias("final"), "label")
 
 
 @query("grf21_entailed", """
@@ -207,13 +247,26 @@ def property_rules(d: Data) -> DataFrame:
 
 @query("grf25_confident_relations", "SELECT src, rel, tgt FROM relations WHERE confidence >= 0.9")
 def confident_relations(d: Data) -> DataFrame:
-    return d.relations.where("confidence >= 0.9").select("src", "rel", "tgt")
+    return O.confident(d.relations, 0.9).toDF("src", "rel", "tgt")
+
+
+@query("grf25_triple_lookups", """
+SELECT 'relation' AS kind, 'NATION:7' AS s, rel AS p, tgt AS o FROM relations WHERE src = 'NATION:7' UNION ALL SELECT 'subclass', a, 'subClassOf', b FROM (VALUES ('REGION', 'PLACE'), ('NATION', 'PLACE')) t(a, b) UNION ALL SELECT 'confident', src, rel, tgt FROM relations WHERE confidence >= 0.9""")
+def triple_lookups(d: Data) -> DataFrame:
+    tree = d.spark.createDataFrame([(a, "subClassOf", b) for a, b in TREE], "s string, p string, o string")
+    t = d.relations.select(F.col("src").alias("s"), F.col("rel").alias("p"), F.col("tgt").alias("o")).unionByName(d.entities.select(F.col("id").alias("s"), F.lit("type").alias("p"), F.col("type").alias("o"))).unionByName(d.entities.select(F.col("id").alias("s"), F.lit("label").alias("p"), F.col("name").alias("o"))).unionByName(tree)
+    found = {"relation": O.relations_of(t, "NATION:7"), "subclass": O.subclass_pairs(t, "PLACE"), "confident": O.confident(d.relations, 0.9)}
+    out = None
+    for kind, df in found.items():
+        df = df.select(F.lit(kind).alias("kind"), "s", "p", "o")
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 @query("grf27_translations")
 def translations(d: Data) -> DataFrame:
-    nodes = d.entities.where("type IN ('NATION', 'REGION', 'SUPPLIER')").select(F.col("id").alias("node"), V.seeded_unit(8)("id").alias("vector"))
-    return O.translations(d.relations, nodes).select("rel", F.size("vector").alias("dims"))
+    nodes = d.entities.where("type IN ('NATION', 'REGION', 'SUPPLIER', 'CUSTOMER')").select(F.col("id").alias("node"), V.seeded_unit(8)("id").alias("vector"))
+    return O.translations(d.relations, nodes, 8).select("rel", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("ret02_approximate")
@@ -221,32 +274,69 @@ def approximate(d: Data) -> DataFrame:
     return O.ann_search(d.embeddings.where("vec_id % 20 = 0"), d.embeddings, 10)
 
 
-@query("ret04_as_of_snapshots", "WITH s AS (SELECT vec_id, label, vec_id % 28 + 1 AS day FROM embeddings) SELECT label, max(vec_id) AS vec_id FROM s WHERE day <= 15 AND day + 10 > 15 GROUP BY label")
+SNAPSHOTS = """v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), t AS (SELECT vec_id, label % 3 AS level, 't' || CAST(vec_id % 3 AS VARCHAR) AS tenant, CASE WHEN vec_id % 11 <> 0 THEN vec_id % 28 + 1 END AS vf, CASE WHEN vec_id % 13 <> 0 THEN vec_id % 28 + 11 END AS vt, vec_id % 28 + 3 AS kf, CASE WHEN vec_id % 5 = 0 THEN vec_id % 28 + 8 END AS kt FROM embeddings),
+seen AS (SELECT v.vec_id, level, e FROM v JOIN t ON t.vec_id = v.vec_id WHERE tenant = 't1' AND (vf IS NULL OR vf <= 15) AND (vt IS NULL OR vt > 15) AND kf <= 16 AND (kt IS NULL OR kt > 16)),
+n AS (SELECT a.vec_id AS query_id, b.vec_id, b.level, list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) AS score FROM v a JOIN seen b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS place FROM n)"""
+
+
+def found_communities(d: Data) -> DataFrame:
+    day, k = F.col("vec_id") % 28, F.col("vec_id")
+    snapshots = d.embeddings.select("vec_id", "embedding", (F.col("label") % 3).alias("level"), F.concat(F.lit("t"), (k % 3).cast("string")).alias("tenant"), F.when(k % 11 != 0, day + 1).alias("valid_from"), F.when(k % 13 != 0, day + 11).alias("valid_to"), (day + 3).alias("known_from"), F.when(k % 5 == 0, day + 8).alias("known_to"))
+    return R.community_search(d.embeddings.where("vec_id % 20 = 0"), snapshots, 5, "t1", F.lit(15), F.lit(16))
+
+
+@query("ret04_as_of_snapshots", f"WITH {SNAPSHOTS} SELECT query_id, vec_id, level, round(score, 6) AS score, place FROM found WHERE place <= 5")
 def as_of_snapshots(d: Data) -> DataFrame:
-    day = F.col("vec_id") % 28 + 1
-    return d.embeddings.where((day <= 15) & (day + 10 > 15)).groupBy("label").agg(F.max("vec_id").alias("vec_id"))
+    return found_communities(d).withColumn("score", F.round("score", 6))
+
+
+POOL = f"""{BM25}, pool AS (SELECT query_id, b.doc_id, source, (n_chars * 7 + b.doc_id) % 1009 AS score, CASE WHEN source = 'src' || CAST(query_id % 20 AS VARCHAR) THEN 0 END AS code, row_number() OVER (PARTITION BY query_id ORDER BY round(b.score, 6) DESC, b.doc_id) - 1 AS rank FROM b JOIN documents ON documents.doc_id = b.doc_id)"""
 
 
-@query("ret07_diverse_rerank", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE n_chars >= 500) SELECT doc_id, source FROM r WHERE r = 1")
+def candidate_chunks(d: Data) -> DataFrame:
+    """The 20 best documents of each benchmark item by BM25; the model's score is a stand-in."""
+    pool = R.ranked(R.bm25(d.documents, d.benchmark, "doc_id", "item_id").withColumn("s", F.round("score", 6)), "query_id", "s", "doc_id", 20)
+    named = F.when(F.col("source") == F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")), 0)
+    return pool.join(d.documents.select("doc_id", "source", "n_chars"), "doc_id").select("query_id", "doc_id", "source", "rank", ((F.col("n_chars") * 7 + F.col("doc_id")) % 1009).alias("score"), named.alias("code"))
+
+
+@query("ret07_diverse_rerank", f"""
+WITH {POOL}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) - 1 AS rr, least(5, count(*) OVER (PARTITION BY query_id)) AS k FROM pool WHERE rank < 20), b1 AS (SELECT *, rank < 2 AND rr >= 5 AS fl FROM a), b2 AS (SELECT *, fl OR rr < k - sum(fl::INT) OVER (PARTITION BY query_id) AS s1 FROM b1),
+b3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT s1, NOT fl, CASE WHEN fl THEN rank ELSE rr END) AS p1, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) = 1 AS f FROM b2), b4 AS (SELECT *, f AND sum(f::INT) OVER (PARTITION BY query_id ORDER BY rank) <= 3 AS dv FROM b3), b5 AS (SELECT * REPLACE (dv AND sum(dv::INT) OVER (PARTITION BY query_id) > 1 AND k > 1 AS dv) FROM b4),
+b6 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN dv THEN 0 WHEN s1 THEN 1 ELSE 2 END, CASE WHEN dv THEN rank ELSE p1 END) AS p2 FROM b5), b7 AS (SELECT *, (dv OR s1) AND p2 <= k AS s2 FROM b6), nm AS (SELECT query_id, min(rank) AS rank FROM b7 WHERE code = 0 AND NOT s2 GROUP BY query_id), b8 AS (SELECT b7.*, nm.rank IS NOT NULL AS named FROM b7 LEFT JOIN nm ON nm.query_id = b7.query_id AND nm.rank = b7.rank),
+z AS (SELECT query_id, doc_id, k, row_number() OVER (PARTITION BY query_id ORDER BY NOT named, NOT (fl AND s2), p2) AS place FROM b8 WHERE s2 OR named) SELECT query_id, doc_id, place FROM z WHERE place <= k""")
 def diverse_rerank(d: Data) -> DataFrame:
-    return R.ranked(d.documents.where("n_chars >= 500").select("doc_id", "source", "n_chars"), "source", "n_chars", "doc_id", 1).select("doc_id", "source")
+    return R.reranked(candidate_chunks(d), "query_id", "doc_id", "source")
 
 
 @query("ret09_local_search")
 def local_search(d: Data) -> DataFrame:
-    """Lexical and vector ranks fused, then a tie-break by the length of the text; a query is a benchmark item and the vector of its id."""
+    """Every benchmark item is a question; the vector of a question or a document is that of its id. Lexical and vector ranks
+    are fused and reranked, the seeds' three nearest documents join as hops, scores are blended with the similarity to the
+    question, and weak answers are tie-broken by authority (a stand-in)."""
     lexical = R.ranked(R.bm25(d.documents, d.benchmark, "doc_id", "item_id").withColumn("s", F.round("score", 6)), "query_id", "s", "doc_id", 50)
+    vectors = d.embeddings.join(d.documents.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     asked = d.embeddings.join(d.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    near = R.knn(asked, d.embeddings, 50).select("query_id", F.col("vec_id").alias("doc_id"), (F.col("place") - 1).alias("rank"))
-    fused = R.fused([lexical, near], "query_id", "doc_id").join(d.documents.select("doc_id", "n_chars"), "doc_id")
-    return R.ranked(fused.withColumn("s", F.round(F.col("score") + 1e-6 * F.least(F.col("n_chars"), F.lit(9999)) / 9999, 12)), "query_id", "s", "doc_id", 10).select("query_id", "doc_id", "rank")
-
-
-@query("ret11_global_context", "WITH r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT doc_id, n_chars FROM documents WHERE lang = 'de' ORDER BY n_chars DESC, doc_id LIMIT 20)) SELECT doc_id, CAST(least(n_chars, 50000 - (used - n_chars)) AS BIGINT) AS taken FROM r WHERE used - n_chars < 50000")
+    near = R.knn(asked, vectors, 50).select("query_id", F.col("vec_id").alias("doc_id"), (F.col("place") - 1).alias("rank"))
+    fused = R.ranked(R.fused([lexical, near], "query_id", "doc_id").withColumn("s", F.round("score", 9)), "query_id", "s", "doc_id", 50)
+    pool = fused.join(d.documents.select("doc_id", "source", "n_chars"), "doc_id").select("query_id", "doc_id", "source", "rank", ((F.col("n_chars") * 7 + F.col("doc_id")) % 1009).alias("score"), F.lit(None).cast("int").alias("code"))
+    seeds = written(R.reranked(pool, "query_id", "doc_id", "source"))
+    edges = R.knn(vectors.join(seeds.select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi"), vectors, 3).select(F.col("query_id").alias("src"), F.col("vec_id").alias("tgt"), F.greatest(F.lit(0.0), "score").alias("score"))
+    text = R.with_hops(seeds, edges, "query_id", "doc_id")
+    x, y = d.embeddings.select(F.col("vec_id").alias("query_id"), R.unit(F.col("embedding")).alias("x")), d.embeddings.select(F.col("vec_id").alias("doc_id"), R.unit(F.col("embedding")).alias("y"))
+    gnn = F.greatest(F.lit(0.0), F.coalesce(R.dot(F.col("x"), F.col("y")), F.lit(0.0)))
+    scored = text.join(x, "query_id", "left").join(y, "doc_id", "left").join(d.documents.select("doc_id", (F.col("n_chars") / 1000).alias("authority")), "doc_id", "left")
+    final = R.tiebroken(scored.select("query_id", "doc_id", F.round(0.7 * F.col("text") + 0.3 * gnn, 9).alias("final"), "authority"), "query_id", "doc_id")
+    return final.where("place <= 10").select("query_id", "doc_id", F.round("final", 6).alias("final"), "place")
+
+
+@query("ret11_global_context", f"""
+WITH {SNAPSHOTS}, c AS (SELECT query_id, vec_id, place, trim(text) AS t, '[Community ' || CAST(vec_id AS VARCHAR) || ' | Level ' || CAST(level AS VARCHAR) || ' | Similarity ' || printf('%.3f', score) || ']' || chr(10) AS h FROM found JOIN documents ON doc_id = vec_id WHERE place <= 5 AND trim(coalesce(text, '')) <> ''),
+u AS (SELECT *, 6000 - (sum(length(h) + length(t)) OVER (PARTITION BY query_id ORDER BY place) - length(h) - length(t)) - length(h) AS left_ FROM c) SELECT query_id, vec_id, place, CAST(least(length(t), left_) AS INTEGER) AS taken, md5(h || substr(t, 1, CAST(least(length(t), left_) AS BIGINT))) AS digest FROM u WHERE left_ > 0""")
 def global_context(d: Data) -> DataFrame:
-    top = d.documents.where("lang = 'de'").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(20)
-    used = F.sum("n_chars").over(Window.orderBy(F.desc("n_chars"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return top.withColumn("used", used).where("used - n_chars < 50000").select("doc_id", F.least(F.col("n_chars"), 50000 - (F.col("used") - F.col("n_chars"))).alias("taken"))
+    """The nearest communities as of a moment, of which the document of the same id is the summary."""
+    found = found_communities(d).join(d.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    return R.direct_context(found, "query_id", "vec_id", "text", 6000).select("query_id", "vec_id", "place", "taken", F.md5("part").alias("digest"))
 
 
 @query("ret12_context_dedup", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(lower(left(text, 300)))")
@@ -346,10 +436,12 @@ def candidate_pool(d: Data) -> DataFrame:
     return pool.select("s_suppkey", far.alias("d")).orderBy("d", "s_suppkey").limit(50)
 
 
-@query("str13_egress", "SELECT conv_id, turn, regexp_replace('mail a.b@c.org or ' || coalesce(left(text, 10), ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS safe FROM conversations")
+@query("str13_egress", r"""
+SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace('mail a.b@c.org, card 4111 1111 1111 1111, 123-45-6789 or (555) 123-4567: ' || coalesce(text, ''), '\b(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,4}\b', '[CARD_REDACTED]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN_REDACTED]', 'g'),
+'\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b', '[PHONE_REDACTED]', 'g'), '\b[\w.+-]+@[\w-]+\.[\w.-]+\b', '[EMAIL_REDACTED]', 'g') AS safe FROM conversations""")
 def egress(d: Data) -> DataFrame:
-    t = F.concat(F.lit("mail a.b@c.org or "), F.coalesce(F.left("text", F.lit(10)), F.lit("")))
-    return d.conversations.select("conv_id", "turn", T.redacted(t).alias("safe"))
+    t = F.concat(F.lit("mail a.b@c.org, card 4111 1111 1111 1111, 123-45-6789 or (555) 123-4567: "), F.coalesce("text", F.lit("")))
+    return d.conversations.select("conv_id", "turn", T.egress(t).alias("safe"))
 
 
 @query("stm03_at_least_once", "SELECT count(*) AS n, count(DISTINCT event_id) AS events FROM events")
@@ -360,3 +452,34 @@ def at_least_once(d: Data) -> DataFrame:
     rows = S.once(S.read(d.spark, f"{d.dir}/events.parquet").select("event_id", "value"), "append")
     sink = insert_new(rows.limit(0), rows.unionAll(rows), "event_id", "value")
     return sink.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
+
+
+@query("ret12_context")
+def context_of(d: Data) -> DataFrame:
+    """The contexts of all benchmark items, from their 20 best documents; documents of an odd id count as reached by the graph."""
+    pool = candidate_chunks(d).join(d.documents.select("doc_id", "text"), "doc_id")
+    return R.context(pool.select("query_id", "doc_id", "text", F.col("score").cast("double").alias("score"), (F.col("doc_id") % 2 == 1).alias("hop"), (F.col("score") / 1009).alias("graph")), "query_id", "doc_id", "text", 5, 2)
+
+
+@query("ret16_ranking_metrics", """
+WITH t AS (SELECT o_custkey AS q, o_orderkey AS i, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders WHERE o_custkey % 9 <> 0), g AS (SELECT DISTINCT o_custkey AS q, o_orderkey AS i FROM orders WHERE o_orderstatus = 'F'), top AS (SELECT * FROM t WHERE place <= 5), h AS (SELECT top.q, count(*) AS shown, count(g.i) AS hits, count(DISTINCT g.i) AS found, min(CASE WHEN g.i IS NOT NULL THEN place END) AS first FROM top LEFT JOIN g ON g.q = top.q AND g.i = top.i GROUP BY top.q), n AS (SELECT q, count(*) AS gold FROM g GROUP BY q)
+SELECT coalesce(h.q, n.q) AS q, round(CASE WHEN coalesce(shown, 0) = 0 THEN 0.0 ELSE hits / CAST(shown AS DOUBLE) END, 6) AS precision_at_k, round(CASE WHEN coalesce(gold, 0) = 0 THEN 1.0 ELSE coalesce(found, 0) / CAST(gold AS DOUBLE) END, 6) AS recall_at_k, round(coalesce(1.0 / first, 0.0), 6) AS mrr FROM h FULL OUTER JOIN n ON n.q = h.q""")
+def ranking_metrics(d: Data) -> DataFrame:
+    shown = R.ranked(d.orders.where("o_custkey % 9 <> 0").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("i"), "o_totalprice"), "q", "o_totalprice", "i").withColumn("place", F.col("rank") + 1)
+    gold = d.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("i"))
+    m = R.ranking_metrics(shown, gold, "q", "i", 5)
+    return m.select("q", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "recall_at_k", "mrr")])
+
+
+@query("src03_database_scan", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+def database_scan(d: Data) -> DataFrame:
+    """Through a database's JDBC source, in ranges of the key: the session's ``graphloom.jdbc.url``, or the one embedded in Spark."""
+    from graphloom.sources.relational import read_jdbc
+
+    url = d.spark.conf.get("graphloom.jdbc.url", "jdbc:derby:memory:graphloom;create=true")
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"} if url.startswith("jdbc:derby") else {}
+    name = f"customer_{uuid.uuid4().hex[:8]}"
+    d.customer.select("c_custkey", "c_name", "c_nationkey").write.format("jdbc").options(url=url, dbtable=name, **options).save()
+    most = d.customer.agg(F.max("c_custkey")).head()[0] or 0
+    found = read_jdbc(d.spark, url, name, partitionColumn="C_CUSTKEY" if options else "c_custkey", lowerBound="0", upperBound=str(most), numPartitions="4", **options)
+    return found.toDF(*[c.lower() for c in found.columns])

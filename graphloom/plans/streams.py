@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.registry import query
-from graphloom.session import Data
+from graphloom.session import Data, scratch
 from graphloom.streaming import event_log as S
 
 
@@ -62,3 +62,22 @@ def sliding(d: Data) -> DataFrame:
 WITH l AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR > ts THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM l) SELECT CAST(floor(epoch(min(ts))) AS BIGINT) AS started, user_id, count(*) AS n FROM s GROUP BY user_id, s""")
 def sessions(d: Data) -> DataFrame:
     return S.once(S.sessions(log(d), "2 hours", "user_id"), "complete")
+
+
+@query("stm03_work_queue", "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 'done' ELSE 'dead' END AS outcome, least(event_id % 5 + 1, 3) AS attempt FROM events")
+def work_queue(d: Data) -> DataFrame:
+    """Handling fails event_id % 5 times; after three attempts an event is dead."""
+    at = scratch(d.spark)
+    d.events.select("event_id", (F.col("event_id") % 5).alias("fails"), F.lit(0).cast("long").alias("attempt")).write.parquet(f"{at}/queue")
+    S.work_queue(d.spark, f"{at}/queue", f"{at}/done", f"{at}/dead", lambda b: F.col("attempt") >= F.col("fails"))
+    out = d.spark.read.parquet(f"{at}/done").select("event_id", F.lit("done").alias("outcome"), "attempt").unionByName(d.spark.read.parquet(f"{at}/dead").select("event_id", F.lit("dead").alias("outcome"), "attempt"))
+    return out.dropDuplicates(["event_id"])
+
+
+@query("stm05_reaper", """
+WITH c AS (SELECT o_orderkey AS item, o_orderkey % 4 AS attempt, CASE WHEN o_custkey % 20 <> 3 THEN o_orderdate END AS claimed FROM orders), f AS (SELECT *, coalesce(claimed + INTERVAL 30 DAY > TIMESTAMP '1998-01-15', false) AS fresh FROM c)
+SELECT item, CASE WHEN fresh THEN attempt ELSE attempt + 1 END AS attempt, CASE WHEN fresh THEN 'kept' WHEN attempt + 1 >= 3 THEN 'dead' ELSE 'requeued' END AS outcome FROM f""")
+def reaper(d: Data) -> DataFrame:
+    """Every order is claimed by a worker at its date; one worker in twenty has lost its claim's time."""
+    c = d.orders.select(F.col("o_orderkey").alias("item"), (F.col("o_orderkey") % 4).alias("attempt"), F.when(F.col("o_custkey") % 20 != 3, F.col("o_orderdate").cast("timestamp")).alias("claimed_at"))
+    return S.reaped(c, F.lit("1998-01-15").cast("timestamp"), "30 DAYS", 3)

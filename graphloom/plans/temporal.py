@@ -20,10 +20,14 @@ def as_of_edges(d: Data) -> DataFrame:
     return seen.groupBy("src", "tgt").agg(F.count("*").alias("n"))
 
 
-@query("tmp02_transaction_diff", "SELECT rel, count(CASE WHEN recorded_at > DATE '1996-01-01' AND recorded_at <= DATE '1997-01-01' THEN 1 END) AS added, count(*) AS total FROM evidence WHERE recorded_at <= DATE '1997-01-01' GROUP BY rel")
+@query("tmp02_transaction_diff", """
+WITH n AS (SELECT id, CASE WHEN id LIKE '%:7' THEN NULL ELSE min(r) END AS r, id LIKE '%9' AS quarantined FROM (SELECT src AS id, recorded_at AS r FROM evidence UNION ALL SELECT tgt, recorded_at FROM evidence) GROUP BY id), e AS (SELECT src, tgt, min(recorded_at) AS r FROM evidence GROUP BY src, tgt)
+SELECT (SELECT count(*) FROM n WHERE NOT quarantined AND r > DATE '1996-01-01' AND r <= DATE '1997-01-01') AS new_entities, (SELECT count(*) FROM e WHERE r > DATE '1996-01-01' AND r <= DATE '1997-01-01') AS new_edges, (SELECT count(*) FROM n WHERE NOT quarantined AND (r IS NULL OR r <= DATE '1997-01-01')) AS entity_count, (SELECT count(*) FROM e WHERE r IS NULL OR r <= DATE '1997-01-01') AS edge_count""")
 def transaction_diff(d: Data) -> DataFrame:
-    r = F.col("recorded_at")
-    return d.evidence.where(r <= "1997-01-01").groupBy("rel").agg(F.count_if(r > "1996-01-01").alias("added"), F.count("*").alias("total"))
+    ends = d.evidence.select(F.explode(F.array("src", "tgt")).alias("id"), "recorded_at")
+    n = ends.groupBy("id").agg(F.min("recorded_at").alias("recorded_at")).select("id", F.when(~F.col("id").endswith(":7"), F.col("recorded_at")).alias("recorded_at"), F.col("id").endswith("9").alias("quarantined"))
+    e = d.evidence.groupBy("src", "tgt").agg(F.min("recorded_at").alias("recorded_at"))
+    return T.transaction_diff(n, e, F.lit("1996-01-01").cast("date"), F.lit("1997-01-01").cast("date"))
 
 
 @query("tmp03_history", "SELECT seq, stage, CAST(changed AS VARCHAR) AS changed FROM changes WHERE deal = 10")
@@ -45,10 +49,9 @@ def snapshot_diff(d: Data) -> DataFrame:
     return T.metric_diff(of(d.orders.where("o_orderdate < TIMESTAMP '1997-01-01'")), of(d.orders))
 
 
-@query("tmp06_integrity_hash", "SELECT tenant, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest FROM entities WHERE type IN ('REGION', 'NATION') GROUP BY tenant")
+@query("tmp06_integrity_hash", "WITH b AS (SELECT tenant, left(sha256(id), 3) AS b, sha256(string_agg(id, chr(10) ORDER BY id)) AS d FROM entities GROUP BY tenant, left(sha256(id), 3)) SELECT tenant, sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM b GROUP BY tenant")
 def integrity_hash(d: Data) -> DataFrame:
-    e = d.entities.where(F.col("type").isin("REGION", "NATION"))
-    return e.groupBy("tenant").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("digest"))
+    return T.integrity_digest(d.entities, "tenant", "id")
 
 
 @query("tmp07_reconcile", """
@@ -74,11 +77,15 @@ def guarded_transition(d: Data) -> DataFrame:
     return T.valid_transitions(d.changes, "deal", ["changed", "seq"], "stage", ok).groupBy("ok").agg(F.count("*").alias("n"))
 
 
-@query("tmp12_lifecycle", "SELECT count(*) AS n FROM (SELECT stage, lag(stage) OVER (PARTITION BY deal ORDER BY changed, seq) AS p FROM changes) WHERE p = 'O' AND stage = 'F'")
+@query("tmp12_lifecycle", """
+WITH RECURSIVE m(s, t) AS (VALUES ('open', 'remediating'), ('open', 'accepted_risk'), ('remediating', 'resolved'), ('remediating', 'open'), ('remediating', 'accepted_risk'), ('resolved', 'open'), ('accepted_risk', 'open')),
+e AS (SELECT deal, seq, CASE seq % 4 WHEN 0 THEN 'remediating' WHEN 1 THEN 'resolved' WHEN 2 THEN 'open' ELSE 'accepted_risk' END AS target, row_number() OVER (PARTITION BY deal ORDER BY changed, seq) AS i FROM changes),
+r AS (SELECT deal, seq, i, 'open' AS state, target, EXISTS (SELECT 1 FROM m WHERE s = 'open' AND t = target) AS ok FROM e WHERE i = 1 UNION ALL SELECT e.deal, e.seq, e.i, CASE WHEN r.ok THEN r.target ELSE r.state END, e.target, EXISTS (SELECT 1 FROM m WHERE s = CASE WHEN r.ok THEN r.target ELSE r.state END AND t = e.target) FROM r JOIN e ON e.deal = r.deal AND e.i = r.i + 1)
+SELECT deal, seq, state, target, ok FROM r""")
 def lifecycle(d: Data) -> DataFrame:
-    from graphloom.operators.windows import changes
-
-    return changes(d.changes, "deal", ["changed", "seq"], "stage").where("previous = 'O' AND stage = 'F'").agg(F.count("*").alias("n"))
+    k = F.col("seq") % 4
+    moves = d.changes.select("deal", "changed", "seq", F.when(k == 0, "remediating").when(k == 1, "resolved").when(k == 2, "open").otherwise("accepted_risk").alias("target"))
+    return T.guarded_moves(moves, "deal", ["changed", "seq"], "target", "open", T.MOVES["finding"]).select("deal", "seq", "state", "target", "ok")
 
 
 @query("tmp13_staleness", """
@@ -104,9 +111,11 @@ def mentions(d: Data) -> DataFrame:
     return d.lineitem.select("l_orderkey", "l_partkey").dropDuplicates()
 
 
-@query("snk05_stale_chunks", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3")
+@query("snk05_stale_chunks", "SELECT l_orderkey AS doc, l_linenumber - 1 AS chunk FROM lineitem WHERE l_orderkey % 3 <> 0 AND l_linenumber - 1 >= l_orderkey % 5")
 def stale_chunks(d: Data) -> DataFrame:
-    return d.lineitem.where("l_linenumber <= 3").select("l_orderkey", "l_linenumber")
+    chunks = d.lineitem.select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") - 1).alias("chunk"))
+    kept = d.orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("doc"), (F.col("o_orderkey") % 5).alias("keep"))
+    return T.stale_chunks(chunks, kept, "doc", "chunk", "keep")
 
 
 @query("snk06_reconciled_evidence", "SELECT src, tgt, count(DISTINCT doc) AS docs FROM evidence WHERE doc % 5 <> 0 GROUP BY src, tgt")
@@ -211,3 +220,75 @@ def apply_calibration(d: Data) -> DataFrame:
 def provenance(d: Data) -> DataFrame:
     n = d.claims.select(F.explode(F.array(F.struct(F.lit("claim").alias("kind"), F.col("claim_id").cast("string").alias("id")), F.struct(F.lit("subject").alias("kind"), F.col("subject").cast("string").alias("id")), F.struct(F.lit("predicate").alias("kind"), F.col("predicate").alias("id")))).alias("x")).select("x.*")
     return n.distinct().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("gov01_contradictions", """
+WITH e AS (SELECT DISTINCT src, tgt FROM evidence), p AS (SELECT c_nationkey % 7 AS a, c_custkey % 11 AS b FROM customer), ring AS (SELECT DISTINCT 'N' || CAST(a AS VARCHAR) AS src, CASE WHEN (a + b) % 3 = 0 THEN 'RELATED_TO' ELSE 'SUPERSEDES' END AS rel, 'N' || CAST(b AS VARCHAR) AS tgt FROM p),
+st AS (SELECT l_partkey AS e, CASE l_returnflag WHEN 'A' THEN 'IS_ACTIVE' ELSE 'IS_DEPRECATED' END AS rel, l_orderkey AS doc FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+ex AS (SELECT 'PART:' || CAST(e AS VARCHAR) AS src, count(DISTINCT doc) AS docs FROM st GROUP BY e HAVING count(DISTINCT rel) = 2 AND count(DISTINCT doc) > 1),
+fv AS (SELECT tgt AS src, count(DISTINCT src) AS n, count(DISTINCT doc) AS docs FROM evidence GROUP BY tgt HAVING count(DISTINCT src) > 1),
+pn AS (SELECT src, tgt, count(DISTINCT doc) AS docs FROM evidence WHERE confidence >= 0.85 OR confidence <= 0.55 GROUP BY src, tgt HAVING max(confidence) >= 0.85 AND min(confidence) <= 0.55),
+x AS (SELECT 'directional_reversal' AS kind, a.src, a.rel, a.tgt, 0 AS docs FROM ring a JOIN ring b ON b.src = a.tgt AND b.tgt = a.src AND b.rel = a.rel WHERE a.rel <> 'RELATED_TO' AND a.src < a.tgt UNION ALL SELECT 'exclusive_state', src, 'IS_ACTIVE vs IS_DEPRECATED', '', docs FROM ex
+UNION ALL SELECT 'functional_violation', src, 'SUPPLIED_BY', '', docs FROM fv UNION ALL SELECT 'positive_negative_pair', src, 'SUPPLIES', tgt, docs FROM pn)
+SELECT kind, src, rel, tgt, CAST(docs AS BIGINT) AS docs FROM x WHERE NOT (kind = 'functional_violation' AND right(src, 1) = '3')""")
+def contradictions(d: Data) -> DataFrame:
+    """All four kinds at once, but for those that stand open already (parts that end in 3)."""
+    n = lambda c: F.concat(F.lit("N"), c.cast("string"))
+    a, b = F.col("c_nationkey") % 7, F.col("c_custkey") % 11
+    ring = d.customer.select(n(a).alias("src"), F.when((a + b) % 3 == 0, "RELATED_TO").otherwise("SUPERSEDES").alias("rel"), n(b).alias("tgt"), F.lit(None).cast("long").alias("doc"))
+    part = F.concat(F.lit("PART:"), F.col("l_partkey").cast("string"))
+    states = d.lineitem.where("l_returnflag IN ('A', 'R')").select(part.alias("src"), F.when(F.col("l_returnflag") == "A", "IS_ACTIVE").otherwise("IS_DEPRECATED").alias("rel"), F.lit("").alias("tgt"), F.col("l_orderkey").alias("doc"))
+    supplied = d.evidence.select(F.col("tgt").alias("src"), F.lit("SUPPLIED_BY").alias("rel"), F.col("src").alias("tgt"), "doc")
+    said = lambda c: d.evidence.where(c).select("src", "rel", "tgt", "doc")
+    edges = ring.unionByName(states).unionByName(supplied).unionByName(said("confidence >= 0.85"))
+    known = d.part.select(F.lit("functional_violation").alias("kind"), F.concat(F.lit("PART:"), F.col("p_partkey").cast("string")).alias("src"), F.lit("SUPPLIED_BY").alias("rel"), F.lit("").alias("tgt")).where(F.col("src").endswith("3"))
+    return G.contradictions(edges, said("confidence <= 0.55"), [("IS_ACTIVE", "IS_DEPRECATED")], ["SUPPLIED_BY"], known)
+
+
+@query("gov03_remaining", """
+WITH gone AS (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(CASE WHEN l_orderkey % 50 <> 0 THEN 1 END) = 0)
+SELECT 'mention' AS kind, CAST(l_orderkey AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b, count(*) AS n FROM lineitem WHERE l_orderkey % 50 <> 0 GROUP BY 2, 3 UNION ALL SELECT 'entity', CAST(p_partkey AS VARCHAR), NULL, 1 FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM gone)
+UNION ALL SELECT 'edge', CAST(l_suppkey AS VARCHAR), CAST(l_partkey AS VARCHAR), count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM gone) GROUP BY 2, 3 UNION ALL SELECT 'audit', 'entities', NULL, (SELECT count(*) FROM gone) UNION ALL SELECT 'audit', 'mentions', NULL, (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 = 0)
+UNION ALL SELECT 'audit', 'edges', NULL, (SELECT count(*) FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM gone))""")
+def remaining(d: Data) -> DataFrame:
+    """What is left when every fiftieth order is forgotten: orders mention parts, suppliers are linked to parts."""
+    mentions = d.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("entity"))
+    edges = d.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("tgt"))
+    left = G.forget_documents(mentions, d.part.select(F.col("p_partkey").alias("entity")), edges.withColumn("ends", F.array("tgt")), F.col("doc") % 50 == 0)
+    s = lambda c: F.col(c).cast("string")
+    out = left["mentions"].groupBy("doc", "entity").agg(F.count("*").alias("n")).select(F.lit("mention").alias("kind"), s("doc").alias("a"), s("entity").alias("b"), "n")
+    out = out.unionByName(left["entities"].select(F.lit("entity").alias("kind"), s("entity").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1).cast("long").alias("n")))
+    out = out.unionByName(left["edges"].groupBy("src", "tgt").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), s("src").alias("a"), s("tgt").alias("b"), "n"))
+    return out.unionByName(left["audit"].select(F.lit("audit").alias("kind"), F.col("what").alias("a"), F.lit(None).cast("string").alias("b"), "n"))
+
+
+@query("gov12_claim_graph", r"""
+WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS context, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS q, role FROM conversations), ans AS (SELECT *, (conv_id % 11) / 10.0 AS faith, CASE conv_id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'retrieve' ELSE 'abstain' END AS decision FROM a WHERE role = 'assistant'),
+c AS (SELECT q, decision, unnest(list_filter([trim(s, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) FOR s IN string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(31), 'g'), chr(31))], lambda s: s <> '')) AS s, generate_subscripts(list_filter([trim(s, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) FOR s IN string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(31), 'g'), chr(31))], lambda s: s <> ''), 1) - 1 AS i FROM ans),
+cl AS (SELECT q, decision, 'claim:' || q || ':' || CAST(i AS VARCHAR) AS claim FROM c), ar AS (SELECT q, 'artifact:' || q || ':document:' || CAST(conv_id AS VARCHAR) AS artifact FROM ans UNION ALL SELECT q, 'artifact:' || q || ':context:' || left(sha256(context), 16) FROM ans)
+SELECT claim AS src, 'PRODUCED_BY' AS rel, 'action:' || q AS tgt FROM cl UNION ALL SELECT claim, 'SUPPORTED_BY', artifact FROM cl JOIN ar USING (q) UNION ALL SELECT claim, 'VALIDATED_BY', 'check:' || q || ':faithfulness' FROM cl UNION ALL SELECT claim, 'VALIDATED_BY', 'check:' || q || ':judge' FROM cl WHERE decision = 'accept'""")
+def claim_graph(d: Data) -> DataFrame:
+    """Each answer of a conversation with the turn before it as what was retrieved."""
+    from pyspark.sql.window import Window
+
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    a = d.conversations.withColumn("context", before).where("role = 'assistant'")
+    k = F.col("conv_id") % 3
+    results = a.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text", F.array(F.col("conv_id").cast("string")).alias("citations"), F.array("context").alias("contexts"), ((F.col("conv_id") % 11) / 10).alias("faithfulness"), F.when(k == 0, "accept").when(k == 1, "retrieve").otherwise("abstain").alias("decision"))
+    return G.claim_graph(results)["edges"]
+
+
+@query("gov10_judge_flow", r"""
+WITH a AS (SELECT conv_id, turn, role, coalesce(text, '') AS answer, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS ref FROM conversations), t AS (SELECT conv_id, turn, answer, list_distinct(regexp_extract_all(lower(answer), '[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}_]+)*')) AS x, list_distinct(regexp_extract_all(lower(ref), '[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}_]+)*')) AS y, CASE WHEN conv_id % 4 = 0 THEN NULL ELSE (turn * 37 + conv_id * 11) % 101 / 100.0 END AS found FROM a WHERE role = 'assistant'),
+c AS (SELECT *, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) END AS conf FROM t), f AS (SELECT *, trim(answer, ' ' || chr(10) || chr(9) || chr(13)) = '' OR regexp_matches(lower(answer), REFUSAL) AS none FROM c)
+SELECT conv_id, turn, CASE WHEN none THEN 'abstain' WHEN conf >= 0.3 THEN 'accept' WHEN found IS NULL THEN 'abstain' WHEN found >= 0.3 THEN 'accept' ELSE 'abstain' END AS decision, round(CASE WHEN none OR conf >= 0.3 OR found IS NULL THEN conf ELSE found END, 6) AS confidence,
+CASE WHEN none THEN 'empty_or_refusal_answer' WHEN conf >= 0.3 THEN '' WHEN found IS NULL THEN 'retrieval_score_unavailable' WHEN found >= 0.3 THEN '' ELSE 'retrieval_score_below_accept_threshold' END AS reason, NOT none AND conf < 0.3 AS retrieved FROM f""".replace("REFUSAL", "'" + "|".join(G.REFUSALS).replace("'", "''") + "'"))
+def judge_flow(d: Data) -> DataFrame:
+    """Each answer against the turn before it; what a retrieval would score is a stand-in."""
+    from pyspark.sql.window import Window
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    a = d.conversations.withColumn("ref", before).where("role = 'assistant'")
+    found = F.when(F.col("conv_id") % 4 != 0, (F.col("turn") * 37 + F.col("conv_id") * 11) % 101 / 100)
+    j = G.judged(F.col("text"), F.col("ref"), found, 0.3)
+    return a.select("conv_id", "turn", j.alias("j")).select("conv_id", "turn", "j.decision", F.round("j.confidence", 6).alias("confidence"), "j.reason", "j.retrieved")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import cached_property
@@ -16,13 +17,36 @@ def session(master: str = "local[*]", partitions: int = 8) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a local one only where that is unset.
+
+    It goes when the driver ends: results may be read as long as it lives.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="graphloom-")
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+        found = spark.conf.get("graphloom.scratch.dir", None)
+        if not found:
+            found = tempfile.mkdtemp(prefix="graphloom-")
+            spark.conf.set("graphloom.scratch.dir", found)
+            atexit.register(_delete, spark, found)
+    at = f"{found.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark, at)
+    return at
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None and not sc._jsc.sc().isStopped():
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut, and its size is that of its files."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 #: The graph read from the relational tables, in SQL that Spark and DuckDB both take. Evidence has a row for each

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 CALL = "struct<transcript:array<struct<turn:bigint,speaker:string,text:string>>>"
@@ -33,9 +35,42 @@ def chapters(lines: DataFrame, key: str, pos: str, one: str) -> DataFrame:
     return lines.select(key, pos, F.sum(F.col(one).cast("long")).over(Window.partitionBy(key).orderBy(pos)).alias("chapter"))
 
 
+@F.pandas_udf(StringType())
+def _plain(names: pd.Series, bodies: pd.Series) -> pd.Series:
+    """The text of a .txt, .md, .docx or .pdf file; null where a file can't be read (for .pdf: where pypdf is absent)."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+    def docx(body: bytes) -> str:
+        with zipfile.ZipFile(io.BytesIO(body)) as z:
+            root = ElementTree.fromstring(z.read("word/document.xml"))
+        return "\n".join("".join(t.text or "" for t in p.iter(f"{word}t")) for p in root.iter(f"{word}p"))
+
+    def pdf(body: bytes) -> str | None:
+        try:
+            import pypdf
+        except ImportError:
+            return None
+        return "\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(body)).pages)
+
+    def one(name: str, body: bytes) -> str | None:
+        kind = name.lower().rpartition(".")[2]
+        try:
+            return docx(body) if kind == "docx" else pdf(body) if kind == "pdf" else body.decode("utf-8", "replace")
+        except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+            return None
+
+    return pd.Series([one(n, b) for n, b in zip(names, bodies, strict=True)], dtype=object)
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole text files."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, kind, text) of all .txt, .md, .docx and .pdf files under a folder, each read whole."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    return raw.where(kind.isin("txt", "md", "docx", "pdf")).select("path", kind.alias("kind"), _plain("path", "content").alias("text"))
 
 
 def study_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.session import scratch
@@ -104,3 +104,36 @@ def affected(changed: DataFrame, total: DataFrame, key: str, full_at: float = 0.
     share = c.agg(F.count("*").alias("_c")).crossJoin(total.agg(F.count_distinct(key).alias("_t"))).select((F.col("_c") >= F.col("_t") * full_at).alias("_full"))
     every = total.select(key).distinct().crossJoin(F.broadcast(share)).where("_full").select(key)
     return c.unionByName(every).distinct()
+
+
+def work_queue(spark: SparkSession, queue: str, done: str, dead: str, ok: Callable[[DataFrame], Column], most: int = 3) -> None:
+    """Works off a folder of Parquet rows with a column ``attempt`` (0 at first) until it is empty. Rows for which ``ok`` holds go to
+    ``done``; others come back to the queue with one attempt more, or go to ``dead`` once they have had ``most``.
+
+    Offsets are kept by the checkpoint and move on only after a batch's side effects, so a row is handled at least once. A batch
+    that runs again overwrites what it wrote to ``done`` and ``dead``; a row it put back twice is handled twice, so readers of
+    ``done`` take each key once.
+    """
+    schema, again = spark.read.parquet(queue).schema, [1]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        good, bad = split_errors(batch, ok(batch))
+        bad = bad.drop("reason").withColumn("attempt", F.col("attempt") + 1)
+        good.withColumn("attempt", F.col("attempt") + 1).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+        bad.where(F.col("attempt") >= most).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
+        back = bad.where(F.col("attempt") < most)
+        again[0] += back.limit(1).count()
+        back.write.mode("append").parquet(queue)
+
+    while again[0]:
+        again[0] = 0
+        spark.readStream.schema(schema).parquet(queue).writeStream.option("checkpointLocation", f"{queue}-offsets").trigger(availableNow=True).foreachBatch(handle).start().awaitTermination()
+
+
+def reaped(claims: DataFrame, now: Column, timeout: str, most: int) -> DataFrame:
+    """(item, attempt, outcome) of claimed work: ``kept`` while a worker's claim is younger than ``timeout``; else (or without a time
+    of the claim, which is taken as stale) it has one attempt more and is ``requeued``, or ``dead`` once it has had ``most``.
+    claims: item, claimed_at, attempt."""
+    fresh = F.coalesce(F.col("claimed_at") + F.expr(f"INTERVAL {timeout}") > now, F.lit(False))
+    attempt = F.when(fresh, F.col("attempt")).otherwise(F.col("attempt") + 1)
+    return claims.select("item", attempt.alias("attempt"), F.when(fresh, "kept").when(attempt >= most, "dead").otherwise("requeued").alias("outcome"))

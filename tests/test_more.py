@@ -62,17 +62,28 @@ def test_full_refresh_from_a_share_of_changes(spark):
     assert event_log.affected(every.where("k < 2"), every, "k").count() == 10
 
 
-def test_read_only_statements():
-    assert T.read_only("WITH a AS (SELECT 1) SELECT 'drop table' FROM a") and T.read_only(" select 1;")
-    assert not T.read_only("select 1; drop table x") and not T.read_only("CALL x()") and not T.read_only("select * from x where y in (delete from z)")
+def test_read_only_statements(spark):
+    good = ["SELECT ?s WHERE { ?s ?p 'drop it' }", "ask {}", "# insert\nDESCRIBE <a>", 'construct { ?a ?b "x \\" delete" }']
+    bad = ["select ?s where { service <http://x> {} }", "INSERT DATA {}", "SELECT 1; drop graph <g>", "'select'", "", None]
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(good + bad)], "i int, q string")
+    assert [r.ok for r in rows.select("i", T.read_only(F.col("q")).alias("ok")).orderBy("i").collect()] == [True] * len(good) + [False] * len(bad)
 
 
-def test_section_chunks_lose_no_text(spark):
+def test_section_chunks(spark):
     rng = random.Random(1)
-    body = "\n".join(["# One", "x" * 3000, "2.1 Two", "short", ""] + ["".join(rng.choice("ab ") for _ in range(50)) for _ in range(40)])
-    got = T.section_chunks(spark.createDataFrame([(1, body), (2, None)], "k int, t string"), "k", "t").where("k = 1").orderBy("chunk").collect()
-    assert [r.heading for r in got][0] == "# One" and {r.heading for r in got} == {"# One", "2.1 Two"}
-    assert all(len(r.body) <= 1200 for r in got)
+    long = "\n\n".join(" ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(5, 90))) for _ in range(12))
+    body = "\n".join(["before", "# One", long, "2. TWO", "short", "MSN: 44567", "REQUIRED ACTIONS:", "do it", "x" * 2000])
+    got = T.section_chunks(spark.createDataFrame([(1, body, "d"), (2, None, "e"), (3, " \n", "f")], "k int, t string, name string"), "k", "t", F.col("name")).orderBy("chunk").collect()
+    assert {r.k for r in got} == {1} and [r.chunk for r in got] == list(range(len(got)))
+    assert {r.heading for r in got} == {"", "# One", "2. TWO", "REQUIRED ACTIONS:"}
+    for r in got:
+        assert r.body.startswith("[d]\n\n") and len(r.body) <= 1.6 * 512 + 30
+        assert not r.heading or r.body[5:].startswith(r.heading)
+    # every word of a section that was cut is in one of its chunks
+    own = " ".join(r.body for r in got if r.heading == "# One").split()
+    assert set(long.split()) <= set(own)
+    pieces = T.parts_of(long, 120, 30)
+    assert all(len(p) <= 120 for p in pieces) and any(a.split()[-1] == w for a, b in zip(pieces, pieces[1:]) for w in b.split()[:8])
 
 
 @settings(max_examples=8, deadline=None)
@@ -107,6 +118,11 @@ def test_indel_ratio_is_symmetric_and_bounded(a, b):
     import pandas as pd
 
     f = T.indel_ratio.func
+    lcs = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            lcs[i + 1][j + 1] = lcs[i][j] + 1 if x == y else max(lcs[i][j + 1], lcs[i + 1][j])
+    assert T.common_subsequence(a, b) == lcs[-1][-1]
     x, y = f(pd.Series([a]), pd.Series([b]))[0], f(pd.Series([b]), pd.Series([a]))[0]
     assert x == y and 0 <= x <= 1 and (x == 1) == (a == b)
 
@@ -177,3 +193,182 @@ def test_missing_links_read_every_line(spark):
     got = {tuple(r) for r in QUERIES["grf28_missing_links"](spark, SMALL).select("src", "tgt").collect()}
     have = {(r.src, r.tgt) for r in lines.distinct().collect()}
     assert got and not got & have
+
+
+def test_personal_data_by_position(spark):
+    texts = ["mail a.b@c.org or 555-123-4567, ssn 123-45-6789.", "AB1234567 and +44 20 7946 0958 at 10.0.0.1", "nothing here 12345", "", None, "x 123-45-6789@mail.org y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: [(s.kind, texts[r.i][s.start : s.stop]) for s in r.s] for r in rows.select("i", T.personal_spans(F.col("t")).alias("s")).collect()}
+    assert got[0] == [("EMAIL", "a.b@c.org"), ("PHONE", "555-123-4567"), ("SSN", "123-45-6789")]
+    assert got[1] == [("PASSPORT", "AB1234567"), ("PHONE_INTL", "+44 20 7946 0958"), ("IP_V4", "10.0.0.1")]
+    assert got[2] == got[3] == got[4] == [] and got[5] == [("SSN", "123-45-6789")]  # both start there; the surer one stays
+    safe = {r.i: r.s for r in rows.select("i", T.redacted(F.col("t")).alias("s")).collect()}
+    assert safe[0] == "mail [EMAIL_REDACTED] or [PHONE_REDACTED], ssn [SSN_REDACTED]." and safe[4] is None
+
+
+def test_files_of_several_kinds(spark, tmp_path):
+    import zipfile
+
+    from graphloom.sources.adapters import documents
+
+    (tmp_path / "a.txt").write_text("plain\ntext")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.MD").write_text("# Title")
+    with zipfile.ZipFile(tmp_path / "c.docx", "w") as z:
+        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>one </w:t></w:r><w:r><w:t>line</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "d.docx").write_bytes(b"no archive")
+    (tmp_path / "e.png").write_bytes(b"x")
+    got = {r.path.rpartition("/")[2]: r.text for r in documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "plain\ntext", "b.MD": "# Title", "c.docx": "one line\ntwo", "d.docx": None}
+
+
+def test_density_groups_leave_noise_out(spark):
+    rng = np.random.default_rng(4)
+    centres = np.linalg.qr(rng.normal(size=(24, 24)))[0][:4]
+    rows = [(i, (centres[i % 4] + rng.normal(size=24) * 0.04).tolist()) for i in range(80)] + [(100 + i, rng.normal(size=24).tolist()) for i in range(12)]
+    got = {r.node: r.community for r in ontology.density_groups(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").collect()}
+    assert all(got[100 + i] is None for i in range(12))
+    assert {got[i] for i in range(80)} == {0, 1, 2, 3} and all(got[i] == i % 4 for i in range(80))
+    few = ontology.density_groups(spark.createDataFrame(rows[:9], "id long, v array<double>"), "id", "v").collect()
+    assert len(few) == 9 and all(r.community is None for r in few)
+
+
+def test_translations_are_learned(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    way = {"LEFT": unit(rng.normal(size=6)), "UP": unit(rng.normal(size=6))}
+    heads = rng.normal(size=(60, 6))
+    nodes, edges = [(f"h{i}", h.tolist()) for i, h in enumerate(heads)], []
+    for i, h in enumerate(heads):
+        rel = ("LEFT", "UP")[i % 2]
+        nodes.append((f"t{i}", (h + way[rel] + rng.normal(size=6) * 0.05).tolist()))
+        edges.append((f"h{i}", rel.lower() if i % 3 else rel, f"t{i}"))
+    got = ontology.translations(spark.createDataFrame(edges, "src string, rel string, tgt string"), spark.createDataFrame(nodes, "node string, vector array<double>"), 6, epochs=10)
+    learned = {r.rel: np.array(r.vector) for r in got.collect()}
+    assert learned.keys() == way.keys()
+    for rel, v in learned.items():
+        assert abs(np.linalg.norm(v) - 1) < 1e-6 and v @ way[rel] > 0.8
+
+
+def test_seeded_vectors_are_those_of_the_name(spark):
+    import hashlib
+
+    from graphloom.functions.vectors import seeded_unit
+
+    got = {r.n: r.v for r in spark.createDataFrame([("Kenya",), (None,)], "n string").select("n", seeded_unit(5)("n").alias("v")).collect()}
+    r = random.Random(int(hashlib.sha256(b"KENYA").hexdigest(), 16) % 2**32)
+    x = np.array([r.gauss(0.0, 1.0) for _ in range(5)])
+    assert np.allclose(got["Kenya"], x / np.linalg.norm(x)) and got[None] is None
+
+
+def test_context_takes_no_near_copies(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [("q", 1, base, 9.0, False, 0.0), ("q", 2, base + " end", 8.0, False, 0.0), ("q", 3, "other words", 7.0, False, 0.0), ("q", 4, "third text", 6.0, False, 0.0), ("q", 5, "reached here", 1.0, True, 0.9), ("q", 6, "weakly reached", 0.5, True, 0.1), ("q", 1, base, 2.0, False, 0.0), ("p", 7, None, 1.0, False, None)]
+    df = spark.createDataFrame(rows, "query_id string, item long, text string, score double, hop boolean, graph double")
+    got = sorted((r.query_id, r.place, r.item) for r in retrieval.context(df, "query_id", "item", "text", 2, 2).collect())
+    assert got == [("p", 1, 7), ("q", 1, 1), ("q", 2, 3), ("q", 3, 5)]
+
+
+def test_work_queue_ends_with_every_row_done_or_dead(spark, tmp_path):
+    at = str(tmp_path)
+    spark.createDataFrame([(i, i % 4, 0) for i in range(20)], "k long, fails long, attempt long").write.parquet(f"{at}/q")
+    event_log.work_queue(spark, f"{at}/q", f"{at}/done", f"{at}/dead", lambda b: F.col("attempt") >= F.col("fails"), 3)
+    done, dead = spark.read.parquet(f"{at}/done"), spark.read.parquet(f"{at}/dead")
+    assert {(r.k, r.attempt) for r in done.collect()} == {(i, i % 4 + 1) for i in range(20) if i % 4 < 3} and done.count() == 15
+    assert {(r.k, r.attempt) for r in dead.collect()} == {(i, 3) for i in range(20) if i % 4 == 3}
+
+
+def test_name_cascade_is_brute_force(spark):
+    from graphloom.operators import resolution
+
+    names = ["Acme Widgets", "Globex", "AD 2022 0201", "Initech", "furnizor"]
+    said = ["acme widgets!", "EASA AD 2022 0201", "furnizori", "Acme Widget Co", "Globeks", "Initch", "zzz", "Glob", None, ""]
+    reg = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, entity long")
+    got = {r.mention: (r.stage, r.entity) for r in resolution.name_cascade(spark.createDataFrame([(s,) for s in said], "mention string"), reg, ["i"]).collect()}
+    assert got["acme widgets!"] == ("exact", 0) and got["EASA AD 2022 0201"] == ("regulatory", 2) and got["furnizori"] == ("stem", 4)
+    norm = lambda s: " ".join("".join(c if c.isalnum() else " " for c in s.lower()).split())
+    for s in ("Acme Widget Co", "Globeks", "Initch", "zzz", "Glob", ""):
+        best = max((2 * T.common_subsequence(norm(s), norm(n)) / max(1, len(norm(s)) + len(norm(n))), -i) for i, n in enumerate(names))
+        stage = "fuzzy" if best[0] >= 0.85 else "ambiguous" if best[0] >= 0.7 else "none"
+        assert got[s] == (stage, None if stage == "none" else -best[1])
+
+
+def test_transcript_windows_are_brute_force(spark):
+    from graphloom.operators import selection
+
+    rng = random.Random(7)
+    rows = []
+    for conv in range(6):
+        t = 0.0
+        for seq in range(40):
+            t += rng.choice([0.1, 0.5, 3.5])
+            length = rng.uniform(1, 40)
+            rows.append((conv, seq, t, t + length, rng.randint(1, 90)))
+            t += length
+    got = sorted(map(tuple, selection.transcript_windows(spark.createDataFrame(rows, "conv long, seq long, started double, ended double, n_tokens long")).collect()))
+    want = []
+    for conv in range(6):
+        held, k = [], 0
+        for r in (r for r in rows if r[0] == conv):
+            gap = bool(held) and r[2] - held[-1][3] >= 3
+            if held and (gap or r[3] - held[0][2] > 90 or sum(h[4] for h in held) + r[4] > 200):
+                want.append((conv, k, held[0][1], held[-1][1]))
+                held, k = ([] if gap else held[-1:]), k + 1
+            held.append(r)
+        want.append((conv, k, held[0][1], held[-1][1]))
+    assert got == sorted(want)
+
+
+def test_mmr_is_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(q, i, float(rng.random()), rng.normal(size=5).tolist()) for q in range(3) for i in range(12)]
+    got = {}
+    for r in retrieval.mmr(spark.createDataFrame(rows, "q long, i long, rel double, v array<double>"), "q", "i", "rel", "v", 4).orderBy("q", "place").collect():
+        got.setdefault(r.q, []).append(r.i)
+    unit = {(q, i): np.array(v) / np.linalg.norm(v) for q, i, _, v in rows}
+    for q in range(3):
+        left, taken = {i: rel for a, i, rel, _ in rows if a == q}, []
+        while len(taken) < 4:
+            value = lambda i: 0.7 * left[i] - 0.3 * max((float(unit[q, i] @ unit[q, t]) for t in taken), default=0.0)  # noqa: B023, E731
+            taken.append(min(left, key=lambda i: (-value(i), -left[i], i)))
+            del left[taken[-1]]
+        assert got[q] == taken
+
+
+def test_communities_hang_together_and_beat_singletons(spark):
+    """A ring of cliques, and loose ends: each community is connected, and modularity is near the best of all partitions by cliques."""
+    from graphloom.operators import aggregates
+
+    pairs = [(f"c{k}-{i}", f"c{k}-{j}") for k in range(4) for i in range(5) for j in range(i)] + [(f"c{k}-0", f"c{(k + 1) % 4}-1") for k in range(4)] + [("x", "y"), ("y", "z")]
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, tgt string, weight double")
+    got = [r for r in graph.community_hierarchy(e, levels=1).collect()]
+    of = {r.node: r.community for r in got}
+    for c in set(of.values()):
+        own, seen = {n for n in of if of[n] == c}, set()
+        todo = [min(own)]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += [b for a, b in pairs + [(b, a) for a, b in pairs] if a == n and b in own]
+        assert seen == own
+    q = lambda m: aggregates.modularity(e, spark.createDataFrame(list(m.items()), "node string, community string")).head()[0]
+    best = q({n: n.split("-")[0] if "-" in n else "x" for n in of})
+    assert q(of) >= best - 1e-9
+
+
+def test_written_tables_keep_their_size(spark):
+    """Rounds of self-joins: estimates come from files, so they don't multiply."""
+    df = spark.range(50).withColumnRenamed("id", "a")
+    for _ in range(12):
+        df = graph.cut(df.join(df.withColumnRenamed("a", "b"), df["a"] == F.col("b")).select("a"))
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 30
+
+
+def test_approximate_search_recall_on_the_table(spark):
+    d = Data(spark, SMALL)
+    q = d.embeddings.where("vec_id % 20 = 0")
+    exact = retrieval.knn(q, d.embeddings, 10).select("query_id", "vec_id")
+    got = ontology.ann_search(q, d.embeddings, 10).select("query_id", "vec_id")
+    assert exact.join(got, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
