@@ -1,8 +1,7 @@
-"""Windows of documents that could match one of a set of short items, found through the word shingles they share.
+"""Short items to be found in documents, their word shingles, and the windows of documents that could hold one.
 
-A window that is alike an item shares a shingle with it. So only windows over a shared shingle are looked at, and of
-these only such whose shared shingles weigh enough; neither step can lose a match. What is left goes to an index of
-fingerprints (SimHash or MinHash) and then to an exact comparison.
+A window that is alike an item shares a shingle with it. So only windows over a shingle of an item need a fingerprint
+or a signature; which items they may hold is for the index to say.
 """
 
 from __future__ import annotations
@@ -53,14 +52,10 @@ class Items:
         at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
         return np.where(keys[at] == shingles, weight[at], self.heaviest)
 
-    def regions(self, data: np.ndarray, off: np.ndarray, share: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, k, window words, starts, shingles of the row, their weights, items) for each row, item length and k that can match.
-
-        A window starts at word ``start`` of the row and has ``window words``. All windows are given for which the
-        shared shingles weigh ``share`` of the lightest item of that length.
-        """
+    def hits(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, k, words of the row, its shingles of k words, places of those that an item has, which of the keys they are)."""
         words, rows = word_hashes(data, off)
-        for k, (near, keys, first, item_of, weight) in self.sizes.items():
+        for k, (near, keys, _, _, _) in self.sizes.items():
             sh = window_hashes(words, k)
             p = np.flatnonzero(near[(sh >> np.uint64(44)).astype(np.int64)])
             row = np.searchsorted(rows, p, "right") - 1
@@ -70,33 +65,35 @@ class Items:
             ok = keys[at] == sh[p]
             p, row, at = p[ok], row[ok], at[ok]
             for lo, hi in _runs(row):
-                r, w0, w1 = int(row[lo]), int(rows[row[lo]]), int(rows[row[lo] + 1])
-                hit, key = p[lo:hi] - w0, at[lo:hi]
-                counts = first[key + 1] - first[key]
-                items = item_of[spread(first[key], counts)]
-                where = np.repeat(hit, counts)
-                length = w1 - w0 - k + 1  # shingles of the row
-                mass = np.zeros(length + 1, np.int64)
-                mass[hit + 1] = weight[key]
-                np.cumsum(mass, out=mass)
-                shingles = sh[w0 : w0 + length]
-                weights = None
-                for n in np.unique(self.n[items]).tolist():
-                    of = self.n[items] == n
-                    m = min(n, w1 - w0)
-                    span = m - k + 1
-                    mark = np.zeros(length + 2, np.int64)
-                    h = where[of]
-                    np.add.at(mark, np.maximum(h - span + 1, 0), 1)
-                    np.add.at(mark, np.minimum(h, length - span) + 1, -1)
-                    starts = np.flatnonzero(np.cumsum(mark)[: length - span + 1] > 0)
-                    some = np.unique(items[of])
-                    least = self.total[some].min()
-                    starts = starts[mass[starts + span] - mass[starts] >= share * least]
-                    if len(starts):
-                        if weights is None:
-                            weights = self.weigh(k, shingles)
-                        yield r, k, m, starts, shingles, weights, some
+                w0, w1 = int(rows[row[lo]]), int(rows[row[lo] + 1])
+                yield int(row[lo]), k, w1 - w0, sh[w0 : w1 - k + 1], p[lo:hi] - w0, at[lo:hi]
+
+    def regions(self, data: np.ndarray, off: np.ndarray, share: float) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, k, item words, window words, starts, shingles of the row, their weights) for each row, k and item length.
+
+        A window starts at word ``start`` of the row. All windows are given of which the shingles that occur in any item
+        weigh ``share`` of the lightest item of that length; others can't be alike to an item of it.
+        """
+        lightest = {(k, n): int(self.total[(self.k == k) & (self.n == n)].min()) for k, n in set(zip(self.k.tolist(), self.n.tolist(), strict=True))}
+        for row, k, size, shingles, hit, key in self.hits(data, off):
+            length, weight = len(shingles), self.sizes[k][4]
+            mass = np.zeros(length + 1, np.int64)
+            mass[hit + 1] = weight[key]
+            np.cumsum(mass, out=mass)
+            weights = None
+            _, _, first, item_of, _ = self.sizes[k]
+            # an item that shares no shingle with the row is in no window of it
+            shared = np.unique(key)
+            for n in np.unique(self.n[item_of[spread(first[shared], first[shared + 1] - first[shared])]]).tolist():
+                m = min(n, size)
+                span = m - k + 1
+                if mass[-1] < share * lightest[k, n]:
+                    continue
+                starts = np.flatnonzero(mass[span:] - mass[: length - span + 1] >= share * lightest[k, n])
+                if len(starts):
+                    if weights is None:
+                        weights = self.weigh(k, shingles)
+                    yield row, k, n, m, starts, shingles, weights
 
 
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:

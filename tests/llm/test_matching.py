@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, license_scan, windows
 from tests.llm.test_duplicates import words
@@ -52,8 +53,9 @@ def leaky(odd_texts):
 
 def test_decontamination_is_brute_force(spark, odd_docs, leaky, monkeypatch):
     docs, items = leaky
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("nothing", "x").repartition(3)
-    b = spark.createDataFrame(items, "item_id long, text string")
+    clash = ("item_id", "similarity", "first_word", "n_words", "ids")
+    d = spark.createDataFrame(docs, "doc_id long, text string").select("*", *[F.lit("z").alias(c) for c in clash]).repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("y"))
     want = brute(docs, items)
     got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contamination(d, b).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
@@ -70,16 +72,34 @@ def test_many_items_take_several_passes(spark, leaky, monkeypatch):
     assert {(2000, 3), (2001, 3), (1000, 0), (1003, 3)} <= got
 
 
-def test_hamming_index_finds_all():
+def test_hamming_index_finds_all_and_prunes():
+    """Everything within the radius is listed, and of all else only a small part."""
     import numpy as np
 
     rng = np.random.default_rng(5)
-    prints = rng.integers(0, 256, (300, 8), dtype=np.uint8)
+    prints = rng.integers(0, 1 << 16, (2000, 16), dtype=np.uint16)
     index = decontamination.HammingIndex(prints)
-    for _ in range(50):
-        q = prints[rng.integers(300)] ^ np.packbits(rng.random(64) < 0.25)
-        want = np.flatnonzero(np.unpackbits(prints ^ q, axis=1).sum(axis=1) <= decontamination.RADIUS)
-        assert np.array_equal(index.search(q), want)
+    bits = lambda x: np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1)
+    for n in range(120):
+        flips = np.zeros(256, np.uint8)
+        flips[rng.choice(256, decontamination.RADIUS - n % 9 if n % 3 else 20, replace=False)] = 1
+        q = prints[rng.integers(2000)] ^ np.packbits(flips).view(np.uint16)
+        want = np.flatnonzero((bits(prints) ^ bits(q[None])).sum(axis=1) <= decontamination.RADIUS)
+        assert len(want) and np.array_equal(index.search(q), want)
+    assert index.listed / index.probes / len(prints) < 0.02
+
+
+def test_fingerprints_are_those_of_each_window(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sh, w = rng.integers(0, 1 << 63, 900, dtype=np.uint64), rng.integers(1, 50, 900)
+    starts = np.unique(rng.integers(0, 860, 200))
+    whole = decontamination.fingerprints(sh, w, starts, 40)
+    monkeypatch.setattr(decontamination, "STRETCH", 30)
+    assert np.array_equal(whole, decontamination.fingerprints(sh, w, starts, 40))
+    one = np.concatenate([decontamination.fingerprints(sh[s : s + 40], w[s : s + 40], np.zeros(1, np.int64), 40) for s in starts])
+    assert np.array_equal(whole, one)
 
 
 def test_licenses_are_brute_force(spark):
@@ -92,7 +112,15 @@ def test_licenses_are_brute_force(spark):
             w[rng.randrange(len(w))] = "other"
         docs.append((i, f"x y z {' '.join(w)} x y" if i % 2 else " ".join(w)))
     docs += [(100, None), (101, ""), (102, "a clean text of no license at all"), (103, docs[0][1])]
-    got = {(r.doc_id, r.license): round(r.containment, 9) for r in license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(40):  # stretches of licenses inside longer texts, some too short to count
+        w = license_scan.TEMPLATES[names[i % len(names)]].split()
+        cut = rng.randrange(max(1, len(w) // 3))
+        docs.append((200 + i, " ".join([f"p{rng.randrange(99)}" for _ in range(rng.randrange(60))] + w[cut:] + [f"s{k}" for k in range(rng.randrange(60))])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").select("*", *[F.lit(1).alias(c) for c in ("license", "containment", "first_word", "n_words")])
+    got = {(r.doc_id, r.license): round(r.containment, 9) for r in license_scan.license_scan(df).collect()}
+    table = spark.createDataFrame(list(license_scan.TEMPLATES.items()), "license string, text string")
+    assert license_scan.license_scan(df, table).count() == len(got) and license_scan.license_scan(df.limit(0)).count() == 0
+    assert license_scan.license_scan(df, table.limit(0)).count() == 0
     want = {}
     for d, t in docs:
         w = words(t)
@@ -131,7 +159,48 @@ def test_pipeline_of_nothing(spark, no_docs):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
-        docs = no_docs
+
+
+def test_pipeline_is_brute_force(spark, tmp_path):
+    """Every stage at once, against plain Python on a small table: what stays, its text, and its tokens."""
+    import public_tokenizers as P
+    import tiktoken
+
+    import corpus_pipeline as C
+    from graphloom.llm import byte_bpe
+    from tests.llm.test_duplicates import components, without_strings
+
+    rng = random.Random(21)
+    fresh = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(2000)}" for _ in range(n))
+    items = [(k, fresh(rng.choice([12, 25, 40]))) for k in range(5)]
+    shared, long = fresh(55), fresh(90)
+    rows = [(i, fresh(rng.randint(20, 150))) for i in range(30)]
+    rows += [(30, rows[3][1]), (31, rows[4][1] + " end"), (32, None), (33, ""), (34, "123 !!"), (35, f"{fresh(40)} {items[1][1]} {fresh(40)}")]
+    rows += [(40 + k, f"{fresh(80)} {shared if k % 2 else long} {fresh(90)}") for k in range(6)]
+    docs = [(i, t, ["en", "de", None][i % 3], "s", None if t is None else len(t)) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: (r.n_tokens, list(r.ids)) for r in C.run(spark, str(tmp_path)).collect()}
+
+    left = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
+    near = components(left)
+    left = [(i, t) for i, t in left if near[i][1] == i]
+    left = list(without_strings(left).items())
+    bad = {d for d, _ in brute(left, items)}
+    assert bad == {35}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).ranks, special_tokens={})
+    want = {i: enc.encode_ordinary(t) for i, t in left if i not in bad}
+    assert got == {i: (len(x), x) for i, x in want.items()} and 30 not in got and 31 not in got
+
+
+def test_rows_without_an_id_are_decontaminated(spark, tmp_path):
+    import corpus_pipeline as C
+
+    item = " ".join(f"z{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(None, f"a {item} b"), (None, "clean text"), (None, None), (5, item), (6, "clean")], "doc_id long, text string").withColumn("_key", F.lit(0))
+    got = C.decontaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("6", "clean"), ("None", "None"), ("None", "clean text")]
 
 
 def test_registered():
