@@ -5,9 +5,12 @@ tight bounding boxes. A query visits a tree best-first: the bound of a box is th
 in it could have; boxes below the query's k-th score so far are never opened. A first pass searches the query's own
 shard; its k-th score goes along to all the others, where it prunes from the start.
 
-Queries are packed into blocks of bounded size; every shard meets every block of queries. Vectors that are null, or
-hold null, NaN or infinite components take no part. Rows repeated under an id count once (the least vector). Vectors
-of unlike lengths are read as if zeros followed the shorter. An empty table has no rows in the result.
+Queries are packed into blocks of bounded size; every shard meets every block of queries. A tree has 1024 to 8192
+vectors, so that there are some trees for each core, and trees are dealt in turn to partitions of their own. Vectors
+that are null, or hold null, NaN or infinite components take no part, nor do those with a component of LARGE or more
+after scaling, whose scores a long might not hold. Scores are exact: doubles as long as they stay under 2**53, 64-bit
+integers beyond. Rows repeated under an id count once (the least vector). Vectors of unlike lengths are read as if
+zeros followed the shorter. An empty table has no rows in the result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,19 +26,22 @@ from pyspark.sql.window import Window
 
 from graphloom.llm.shared import Tables, width
 
-LEAF = 48
+LEAF = 128
 #: Vectors in a tree, and queries in a block: a row of either stays at a few MB.
-TREE_ROWS = 8192
+LEAST_ROWS, TREE_ROWS = 1024, 8192
 BLOCK_ROWS = 1024
 EXACT = float(1 << 53)
+LARGE = float(1 << 27)
 
 
 class Tree:
-    """A KD-tree over integer vectors held as doubles; scores are exact while they stay under 2**53."""
+    """A KD-tree over integer vectors held as doubles. ``opened`` counts the leaves that searches have read."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
+        self.whole = self.x.astype(np.int64)
+        self.reach, self.opened = float(np.abs(self.x).sum(axis=1).max(initial=0)), 0
         self.lo, self.hi, self.least, self.kids, self.rows = [], [], [], [], []
         if len(ids):
             self.build(np.arange(len(ids)))
@@ -60,8 +66,14 @@ class Tree:
         return me
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The largest inner product of each query with any point of each box."""
-        return np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
+        """The largest inner product of each query with any point of each box, or a little more where doubles round."""
+        out = np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
+        return out if self.reach * np.abs(queries).max(initial=0) < EXACT else out + np.abs(out) * 1e-9 + 1
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        if self.reach * np.abs(query).max(initial=0) < EXACT:
+            return self.x[rows] @ query
+        return self.whole[rows] @ query.astype(np.int64)
 
     def search(self, query: np.ndarray, own: int, bound: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
         """The k best (score, -id) with a score of ``floor`` at least; the row of id ``own`` is left out."""
@@ -85,7 +97,8 @@ class Tree:
             rows = self.rows[node]
             if (self.lo[node] == self.hi[node]).all():
                 rows = rows[: k + 1]  # equal points: those of the least ids, one of which may be the query's own
-            score, ids = self.x[rows] @ query, self.ids[rows]
+            self.opened += 1
+            score, ids = self.scores(rows, query), self.ids[rows]
             near = np.flatnonzero((score >= max(floor, best[0][0] if len(best) == k else floor)) & (ids != own))
             for s, i in zip(score[near].tolist(), ids[near].tolist(), strict=True):
                 if len(best) < k:
@@ -97,6 +110,11 @@ class Tree:
         return best
 
 
+def under(score: float) -> float:
+    """The score as a double that isn't greater."""
+    return float(score) if abs(score) < EXACT else float(score) - abs(float(score)) * 1e-9 - 1
+
+
 def unpack(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
     return i, np.frombuffer(x, np.float64).reshape(len(i), -1) if len(i) else np.empty((0, 0))
@@ -112,8 +130,6 @@ def quantise(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarra
     flat = np.floor(scale * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
     out = np.zeros((len(ids), int(sizes.max(initial=0))))
     out[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    if np.abs(out).sum(axis=1).max(initial=0) * np.abs(out).max(initial=0) >= EXACT:
-        raise ValueError("components are too large for exact integer scores")
     return ids.astype(np.int64), out
 
 
@@ -161,7 +177,7 @@ def first_pass(packed: DataFrame, every: int, k: int) -> DataFrame:
                     p = pick[at : at + BLOCK_ROWS]
                     bound = tree.bounds(v[p])
                     found = [tree.search(v[r], int(i[r]), bound[n], k, -np.inf) for n, r in enumerate(p)]
-                    floor = [f[0][0] if len(f) == k else -np.inf for f in found]
+                    floor = [under(f[0][0]) if len(f) == k else -np.inf for f in found]
                     yield pa.RecordBatch.from_arrays([pa.array(i[p]), pa.array(floor, pa.float64()), pa.array([v[r].tobytes() for r in p], pa.binary())], ["query_id", "floor", "q"])
 
     return packed.select("ids", "x").mapInArrow(run, "query_id long, floor double, q binary")
@@ -213,16 +229,21 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 2
     spark = vectors.sparkSession
     t = Tables(spark, "topk")
     v = F.col(vector_col)
-    usable = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.floor(scale * x.cast("double"))) < LARGE))
     clean = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
     clean = clean.groupBy("vec_id").agg(F.min("v").alias("v"))
-    packed = t.write(pack(clean, TREE_ROWS, scale))
+    clean = t.write(clean)
+    size = min(TREE_ROWS, max(LEAST_ROWS, -(-clean.count() // (4 * width(spark)))))
+    packed = t.write(pack(clean, size, scale))
     blocks = t.write(query_blocks(first_pass(packed, every, k).repartition(max(1, width(spark) // 4))))
-    # trees lie in slots, one tree in one slot; every block of queries goes to every slot
-    slots = width(spark)
-    trees = packed.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int"))
+    # trees are numbered through, and lie in turn in slots; every block of queries goes to every slot
+    per = packed.groupBy(F.shiftright("block", 32).alias("part")).agg(F.count("*").alias("n"))
+    per = t.write(per.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before")))  # a row a partition
+    slots = max(1, min(packed.count(), 4 * width(spark)))
+    place = F.col("before") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)) - 1
+    trees = packed.join(per, F.shiftright("block", 32) == F.col("part")).withColumn("slot", F.pmod(place, F.lit(slots)).cast("int"))
     sent = blocks.select("query_ids", "floors", "q", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    found = second_pass(trees.join(sent.hint("merge"), "slot"), k)
+    found = second_pass(trees.repartitionById(slots, F.col("slot")).join(sent.repartitionById(slots, F.col("slot")).hint("merge"), "slot"), k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
