@@ -7,6 +7,8 @@ language, drawn by a hash of doc_id. A part of the sample, not fitted on, then s
 
 Null texts and texts without a letter are ``und`` with score 0; so is every text when there is nothing to learn from.
 Texts are read whole, in slices of a million characters. Labels, sources and ids are never inputs of a prediction.
+The ``MAX_LANGUAGES`` most frequent labels are learned; texts of others are given one of these. Repeated rows are each
+judged, and each counted in training. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from graphloom.llm.arrays import trimmed
 DIMS = 1 << 15
 #: Documents a language that the weights are fitted on, on average; and languages at most.
 SAMPLE = 500
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 SLICE = 1 << 20
@@ -61,11 +63,21 @@ def grams(text: str) -> np.ndarray:
 def counts(text: str) -> np.ndarray:
     """How often each place occurs, over the whole text."""
     total = np.zeros(DIMS, np.float32)
-    for at in range(0, len(text), SLICE):
-        total += np.bincount(grams(text[at : at + SLICE]), minlength=DIMS)
+    for part in sliced(text):
+        total += np.bincount(part, minlength=DIMS)
     return total
 
 
+def sliced(text: str) -> Iterator[np.ndarray]:
+    """Places of all 1- to 3-grams, a slice at a time: those across a cut come with the later slice, and no other twice."""
+    for at in range(0, len(text), SLICE):
+        yield grams(text[at : at + SLICE])
+        edge = text[max(0, at - 2) : at + 2]
+        if at:
+            a = at - max(0, at - 2)  # characters of the edge before the cut
+            yield np.concatenate([grams(edge[i : i + n])[-1:] for n in (2, 3) for i in range(len(edge) - n + 1) if i < a < i + n] or [np.empty(0, np.uint32)])
+
+
 def features(text: str, idf: np.ndarray) -> np.ndarray:
     x = counts(text)
     np.sqrt(x, out=x)
@@ -98,10 +110,8 @@ class Model:
         self.z[at] += g - sigma * w
         self.n[at] = n + g * g
 
-    def fit(self, rows: list[tuple[int, str, str]]) -> Model:
-        """rows: (hash, text, language), in the order of the hash; each fifth sets the temperature."""
-        place = {lang: i for i, lang in enumerate(self.languages)}
-        seen = [(at, x[at], place[lang]) for _, text, lang in rows for x in [features(text, self.idf)] for at in [np.flatnonzero(x).astype(np.uint16)]]
+    def fit(self, seen: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
+        """seen: (places, features, language) of each document, in the order of a hash; each fifth sets the temperature."""
         held = [r for i, r in enumerate(seen) if i % 5 == 4] or seen
         fitted = [r for i, r in enumerate(seen) if i % 5 != 4] or seen
         for _ in range(EPOCHS):
@@ -135,8 +145,8 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 if not text:
                     continue
                 seen[:] = False
-                for at in range(0, len(text), SLICE):
-                    seen[grams(text[at : at + SLICE])] = True
+                for part in sliced(text):
+                    seen[part] = True
                 df += seen
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([n])], ["df", "n"])
@@ -156,11 +166,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of the rows (doc_id, text, lang) of which lang isn't null; None if there are none."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    per = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not per:
         return None
-    if len(per) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     df, n = document_frequencies(docs.where(F.col("lang").isNotNull()))
     idf = np.log((1 + n) / (1 + df)) + 1
     # a share of each language by a hash of the id, so that about ``sample`` rows of each come
@@ -169,15 +177,24 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     chosen = known.withColumn("h", h).where(F.col("h") < share[F.col("lang")]).select("h", "text", "lang")
     languages = sorted(per)
 
+    place = {lang: i for i, lang in enumerate(languages)}
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few(batches, 100):
+            rows = [(at.tobytes(), x[at].tobytes()) for text in b.column(1).to_pylist() for x in [features(text, idf.astype(np.float32))] for at in [np.flatnonzero(x).astype(np.uint16)]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), pa.array([place[x] for x in b.column(2).to_pylist()], pa.int32())], ["h", "at", "x", "label"])
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
-        rows.sort()
-        m = Model(languages, idf).fit(rows)
+        rows = sorted(r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True))
+        m = Model(languages, idf).fit([(np.frombuffer(at, np.uint16), np.frombuffer(x, np.float32), y) for _, at, x, y in rows])
         w = m.weights()
         at = np.flatnonzero(np.abs(w).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([w[at].astype(np.float32).tobytes()], pa.binary()), pa.array([m.temperature])], ["at", "w", "t"])
 
-    got = chosen.repartition(1).mapInArrow(trimmed(fit), "at binary, w binary, t double").head()
+    # at most about ``sample`` documents a language, as sparse vectors of a few KB, meet in one task
+    vectors = chosen.mapInArrow(trimmed(sparse), "h long, at binary, x binary, label int")
+    got = vectors.repartition(1).mapInArrow(trimmed(fit), "at binary, w binary, t double").head()
     m = Model(languages, idf)
     m.temperature, m.sparse = got.t, (np.frombuffer(got.at, np.int32), np.frombuffer(got.w, np.float32).reshape(-1, len(languages)))
     return m
