@@ -2,9 +2,14 @@
 
 In each partition the distinct pre-tokens of a batch become token-position rows; a recursive query joins neighbours
 with the merge table and contracts each word's leftmost pair of least rank until no pair is left. Ordered aggregation
-reads ids, and by the vocabulary's bytes, the decoded words. A text's ids are those of its pre-tokens in order.
+reads the ids. A text's ids are those of its pre-tokens in order. decode() turns lists of ids into texts by ordered
+aggregation of the vocabulary's bytes; where ids have just been made, their bytes are looked up in one array instead.
 
-Null and empty texts have no ids. Special strings are ordinary text. Long texts are read whole.
+Pre-tokens of more than ``LONG`` bytes, which would take a round of the query for each merge, are merged by a heap: the
+same merges in the same order.
+
+Null and empty texts have no ids. Special strings are ordinary text. Long texts are read whole. Repeated rows are each
+encoded. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.arrays import CACHES, slices, trimmed
+from graphloom.llm.arrays import CACHES, slices, spread, trimmed
 
 #: Longer pre-tokens (bytes) have too many rounds for the query; a heap makes the same merges.
 LONG = 128
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 ROUND = 20_000
 _coders: dict[tuple[str, str], Coder] = CACHES.setdefault("byte_bpe", {})
 
@@ -51,8 +56,8 @@ WITH RECURSIVE state(step, word, pos, id, next_pos, next_id, joined) AS (
         FROM state s JOIN hit ON hit.word = s.word WHERE s.pos <> q)
      SELECT c.*, m.joined FROM contracted c LEFT JOIN merges m ON m.pair = c.id::BIGINT * 65536 + c.next_id)
 ), last AS (SELECT word, max(step) AS step FROM state WHERE pos = 0 GROUP BY word)
-SELECT s.word, list(s.id ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS decoded
-FROM state s JOIN last USING (word, step) JOIN vocabulary v ON v.id = s.id
+SELECT s.word, list(s.id ORDER BY s.pos) AS ids
+FROM state s JOIN last USING (word, step)
 GROUP BY s.word
 """
 
@@ -79,8 +84,12 @@ class Coder:
         #: pre-token -> ids as little-endian 32-bit integers
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        #: decoded pre-tokens that are not the pre-token itself (none, unless the vocabulary lacks a byte)
-        self.unlike: dict[str, bytes] = {}
+        #: the vocabulary's bytes one after another, by id, to decode lists of ids at once
+        top = max(self.bytes) + 1
+        self.size = np.zeros(top, np.int64)
+        self.size[list(self.bytes)] = [len(t) for t in self.bytes.values()]
+        self.at = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.bytes[i] for i in sorted(self.bytes)), np.uint8)
 
     def learn(self, words: set[str]) -> None:
         new = {w for w in words if w not in self.known}
@@ -92,10 +101,10 @@ class Coder:
             if (old := self.before.get(w)) is not None:
                 self.known[w] = old
             elif (i := self.ranks.get(b)) is not None:
-                self.keep(w, struct.pack("<I", i), self.bytes[i])
+                self.known[w] = struct.pack("<I", i)
             elif len(b) > LONG:
                 ids = self.long(b)
-                self.keep(w, struct.pack(f"<{len(ids)}I", *ids), b"".join(map(self.bytes.__getitem__, ids)))
+                self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 rest.append((w, b))
         for at in range(0, len(rest), ROUND):
@@ -113,14 +122,8 @@ class Coder:
             self.db.unregister("start")
             lists = out.column("ids").combine_chunks()
             flat, cut = lists.flatten().to_numpy().astype("<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
-            for i, a, b, text in zip(out.column("word").to_pylist(), cut[:-1], cut[1:], out.column("decoded").to_pylist(), strict=True):
-                self.keep(part[i][0], flat[a:b], bytes.fromhex(text))
-
-    def keep(self, word: str, ids: bytes, decoded: bytes) -> None:
-        """Remembers a word's ids. What they decode to is compared with the word and stored only where it is another text."""
-        self.known[word] = ids
-        if decoded != word.encode():
-            self.unlike[word] = decoded
+            for i, a, b in zip(out.column("word").to_pylist(), cut[:-1], cut[1:], strict=True):
+                self.known[part[i][0]] = flat[a:b]
 
     def long(self, b: bytes) -> list[int]:
         ids = [self.ranks[bytes([x])] for x in b]
@@ -142,13 +145,17 @@ class Coder:
         return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """Packed ids and decoded bytes of each text. A text's pre-tokens are listed once and looked up."""
+        """Packed ids of each text, and the bytes that these stand for. A text's pre-tokens are listed once and looked up."""
         cut = [self.find(t) if t else [] for t in texts]
         self.learn(set().union(*cut))
-        get, unlike = self.known.__getitem__, self.unlike
+        get = self.known.__getitem__
         for words in cut:
-            text = b"".join(unlike.get(w) or w.encode() for w in words) if unlike else "".join(words).encode()
-            yield b"".join(map(get, words)), text
+            ids = b"".join(map(get, words))
+            yield ids, self.decode(np.frombuffer(ids, "<u4").astype(np.int64)).tobytes()
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that the ids stand for, one after another."""
+        return self.flat[spread(self.at[ids], self.size[ids])]
 
 
 def coder(path: str, pattern: str) -> Coder:
