@@ -197,12 +197,17 @@ def candidates(met: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, na, b, nb) that link: partial overlaps by fragment, summed per pair."""
+    """The pairs (a, b) that link."""
+    return overlapping(pairs, segments).select("a", "b")
+
+
+def overlapping(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """The pairs (a, na, b, nb) that link, with their overlap: partial overlaps by fragment, summed per pair."""
     left = pairs.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("part").alias("pa")), "a")
     both = left.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("part").alias("pb")), ["b", "fragment"])
     partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("overlap"))
     whole = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    return whole.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * PERCENT).select("a", "b")
+    return whole.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * PERCENT)
 
 
 def links(docs: DataFrame, tables: Tables) -> DataFrame | None:
@@ -253,7 +258,7 @@ def links(docs: DataFrame, tables: Tables) -> DataFrame | None:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and class_id (of equal sets) of each row."""
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row."""
     spark = docs.sparkSession
     tables = Tables(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -269,11 +274,47 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     all_edges = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     all_edges = all_edges if edges is None else all_edges.unionByName(edges)
     comp = components(all_edges, tables)
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), *prints[1:]).join(comp, F.col("doc_id") == F.col("node"), "left")
+    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(comp, F.col("doc_id") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    nameless = shared_counts(docs.where("doc_id IS NULL").withColumn("doc_id", F.lit(0).cast("long"))).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    none = F.lit(None).cast("long")
+    nameless = shared_counts(docs.where("doc_id IS NULL").withColumn("doc_id", F.lit(0).cast("long"))).select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("component_id"))
     return out.unionByName(nameless) if docs.where("doc_id IS NULL").limit(1).count() else out
 
 
+def jaccard_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links, not just enough to connect: (doc_a, doc_b, overlap, similarity) with doc_a < doc_b between the representatives of
+    classes of equal sets, and (doc_id, class_id, n_shingles, n_links) of each document: its class, and to how many other classes
+    it links. The empty set is no class.
+
+    Where many documents are alike there are as many links as pairs of them; jaccard_components() needs far fewer tests.
+    """
+    spark = docs.sparkSession
+    tables = Tables(spark, "jaccard-links")
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = ["n", "f1", "f2", "f3", "f4"]
+    sets = tables.write(shared_counts(docs))
+    classes = sets.where("n > 0").groupBy(*prints).agg(F.min("doc_id").alias("class_id"))
+    member = tables.write(sets.join(classes, prints, "left").select("doc_id", "class_id", F.col("n").alias("n_shingles")))
+    reps = tables.write(member.where("doc_id = class_id").select("doc_id").distinct())
+    again = tables.write(shared_counts(only(docs, reps, reps.count()).dropDuplicates(["doc_id"])).where(could_link()).select("doc_id").distinct())
+    order = tables.write(ordered(only(docs, again, again.count()).dropDuplicates(["doc_id"])))
+    empty = spark.createDataFrame([], "doc_a long, doc_b long, overlap long, similarity double")
+    links_ = empty if order.isEmpty() else tables.write(_all_links(order, tables))
+    per = links_.select(F.explode(F.array("doc_a", "doc_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return links_, member.join(per, "class_id", "left").select("doc_id", "class_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _all_links(order: DataFrame, tables: Tables) -> DataFrame:
+    cuts = order.select(F.percentile_approx("k", [i / FRAGMENTS for i in range(1, FRAGMENTS)], 2000)).head()[0]
+    fragment = sum((F.when(F.col("k") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    segments = tables.write(order.groupBy("doc", fragment.alias("fragment")).agg(F.collect_list("sh").alias("part")))
+    now = tables.write(order.where("prefix").select("sh", "doc", "n", "rank").withColumn("short", F.col("rank") <= F.col("n") - least_overlap(F.col("n"), F.col("n")) + 1))
+    x, y = now.where("short").alias("x"), now.alias("y")
+    larger = (F.col("y.n") > F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.doc") > F.col("x.doc")))
+    found = overlapping(tables.write(candidates(x.join(y, (F.col("x.sh") == F.col("y.sh")) & larger & meet("x", "y")))), segments)
+    union = F.col("na") + F.col("nb") - F.col("overlap")
+    return found.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.col("overlap").cast("long").alias("overlap"), (F.col("overlap") / union).alias("similarity"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -41,6 +41,19 @@ def test_join_is_brute_force(odd_docs, odd_texts, no_docs):
     assert jaccard_join.jaccard_components(no_docs).count() == 0
 
 
+def test_all_links_are_brute_force(odd_docs, odd_texts, no_docs):
+    found, member = jaccard_join.jaccard_join(odd_docs)
+    sets = {i: shingles(t) for i, t in odd_texts}
+    of = {i: min(j for j in sets if sets[j] == s) if s else None for i, s in sets.items()}
+    reps = sorted({c for c in of.values() if c is not None})
+    want = {(a, b): len(sets[a] & sets[b]) for x, b in enumerate(reps) for a in reps[:x] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {(r.doc_a, r.doc_b): r.overlap for r in found.collect()} == want and len(want) > 5
+    links = {r.doc_id: (r.class_id, r.n_shingles, r.n_links) for r in member.collect()}
+    assert links == {i: (of[i], len(s), sum(of[i] in p for p in want)) for i, s in sets.items()}
+    found, member = jaccard_join.jaccard_join(no_docs)
+    assert found.count() == member.count() == 0
+
+
 @pytest.mark.parametrize("few", [0, 2])
 def test_many_near_copies(spark, monkeypatch, few):
     """A large group of which only some pairs link, by stars alone and with all pairs at the end."""
@@ -82,6 +95,30 @@ def kept(rows):
     return out
 
 
+def without_strings(rows, length=400, size=50):
+    """The texts (ASCII) without what 400-byte strings or strings of 50 words cover."""
+    at = defaultdict(int)
+    for _, t in rows:
+        for s in range(len(t) - length + 1):
+            at[t[s : s + length]] += 1
+    spans = {i: [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0d]+", t)] for i, t in rows}
+    own = {i: words(t) for i, t in rows}
+    for w in own.values():
+        for s in range(len(w) - size + 1):
+            at[tuple(w[s : s + size])] += 1
+    out = {}
+    for i, t in rows:
+        gone, w = set(), own[i]
+        for s in range(len(t) - length + 1):
+            if at[t[s : s + length]] > 1:
+                gone.update(range(s, s + length))
+        for s in range(len(w) - size + 1):
+            if at[tuple(w[s : s + size])] > 1:
+                gone.update(range(spans[i][s][0], spans[i][s + size - 1][1]))
+        out[i] = "".join(c for k, c in enumerate(t) if k not in gone)
+    return out
+
+
 def digests(df):
     out = {}
     for r in suffix_dedup.with_spans(df.select("doc_id", "text"), "s").collect():
