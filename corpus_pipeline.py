@@ -48,8 +48,17 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go. Null and empty texts contain none; without benchmark items all stay."""
-    return without(docs, decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Documents that contain a benchmark item go, rows without an id as well. Null and empty texts contain none; without
+    benchmark items all stay."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    kept = without(docs, decontamination.contamination(docs, items))
+    nameless = kept.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return kept
+    key = suffix_dedup.unused("_key", docs.columns)
+    nameless = nameless.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = Tables(spark, "nameless").write(decontamination.contamination(nameless, items, id_col=key).select(key).distinct())
+    return kept.where("doc_id IS NOT NULL").unionByName(nameless.join(found, key, "left_anti").select(kept.columns))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
