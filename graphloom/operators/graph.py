@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.operators.aggregates import noisy_or
-from graphloom.session import written
+from graphloom.session import dropped, written
 
 
 #: Written tables in place of checkpoints: a checkpoint keeps the size estimate of its plan, which self-joins square each round.
@@ -65,7 +65,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, hops: int = 3, least: float =
     known = seeds.select("node", F.lit(1.0).alias("confidence"))
     for _ in range(hops):
         step = known.join(e, F.col("node") == F.col("u")).select(F.col("v").alias("node"), (F.col("confidence") * F.col("c")).alias("confidence")).where(F.col("confidence") >= least)
-        known = cut(known.unionAll(step).groupBy("node").agg(F.max("confidence").alias("confidence")))
+        new = cut(known.unionAll(step).groupBy("node").agg(F.max("confidence").alias("confidence")))
+        if hasattr(known, "_graphloom_path"):
+            dropped(known)
+        known = new
     return known
 
 
@@ -75,28 +78,33 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     out = e.groupBy("src").agg(F.sum("w").alias("all"))
     e = cut(e.join(out, "src").select("src", "tgt", (F.col("w") / F.col("all")).alias("share")))
     score = edges.select(F.col("src").alias("node")).unionAll(edges.select("tgt")).distinct().withColumn("score", F.lit(1 - damping))
-    nodes = cut(score.select("node"))
+    nodes, last = cut(score.select("node")), None
     for k in range(rounds):
         flow = e.join(score, F.col("src") == F.col("node")).groupBy(F.col("tgt").alias("node")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
         score = nodes.join(flow, "node", "left").select("node", ((1 - damping) + damping * F.coalesce("in", F.lit(0.0))).alias("score"))
         if k % 3 == 2:
             score = cut(score)
+            if last is not None:
+                dropped(last)
+            last = score
     return score
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that is reachable; labels spread and jump until they stay."""
     e = cut(both_ways(edges).distinct())
-    label = cut(e.groupBy("u").agg(F.least("u", F.min("v")).alias("c")).select(F.col("u").alias("node"), "c"))
+    held = cut(e.groupBy("u").agg(F.least("u", F.min("v")).alias("n")).select(F.col("u").alias("node"), "n"))
     while True:
+        label = held.select("node", F.col("n").alias("c"))
         near = e.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("c").alias("m"))
         low = label.join(near, F.col("node") == F.col("u")).select("node", "c", F.least("c", "m").alias("n"))
         jump = label.select(F.col("node").alias("j"), F.col("c").alias("jc"))
         new = cut(low.join(jump, F.col("n") == F.col("j"), "left").select("node", "c", F.least("n", F.coalesce("jc", "n")).alias("n")))
-        moved = new.where("c <> n").limit(1).count()
-        label = new.select("node", F.col("n").alias("c"))
-        if not moved:
-            return label.select("node", F.col("c").alias("component"))
+        dropped(held)
+        held = new
+        if not new.where("c <> n").limit(1).count():
+            dropped(e)
+            return new.select("node", F.col("n").alias("component"))
 
 
 def cycles(edges: DataFrame, longest: int) -> DataFrame:
@@ -161,7 +169,9 @@ def fixpoint(edges: DataFrame, rules: Sequence, most: int = 5) -> DataFrame:
         new = cut(new.groupBy("src", "rel", "tgt").agg(F.max("confidence").alias("confidence")).join(known.select("src", "rel", "tgt"), ["src", "rel", "tgt"], "left_anti"))
         if new.isEmpty():
             break
-        known = cut(known.unionByName(new.withColumn("round", F.lit(k))))
+        more = cut(known.unionByName(new.withColumn("round", F.lit(k))))
+        dropped(known, new)
+        known = more
     return known.where("round > 0")
 
 
@@ -269,8 +279,8 @@ def _moves(e: DataFrame, resolution: float, rounds: int) -> DataFrame:
     the neighbouring community of most gain, ties to the smallest; half, so that neighbours don't swap for ever."""
     degree = cut(e.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
     whole = degree.agg(F.sum("k")).head()[0] or 1.0
-    label = cut(degree.select("node", F.col("node").alias("c")))
-    still = 0
+    held = cut(degree.select("node", F.col("node").alias("c")))
+    label, still = held.select("node", "c"), 0
     for r in range(rounds):
         size = label.join(degree, "node").groupBy("c").agg(F.sum("k").alias("inside"))
         to = e.where("u <> v").join(label.select(F.col("node").alias("v"), "c"), "v").groupBy(F.col("u").alias("node"), "c").agg(F.sum("w").alias("w"))
@@ -283,7 +293,8 @@ def _moves(e: DataFrame, resolution: float, rounds: int) -> DataFrame:
         turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
         new = cut(best.select("node", "own", F.when(turn, F.col("to")).otherwise(F.col("own")).alias("c")))
         still = 0 if new.where("own <> c").limit(1).count() else still + 1
-        label = new.select("node", "c")
+        dropped(held)
+        held, label = new, new.select("node", "c")
         if still == 2:
             break
     return label.select("node", F.col("c").alias("community"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import connected_components, cut, descendants
+from graphloom.session import dropped
 
 
 def closure(tree: DataFrame, depth: int = 10) -> DataFrame:
@@ -46,7 +47,9 @@ def entailed(triples: DataFrame, rounds: int = 5) -> DataFrame:
         new = cut(new.distinct().join(known, ["s", "p", "o"], "left_anti"))
         if new.isEmpty():
             break
-        known = cut(known.unionAll(new))
+        more = cut(known.unionAll(new))
+        dropped(*([new] if known is given else [new, known]))
+        known = more
     return known.join(given, ["s", "p", "o"], "left_anti")
 
 
@@ -87,7 +90,9 @@ def translations(edges: DataFrame, vectors: DataFrame, dims: int, epochs: int =
         g = s.select("rel", F.posexplode(F.zip_with(F.transform("pos", lambda x: x / F.col("dp")), F.transform("neg", lambda x: x / F.col("dn")), lambda a, b: a - b)).alias("i", "g")).groupBy("rel", "i").agg(F.avg("g").alias("g"))
         g = g.groupBy("rel").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda z: z["g"]).alias("g"))
         moved = rels.join(F.broadcast(g), "rel", "left").select("rel", F.coalesce(F.zip_with("r", "g", lambda a, b: a - rate * b), "r").alias("r"))
-        rels = cut(moved.select("rel", F.transform("r", lambda x: x / size(F.col("r"))).alias("r")))
+        after = cut(moved.select("rel", F.transform("r", lambda x: x / size(F.col("r"))).alias("r")))
+        dropped(rels)
+        rels = after
     return rels.select("rel", F.col("r").alias("vector"))
 
 

@@ -46,7 +46,15 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut, and its size is that of its files."""
     at = scratch(df.sparkSession)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._graphloom_path = at
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, so that a loop keeps a round or two on disk and no more."""
+    for t in tables:
+        _delete(t.sparkSession, t._graphloom_path)
 
 
 #: The graph read from the relational tables, in SQL that Spark and DuckDB both take. Evidence has a row for each
