@@ -100,7 +100,7 @@ def density_groups(vectors: DataFrame, node: str, vector: str, least: int = 5, l
     """(node, community): clusters of at least ``least`` unit vectors by density, named by their smallest node; null is noise.
 
     Two vectors are joined at a distance when they and both their cores (the distance to the ``least``-th vector, itself
-    counted) are within it. Components at ``levels`` distances (quantiles of the cores) make a tree; along it a cluster has
+    counted) are within it. Components at ``levels`` distances and more (quantiles of the cores, and between them) make a tree; along it a cluster has
     as much stability as its vectors times the range of 1 / distance it lives through, and the clusters of most stability
     that don't contain each other are taken, never the root of all. Neighbours are the ``near`` nearest by approximate
     search. Fewer than 10 vectors are all noise. Null vectors take no part.
@@ -117,7 +117,9 @@ def density_groups(vectors: DataFrame, node: str, vector: str, least: int = 5, l
     reach = pairs.join(core.select(F.col("node").alias("a"), F.col("core").alias("ca")), "a").join(core.select(F.col("node").alias("b"), F.col("core").alias("cb")), "b").select(F.col("a").alias("src"), F.col("b").alias("tgt"), F.greatest("d", "ca", "cb").alias("reach"))
     reach = cut(reach)
     steps = core.agg(F.percentile_approx("core", [i / levels for i in range(1, levels + 1)], 100_000).alias("q")).head()[0] or []
-    steps = sorted({s for s in steps if s is not None})
+    steps = sorted({max(s, 1e-6) for s in steps if s is not None})
+    # distances of which the next is more than a quarter greater get others between
+    steps = [s for a, b in zip(steps, [*steps[1:], None], strict=True) for s in ([a] if b is None else np.geomspace(a, b, max(2, int(np.ceil(np.log(b / a) / np.log(1.25))) + 1))[:-1].tolist())]
     below, found = None, None
     for i, eps in enumerate(steps):
         # chain: stability since the cluster's last split; split: most stability of clusters under that split

@@ -220,7 +220,7 @@ def semantic_groups(d: Data) -> DataFrame:
 
 @query("grf15_blend", """
 WITH l AS (SELECT l_suppkey AS item, 'PART:' || CAST(l_partkey AS VARCHAR) AS entity, 'PART' AS kind, max(l_discount * 6 - 0.2) AS sim FROM lineitem GROUP BY 1, 2 UNION ALL SELECT s_suppkey, 'NATION:' || CAST(s_nationkey AS VARCHAR), 'LOCATION', 0.9 FROM supplier), b AS (SELECT item, max(sim) AS s, max_by(entity, (kind <> 'LOCATION', sim, entity)) AS label FROM l GROUP BY item)
-SELECT s_suppkey AS item, round(greatest(0, coalesce(s, 0)), 6) AS gnn, round(0.7 * s_acctbal / 10000 + 0.3 * greatest(0, coalesce(s, 0)), 6) AS final, label FROM supplier LEFT JOIN b ON item = s_suppkey""")
+SELECT s_suppkey AS item, round(greatest(0, coalesce(s, 0)), 6) AS gnn, round(0.7 * (s_acctbal / 10000) + 0.3 * greatest(0, coalesce(s, 0)), 6) AS final, label FROM supplier LEFT JOIN b ON item = s_suppkey""")
 def blend(d: Data) -> DataFrame:
     name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string")).alias("entity")
     links = d.lineitem.groupBy(F.col("l_suppkey").alias("item"), name("PART", "l_partkey")).agg(F.max(F.col("l_discount") * 6 - 0.2).alias("similarity")).select("item", "entity", F.lit("PART").alias("kind"), "similarity")

@@ -225,8 +225,9 @@ def test_files_of_several_kinds(spark, tmp_path):
 
 def test_density_groups_leave_noise_out(spark):
     rng = np.random.default_rng(4)
-    centres = np.linalg.qr(rng.normal(size=(24, 24)))[0][:4]
-    rows = [(i, (centres[i % 4] + rng.normal(size=24) * 0.04).tolist()) for i in range(80)] + [(100 + i, rng.normal(size=24).tolist()) for i in range(12)]
+    axes = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    centres = axes[4] + 0.35 * axes[:4]  # nearer to each other than to anything else
+    rows = [(i, (centres[i % 4] + rng.normal(size=24) * 0.02).tolist()) for i in range(80)] + [(100 + i, rng.normal(size=24).tolist()) for i in range(12)]
     got = {r.node: r.community for r in ontology.density_groups(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").collect()}
     assert all(got[100 + i] is None for i in range(12))
     assert {got[i] for i in range(80)} == {0, 1, 2, 3} and all(got[i] == i % 4 for i in range(80))
