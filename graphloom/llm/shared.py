@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +61,11 @@ class Tables:
         for t in tables:
             _delete(self.spark, t._graphloom_path)
 
+    def tidy(self) -> None:
+        """Shuffles that nothing reads any more leave the disk."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
