@@ -39,6 +39,8 @@ from graphloom.llm.suffix_sort import lcp, suffix_array
 
 CHUNK = 1 << 20
 CROWD = 20_000
+#: Segments of more copies than MANY are broadcast while there are at most FEW of them (16 bytes each).
+MANY, FEW = 500, 200_000
 
 
 @dataclass(frozen=True)
@@ -256,7 +258,15 @@ def repeats(docs: DataFrame, tables: Tables, letters: Letters = BYTES) -> DataFr
     tables.drop(found, shared)
     segs = common.groupBy("khash", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "anchor", "first", "last")).alias("one"))
     segs = tables.write(segs)
-    whole = common.join(segs.where("copies > 1").select("khash", "seg"), ["khash", "seg"]).select("doc_id", "first", "last")
+    # segments of very many copies are few, and are met where their rows stand; the others' rows are dealt out
+    twice, keys = segs.where("copies > 1").select("khash", "seg", "copies"), ["khash", "seg"]
+    hot = tables.write(twice.where(F.col("copies") > MANY).select(*keys))
+    if hot.limit(FEW + 1).count() <= FEW:
+        other = common.join(F.broadcast(hot), keys, "left_anti").join(twice.where(F.col("copies") <= MANY).select(*keys), keys)
+        whole = common.join(F.broadcast(hot), keys).unionByName(other.select(common.columns))
+    else:
+        whole = common.join(twice.select(*keys), keys)
+    whole = whole.select("doc_id", "first", "last")
     kinds = segs.groupBy("khash").agg(F.count("*").alias("kinds")).where("kinds > 1")
     need = segs.join(kinds, "khash").select("khash", "kinds", "one.*", (F.col("copies") == 1).alias("alone"), (F.col("kinds") > CROWD).alias("crowd"))
     need = tables.write(need)
@@ -266,7 +276,9 @@ def repeats(docs: DataFrame, tables: Tables, letters: Letters = BYTES) -> DataFr
     if not need.where("crowd").isEmpty():
         parts = parts.unionByName(_crowds(texts.where("crowd").drop("crowd"), letters))
     out = tables.write(whole.unionByName(parts))
-    tables.drop(common, segs, need, wanted)
+    tables.drop(common, segs, hot, need, wanted)
+    del found, shared, common, segs, twice, hot, whole, kinds, need, wanted, texts, parts
+    tables.tidy()
     return out
 
 
