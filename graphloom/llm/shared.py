@@ -77,3 +77,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def crc32_sql(c: str) -> str:
+    """crc32 of a decimal number in DuckDB, bit by bit."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({c}::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
