@@ -7,9 +7,10 @@ shard; its k-th score goes along to all the others, where it prunes from the sta
 
 Queries are packed into blocks of bounded size; every shard meets every block of queries. A tree has 1024 to 8192
 vectors, so that there are some trees for each core, and trees are dealt in turn to partitions of their own. Vectors
-that are null, or hold null, NaN or infinite components take no part, nor do those with a component of LARGE or more
-after scaling, whose scores a long might not hold. Scores are exact: doubles as long as they stay under 2**53, 64-bit
-integers beyond. Rows repeated under an id count once (the least vector). Vectors of unlike lengths are read as if
+that are null, or hold null, NaN or infinite components take no part. Scores are exact: doubles as long as they stay
+under 2**53, 64-bit integers beyond, and Python's integers where a score might pass those. They rank by their exact
+value up to 38 digits; the score given is the nearest long, so what is beyond a long is the largest or the smallest one.
+A component that a double can't hold after scaling is the largest double. Rows repeated under an id count once (the least vector). Vectors of unlike lengths are read as if
 zeros followed the shorter. An empty table has no rows in the result. Other columns are not read.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,11 @@ LEAF = 128
 LEAST_ROWS, TREE_ROWS = 1024, 8192
 BLOCK_ROWS = 1024
 EXACT = float(1 << 53)
-LARGE = float(1 << 27)
+#: Sums of 64-bit integers stay under this.
+WHOLE = float(1 << 62)
+LONG = (1 << 63) - 1
+#: What a decimal of 38 digits holds.
+DIGITS = 10**38 - 1
 
 
 class Tree:
@@ -40,8 +46,9 @@ class Tree:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        self.whole = self.x.astype(np.int64)
-        self.reach, self.opened = float(np.abs(self.x).sum(axis=1).max(initial=0)), 0
+        with np.errstate(over="ignore"):
+            self.reach, self.opened = float(np.abs(self.x).sum(axis=1).max(initial=0)), 0
+        self.whole = self.x.astype(np.int64) if self.reach < WHOLE else None
         self.lo, self.hi, self.least, self.kids, self.rows = [], [], [], [], []
         if len(ids):
             self.build(np.arange(len(ids)))
@@ -67,19 +74,30 @@ class Tree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest inner product of each query with any point of each box, or a little more where doubles round."""
-        out = np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
-        return out if self.reach * np.abs(queries).max(initial=0) < EXACT else out + np.abs(out) * 1e-9 + 1
+        with np.errstate(over="ignore", invalid="ignore"):
+            out = np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
+            if self.reach * np.abs(queries).max(initial=0) < EXACT:
+                return out
+            # sums of parts of both signs lose up to so much; what isn't a number may be anything
+            lost = np.abs(queries) @ np.maximum(np.abs(self.hi), np.abs(self.lo)).T
+            return np.nan_to_num(out + lost * 1e-9 + 1, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        if self.reach * np.abs(query).max(initial=0) < EXACT:
+        with np.errstate(over="ignore"):
+            most = self.reach * np.abs(query).max(initial=0)
+        if most < EXACT:
             return self.x[rows] @ query
-        return self.whole[rows] @ query.astype(np.int64)
+        if self.whole is not None and most < WHOLE:
+            return self.whole[rows] @ query.astype(np.int64)
+        q = [int(c) for c in query.tolist()]
+        return np.array([sum(int(a) * b for a, b in zip(v, q, strict=True)) for v in self.x[rows].tolist()], object)
 
     def search(self, query: np.ndarray, own: int, bound: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
         """The k best (score, -id) with a score of ``floor`` at least; the row of id ``own`` is left out."""
         best: list[tuple[float, int]] = []
         if not len(bound):
             return best
+        bound = bound.tolist()  # Python compares its integers with doubles exactly
         queue = [(-bound[0], self.least[0], 0)]
         while queue:
             b, least, node = heapq.heappop(queue)
@@ -112,7 +130,10 @@ class Tree:
 
 def under(score: float) -> float:
     """The score as a double that isn't greater."""
-    return float(score) if abs(score) < EXACT else float(score) - abs(float(score)) * 1e-9 - 1
+    if abs(score) < EXACT:
+        return float(score)
+    score = float(max(-(1 << 1023), min(1 << 1023, score)))
+    return score - abs(score) * 1e-9 - 1 if score > -float(1 << 1023) else -np.inf
 
 
 def unpack(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +148,8 @@ def fit(x: np.ndarray, dims: int) -> np.ndarray:
 def quantise(batch: pa.RecordBatch, scale: float) -> tuple[np.ndarray, np.ndarray]:
     ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
     sizes = np.diff(vectors.offsets.to_numpy())
-    flat = np.floor(scale * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    with np.errstate(over="ignore"):
+        flat = np.nan_to_num(np.floor(scale * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)))
     out = np.zeros((len(ids), int(sizes.max(initial=0))))
     out[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return ids.astype(np.int64), out
@@ -217,11 +239,11 @@ def second_pass(pairs: DataFrame, k: int) -> DataFrame:
                     now, tree = block, Tree(i, fit(v, dims))
                 qv = fit(qv, dims)
                 bound = tree.bounds(qv)
-                out = [(int(qi[n]), -i2, int(s)) for n in range(len(qi)) for s, i2 in tree.search(qv[n], int(qi[n]), bound[n], k, f[n])]
+                out = [(int(qi[n]), -i2, Decimal(max(-DIGITS, min(DIGITS, int(s))))) for n in range(len(qi)) for s, i2 in tree.search(qv[n], int(qi[n]), bound[n], k, f[n])]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.decimal128(38, 0)), strict=True)], ["query_id", "vec_id", "score"])
 
-    return pairs.select("block", "ids", "x", "query_ids", "floors", "q").mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.select("block", "ids", "x", "query_ids", "floors", "q").mapInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
 
 
 def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -229,7 +251,7 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 2
     spark = vectors.sparkSession
     t = Tables(spark, "topk")
     v = F.col(vector_col)
-    usable = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.floor(scale * x.cast("double"))) < LARGE))
+    usable = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     clean = vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
     clean = clean.groupBy("vec_id").agg(F.min("v").alias("v"))
     clean = t.write(clean)
@@ -245,7 +267,7 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 2
     sent = blocks.select("query_ids", "floors", "q", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     found = second_pass(trees.repartitionById(slots, F.col("slot")).join(sent.repartitionById(slots, F.col("slot")).hint("merge"), "slot"), k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.greatest(F.lit(Decimal(-LONG - 1)), F.least(F.lit(Decimal(LONG)), "score")).cast("long").alias("score"))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,15 +264,18 @@ def test_topk_is_brute_force(spark, monkeypatch, case):
 
 
 def test_topk_of_large_components(spark):
-    """Scores beyond what doubles hold are still exact; components that a long can't score take no part."""
+    """Scores beyond what doubles and longs hold still rank exactly; every finite vector takes part."""
     rng = np.random.default_rng(8)
-    x = rng.integers(-(1 << 26), 1 << 26, (60, 5))
-    rows = [(i * 25, (x[i] / 256).tolist()) for i in range(60)] + [(7, [1e300, 0.0, 0.0, 0.0, 0.0]), (8, [float(1 << 27), 0.0, 0.0, 0.0, 0.0])]
+    x = [[int(v) / 256 for v in row] for row in rng.integers(-(1 << 26), 1 << 26, (60, 5))]
+    rows = [(i * 25, v) for i, v in enumerate(x)] + [(7, [1e300, 0.0, 0.0, 0.0, 0.0]), (8, [float(1 << 27), 0.0, 0.0, 0.0, 0.0]), (9, [600000.0, 1.0]), (50 * 77, [2.0**40, -(2.0**40), 3.0, 1.0, 0.0]), (11, [2.0**40, 2.0**40, 5.0]), (13, [1.7e308] * 5), (15, [float("inf"), 1.0]), (17, [float("nan")])]
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    most, digits = (1 << 63) - 1, 10**38 - 1
+    q = {i: [int(min(max(np.floor(256 * c), -np.finfo(float).max), np.finfo(float).max)) if abs(c) < 1e300 else int(min(256.0 * c, np.finfo(float).max)) for c in v] for i, v in rows if np.isfinite(v).all()}
     want = []
-    for i in range(0, 60, 2):
-        best = sorted((-sum(int(a) * int(b) for a, b in zip(x[i], x[j], strict=True)), j * 25) for j in range(60) if j != i)[:5]
-        want += [(i * 25, k + 1, v, -s) for k, (s, v) in enumerate(best)]
+    for i in q:
+        if i % 50 == 0:
+            best = sorted((-max(-digits, min(digits, sum(a * b for a, b in zip(q[i], q[j], strict=False)))), j) for j in q if j != i)[:5]
+            want += [(i, k + 1, v, max(-most - 1, min(most, -s))) for k, (s, v) in enumerate(best)]
     assert got == sorted(want)
 
 
