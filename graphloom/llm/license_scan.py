@@ -27,7 +27,7 @@ from graphloom.llm.windows import Items
 
 THRESHOLD = 0.75
 BANDS, ROWS = 40, 2
-#: Bytes of all templates.
+#: About so many bytes of templates are broadcast at once; a table of more is taken in blocks, each with a pass over the texts.
 MOST = 64 << 20
 SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -122,12 +122,34 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None =
 
     ``templates``: texts by name, or a table of (license, text).
     """
-    if isinstance(templates, DataFrame):
-        size = templates.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-        if size > MOST:
-            raise ValueError(f"templates have {size} bytes; at most {MOST} are broadcast")
-        templates = {r.license: r.text or "" for r in templates.select("license", "text").orderBy("license").collect()}
     templates = TEMPLATES if templates is None else templates
+    found = None
+    for block in template_blocks(templates):
+        part = _scanned(docs, block, threshold, id_col, text_col)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def template_blocks(templates: dict[str, str] | DataFrame) -> Iterator[dict[str, str]]:
+    """The templates in blocks of about MOST bytes, at least one; of a table, a block at a time comes to the driver."""
+    if not isinstance(templates, DataFrame):
+        block, size = {}, 0
+        for name in sorted(templates):
+            n = len(templates[name].encode())
+            if block and size + n > MOST:
+                yield block
+                block, size = {}, 0
+            block[name], size = templates[name], size + n
+        yield block
+        return
+    rows = templates.select("license", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    blocks = max(1, -(-2 * (rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // MOST))
+    for b in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("license"), F.lit(blocks)) == b)
+        yield {r.license: r.text for r in part.orderBy("license", "text").collect()}
+
+
+def _scanned(docs: DataFrame, templates: dict[str, str], threshold: float, id_col: str, text_col: str) -> DataFrame:
     ids, texts = list(templates), list(templates.values())
     kind = docs.schema[id_col].dataType.simpleString()
 
