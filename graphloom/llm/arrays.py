@@ -57,7 +57,7 @@ def trimmed(run: Callable, keeps: str = "") -> Callable:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i in 0..n-1."""
-    if len(_powers.get("up", ())) < n:
+    if len(_powers.get("up", ())) < max(1, n):
         size = (int(n) // (1 << 20) + 1) << 20
         for name, b in (("up", BASE), ("down", INVERSE)):
             x = np.full(size, b, np.uint64)
