@@ -18,8 +18,8 @@ chance of 2**-64 a pair). What follows is told for 400 bytes; 50 words take the
 
 A text of fewer letters than the length has no such string.
 
-Null and empty texts have nothing to remove. Rows repeated under an id: an id names one text; the same row twice is a
-copy, and both are judged. Null ids are left as they are.
+Null and empty texts have nothing to remove. Every row is judged by its own text: the same row twice is a copy, unlike texts
+under one id are texts of their own, and so are those without an id.
 """
 
 from __future__ import annotations
@@ -317,16 +317,24 @@ def unused(name: str, columns: list[str]) -> str:
 
 
 def with_spans(docs: DataFrame, name: str, letters: tuple[Letters, ...] = (BYTES,)) -> DataFrame:
-    """The documents with a column ``name`` of repeated window ranges (first, last, size of a letter; null: none)."""
+    """The documents with a column ``name`` of repeated window ranges (first, last, size of a letter; null: none).
+
+    Rows are told apart by doc_id. Where ids are null or repeated, the table is written once with numbers of its own, so that
+    each row is judged by its own text.
+    """
     tables = Tables(docs.sparkSession, "suffix")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    key = unused("_id", [*docs.columns, name])
+    row, key = unused("_row", [*docs.columns, name]), unused("_id", [*docs.columns, name])
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        docs = docs.withColumn(row, F.col("doc_id").cast("long"))
+    else:
+        docs = tables.write(docs.withColumn(row, F.monotonically_increasing_id()))
+    slim = docs.select(F.col(row).alias("doc_id"), "text")
     found = [repeats(slim, tables, x).withColumn("size", F.lit(x.size)) for x in letters]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
     spans = tables.write(every.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("first", "last", "size")).alias(name)))
-    return docs.join(spans, docs["doc_id"].cast("long") == spans[key], "left").drop(spans[key])
+    return docs.join(spans, docs[row] == spans[key], "left").drop(key, row)
 
 
 def without_repeats(docs: DataFrame, letters: tuple[Letters, ...] = (BYTES,)) -> DataFrame:

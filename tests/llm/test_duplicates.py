@@ -219,6 +219,22 @@ def test_texts_keep_their_columns(odd_docs, no_docs):
     assert all(r.text is None or r.n_chars == len(r.text) for r in out.collect())
 
 
+def test_rows_are_told_apart_by_more_than_their_id(spark):
+    """Unlike texts under one id, repeated rows and rows without an id are each judged by their own text."""
+    rng = random.Random(13)
+    fresh = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randrange(5000)}" for _ in range(n))
+    long, clean = fresh(150), fresh(220)
+    rows = [(1, f"{fresh(60)} {long} {fresh(60)}"), (1, clean), (1, "short"), (2, f"{long} tail"), (None, fresh(120)), (None, f"x {long}"), (3, None), (4, fresh(90))]
+    rows += [(5, rows[7][1])] + [(6, "twice " * 100)] * 2
+    numbered = [(k, t or "") for k, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row long").repartition(3)
+    both = (suffix_dedup.BYTES, suffix_dedup.WORDS)
+    got = {r["_row"]: r.text for r in suffix_dedup.without_repeats(df, both).collect()}
+    want = without_strings(numbered)
+    assert {k: t or "" for k, t in got.items()} == want and got[6] is None
+    assert got[1] == clean and got[2] == "short" and got[4] == rows[4][1] and long not in got[0]
+
+
 def test_suffix_sort_orders():
     rng = random.Random(6)
     for _ in range(200):

@@ -133,6 +133,34 @@ def test_licenses_are_brute_force(spark):
     assert got == want and len(want) >= 30
 
 
+def test_templates_in_blocks(spark, monkeypatch):
+    """More templates than are broadcast at once, and very long texts: the same rows, in several passes."""
+    rng = random.Random(17)
+    fresh = lambda n: " ".join(f"t{rng.randrange(900)}" for _ in range(n))
+    texts = {f"l{k:02d}": fresh(rng.choice([9, 30, 80])) for k in range(25)}
+    docs = spark.createDataFrame([(k, f"{fresh(30)} {t} {fresh(30)}") for k, t in enumerate(texts.values())] + [(90, f"{fresh(40_000)} {texts['l03']} {fresh(40_000)}"), (91, None), (92, "")], "doc_id long, text string")
+    want = sorted(map(tuple, license_scan.license_scan(docs, texts).collect()))
+    assert {r[:2] for r in want} >= {(k, name) for k, name in enumerate(texts)} | {(90, "l03")}
+    monkeypatch.setattr(license_scan, "MOST", 1500)
+    table = spark.createDataFrame([*texts.items(), ("none", None)], "license string, text string")
+    assert len(list(license_scan.template_blocks(table))) > 3 and len(list(license_scan.template_blocks(texts))) > 3
+    assert sorted(map(tuple, license_scan.license_scan(docs, table).collect())) == want
+    assert sorted(map(tuple, license_scan.license_scan(docs, texts).collect())) == want
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Of equal rows one stays; unlike texts under one id all stay, unless the id is linked to a smaller one."""
+    import corpus_pipeline as C
+
+    rng = random.Random(19)
+    fresh = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(40))
+    a, b, c = fresh(), fresh(), fresh()
+    rows = [(1, a, "y"), (1, a, "x"), (1, b, "x"), (2, c, "x"), (3, f"{a} end", "x"), (None, a, "x"), (None, None, "x"), (4, None, "x"), (4, None, "x"), (5, "", "x")]
+    got = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    key = lambda r: (str(r[0]), str(r[1]), r[2])
+    assert sorted(map(key, got)) == sorted(map(key, [(1, a, "x"), (1, b, "x"), (2, c, "x"), (None, a, "x"), (None, None, "x"), (4, None, "x"), (5, "", "x")]))
+
+
 def test_pipeline(spark, odd_docs, tmp_path):
     import corpus_pipeline as C
 
@@ -207,4 +235,4 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
