@@ -28,21 +28,27 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; of rows repeated under an id, one."""
+    """Of each group of linked documents the one with the smallest doc_id stays.
+
+    Of rows that repeat an id and its text one stays, the least by its other columns; unlike texts under one id are linked by
+    any of them, and stay or go together. Null and empty texts, and rows without an id, are linked with nothing and stay.
+    """
     found = Tables(spark, "near").write(jaccard_join.jaccard_components(docs))
     kept = without(docs, found.where("doc_id <> component_id"))
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
     single = without(kept, twice)
-    return single.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(single.columns))
+    rest = [c for c in single.columns if c not in ("doc_id", "text")]
+    several = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest")) if rest else kept.join(twice, "doc_id", "left_semi").distinct()
+    return single.unionByName(several.select("doc_id", "text", "_rest.*").select(single.columns) if rest else several.select(single.columns))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes, and those of 50 words, that occur more than once are cut out of the texts, each copy of them.
 
-    Words are compared with A-Z lower-cased and white space not heeded. Null and empty texts stay as they are, rows of a
-    repeated id are judged as copies, and rows without an id are not judged.
+    Words are compared with A-Z lower-cased and white space not heeded. Null and empty texts stay as they are. Every row is
+    judged by its own text, whether its id is null or repeated.
     """
     return suffix_dedup.without_repeats(docs, (suffix_dedup.BYTES, suffix_dedup.WORDS))
 
@@ -62,7 +68,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the digest of the text that the ids stand for."""
+    """doc_id, n_tokens, ids, and the digest of the text that the ids stand for; of a null or empty text no ids."""
     import public_tokenizers as P
 
     out = byte_bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
