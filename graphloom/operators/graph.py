@@ -274,58 +274,198 @@ def missing_tails(edges: DataFrame, rel: str, k: int) -> DataFrame:
     return best.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "tgt"))).where(F.col("_r") <= k).drop("_r")
 
 
-def _moves(e: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """(node, community) by greedy modularity moves. In a round about half of the nodes (by a hash) may move at once, each to
-    the neighbouring community of most gain, ties to the smallest; half, so that neighbours don't swap for ever."""
-    degree = cut(e.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
-    whole = degree.agg(F.sum("k")).head()[0] or 1.0
-    held = cut(degree.select("node", F.col("node").alias("c")))
-    label, still = held.select("node", "c"), 0
-    for r in range(rounds):
-        size = label.join(degree, "node").groupBy("c").agg(F.sum("k").alias("inside"))
-        to = e.where("u <> v").join(label.select(F.col("node").alias("v"), "c"), "v").groupBy(F.col("u").alias("node"), "c").agg(F.sum("w").alias("w"))
-        own = label.select("node", F.col("c").alias("own"))
-        # staying is a candidate, too; a node's own degree doesn't count in the community it would join
-        option = to.unionByName(label.select("node", "c", F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
-        j = option.join(size, "c").join(degree, "node").join(own, "node")
-        gain = F.col("w") - resolution * F.col("k") * (F.col("inside") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / whole
-        best = j.withColumn("g", F.round(gain, 9)).groupBy("node", "own").agg(F.min_by("c", F.struct(-F.col("g"), F.col("c") != F.col("own"), "c")).alias("to"))
-        turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
-        new = cut(best.select("node", "own", F.when(turn, F.col("to")).otherwise(F.col("own")).alias("c")))
-        still = 0 if new.where("own <> c").limit(1).count() else still + 1
-        dropped(held)
-        held, label = new, new.select("node", "c")
-        if still == 2:
-            break
-    return label.select("node", F.col("c").alias("community"))
+#: Weights become whole numbers of this unit, so that sums don't depend on the order of rows.
+UNIT = 1 << 20
+
+
+def _symmetric(edges: DataFrame) -> DataFrame:
+    """(u, v, w) both ways, w in whole units; several edges between two nodes are one."""
+    one = edges.where("src <> tgt AND weight > 0").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), F.round(F.col("weight") * UNIT).cast("long").alias("w"))
+    one = one.groupBy("src", "tgt").agg(F.sum("w").alias("w")).where("w > 0")
+    return cut(both_ways(one, "w"))
+
+
+def _coin(node: str, *salt: int) -> Column:
+    """A number in [0, 1) for each node, from a hash."""
+    return F.pmod(F.xxhash64(node, *[F.lit(s) for s in salt]), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _refined(e: DataFrame, member: DataFrame) -> DataFrame:
-    """(node, community): a community whose nodes aren't all joined inside it falls into its connected parts, each named by
-    its smallest node. A split never lowers modularity: no edge is lost, and the degrees' squares get smaller."""
-    a, b = member.select(F.col("node").alias("u"), F.col("community").alias("cu")), member.select(F.col("node").alias("v"), F.col("community").alias("cv"))
-    inside = e.where("u <> v").join(a, "u").join(b, "v").where("cu = cv").select(F.col("u").alias("src"), F.col("v").alias("tgt"))
-    part = connected_components(inside)
-    return member.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
+def _quality(e: DataFrame, label: DataFrame, degree: DataFrame, resolution: float, whole: int) -> float:
+    """Modularity of a partition: label (node, c), degree (node, k), e (u, v, w) with loops."""
+    inside = e.join(label.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(label.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").agg(F.sum("w").alias("w"))
+    sizes = label.join(degree, "node").groupBy("c").agg(F.sum("k").cast("decimal(19,0)").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("s"))
+    r = inside.crossJoin(sizes).head()
+    return (r.w or 0) / whole - resolution * float(r.s or 0) / whole / whole
 
 
-def community_hierarchy(edges: DataFrame, levels: int = 3, resolution: float = 1.0, least: int = 1, rounds: int = 12) -> DataFrame:
-    """(node, level, community) of an undirected graph (src, tgt, weight): communities of one level are the nodes of the
-    next, with half of its resolution. Moves are refined, so that each community hangs together. A community is named by one
-    of its nodes; smaller ones than ``least`` are left out."""
-    e = cut(edges.where("src <> tgt").select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight").groupBy("src", "tgt").agg(F.sum("weight").alias("w")))
-    e = cut(both_ways(e, "w"))
-    member, out = None, None
+def _gains(e: DataFrame, who: DataFrame, label: DataFrame, degree: DataFrame, resolution: float, whole: int) -> DataFrame:
+    """(node, own, c, gain): what each of ``who`` gains in each neighbouring community, and in its own, without itself in it."""
+    size = label.join(degree, "node").groupBy("c").agg(F.sum("k").alias("inside"), F.count("*").alias("members"))
+    near = e.where("u <> v").join(who.select(F.col("node").alias("u")), "u").join(label.select(F.col("node").alias("v"), "c"), "v").groupBy(F.col("u").alias("node"), "c").agg(F.sum("w").alias("w"))
+    own = label.join(who.select("node"), "node", "left_semi").join(degree, "node").select("node", F.col("c").alias("own"), "k")
+    option = near.unionByName(own.select("node", F.col("own").alias("c"), F.lit(0).cast("long").alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w"))
+    j = option.join(own, "node").join(size, "c")
+    rest = F.col("inside") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)
+    return j.select("node", "own", "c", "members", (F.col("w") - resolution * F.col("k") * rest / whole).alias("gain"))
+
+
+def _moved(e: DataFrame, label: DataFrame, degree: DataFrame, resolution: float, whole: int, seed: int) -> tuple[DataFrame, bool]:
+    """Local moves from a partition until no node gains by one; whether any was made.
+
+    A queue holds the nodes to be looked at: at first all, then those next to a moved node, and those whose turn didn't come.
+    A round moves a part of the nodes that gain, drawn by a hash; if modularity falls, as neighbours moved at once, the
+    round is undone and a smaller part is drawn. The smallest part is one move for each community at most that it leaves or
+    enters, of most gain, which can't fall. So every round that counts raises modularity, and the rounds come to an end.
+    """
+    queue, now, any_, round_, share, spent = label.select("node"), label, False, 0, 0.5, []
+    least = whole * 1e-12  # gains that modularity, as a double, still shows
+    q = _quality(e, now, degree, resolution, whole)
+    while True:
+        g = _gains(e, queue, now, degree, resolution, whole)
+        stay = F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay")
+        alone = F.max(F.when(F.col("c") == F.col("own"), F.col("members"))).alias("alone")
+        best = g.groupBy("node", "own").agg(stay, alone, F.max_by(F.struct("c", "gain", "members"), F.struct("gain", F.col("c") == F.col("own"), F.xxhash64("c", F.lit(seed)))).alias("b"))
+        # of two single nodes that would swap, the one of the larger name moves
+        swap = (F.col("alone") == 1) & (F.col("b.members") == 1) & (F.col("b.c") > F.col("own"))
+        want = cut(best.where((F.col("b.c") != F.col("own")) & (F.col("b.gain") > F.col("stay") + least) & ~swap).select("node", "own", F.col("b.c").alias("c"), (F.col("b.gain") - F.col("stay")).alias("rise")))
+        if want.isEmpty():
+            dropped(want, *spent)
+            return now.select("node", "c"), any_
+        while True:
+            if share >= 1 / 64:
+                go = want.where(_coin("node", seed, round_) < share)
+            else:
+                rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("rise"), "node"))
+                ends = want.select("node", "own", "c", "rise", F.explode(F.array("own", "c")).alias("end"))
+                go = ends.withColumn("r", rank("end")).groupBy("node", "own", "c").agg(F.max("r").alias("r")).where("r = 1")
+            round_ += 1
+            new = cut(now.join(go.select("node", F.col("c").alias("to")), "node", "left").select("node", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
+            then = _quality(e, new, degree, resolution, whole)
+            if then > q:
+                break
+            dropped(new)
+            if share < 1 / 64:  # a gain lost in rounding
+                return now.select("node", "c"), any_
+            share /= 4
+        any_, q, share = True, then, min(0.5, share * 2)
+        near = e.join(new.where("moved").select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(new.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").where("cu <> cv").select(F.col("v").alias("node"))
+        queue = near.unionByName(want.select("node")).distinct()
+        dropped(*spent)
+        spent = [want] if now is label else [want, now]
+        now = new
+
+
+def _refined(e: DataFrame, label: DataFrame, degree: DataFrame, resolution: float, whole: int, seed: int) -> tuple[DataFrame, bool]:
+    """(node, c): each community built anew from single nodes, so that every part hangs together; whether any two met.
+
+    A node that is well connected to the rest of its community, and still alone, joins the part of most gain that is well
+    connected to the rest, too. None joins a node that goes elsewhere in the same round: of two that choose each other the smaller
+    stands, and where a node chooses another single one, coins decide who goes.
+    """
+    k = degree.select("node", "k")
+    home = cut(label.join(k, "node").select("node", "c", "k"))
+    total = home.groupBy("c").agg(F.sum("k").alias("all"))
+    side = lambda end, name: home.select(F.col("node").alias(end), F.col("c").alias(name))
+    inner = cut(e.where("u <> v").join(side("u", "cu"), "u").join(side("v", "cv"), "v").where("cu = cv").select("u", "v", "w"))
+    cross = inner.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("w"))
+    well = lambda w, part: F.col(w) >= resolution * F.col(part) * (F.col("all") - F.col(part)) / whole
+    fit = cut(home.join(cross, "node").join(total, "c").where(well("w", "k")).select("node", "c", "k", "all"))
+    part, any_, round_ = cut(home.select("node", F.col("node").alias("p"))), False, 0
+    while True:
+        size = part.join(k, "node").groupBy("p").agg(F.sum("k").alias("pk"), F.count("*").alias("members"))
+        held = inner.join(part.select(F.col("node").alias("u"), F.col("p").alias("pu")), "u").join(part.select(F.col("node").alias("v"), F.col("p").alias("pv")), "v").where("pu <> pv")
+        out = held.groupBy(F.col("pu").alias("p")).agg(F.sum("w").alias("cut"))
+        free = fit.join(part.where("node = p").select("node", "p"), "node").join(size.where("members = 1").select("p"), "p").select("node", "c", "k", "all")
+        near = held.join(free.select(F.col("node").alias("u"), "k", "all"), "u").groupBy(F.col("u").alias("node"), "k", "all", F.col("pv").alias("p")).agg(F.sum("w").alias("w"))
+        option = near.join(size, "p").join(out, "p").where(well("cut", "pk"))
+        gain = F.col("w") - resolution * F.col("k") * F.col("pk") / whole
+        best = option.withColumn("gain", gain).where("gain > 0").groupBy("node").agg(F.max_by(F.struct("p", "members"), F.struct("gain", F.xxhash64("p", F.lit(seed)))).alias("b"))
+        pick = cut(best.select("node", "b.p", (F.col("b.members") > 1).alias("joined"), (_coin("node", seed, round_, 7) < 0.5).alias("goes")))
+        if pick.isEmpty():
+            dropped(pick)
+            break
+        there = pick.select(F.col("node").alias("p"), F.col("p").alias("p2"), F.col("joined").alias("joined2"), F.col("goes").alias("goes2"))
+        pair, other = F.col("p2") == F.col("node"), F.col("p2").isNotNull()
+        # another single node stands if it has nowhere to go, or its coin says so and it doesn't go for sure
+        stands = ~other | (~F.col("joined2") & ~F.col("goes2"))
+        go = pick.join(there, "p", "left").where(F.col("joined") | F.when(F.coalesce(pair, F.lit(False)), F.col("node") > F.col("p")).otherwise(F.col("goes") & stands))
+        # nor does it stand if it leaves its pair
+        leaves = pick.select("node", F.col("p").alias("q")).join(there.select(F.col("p").alias("q"), "p2"), "q").where((F.col("p2") == F.col("node")) & (F.col("node") > F.col("q"))).select(F.col("node").alias("p"))
+        go = go.join(leaves, "p", "left_anti").select("node", F.col("p").alias("to"))
+        new = cut(part.join(go, "node", "left").select("node", F.coalesce("to", "p").alias("p")))
+        any_ = any_ or not new.where("node <> p").isEmpty()  # asked until two have met
+        dropped(pick, part)
+        part, round_ = new, round_ + 1
+    dropped(home, inner, fit)
+    return part.select("node", F.col("p").alias("c")), any_
+
+
+def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 42, passes: int = 1) -> DataFrame:
+    """(node, community) of an undirected graph (src, tgt, weight): Leiden's three phases until none changes anything.
+
+    Nodes move between communities; each community is refined from single nodes; the refined parts become the nodes of a smaller
+    graph, which starts from the communities found. Further passes start from the single nodes again, in the communities of
+    the pass before, as long as modularity rises (``passes`` at most). Every community hangs together and is named by its smallest node. Weights
+    are summed as whole numbers and chance comes from hashes, so the number of partitions changes nothing. Loops, and edges
+    without a positive weight, don't count; a node needs an edge.
+    """
+    first = _symmetric(edges)
+    whole = first.agg(F.sum("w")).head()[0]
+    nodes = first.select(F.col("u").alias("node")).distinct()
+    if not whole:
+        return nodes.select("node", F.col("node").alias("community"))
+    degree = cut(first.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
+    label, best, quality = cut(nodes.select("node", F.col("node").alias("c"))), None, None
+    for p in range(passes):
+        member, moved = _pass(first, label, degree, resolution, whole, seed + p)
+        if best is not None and not moved:
+            break
+        # what the moves put together but doesn't hang together falls apart, which never lowers modularity
+        a, b = member.select(F.col("node").alias("u"), F.col("c").alias("cu")), member.select(F.col("node").alias("v"), F.col("c").alias("cv"))
+        inside = first.join(a, "u").join(b, "v").where("cu = cv").select(F.col("u").alias("src"), F.col("v").alias("tgt"))
+        found = cut(member.select("node").join(connected_components(inside), "node", "left").select("node", F.coalesce("component", "node").alias("c")))
+        q = _quality(first, found, degree, resolution, whole)
+        if best is not None and q <= quality + 1e-9:
+            break
+        best, quality, label = found, q, found
+    return best.select("node", F.col("c").alias("community"))
+
+
+def _pass(first: DataFrame, label: DataFrame, degree: DataFrame, resolution: float, whole: int, seed: int) -> tuple[DataFrame, bool]:
+    """(node, c) after moves, refinements and aggregations from a partition of single nodes; whether any node moved."""
+    e, member, any_ = first, None, False  # member: a node of the graph, the node p of the small graph that it is in, its community
+    while True:
+        if member is not None:
+            degree = cut(e.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
+        label, moved = _moved(e, label, degree, resolution, whole, seed)
+        any_ = any_ or moved
+        part, met = _refined(e, label, degree, resolution, whole, seed)
+        found = cut(part.withColumnRenamed("c", "p").join(label, "node"))
+        member = cut(found.select("node", "p", "c") if member is None else member.select("node", F.col("p").alias("n")).join(found.withColumnRenamed("node", "n"), "n").select("node", "p", "c"))
+        if not met:  # no two nodes of the small graph belong together any more
+            return member, any_
+        a, b = found.select(F.col("node").alias("u"), F.col("p").alias("pu")), found.select(F.col("node").alias("v"), F.col("p").alias("pv"))
+        e = cut(e.join(a, "u").join(b, "v").groupBy(F.col("pu").alias("u"), F.col("pv").alias("v")).agg(F.sum("w").alias("w")))
+        label = cut(found.groupBy(F.col("p").alias("node")).agg(F.min("c").alias("c")))
+
+
+def modularity_of(edges: DataFrame, member: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of a partition (node, community) of an undirected graph (src, tgt, weight)."""
+    e = _symmetric(edges)
+    degree = e.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
+    return _quality(e, member.select("node", F.col("community").alias("c")), degree, resolution, e.agg(F.sum("w")).head()[0])
+
+
+def community_hierarchy(edges: DataFrame, levels: int = 3, resolution: float = 1.0, least: int = 3, seed: int = 42) -> DataFrame:
+    """(node, level, community): communities of the whole graph at each level's resolution, which halves from level to level.
+    Communities of fewer than ``least`` nodes are left out."""
+    out = None
     for level in range(levels):
-        found = cut(_refined(e, cut(_moves(e, resolution * 0.5**level, rounds))))
-        member = cut(found if member is None else member.join(found.select(F.col("node").alias("community"), F.col("community").alias("up")), "community").select("node", F.col("up").alias("community")))
-        out = member.withColumn("level", F.lit(level)) if out is None else out.unionByName(member.withColumn("level", F.lit(level)))
-        if level + 1 < levels:
-            a, b = found.select(F.col("node").alias("u"), F.col("community").alias("cu")), found.select(F.col("node").alias("v"), F.col("community").alias("cv"))
-            # edges inside a community become a loop, which keeps its weight in the degrees
-            e = cut(e.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
-    big = out.groupBy("level", "community").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("level", "community")
-    return out.join(big, ["level", "community"]).select("node", "level", "community")
+        found = cut(leiden(edges, resolution * 0.5**level, seed))
+        big = found.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("community")
+        found = found.join(big, "community").select("node", F.lit(level).alias("level"), "community")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def blended(chunks: DataFrame, links: DataFrame, alpha: float = 0.7, beta: float = 0.3, unnamed: tuple[str, ...] = ("LOCATION",)) -> DataFrame:

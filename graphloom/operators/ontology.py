@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import connected_components, cut, descendants
+from graphloom.operators.graph import cut, descendants
+from graphloom.operators.owl import entailed  # noqa: F401
 from graphloom.session import dropped
 
 
@@ -26,33 +27,6 @@ def common_ancestor(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     return j.groupBy("a", "b").agg(F.min_by("ancestor", F.struct(F.col("x") + F.col("y"), "ancestor")).alias("ancestor"))
 
 
-def entailed(triples: DataFrame, rounds: int = 5) -> DataFrame:
-    """Triples (s, p, o) that follow and aren't there: subClassOf and subPropertyOf chains, inherited types, inherited
-    properties, domains and ranges; round by round, until none is new."""
-    known = cut(triples.select("s", "p", "o").distinct())
-    given = known
-    for _ in range(rounds):
-        of = lambda p: known.where(F.col("p") == p)
-        sub, subp = of("subClassOf").select(F.col("s").alias("c"), F.col("o").alias("d")), of("subPropertyOf").select(F.col("s").alias("q"), F.col("o").alias("r"))
-        domain, range_ = of("domain").select(F.col("s").alias("q"), F.col("o").alias("c")), of("range").select(F.col("s").alias("q"), F.col("o").alias("c"))
-        typed = lambda node: (F.col(node).alias("s"), F.lit("type").alias("p"), F.col("c").alias("o"))
-        new = (
-            of("subClassOf").join(sub, F.col("o") == F.col("c")).select("s", "p", F.col("d").alias("o"))
-            .unionAll(of("subPropertyOf").join(subp, F.col("o") == F.col("q")).select("s", "p", F.col("r").alias("o")))
-            .unionAll(of("type").join(sub, F.col("o") == F.col("c")).select("s", "p", F.col("d").alias("o")))
-            .unionAll(known.join(subp, F.col("p") == F.col("q")).select("s", F.col("r").alias("p"), "o"))
-            .unionAll(known.join(domain, F.col("p") == F.col("q")).select(*typed("s")))
-            .unionAll(known.join(range_, F.col("p") == F.col("q")).select(*typed("o")))
-        )
-        new = cut(new.distinct().join(known, ["s", "p", "o"], "left_anti"))
-        if new.isEmpty():
-            break
-        more = cut(known.unionAll(new))
-        dropped(*([new] if known is given else [new, known]))
-        known = more
-    return known.join(given, ["s", "p", "o"], "left_anti")
-
-
 def constraint_violations(values: DataFrame, rules: DataFrame) -> DataFrame:
     """(node, property, problem). values: node, property, value. rules: property, most, allowed (array, null: any)."""
     j = values.join(F.broadcast(rules), "property")
@@ -96,57 +70,22 @@ def translations(edges: DataFrame, vectors: DataFrame, dims: int, epochs: int =
     return rels.select("rel", F.col("r").alias("vector"))
 
 
-def density_groups(vectors: DataFrame, node: str, vector: str, least: int = 5, levels: int = 12, near: int = 16) -> DataFrame:
-    """(node, community): clusters of at least ``least`` unit vectors by density, named by their smallest node; null is noise.
+def density_groups(vectors: DataFrame, node: str, vector: str, least: int = 5, near: int = 32, exact: bool = False) -> DataFrame:
+    """(node, community): clusters of at least ``least`` vectors by density, named by their smallest node; null is noise.
 
-    Two vectors are joined at a distance when they and both their cores (the distance to the ``least``-th vector, itself
-    counted) are within it. Components at ``levels`` distances and more (quantiles of the cores, and between them) make a tree; along it a cluster has
-    as much stability as its vectors times the range of 1 / distance it lives through, and the clusters of most stability
-    that don't contain each other are taken, never the root of all. Neighbours are the ``near`` nearest by approximate
-    search. Fewer than 10 vectors are all noise. Null vectors take no part.
+    Vectors count by their directions. Neighbours are the ``near`` nearest, by approximate search or, if ``exact``, by comparing
+    all vectors; with all of them the clusters are those of the whole matrix of distances. Fewer than 10 vectors are all noise.
+    Null vectors take no part.
     """
+    from graphloom.operators.density import density_clusters
+    from graphloom.operators.retrieval import knn
+
     x = cut(vectors.where(F.col(vector).isNotNull()).select(F.col(node).cast("long").alias("node"), F.col(vector).alias("v")))
-    none = x.select("node", F.lit(None).cast("long").alias("community"))
     if x.limit(10).count() < 10:
-        return none
-    pairs = cut(ann_search(x, x, near, id_col="node", vector="v").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))).alias("d")))
-    from pyspark.sql.window import Window
-
-    r = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    core = cut(pairs.withColumn("r", r).where(F.col("r") == least - 1).select(F.col("a").alias("node"), F.col("d").alias("core")))
-    reach = pairs.join(core.select(F.col("node").alias("a"), F.col("core").alias("ca")), "a").join(core.select(F.col("node").alias("b"), F.col("core").alias("cb")), "b").select(F.col("a").alias("src"), F.col("b").alias("tgt"), F.greatest("d", "ca", "cb").alias("reach"))
-    reach = cut(reach)
-    steps = core.agg(F.percentile_approx("core", [i / levels for i in range(1, levels + 1)], 100_000).alias("q")).head()[0] or []
-    steps = sorted({max(s, 1e-6) for s in steps if s is not None})
-    # distances of which the next is more than a quarter greater get others between
-    steps = [s for a, b in zip(steps, [*steps[1:], None], strict=True) for s in ([a] if b is None else np.geomspace(a, b, max(2, int(np.ceil(np.log(b / a) / np.log(1.25))) + 1))[:-1].tolist())]
-    below, found = None, None
-    for i, eps in enumerate(steps):
-        # chain: stability since the cluster's last split; split: most stability of clusters under that split
-        part = connected_components(reach.where(F.col("reach") <= eps)).withColumnRenamed("component", "c")
-        size = part.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        lives = 1 / max(eps, 1e-9) - (1 / max(steps[i + 1], 1e-9) if i + 1 < len(steps) else 0.0)
-        member = cut(part.join(size, "c").select("node", "c", "n"))
-        now = size.select("c", (F.col("n") * lives).alias("own"))
-        if below is None:
-            tree = now.select("c", F.col("own").alias("chain"), F.lit(0.0).alias("split"), F.lit(i).alias("born"))
-        else:
-            up = below.join(member.select(F.col("node").alias("c0"), F.col("c").alias("up")), "c0")
-            kids = up.groupBy(F.col("up").alias("c")).agg(F.count("*").alias("kids"), F.first("chain").alias("k_chain"), F.first("split").alias("k_split"), F.first("born").alias("k_born"), F.sum(F.greatest("chain", "split")).alias("best"))
-            j = now.join(kids, "c", "left")
-            one = F.col("kids") == 1
-            tree = j.select("c", F.when(one, F.col("own") + F.col("k_chain")).otherwise(F.col("own")).alias("chain"), F.when(one, F.col("k_split")).otherwise(F.coalesce("best", F.lit(0.0))).alias("split"), F.when(one, F.col("k_born")).otherwise(F.lit(i)).alias("born"))
-        tree = cut(tree.withColumn("level", F.lit(i)))
-        found = tree.join(member, "c").select("node", "level", "c", "born", (F.col("chain") >= F.col("split")).alias("good")) if found is None else found.unionByName(tree.join(member, "c").select("node", "level", "c", "born", (F.col("chain") >= F.col("split")).alias("good")))
-        # a cluster is named by its smallest node, which is in it at every later level
-        below = tree.select(F.col("c").alias("c0"), "chain", "split", "born")
-    if found is None:
-        return none
-    last = found.where(F.col("level") == len(steps) - 1)
-    if last.select("c").distinct().limit(2).count() == 1:  # the root of all is no cluster
-        found = found.join(last.select(F.col("born").alias("root")).distinct().crossJoin(last.select(F.col("c").alias("rc")).distinct()), F.lit(True)).where("level < root").drop("root", "rc")
-    best = found.where("good").groupBy("node").agg(F.max_by("c", "level").alias("community"))
-    return x.select("node").join(best, "node", "left")
+        return x.select("node", F.lit(None).cast("long").alias("community"))
+    found = knn(x, x, near, "node", "v") if exact else ann_search(x, x, near, id_col="node", vector="v")
+    lists = found.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.round(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))), 9).alias("d"))
+    return density_clusters(cut(lists), x.select("node"), least)
 
 
 #: Rows that an index is fitted on, and vectors of a cell that meet in one task.

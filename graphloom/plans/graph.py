@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
+from graphloom.operators import owl
 from graphloom.plans.registry import query
 from graphloom.session import Data
 
@@ -206,3 +207,25 @@ def evidence_merge(d: Data) -> DataFrame:
 @query("grf06_community_hierarchy")
 def community_hierarchy(d: Data) -> DataFrame:
     return G.community_hierarchy(d.relations.select("src", "tgt", F.col("confidence").alias("weight")), levels=2, least=3)
+
+
+#: Places within places, under two names, and suppliers that are the customers of their number.
+PLACES = [("PART_OF", "subPropertyOf", "WITHIN"), ("LOCATED_IN", "subPropertyOf", "WITHIN"), ("WITHIN", "type", "TransitiveProperty"), ("WITHIN", "inverseOf", "CONTAINS"), ("WITHIN", "range", "PLACE"), ("PLACE", "subClassOf", "THING")]
+
+
+@query("grf21_owl_closure", """
+WITH same AS (SELECT concat('SUPPLIER:', CAST(s_suppkey AS VARCHAR)) AS n, concat('CUSTOMER:', CAST(s_suppkey AS VARCHAR)) AS r FROM supplier), given AS (SELECT DISTINCT src AS s, rel AS p, tgt AS o FROM relations),
+base AS (SELECT DISTINCT coalesce(r, s) AS s, p, o FROM given LEFT JOIN same ON n = s), within AS (SELECT DISTINCT s, o FROM base UNION SELECT b.s, c.o FROM base b JOIN base c ON c.s = b.o),
+a AS (SELECT s, p, o FROM base UNION SELECT s, 'WITHIN', o FROM within UNION SELECT o, 'CONTAINS', s FROM within UNION SELECT o, 'type', 'PLACE' FROM within UNION SELECT o, 'type', 'THING' FROM within)
+SELECT s, p, o FROM a WHERE (s, p, o) NOT IN (SELECT (s, p, o) FROM given)""")
+def owl_closure(d: Data) -> DataFrame:
+    name = lambda kind: F.concat(F.lit(f"{kind}:"), F.col("s_suppkey").cast("string"))
+    same = d.supplier.select(name("SUPPLIER").alias("s"), F.lit("sameAs").alias("p"), name("CUSTOMER").alias("o"))
+    return owl.entailed(d.relations.select("src", "rel", "tgt").toDF("s", "p", "o").unionAll(same).unionAll(d.spark.createDataFrame(PLACES, "s string, p string, o string")))
+
+
+@query("grf21_inconsistencies", """
+WITH t AS (SELECT DISTINCT o_custkey AS c, o_orderstatus AS s FROM orders) SELECT concat('CUSTOMER:', CAST(a.c AS VARCHAR)) AS node, 'disjoint classes' AS problem, 'F P' AS other FROM t a JOIN t b ON b.c = a.c WHERE a.s = 'F' AND b.s = 'P'""")
+def inconsistencies(d: Data) -> DataFrame:
+    types = d.orders.select(F.concat(F.lit("CUSTOMER:"), F.col("o_custkey").cast("string")).alias("s"), F.lit("type").alias("p"), F.col("o_orderstatus").alias("o"))
+    return owl.closure(types.unionAll(d.spark.createDataFrame([("F", "disjointWith", "P")], "s string, p string, o string"))).problems

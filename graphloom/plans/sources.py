@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from graphloom.functions import text as T
 from graphloom.functions import vectors as V
 from graphloom.operators import graph as G
+from graphloom.operators import neighbours as N
 from graphloom.operators import ontology as O
 from graphloom.operators import retrieval as R
 from graphloom.plans.registry import query
@@ -271,7 +272,9 @@ def translations(d: Data) -> DataFrame:
 
 @query("ret02_approximate")
 def approximate(d: Data) -> DataFrame:
-    return O.ann_search(d.embeddings.where("vec_id % 20 = 0"), d.embeddings, 10)
+    """Ten neighbours by beams along a graph of neighbours, and how many rows the beams looked at for each query."""
+    _, index = N.neighbour_graph(d.embeddings)
+    return N.graph_search(d.embeddings.where("vec_id % 20 = 0"), index, 10)
 
 
 SNAPSHOTS = """v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), t AS (SELECT vec_id, label % 3 AS level, 't' || CAST(vec_id % 3 AS VARCHAR) AS tenant, CASE WHEN vec_id % 11 <> 0 THEN vec_id % 28 + 1 END AS vf, CASE WHEN vec_id % 13 <> 0 THEN vec_id % 28 + 11 END AS vt, vec_id % 28 + 3 AS kf, CASE WHEN vec_id % 5 = 0 THEN vec_id % 28 + 8 END AS kt FROM embeddings),
