@@ -25,9 +25,9 @@ def contradictions(edges: DataFrame, negative: DataFrame, exclusive: list[tuple[
     """
     docs = F.count_distinct("doc").alias("docs")
     row = lambda df, kind, rel, tgt: df.select(F.lit(kind).alias("kind"), "src", rel.alias("rel"), tgt.alias("tgt"), "docs")
-    one = edges.where(F.col("rel") != "RELATED_TO").groupBy("src", "rel", "tgt").agg(F.collect_set("doc").alias("_d"))
-    back = one.select(F.col("tgt").alias("src"), "rel", F.col("src").alias("tgt"), F.col("_d").alias("_e"))
-    both = one.where("src < tgt").join(back, ["src", "rel", "tgt"]).withColumn("docs", F.size(F.array_union("_d", "_e")).cast("long"))
+    # an edge and its reverse under the name of the smaller end; documents of either direction are counted once
+    same = edges.where((F.col("rel") != "RELATED_TO") & (F.col("src") != F.col("tgt"))).select(F.least("src", "tgt").alias("src"), "rel", F.greatest("src", "tgt").alias("tgt"), "doc", (F.col("src") < F.col("tgt")).alias("_up"))
+    both = same.groupBy("src", "rel", "tgt").agg(docs, F.count_distinct("_up").alias("_n")).where("_n = 2")
     out = row(both, "directional_reversal", F.col("rel"), F.col("tgt"))
     for a, b in exclusive:
         # documents of either differ exactly when there are two or more in all

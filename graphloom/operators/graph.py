@@ -132,6 +132,29 @@ def descendants(edges: DataFrame, depth: int) -> DataFrame:
     return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
+def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None, back: bool = False) -> DataFrame:
+    """(node, depth): what is reached from the seeds (node) along src -> tgt edges, or against them, each at its least depth (0: the
+    seeds themselves); to any depth if none is given.
+
+    Each round joins the nodes found last with the edges, so that what is shuffled grows with the answer; the frontier is broadcast
+    by Spark while it is small.
+    """
+    a, b = ("tgt", "src") if back else ("src", "tgt")
+    e = edges.select(F.col(a).alias("node"), F.col(b).alias("_to")).where("node IS NOT NULL AND _to IS NOT NULL")
+    seen = cut(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    last, k = seen, 0
+    while depth is None or k < depth:
+        k += 1
+        new = cut(last.join(e, "node").select(F.col("_to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k)))
+        if new.isEmpty():
+            dropped(new)
+            break
+        more = cut(seen.unionByName(new))
+        dropped(*({id(t): t for t in (seen, last)}.values()))
+        seen, last = more, new
+    return seen
+
+
 def transitive(edges: DataFrame, rel: str, depth: int, decay: float = 0.9) -> DataFrame:
     """Edges of ``rel`` that follow from chains of 2 to ``depth`` and aren't there yet; confidence: best product times decay a step."""
     base = edges.where(F.col("rel") == rel).groupBy("src", "tgt").agg(F.max("confidence").alias("confidence"))
@@ -205,8 +228,13 @@ def attention_layer(pairs: DataFrame, x: DataFrame) -> DataFrame:
 
 def isolated_below(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Nodes under the seeds (along tgt <- src) that no node outside of these and the seeds leads to as well."""
-    below = descendants(edges, depth).join(seeds.select(F.col("node").alias("root")), "root", "left_semi").select("node").distinct()
-    inside = below.unionAll(seeds.select("node")).distinct()
+    all_ = reachable(edges, seeds, depth, back=True)
+    start = seeds.select("node").distinct()
+    below = all_.where("depth > 0").select("node")
+    # a seed is under the seeds if another edge leads to it from below
+    again = edges.join(all_.select(F.col("node").alias("tgt")), "tgt", "left_semi").select(F.col("src").alias("node")).distinct().join(start, "node", "left_semi")
+    below = cut(below.unionAll(again).distinct())
+    inside = below.unionAll(start).distinct()
     outside = edges.join(inside.select(F.col("node").alias("tgt")), "tgt", "left_anti").select(F.col("src").alias("node"))
     return below.join(outside, "node", "left_anti")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST = 100
@@ -22,6 +22,14 @@ INTENTS: list[tuple[str, Callable[[DataFrame, int], DataFrame]]] = [
 ]
 
 
+def routed(question: str) -> Column:
+    """The place of the first intent that a question in a column matches; null: it is refused."""
+    out = F.lit(None).cast("int")
+    for k in range(len(INTENTS) - 1, -1, -1):
+        out = F.when(F.col(question).rlike(f"(?i){INTENTS[k][0]}"), F.lit(k)).otherwise(out)
+    return out
+
+
 def answer(question: str, relations: DataFrame) -> DataFrame:
     """(answer, n) of the first intent that the question matches; a number in it is the limit, 1 to MOST."""
     found = re.search(r"\d+", question)

@@ -27,10 +27,13 @@ def latest_by(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def exists_after(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, name: str) -> DataFrame:
-    """``left`` with the first right time after (or at) its own, as ``name``: only the first later one of each key can be it."""
-    l = left.withColumn("_id", F.struct(*left.columns))
-    r = right.select(*by, F.col(right_time).alias("_r")).distinct()
-    return l.join(r, by, "left").groupBy(*left.columns).agg(F.min(F.when(F.col("_r") >= F.col(left_time), F.col("_r"))).alias(name))
+    """``left`` with the first right time after (or at) its own, as ``name``; null if none. The next right time is carried backward
+    in one order of both sides, as asof() carries the last one forward."""
+    l = left.select(*by, F.col(left_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"))
+    r = right.select(*by, F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"))
+    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
+    seen = l.unionByName(r).withColumn("_next", F.first(F.when(F.col("_side") == 1, F.col("_t")), ignorenulls=True).over(w))
+    return seen.where("_side = 0").select("_row.*", F.col("_next").alias(name))
 
 
 def set_similarity(left: DataFrame, right: DataFrame, key: str, member: str) -> DataFrame:

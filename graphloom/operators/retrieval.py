@@ -28,25 +28,27 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
     """(query_id, vec_id, score, place): the k rows of ``corpus`` with the largest cosine, ties to the smaller id; never itself.
+    With ``within``, only rows that have the query's value in that column; a null has none.
 
     Each block of queries is broadcast to the corpus, each batch of the corpus keeps its k best for every query, and
     these meet in one window per query. Scores are exact; queries of any number are taken in blocks.
     """
     spark = corpus.sparkSession
     out = None
-    q = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    kind = F.lit(0).cast("long") if within is None else F.when(F.col(within).isNotNull(), F.xxhash64(within))
+    q = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"), kind.alias("g")).where("v IS NOT NULL AND g IS NOT NULL")
     blocks = -(-max(1, q.count()) // QUERY_BLOCK)
     for b in range(blocks):
         part = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).collect()  # at most about QUERY_BLOCK vectors
-        shared = spark.sparkContext.broadcast(([r.q for r in part], [r.v for r in part]))
+        shared = spark.sparkContext.broadcast(([r.q for r in part], [r.v for r in part], [r.g for r in part]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shared.value
+            ids, vectors, groups = shared.value
             if not ids:
                 return
-            ids, x = np.array(ids), _normal(np.array(vectors, np.float64))
+            ids, x, groups = np.array(ids), _normal(np.array(vectors, np.float64)), np.array(groups)
             for whole in batches:
                 for at in range(0, whole.num_rows, 4096):
                     batch = whole.slice(at, 4096)
@@ -55,12 +57,14 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", v
                     for lo in range(0, len(ids), 1024):
                         sim = x[lo : lo + 1024] @ y.T
                         sim[ids[lo : lo + 1024, None] == own[None]] = -np.inf
+                        if within is not None:
+                            sim[groups[lo : lo + 1024, None] != batch.column(2).to_numpy()[None]] = -np.inf
                         m = min(k, len(own))
                         kth = -np.partition(-sim, m - 1, axis=1)[:, m - 1]
                         r, c = np.nonzero((sim >= kth[:, None]) & (sim > -np.inf))
                         yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r]), pa.array(own[c]), pa.array(sim[r, c])], ["query_id", "vec_id", "score"])
 
-        found = corpus.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").mapInArrow(run, "query_id long, vec_id long, score double")
+        found = corpus.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), kind.alias("g")).where("v IS NOT NULL AND g IS NOT NULL").mapInArrow(run, "query_id long, vec_id long, score double")
         out = found if out is None else out.unionAll(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("rounded"), "vec_id")
     return out.withColumn("rounded", F.round("score", 9)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("rounded")

@@ -62,9 +62,9 @@ def reverse_edges(d: Data) -> DataFrame:
 
 
 @query("jon09_self_theta", """
-SELECT x.l_partkey, x.l_orderkey AS doc_a, y.l_orderkey AS doc_b FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48) x JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 48) y ON x.l_partkey = y.l_partkey AND x.l_orderkey <> y.l_orderkey""")
+SELECT x.l_partkey, x.l_orderkey AS doc_a, y.l_orderkey AS doc_b FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_returnflag = 'R') x JOIN (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A') y ON x.l_partkey = y.l_partkey AND x.l_orderkey <> y.l_orderkey""")
 def self_theta(d: Data) -> DataFrame:
-    e = d.lineitem.where("l_quantity > 48").select("l_partkey", "l_orderkey", F.col("l_returnflag").alias("rel")).distinct()
+    e = d.lineitem.select("l_partkey", "l_orderkey", F.col("l_returnflag").alias("rel")).distinct()
     return G.exclusive_violations(e, "R", "A", ["l_partkey"], "l_orderkey")
 
 
