@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import cut, descendants
 from graphloom.operators.owl import entailed  # noqa: F401
+from graphloom.operators.translation import train as translations  # noqa: F401
 from graphloom.session import dropped
 
 
@@ -35,41 +36,6 @@ def constraint_violations(values: DataFrame, rules: DataFrame) -> DataFrame:
     return few.unionByName(other)
 
 
-def translations(edges: DataFrame, vectors: DataFrame, dims: int, epochs: int = 12, rate: float = 0.5, margin: float = 1.0, negatives: int = 5, pool: int = 4096, seed: int = 42) -> DataFrame:
-    """(rel, vector): for each relation a unit vector that takes heads to tails, by margin ranking; the nodes' vectors stay.
-
-    An epoch draws ``negatives`` false edges for each edge, with the head or the tail changed for one of ``pool`` nodes (the
-    first by a hash; all, if there are fewer), and goes one step against the mean gradient of those whose distance isn't
-    greater by ``margin``. edges: src, tgt, rel; vectors: node, vector. Relations start from the unit vectors of their
-    upper-case names; one that never errs keeps its own.
-    """
-    from graphloom.functions.vectors import seeded_unit
-
-    h, t = vectors.select(F.col("node").alias("src"), F.col("vector").alias("h")), vectors.select(F.col("node").alias("tgt"), F.col("vector").alias("t"))
-    e = cut(edges.select("src", F.upper("rel").alias("rel"), "tgt").join(h, "src").join(t, "tgt"))
-    from pyspark.sql.window import Window
-
-    first = vectors.select("node", "vector").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(pool)  # at most ``pool`` rows
-    drawn = cut(first.select((F.row_number().over(Window.orderBy(F.xxhash64("node", F.lit(seed)), "node")) - 1).alias("at"), F.col("vector").alias("x")))
-    n = drawn.count()
-    rels = cut(e.select("rel").distinct().select("rel", seeded_unit(dims)("rel").alias("r")))
-    for epoch in range(epochs if n else 0):
-        draw = lambda what, epoch=epoch: F.xxhash64("src", "rel", "tgt", "k", F.lit(f"{what}-{epoch}-{seed}"))
-        s = e.join(F.broadcast(rels), "rel").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(negatives))))
-        s = s.withColumn("at", F.pmod(draw("node"), F.lit(n)).cast("int")).withColumn("head", F.pmod(draw("side"), F.lit(2)) == 0).join(F.broadcast(drawn), "at")
-        offset = lambda a, b: F.transform(F.arrays_zip(a.alias("a"), F.col("r").alias("r"), b.alias("b")), lambda z: z["a"] + z["r"] - z["b"])
-        size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)) + 1e-8
-        s = s.withColumn("pos", offset(F.col("h"), F.col("t"))).withColumn("neg", F.when(F.col("head"), offset(F.col("x"), F.col("t"))).otherwise(offset(F.col("h"), F.col("x"))))
-        s = s.withColumn("dp", size(F.col("pos"))).withColumn("dn", size(F.col("neg"))).where(F.col("dp") + margin > F.col("dn"))
-        g = s.select("rel", F.posexplode(F.zip_with(F.transform("pos", lambda x: x / F.col("dp")), F.transform("neg", lambda x: x / F.col("dn")), lambda a, b: a - b)).alias("i", "g")).groupBy("rel", "i").agg(F.avg("g").alias("g"))
-        g = g.groupBy("rel").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda z: z["g"]).alias("g"))
-        moved = rels.join(F.broadcast(g), "rel", "left").select("rel", F.coalesce(F.zip_with("r", "g", lambda a, b: a - rate * b), "r").alias("r"))
-        after = cut(moved.select("rel", F.transform("r", lambda x: x / size(F.col("r"))).alias("r")))
-        dropped(rels)
-        rels = after
-    return rels.select("rel", F.col("r").alias("vector"))
-
-
 def density_groups(vectors: DataFrame, node: str, vector: str, least: int = 5, near: int = 32, exact: bool = False) -> DataFrame:
     """(node, community): clusters of at least ``least`` vectors by density, named by their smallest node; null is noise.
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators import owl
+from graphloom.operators import retrieval as R
+from graphloom.operators import translation as X
 from graphloom.plans.registry import query
-from graphloom.session import Data
+from graphloom.session import Data, written
 
 #: A digraph of all parts: two arcs by arithmetic on the key, and one to the part whose key is the size, so that there are hubs.
 RING = """ring AS (SELECT DISTINCT src, tgt FROM (SELECT p_partkey AS src, 1 + (p_partkey * 7 + p_size) % n AS tgt FROM part, (SELECT count(*) AS n FROM part) UNION ALL SELECT p_partkey, 1 + (p_partkey * 3 + p_size * 5) % n FROM part, (SELECT count(*) AS n FROM part) UNION ALL SELECT p_partkey, CAST(p_size AS BIGINT) FROM part))"""
@@ -187,6 +189,17 @@ def missing_links(d: Data) -> DataFrame:
     return G.missing_tails(e, "SUPPLIES", 3)
 
 
+@query("grf28_predicted_links")
+def predicted_links(d: Data) -> DataFrame:
+    """Each vector's nearest one of its label is its link; a fifth of the links is held out and looked for by translation."""
+    v = d.embeddings.select(F.col("vec_id").cast("string").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    near = R.knn(d.embeddings, d.embeddings, 1, within="label").join(d.embeddings.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    links = written(near.select(F.col("query_id").cast("string").alias("src"), F.concat(F.lit("LIKE_"), F.col("label").cast("string")).alias("rel"), F.col("vec_id").cast("string").alias("tgt")))
+    out = F.pmod(F.xxhash64("src"), F.lit(5)) == 0
+    learned = X.train(links.where(~out), v, 64, epochs=6)
+    return X.link_metrics(X.predicted_tails(links.where(out).select("src", "rel"), learned, v, links.where(~out), 10), links.where(out), 10)
+
+
 @query("grf29_rename", "SELECT CASE r.rel WHEN 'LOCATED_IN' THEN 'BASED_IN' ELSE r.rel END AS rel, count(*) AS n FROM relations r GROUP BY 1")
 def rename(d: Data) -> DataFrame:
     names = d.spark.createDataFrame([("LOCATED_IN", "BASED_IN")], "rel string, name string")
