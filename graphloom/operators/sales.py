@@ -12,15 +12,58 @@ def committee(parties: DataFrame, deal: str, party: str, buyer: Column) -> DataF
     return parties.groupBy(deal).agg(n.alias("buyers")).withColumn("shape", F.when(F.col("buyers") == 0, "uncovered").when(F.col("buyers") == 1, "single_threaded").otherwise("multi_threaded"))
 
 
-def signals(found: dict[str, DataFrame], deal: str) -> DataFrame:
-    """(deal, signal): one row for each signal that a deal shows."""
-    out = None
-    for name, df in found.items():
-        part = df.select(deal, F.lit(name).alias("signal")).distinct()
-        out = part if out is None else out.unionByName(part)
+def _signal(df: DataFrame, name: str, deal: str, evidence: Column) -> DataFrame:
+    return df.select(F.col(deal).alias("deal"), F.lit(name).alias("signal"), evidence.cast("string").alias("evidence"))
+
+
+def signals(parties: DataFrame, objections: DataFrame, shares: DataFrame, conflicts: DataFrame, changes: DataFrame, now: Column, stale: int = 7, stalled: int = 21) -> DataFrame:
+    """(deal, signal, evidence) of the five kinds: one buyer alone on all calls of a deal; an objection that no share answers; what was
+    shared ``stale`` days ago or earlier and never opened; a conflict that is open; no change of stage for ``stalled`` days, where
+    there was one at all. Evidence is the claim, the share, the two claims, or null.
+
+    parties: deal, party, buyer; objections: deal, claim; shares: deal, share, shared, opened_at, triggered_by; conflicts: deal, id_a,
+    id_b, status; changes: deal, changed. Each kind is one aggregation, or one anti join.
+    """
+    alone = committee(parties, "deal", "party", F.col("buyer")).where("shape = 'single_threaded'")
+    answered = shares.select(F.col("triggered_by").alias("claim")).where("claim IS NOT NULL").distinct()
+    last = changes.groupBy("deal").agg(F.max("changed").alias("last")).where(F.datediff(now, "last") >= stalled)
+    found = [
+        _signal(alone, "single_threaded_deal", "deal", F.lit(None)),
+        _signal(objections.join(answered, "claim", "left_anti"), "objection_without_follow_up", "deal", F.col("claim")),
+        _signal(shares.where(F.col("opened_at").isNull() & (F.datediff(now, "shared") >= stale)), "shared_content_never_opened", "deal", F.col("share")),
+        _signal(conflicts.where("status = 'OPEN'"), "unresolved_conflict", "deal", F.concat_ws(" ", F.col("id_a").cast("string"), F.col("id_b").cast("string"))),
+        _signal(last, "stalled_deal", "deal", F.lit(None)),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
     return out
 
 
+def latest_objection(calls: DataFrame, claims: DataFrame) -> DataFrame:
+    """(deal, call, claim, category): of each deal's latest call, the latest objection that a buyer affirmed and nobody rejected. calls:
+    deal, call, at; claims: call, claim, predicate, polarity, status, speaker, said, value. Deals without one have no row."""
+    last = calls.groupBy("deal").agg(F.max_by("call", F.struct("at", "call")).alias("call"))
+    own = claims.where("predicate = 'RAISED_OBJECTION' AND polarity = 'AFFIRMED' AND coalesce(status, '') <> 'REJECTED' AND speaker = 'BUYER'")
+    one = own.groupBy("call").agg(F.max_by(F.struct("claim", F.lower(F.trim(F.coalesce("value", F.lit("")))).alias("category")), F.struct("said", "claim")).alias("m"))
+    return last.join(one, "call").select("deal", "call", "m.claim", "m.category")
+
+
+def effectiveness(shares: DataFrame, views: DataFrame, changes: DataFrame) -> DataFrame:
+    """``shares`` with opened, opened_at, stage_at_share, latest_stage, advanced: the first view at or after it, the stage it
+    met (the one before the first later change if there was none yet), and whether the stage changed afterwards.
+
+    shares: deal, share, asset, shared; views: deal, asset, seen; changes: deal, seq, changed, before, stage.
+    """
+    from graphloom.operators.joins import asof, exists_after
+
+    seen = exists_after(shares, views, ["deal", "asset"], "shared", "seen", "opened_at")
+    at = asof(seen, changes, ["deal"], "shared", "changed", "stage", "seq")
+    ends = changes.groupBy("deal").agg(F.max_by("stage", F.struct("changed", "seq")).alias("latest_stage"), F.max("changed").alias("_last"), F.min_by("before", F.struct("changed", "seq")).alias("_first"))
+    j = at.join(ends, "deal", "left")
+    return j.select(*shares.columns, F.col("opened_at").isNotNull().alias("opened"), "opened_at", F.coalesce("stage", "_first").alias("stage_at_share"), "latest_stage", F.coalesce(F.col("_last") > F.col("shared"), F.lit(False)).alias("advanced"))
+
+
 def recommendation(needs: DataFrame, assets: DataFrame, seen: DataFrame, key: str, tags: str, asset: str, title: str, k: int) -> DataFrame:
     """(key, asset, matches): assets that share most tags with a need and weren't seen; ties by title, then asset.
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from graphloom.operators import joins as J
 from graphloom.operators import sales as S
 from graphloom.plans.registry import query
 from graphloom.session import Data
@@ -17,24 +17,46 @@ def top_objections(d: Data) -> DataFrame:
     return o.orderBy(F.desc("n"), "objection").limit(3)
 
 
-@query("sal02_content_effectiveness", """
-WITH s AS (SELECT o_custkey AS deal, min(CAST(o_orderdate AS DATE)) + 100 AS shared FROM orders GROUP BY o_custkey), h AS (SELECT deal, shared, (SELECT max_by(stage, (changed, seq)) FROM changes x WHERE x.deal = s.deal AND x.changed <= s.shared) AS stage, (SELECT min(changed) FROM changes x WHERE x.deal = s.deal AND x.changed >= s.shared) AS nxt FROM s)
-SELECT deal, stage, nxt IS NOT NULL AS advanced FROM h""")
+#: What is told to a customer: lines of flag A are shares (an answer to the line before), N are views, R are claims of a call.
+LINES = """lines AS (SELECT o_custkey AS deal, l_orderkey AS call, l_orderkey * 10 + l_linenumber AS id, l_linenumber AS n, l_partkey AS asset, CAST(l_shipdate AS DATE) AS told, l_returnflag AS flag, l_suppkey AS party, l_discount AS discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+shares AS (SELECT DISTINCT deal, id AS share, asset, told AS shared, id - 1 AS triggered_by FROM lines WHERE flag = 'A'), views AS (SELECT deal, asset, told AS seen FROM lines WHERE flag = 'N')"""
+
+
+def lines(d: Data) -> DataFrame:
+    j = d.lineitem.join(d.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select(F.col("o_custkey").alias("deal"), F.col("l_orderkey").alias("call"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("asset"), F.col("l_shipdate").cast("date").alias("at"), F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("party"), F.col("l_discount").alias("discount"))
+
+
+def shares_of(d: Data) -> DataFrame:
+    return lines(d).where("flag = 'A'").select("deal", F.col("id").alias("share"), "asset", F.col("at").alias("shared"), (F.col("id") - 1).alias("triggered_by")).distinct()
+
+
+def views_of(d: Data) -> DataFrame:
+    return lines(d).where("flag = 'N'").select("deal", "asset", F.col("at").alias("seen"))
+
+
+@query("sal02_content_effectiveness", f"""
+WITH {LINES}, o AS (SELECT s.deal, share, s.asset, shared, min(seen) FILTER (WHERE seen >= shared) AS opened_at FROM shares s LEFT JOIN views v ON v.deal = s.deal AND v.asset = s.asset GROUP BY s.deal, share, s.asset, shared),
+a AS (SELECT s.deal, shared, max_by(stage, (changed, seq)) AS stage FROM (SELECT DISTINCT deal, shared FROM shares) s JOIN changes c ON c.deal = s.deal AND changed <= shared GROUP BY s.deal, shared), e AS (SELECT deal, max_by(stage, (changed, seq)) AS latest_stage, max(changed) AS last FROM changes GROUP BY deal)
+SELECT o.deal, o.share, o.asset, opened_at IS NOT NULL AS opened, CAST(opened_at AS VARCHAR) AS opened_at, coalesce(stage, 'NEW') AS stage_at_share, latest_stage, coalesce(last > o.shared, false) AS advanced FROM o LEFT JOIN a ON a.deal = o.deal AND a.shared = o.shared LEFT JOIN e ON e.deal = o.deal""")
 def content_effectiveness(d: Data) -> DataFrame:
-    s = d.changes.groupBy("deal").agg(F.date_add(F.min("changed"), 100).alias("shared"))
-    staged = J.asof(s, d.changes, ["deal"], "shared", "changed", "stage", "seq")
-    out = J.exists_after(staged, d.changes.select("deal", F.col("changed").alias("moved")), ["deal"], "shared", "moved", "next")
-    return out.select("deal", "stage", F.col("next").isNotNull().alias("advanced"))
+    w = Window.partitionBy("deal").orderBy("changed", "seq")
+    changes = d.changes.withColumn("before", F.coalesce(F.lag("stage").over(w), F.lit("NEW")))
+    return S.effectiveness(shares_of(d), views_of(d), changes).withColumn("opened_at", F.col("opened_at").cast("string")).drop("shared", "triggered_by")
 
 
-@query("sal03_recommendation", """
-WITH n AS (SELECT DISTINCT o_custkey AS k, substr(o_orderpriority, 1, 1) AS t FROM orders), a AS (SELECT p_partkey AS asset, p_name AS title, CAST(p_size % 5 + 1 AS VARCHAR) AS t FROM part), seen AS (SELECT DISTINCT o_custkey AS k, l_partkey AS asset FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-m AS (SELECT k, asset, title, count(*) AS matches FROM n JOIN a USING (t) GROUP BY k, asset, title), r AS (SELECT k, m.asset, matches, row_number() OVER (PARTITION BY k ORDER BY matches DESC, title, m.asset) AS r FROM m WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.k = m.k AND seen.asset = m.asset)) SELECT k, asset, matches FROM r WHERE r <= 3""")
+@query("sal03_recommendation", f"""
+WITH {LINES}, l AS (SELECT o_custkey AS deal, max_by(o_orderkey, (CAST(o_orderdate AS DATE), o_orderkey)) AS call FROM orders GROUP BY o_custkey),
+c AS (SELECT l.deal, max_by(CAST(asset % 5 + 1 AS VARCHAR), (told, id)) AS t FROM l JOIN lines x ON x.call = l.call WHERE flag = 'R' AND discount <= 0.08 AND n % 2 = 1 GROUP BY l.deal), a AS (SELECT p_partkey AS asset, p_name AS title, CAST(p_size % 5 + 1 AS VARCHAR) AS t FROM part),
+r AS (SELECT c.deal, a.asset, 1 AS matches, row_number() OVER (PARTITION BY c.deal ORDER BY title, a.asset) AS r FROM c JOIN a USING (t) WHERE NOT EXISTS (SELECT 1 FROM views WHERE views.deal = c.deal AND views.asset = a.asset)) SELECT deal, asset, matches FROM r WHERE r <= 3""")
 def recommendation(d: Data) -> DataFrame:
-    needs = d.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set(F.substring("o_orderpriority", 1, 1)).alias("tags"))
+    x = lines(d)
+    calls = d.orders.select(F.col("o_custkey").alias("deal"), F.col("o_orderkey").alias("call"), F.col("o_orderdate").cast("date").alias("at"))
+    when = lambda c, a, b: F.when(c, a).otherwise(b)
+    claims = x.select("call", F.col("id").alias("claim"), when(F.col("flag") == "R", "RAISED_OBJECTION", "OTHER").alias("predicate"), when(F.col("discount") <= 0.08, "AFFIRMED", "NEGATED").alias("polarity"), F.lit(None).cast("string").alias("status"), when(F.col("n") % 2 == 1, "BUYER", "SELLER").alias("speaker"), F.col("at").alias("said"), (F.col("asset") % 5 + 1).cast("string").alias("value"))
+    needs = S.latest_objection(calls, claims).select("deal", F.array("category").alias("tags"))
     assets = d.part.select(F.col("p_partkey").alias("asset"), F.col("p_name").alias("title"), F.array((F.col("p_size") % 5 + 1).cast("string")).alias("tags"))
-    seen = d.orders.join(d.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("k"), F.col("l_partkey").alias("asset"))
-    return S.recommendation(needs, assets, seen, "k", "tags", "asset", "title", 3)
+    return S.recommendation(needs, assets, views_of(d), "deal", "tags", "asset", "title", 3)
 
 
 @query("sal04_committee", "SELECT conv_id, count(DISTINCT CASE WHEN role = 'user' THEN turn END) AS buyers, CASE WHEN count(DISTINCT CASE WHEN role = 'user' THEN turn END) = 0 THEN 'uncovered' WHEN count(DISTINCT CASE WHEN role = 'user' THEN turn END) = 1 THEN 'single_threaded' ELSE 'multi_threaded' END AS shape FROM conversations GROUP BY conv_id")
@@ -43,14 +65,24 @@ def committee(d: Data) -> DataFrame:
 
 
 def found_signals(d: Data) -> DataFrame:
-    last = d.changes.groupBy("deal").agg(F.max("changed").alias("last"), F.count("*").alias("n"))
-    return S.signals({"stalled": last.where("datediff(DATE '2001-08-02', last) >= 21 AND n >= 2"), "single_order": last.where("n = 1"), "open_high_value": d.orders.where("o_orderstatus = 'O' AND o_totalprice > 350000").withColumnRenamed("o_custkey", "deal")}, "deal")
+    x = lines(d)
+    opened = S.effectiveness(shares_of(d), views_of(d), d.changes.withColumn("before", F.lit("NEW")))
+    both = d.claims.where("object IN ('F', 'O')").groupBy("subject", "predicate").agg(F.min(F.when(F.col("object") == "F", F.col("claim_id"))).alias("id_a"), F.min(F.when(F.col("object") == "O", F.col("claim_id"))).alias("id_b")).where("id_a IS NOT NULL AND id_b IS NOT NULL")
+    conflicts = both.select(F.col("subject").alias("deal"), "id_a", "id_b", F.when((F.col("id_a") + F.col("id_b")) % 2 == 0, "OPEN").otherwise("RESOLVED").alias("status"))
+    parties = x.select("deal", "party", (F.col("flag") == "A").alias("buyer"))
+    objections = x.where("flag = 'R' AND discount >= 0.09").select("deal", F.col("id").alias("claim"))
+    return S.signals(parties, objections, opened, conflicts, d.changes, F.lit("2001-08-02").cast("date"))
 
 
-SIGNALS = """l AS (SELECT deal, max(changed) AS last, count(*) AS n FROM changes GROUP BY deal), g AS (SELECT deal, 'stalled' AS signal FROM l WHERE date_diff('day', last, DATE '2001-08-02') >= 21 AND n >= 2 UNION ALL SELECT deal, 'single_order' FROM l WHERE n = 1 UNION ALL SELECT DISTINCT o_custkey, 'open_high_value' FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 350000)"""
+SIGNALS = LINES + """, cf AS (SELECT subject, min(claim_id) FILTER (WHERE object = 'F') AS a, min(claim_id) FILTER (WHERE object = 'O') AS b FROM claims GROUP BY subject, predicate),
+g AS (SELECT deal, 'single_threaded_deal' AS signal, NULL AS evidence FROM lines GROUP BY deal HAVING count(DISTINCT CASE WHEN flag = 'A' THEN party END) = 1
+UNION ALL SELECT deal, 'objection_without_follow_up', CAST(id AS VARCHAR) FROM lines WHERE flag = 'R' AND discount >= 0.09 AND id NOT IN (SELECT triggered_by FROM shares)
+UNION ALL SELECT deal, 'shared_content_never_opened', CAST(share AS VARCHAR) FROM shares s WHERE date_diff('day', shared, DATE '2001-08-02') >= 7 AND NOT EXISTS (SELECT 1 FROM views v WHERE v.deal = s.deal AND v.asset = s.asset AND seen >= shared)
+UNION ALL SELECT subject, 'unresolved_conflict', concat(a, ' ', b) FROM cf WHERE a IS NOT NULL AND b IS NOT NULL AND (a + b) % 2 = 0
+UNION ALL SELECT deal, 'stalled_deal', NULL FROM changes GROUP BY deal HAVING date_diff('day', max(changed), DATE '2001-08-02') >= 21)"""
 
 
-@query("sal05_signals", f"WITH {SIGNALS} SELECT deal, signal FROM g")
+@query("sal05_signals", f"WITH {SIGNALS} SELECT deal, signal, evidence FROM g")
 def signals(d: Data) -> DataFrame:
     return found_signals(d)
 
