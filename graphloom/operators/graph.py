@@ -59,6 +59,46 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int, per_seed: int | None =
     return out.select("seed", F.col("at").alias("node"), "hops", "confidence", "score")
 
 
+def hop_chunks(seeds: DataFrame, mentions: DataFrame, edges: DataFrame, quarantined: DataFrame, chunks: DataFrame, tenant: str, hops: int = 2, as_of: Column | None = None, known_at: Column | None = None, question: Column | None = None, weight: float = 0.0, per_seed: int = 200, total: int = 500) -> DataFrame:
+    """(seed, chunk, via, hops, confidence, score, place): other chunks of a tenant that paths lead to from what the seeds (chunk) mention.
+
+    A path has 1 to ``hops`` edges of the tenant, repeats none, and meets no quarantined node; its edges hold at ``as_of`` and were
+    recorded by ``known_at``, where these are given; open ends and unknown times pass. The base score is the product of the
+    confidences (1 if unknown) over the length; with a ``question`` (a vector), chunks that have a vector score
+    (1 - weight) * base + weight * (1 + cosine) / 2. The ``per_seed`` best of each seed count, of these the ``total`` best.
+
+    mentions: chunk, node; edges: src, rel, tgt, confidence, valid_from, valid_to, recorded_at, tenant; quarantined: node; chunks:
+    chunk, tenant, vector. Filters reach the edges before any path is made.
+    """
+    from graphloom.operators.retrieval import dot, unit
+
+    holds = F.col("tenant") == tenant
+    if as_of is not None:
+        holds &= (F.col("valid_from").isNull() | (F.col("valid_from") <= as_of)) & (F.col("valid_to").isNull() | (F.col("valid_to") > as_of))
+    if known_at is not None:
+        holds &= F.col("recorded_at").isNull() | (F.col("recorded_at") <= known_at)
+    bad = quarantined.select("node").distinct()
+    e = edges.where(holds).select("src", "rel", "tgt", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    for end in ("src", "tgt"):
+        e = e.join(bad.select(F.col("node").alias(end)), end, "left_anti")
+    start = cut(seeds.select("chunk").distinct().join(mentions.select("chunk", "node").distinct(), "chunk").join(bad, "node", "left_anti").select(F.col("chunk").alias("seed"), "node"))
+    walk = paths(cut(e), start.select("node").distinct(), hops)
+    reached = start.join(walk.select(F.col("seed").alias("node"), F.col("node").alias("via"), "hops", "confidence"), "node").select("seed", "via", "hops", "confidence").distinct()
+    others = chunks.where(F.col("tenant") == tenant).join(seeds.select("chunk"), "chunk", "left_anti").select("chunk", "vector")
+    found = reached.join(mentions.select("chunk", F.col("node").alias("via")).distinct(), "via").join(others, "chunk")
+    base = F.col("confidence") / F.col("hops")
+    score = base
+    if question is not None and weight > 0:
+        like = (1 + dot(unit(F.col("vector")), unit(question))) / 2
+        score = F.when(F.col("vector").isNull(), base).otherwise((1 - weight) * base + weight * like)
+    found = found.withColumn("score", F.round(score, 9))
+    ties = (F.desc("score"), "hops", "chunk", "via", F.desc("confidence"))
+    found = found.withColumn("_r", F.row_number().over(Window.partitionBy("seed").orderBy(*ties))).where(F.col("_r") <= per_seed)
+    best = found.orderBy(*ties, "seed").limit(total)
+    place = F.row_number().over(Window.orderBy(*ties, "seed"))  # ``total`` rows
+    return best.withColumn("place", place).select("seed", "chunk", "via", "hops", "confidence", "score", "place")
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, hops: int = 3, least: float = 0.05) -> DataFrame:
     """(node, confidence): the best product of confidences on a path from a seed (1.0); below ``least`` it isn't followed."""
     e = both_ways(edges, "confidence").groupBy("u", "v").agg(F.max("confidence").alias("c"))

@@ -37,6 +37,32 @@ def paths(d: Data) -> DataFrame:
     return G.paths(d.relations, seeds, 3).select("seed", "node", "hops", F.round("confidence", 6).alias("confidence"), F.round("score", 6).alias("score"))
 
 
+@query("grf02_hop_chunks", """
+WITH sd AS (SELECT max_by(o_orderkey, (o_totalprice, o_orderkey)) AS seed FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment), men AS (SELECT DISTINCT l_orderkey AS chunk, 'S' || CAST(l_suppkey AS VARCHAR) AS node FROM lineitem UNION SELECT DISTINCT l_orderkey, 'P' || CAST(l_partkey AS VARCHAR) FROM lineitem),
+bad AS (SELECT 'P' || CAST(p_partkey AS VARCHAR) AS node FROM part WHERE p_size = 13), g AS (SELECT l_suppkey, l_partkey, max(l_discount) + 0.5 AS confidence, min(CAST(l_shipdate AS DATE)) AS valid_from, max(CAST(l_shipdate AS DATE)) AS valid_to, min(CAST(o_orderdate AS DATE)) AS recorded_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+e AS (SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS s, 'P' || CAST(l_partkey AS VARCHAR) AS t, confidence FROM g WHERE l_suppkey % 3 <> 0 AND valid_from <= DATE '1998-06-01' AND (l_partkey % 2 = 0 OR valid_to > DATE '1998-06-01') AND recorded_at <= DATE '1999-06-01'), f AS (SELECT * FROM e WHERE t NOT IN (SELECT node FROM bad)),
+p AS (SELECT DISTINCT seed, via, confidence FROM sd JOIN men ON men.chunk = seed JOIN (SELECT s AS node, t AS via, confidence FROM f UNION ALL SELECT t, s, confidence FROM f) w ON w.node = men.node), q AS (SELECT [CAST(x AS DOUBLE) FOR x IN embedding] AS q FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
+h AS (SELECT seed, m.chunk, via, confidence, round(CASE WHEN v IS NULL THEN confidence ELSE 0.7 * confidence + 0.3 * (1 + list_inner_product(v, q) / sqrt(list_inner_product(v, v) * list_inner_product(q, q))) / 2 END, 9) AS score FROM p JOIN men m ON m.node = via JOIN orders o ON o.o_orderkey = m.chunk AND o_orderstatus = 'F' LEFT JOIN v ON vec_id = m.chunk, q WHERE m.chunk NOT IN (SELECT seed FROM sd)),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, chunk, via, confidence DESC) AS r FROM h) SELECT seed, chunk, via, 1 AS hops, round(confidence, 6) AS confidence, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, chunk, via, confidence DESC, seed) AS place FROM r WHERE r <= 200 ORDER BY place LIMIT 500""")
+def hop_chunks(d: Data) -> DataFrame:
+    """Orders are chunks that mention their suppliers and parts; the seeds are the largest order of each market segment."""
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    j = d.lineitem.join(d.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    seeds = d.orders.join(d.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("chunk"))
+    mentions = d.lineitem.select(F.col("l_orderkey").alias("chunk"), node("S", "l_suppkey").alias("node")).union(d.lineitem.select("l_orderkey", node("P", "l_partkey")))
+    day = lambda c: F.col(c).cast("date")
+    g = j.groupBy("l_suppkey", "l_partkey").agg((F.max("l_discount") + 0.5).alias("confidence"), F.min(day("l_shipdate")).alias("valid_from"), F.max(day("l_shipdate")).alias("last"), F.min(day("o_orderdate")).alias("recorded_at"))
+    edges = g.select(node("S", "l_suppkey").alias("src"), F.lit("SUPPLIES").alias("rel"), node("P", "l_partkey").alias("tgt"), "confidence", "valid_from", F.when(F.col("l_partkey") % 2 != 0, F.col("last")).alias("valid_to"), "recorded_at", F.when(F.col("l_suppkey") % 3 != 0, "own").otherwise("other").alias("tenant"))
+    vectors = d.embeddings.select(F.col("vec_id").alias("chunk"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    chunks = d.orders.select(F.col("o_orderkey").alias("chunk"), F.when(F.col("o_orderstatus") == "F", "own").otherwise("other").alias("tenant")).join(vectors, "chunk", "left")
+    asked = d.embeddings.where("vec_id = 0").select("embedding").head()  # the question
+    question = F.array(*[F.lit(float(x)) for x in asked.embedding]) if asked else None
+    bad = d.part.where("p_size = 13").select(node("P", "p_partkey").alias("node"))
+    date = lambda s: F.lit(s).cast("date")
+    out = G.hop_chunks(seeds, mentions, edges, bad, chunks, "own", 1, date("1998-06-01"), date("1999-06-01"), question, 0.3)
+    return out.withColumn("confidence", F.round("confidence", 6)).withColumn("score", F.round("score", 6)).withColumn("hops", F.col("hops").cast("int"))
+
+
 @query("grf03_induced", "SELECT src, rel, tgt FROM relations WHERE src IN (SELECT id FROM entities WHERE tenant = 't0') AND tgt IN (SELECT id FROM entities WHERE tenant = 't0')")
 def induced(d: Data) -> DataFrame:
     own = d.entities.where("tenant = 't0'").select("id")
