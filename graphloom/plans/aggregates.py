@@ -65,7 +65,7 @@ def alias_coverage(d: Data) -> DataFrame:
 WITH e AS (SELECT src, tgt, count(DISTINCT doc) AS docs FROM evidence GROUP BY src, tgt)
 SELECT count(*) AS edges, count(CASE WHEN docs > 2 THEN 1 END) AS open_conflicts, round(count(CASE WHEN docs > 2 THEN 1 END) * 1000.0 / count(*), 6) AS per_thousand FROM e""")
 def rate_per_thousand(d: Data) -> DataFrame:
-    e = d.evidence.groupBy("src", "tgt").agg(F.count_distinct("doc").alias("docs"))
+    e = d.spread(d.evidence, "src", "tgt").groupBy("src", "tgt").agg(F.count_distinct("doc").alias("docs"))
     k = F.count_if(F.col("docs") > 2)
     return e.agg(F.count("*").alias("edges"), k.alias("open_conflicts"), F.round(A.ratio(k * 1000.0, F.count("*")), 6).alias("per_thousand"))
 
@@ -226,7 +226,7 @@ x AS (SELECT src, tgt, d1 AS doc FROM p UNION SELECT src, tgt, d2 FROM p) SELECT
 def corroboration(d: Data) -> DataFrame:
     from graphloom.operators.governance import corroboration
 
-    return corroboration(d.evidence.withColumn("position", F.col("doc")), "position", 100)
+    return corroboration(d.spread(d.evidence, "src", "tgt").withColumn("position", F.col("doc")), "position", 100)
 
 
 @query("agg29_brier", f"WITH {CALIBRATION} SELECT lang, round(avg((p - y) * (p - y)), 6) AS brier, count(*) AS n FROM samples GROUP BY lang")
@@ -273,7 +273,7 @@ def decision_coverage(d: Data) -> DataFrame:
 WITH b AS (SELECT src, rel, tgt, doc, confidence, CASE WHEN doc % 3 = 0 THEN 'PROVIDES' ELSE rel END AS raw FROM evidence), before AS (SELECT src, raw, tgt, count(DISTINCT doc) AS d FROM b GROUP BY src, raw, tgt), after AS (SELECT src, tgt, count(DISTINCT doc) AS d, 1 - product(1 - confidence) AS c FROM b GROUP BY src, tgt)
 SELECT (SELECT count(*) FROM before) AS edges_before, (SELECT count(*) FROM after) AS edges_after, (SELECT count(*) FROM before WHERE d > 1) AS multi_before, (SELECT count(*) FROM after WHERE d > 1) AS multi_after, (SELECT count(*) FROM after WHERE c >= 0.95) AS certain""")
 def canonical_what_if(d: Data) -> DataFrame:
-    b = d.evidence.withColumn("raw", F.when(F.col("doc") % 3 == 0, F.lit("PROVIDES")).otherwise(F.col("rel")))
+    b = d.spread(d.evidence, "src", "tgt").withColumn("raw", F.when(F.col("doc") % 3 == 0, F.lit("PROVIDES")).otherwise(F.col("rel")))
     before = b.groupBy("src", "raw", "tgt").agg(F.count_distinct("doc").alias("d")).agg(F.count("*").alias("edges_before"), F.count_if(F.col("d") > 1).alias("multi_before"))
     after = b.groupBy("src", "tgt").agg(F.count_distinct("doc").alias("d"), A.noisy_or("confidence").alias("c")).agg(F.count("*").alias("edges_after"), F.count_if(F.col("d") > 1).alias("multi_after"), F.count_if(F.col("c") >= 0.95).alias("certain"))
     return before.crossJoin(after)
@@ -281,7 +281,7 @@ def canonical_what_if(d: Data) -> DataFrame:
 
 @query("agg36_noisy_or", "SELECT src, tgt, round(1 - product(1 - confidence), 6) AS confidence, count(*) AS n FROM evidence GROUP BY src, tgt")
 def noisy_or(d: Data) -> DataFrame:
-    return d.evidence.groupBy("src", "tgt").agg(F.round(A.noisy_or("confidence"), 6).alias("confidence"), F.count("*").alias("n"))
+    return d.spread(d.evidence, "src", "tgt").groupBy("src", "tgt").agg(F.round(A.noisy_or("confidence"), 6).alias("confidence"), F.count("*").alias("n"))
 
 
 @query("agg37_failure_taxonomy", """

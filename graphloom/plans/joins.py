@@ -35,7 +35,7 @@ def semi(d: Data) -> DataFrame:
 
 @query("jon05_exclusive_entities", "SELECT tgt, min(doc) AS doc FROM evidence GROUP BY tgt HAVING count(DISTINCT doc) <= 20")
 def exclusive_entities(d: Data) -> DataFrame:
-    return d.evidence.groupBy("tgt").agg(F.min("doc").alias("doc"), F.count_distinct("doc").alias("k")).where("k <= 20").select("tgt", "doc")
+    return d.spread(d.evidence, "tgt", "doc").groupBy("tgt").agg(F.min("doc").alias("doc"), F.count_distinct("doc").alias("k")).where("k <= 20").select("tgt", "doc")
 
 
 @query("jon06_nested_anti", """

@@ -119,7 +119,7 @@ def half_life(d: Data) -> DataFrame:
     age = F.greatest(F.lit(0), F.datediff(F.lit("2001-01-01").cast("date"), F.col("valid_from")))
     from graphloom.functions.dates import half_life as decay
 
-    return d.evidence.groupBy("src", "tgt").agg(F.round(F.max(decay(F.col("confidence"), age, 180)), 6).alias("decayed"))
+    return d.spread(d.evidence, "src", "tgt").groupBy("src", "tgt").agg(F.round(F.max(decay(F.col("confidence"), age, 180)), 6).alias("decayed"))
 
 
 @query("dat02_recency", "SELECT claim_id, round(1.0 / (1 + date_diff('day', valid_from, DATE '2001-12-31') / 30.0), 6) AS weight FROM claims")

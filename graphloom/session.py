@@ -57,6 +57,17 @@ def dropped(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._graphloom_path)
 
 
+#: About so many rows of a large table are in one task at once.
+ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys over as many tasks as ``rows`` rows need, so that a task's memory doesn't grow with the table; as it
+    is where the session's shuffles have that many partitions anyway. Groups and joins by these keys, or more, shuffle nothing again."""
+    parts = -(-rows // ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 #: The graph read from the relational tables, in SQL that Spark and DuckDB both take. Evidence has a row for each
 #: document (order) that says so; relations are certain ones, with one row each.
 VIEWS = {
@@ -106,10 +117,21 @@ class Data:
     def view(self, name: str) -> DataFrame:
         sql = VIEWS[name]
         used = {t: self.table(t) for t in TABLES if f"FROM {t}" in sql or f"JOIN {t}" in sql}
+        if name == "evidence":
+            used = {"lineitem": self.spread(used["lineitem"], "l_orderkey"), "orders": self.spread(used["orders"], "o_orderkey")}
         for t in used:
             sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
         return self.spark.sql(sql, **used)
 
+    @cached_property
+    def lines(self) -> int:
+        """How many rows the largest table has, by the footers of its files."""
+        return self.lineitem.count()
+
+    def spread(self, df: DataFrame, *keys: str) -> DataFrame:
+        """``df``, which has a row for each row of lineitem at most, dealt by its keys; see dealt()."""
+        return dealt(df, self.lines, *keys)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
@@ -121,4 +143,4 @@ class Data:
     def edges(self) -> DataFrame:
         from graphloom.operators.graph import merged_edges
 
-        return merged_edges(self.evidence)
+        return merged_edges(self.spread(self.evidence, "src", "rel", "tgt"))
