@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, value: str, order: str) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, value: str, order: str, deal: Callable[..., DataFrame] = lambda df, *keys: df) -> DataFrame:
     """``left`` with the value of the last right row at or before its time (``order`` breaks ties), as ``value``; null if none.
 
     Both sides are put in one order and the last right value is carried forward: one shuffle by key, no join that
-    grows with the product of a key's rows.
+    grows with the product of a key's rows. ``deal`` (a table, its keys) may deal both over more tasks.
     """
     cols = left.columns
     l = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[order].dataType).alias("_o"), F.struct(*cols).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     r = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(order).alias("_o"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
     w = Window.partitionBy(*by).orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    seen = l.unionByName(r).withColumn("_last", F.last(F.when(F.col("_side") == 0, F.struct("_v")), ignorenulls=True).over(w))
+    seen = deal(l.unionByName(r), *by).withColumn("_last", F.last(F.when(F.col("_side") == 0, F.struct("_v")), ignorenulls=True).over(w))
     return seen.where("_side = 1").select("_row.*", F.col("_last._v").alias(value))
 
 
@@ -26,13 +28,13 @@ def latest_by(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.max(F.struct(*order, F.struct(*df.columns).alias("_row"))).alias("_m")).select("_m._row.*")
 
 
-def exists_after(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, name: str) -> DataFrame:
+def exists_after(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, name: str, deal: Callable[..., DataFrame] = lambda df, *keys: df) -> DataFrame:
     """``left`` with the first right time after (or at) its own, as ``name``; null if none. The next right time is carried backward
     in one order of both sides, as asof() carries the last one forward."""
     l = left.select(*by, F.col(left_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"))
     r = right.select(*by, F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"))
     w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    seen = l.unionByName(r).withColumn("_next", F.first(F.when(F.col("_side") == 1, F.col("_t")), ignorenulls=True).over(w))
+    seen = deal(l.unionByName(r), *by).withColumn("_next", F.first(F.when(F.col("_side") == 1, F.col("_t")), ignorenulls=True).over(w))
     return seen.where("_side = 0").select("_row.*", F.col("_next").alias(name))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,20 +18,20 @@ def _signal(df: DataFrame, name: str, deal: str, evidence: Column) -> DataFrame:
     return df.select(F.col(deal).alias("deal"), F.lit(name).alias("signal"), evidence.cast("string").alias("evidence"))
 
 
-def signals(parties: DataFrame, objections: DataFrame, shares: DataFrame, conflicts: DataFrame, changes: DataFrame, now: Column, stale: int = 7, stalled: int = 21) -> DataFrame:
+def signals(parties: DataFrame, objections: DataFrame, shares: DataFrame, conflicts: DataFrame, changes: DataFrame, now: Column, stale: int = 7, stalled: int = 21, deal: Callable[..., DataFrame] = lambda df, *keys: df) -> DataFrame:
     """(deal, signal, evidence) of the five kinds: one buyer alone on all calls of a deal; an objection that no share answers; what was
     shared ``stale`` days ago or earlier and never opened; a conflict that is open; no change of stage for ``stalled`` days, where
     there was one at all. Evidence is the claim, the share, the two claims, or null.
 
     parties: deal, party, buyer; objections: deal, claim; shares: deal, share, shared, opened_at, triggered_by; conflicts: deal, id_a,
-    id_b, status; changes: deal, changed. Each kind is one aggregation, or one anti join.
+    id_b, status; changes: deal, changed. Each kind is one aggregation, or one anti join. ``deal`` (a table, its keys) may deal rows over more tasks.
     """
-    alone = committee(parties, "deal", "party", F.col("buyer")).where("shape = 'single_threaded'")
-    answered = shares.select(F.col("triggered_by").alias("claim")).where("claim IS NOT NULL").distinct()
+    alone = committee(deal(parties, "deal", "party"), "deal", "party", F.col("buyer")).where("shape = 'single_threaded'")
+    answered = deal(shares.select(F.col("triggered_by").alias("claim")).where("claim IS NOT NULL"), "claim").distinct()
     last = changes.groupBy("deal").agg(F.max("changed").alias("last")).where(F.datediff(now, "last") >= stalled)
     found = [
         _signal(alone, "single_threaded_deal", "deal", F.lit(None)),
-        _signal(objections.join(answered, "claim", "left_anti"), "objection_without_follow_up", "deal", F.col("claim")),
+        _signal(deal(objections, "claim").join(answered, "claim", "left_anti"), "objection_without_follow_up", "deal", F.col("claim")),
         _signal(shares.where(F.col("opened_at").isNull() & (F.datediff(now, "shared") >= stale)), "shared_content_never_opened", "deal", F.col("share")),
         _signal(conflicts.where("status = 'OPEN'"), "unresolved_conflict", "deal", F.concat_ws(" ", F.col("id_a").cast("string"), F.col("id_b").cast("string"))),
         _signal(last, "stalled_deal", "deal", F.lit(None)),
@@ -49,7 +51,7 @@ def latest_objection(calls: DataFrame, claims: DataFrame) -> DataFrame:
     return last.join(one, "call").select("deal", "call", "m.claim", "m.category")
 
 
-def effectiveness(shares: DataFrame, views: DataFrame, changes: DataFrame) -> DataFrame:
+def effectiveness(shares: DataFrame, views: DataFrame, changes: DataFrame, deal: Callable[..., DataFrame] = lambda df, *keys: df) -> DataFrame:
     """``shares`` with opened, opened_at, stage_at_share, latest_stage, advanced: the first view at or after it, the stage it
     met (the one before the first later change if there was none yet), and whether the stage changed afterwards.
 
@@ -57,8 +59,8 @@ def effectiveness(shares: DataFrame, views: DataFrame, changes: DataFrame) -> Da
     """
     from graphloom.operators.joins import asof, exists_after
 
-    seen = exists_after(shares, views, ["deal", "asset"], "shared", "seen", "opened_at")
-    at = asof(seen, changes, ["deal"], "shared", "changed", "stage", "seq")
+    seen = exists_after(shares, views, ["deal", "asset"], "shared", "seen", "opened_at", deal)
+    at = asof(seen, changes, ["deal"], "shared", "changed", "stage", "seq", deal)
     ends = changes.groupBy("deal").agg(F.max_by("stage", F.struct("changed", "seq")).alias("latest_stage"), F.max("changed").alias("_last"), F.min_by("before", F.struct("changed", "seq")).alias("_first"))
     j = at.join(ends, "deal", "left")
     return j.select(*shares.columns, F.col("opened_at").isNotNull().alias("opened"), "opened_at", F.coalesce("stage", "_first").alias("stage_at_share"), "latest_stage", F.coalesce(F.col("_last") > F.col("shared"), F.lit(False)).alias("advanced"))

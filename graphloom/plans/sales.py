@@ -23,12 +23,12 @@ shares AS (SELECT DISTINCT deal, id AS share, asset, told AS shared, id - 1 AS t
 
 
 def lines(d: Data) -> DataFrame:
-    j = d.lineitem.join(d.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    j = d.spread(d.lineitem, "l_orderkey").join(d.spread(d.orders, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(F.col("o_custkey").alias("deal"), F.col("l_orderkey").alias("call"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("asset"), F.col("l_shipdate").cast("date").alias("at"), F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("party"), F.col("l_discount").alias("discount"))
 
 
 def shares_of(d: Data) -> DataFrame:
-    return lines(d).where("flag = 'A'").select("deal", F.col("id").alias("share"), "asset", F.col("at").alias("shared"), (F.col("id") - 1).alias("triggered_by")).distinct()
+    return d.spread(lines(d).where("flag = 'A'").select("deal", F.col("id").alias("share"), "asset", F.col("at").alias("shared"), (F.col("id") - 1).alias("triggered_by")), "deal", "share").distinct()
 
 
 def views_of(d: Data) -> DataFrame:
@@ -42,7 +42,7 @@ SELECT o.deal, o.share, o.asset, opened_at IS NOT NULL AS opened, CAST(opened_at
 def content_effectiveness(d: Data) -> DataFrame:
     w = Window.partitionBy("deal").orderBy("changed", "seq")
     changes = d.changes.withColumn("before", F.coalesce(F.lag("stage").over(w), F.lit("NEW")))
-    return S.effectiveness(shares_of(d), views_of(d), changes).withColumn("opened_at", F.col("opened_at").cast("string")).drop("shared", "triggered_by")
+    return S.effectiveness(shares_of(d), views_of(d), changes, d.spread).withColumn("opened_at", F.col("opened_at").cast("string")).drop("shared", "triggered_by")
 
 
 @query("sal03_recommendation", f"""
@@ -66,12 +66,12 @@ def committee(d: Data) -> DataFrame:
 
 def found_signals(d: Data) -> DataFrame:
     x = lines(d)
-    opened = S.effectiveness(shares_of(d), views_of(d), d.changes.withColumn("before", F.lit("NEW")))
+    opened = S.effectiveness(shares_of(d), views_of(d), d.changes.withColumn("before", F.lit("NEW")), d.spread)
     both = d.claims.where("object IN ('F', 'O')").groupBy("subject", "predicate").agg(F.min(F.when(F.col("object") == "F", F.col("claim_id"))).alias("id_a"), F.min(F.when(F.col("object") == "O", F.col("claim_id"))).alias("id_b")).where("id_a IS NOT NULL AND id_b IS NOT NULL")
     conflicts = both.select(F.col("subject").alias("deal"), "id_a", "id_b", F.when((F.col("id_a") + F.col("id_b")) % 2 == 0, "OPEN").otherwise("RESOLVED").alias("status"))
     parties = x.select("deal", "party", (F.col("flag") == "A").alias("buyer"))
     objections = x.where("flag = 'R' AND discount >= 0.09").select("deal", F.col("id").alias("claim"))
-    return S.signals(parties, objections, opened, conflicts, d.changes, F.lit("2001-08-02").cast("date"))
+    return S.signals(parties, objections, opened, conflicts, d.changes, F.lit("2001-08-02").cast("date"), deal=d.spread)
 
 
 SIGNALS = LINES + """, cf AS (SELECT subject, min(claim_id) FILTER (WHERE object = 'F') AS a, min(claim_id) FILTER (WHERE object = 'O') AS b FROM claims GROUP BY subject, predicate),
