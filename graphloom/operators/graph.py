@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.operators.aggregates import noisy_or
-from graphloom.session import dropped, written
+from graphloom.session import dealt, dropped, written
 
 
 #: Written tables in place of checkpoints: a checkpoint keeps the size estimate of its plan, which self-joins square each round.
@@ -196,15 +196,20 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None, back
 
 
 def transitive(edges: DataFrame, rel: str, depth: int, decay: float = 0.9) -> DataFrame:
-    """Edges of ``rel`` that follow from chains of 2 to ``depth`` and aren't there yet; confidence: best product times decay a step."""
-    base = edges.where(F.col("rel") == rel).groupBy("src", "tgt").agg(F.max("confidence").alias("confidence"))
+    """Edges of ``rel`` that follow from chains of 2 to ``depth`` and aren't there yet; confidence: best product times decay a step.
+
+    Each step is written, and dealt over as many tasks as its rows need, which degrees tell before the join."""
+    base = cut(edges.where(F.col("rel") == rel).groupBy("src", "tgt").agg(F.max("confidence").alias("confidence")))
     step = base.select(F.col("src").alias("m"), F.col("tgt").alias("end"), F.col("confidence").alias("c"))
-    now, out = base, None
+    now, out, ways = base, None, base.groupBy(F.col("src").alias("tgt")).agg(F.count("*").alias("k"))
     for _ in range(depth - 1):
-        now = now.join(step, F.col("tgt") == F.col("m")).where(F.col("src") != F.col("end")).groupBy("src", F.col("end").alias("tgt")).agg(F.max(F.col("confidence") * F.col("c") * decay).alias("confidence"))
+        made = now.groupBy("tgt").agg(F.count("*").alias("n")).join(ways, "tgt").agg(F.sum(F.col("n") * F.col("k"))).head()[0] or 0
+        now = dealt(now.join(step, F.col("tgt") == F.col("m")), made, "src", "end").where(F.col("src") != F.col("end")).groupBy("src", F.col("end").alias("tgt")).agg(F.max(F.col("confidence") * F.col("c") * decay).alias("confidence"))
+        now = cut(now)
         out = now if out is None else out.unionAll(now)
-    new = out.groupBy("src", "tgt").agg(F.max("confidence").alias("confidence"))
-    return new.join(base.select("src", "tgt"), ["src", "tgt"], "left_anti").select("src", F.lit(rel).alias("rel"), "tgt", "confidence")
+    rows = out.count()
+    new = dealt(out, rows, "src", "tgt").groupBy("src", "tgt").agg(F.max("confidence").alias("confidence"))
+    return new.join(dealt(base.select("src", "tgt"), rows, "src", "tgt"), ["src", "tgt"], "left_anti").select("src", F.lit(rel).alias("rel"), "tgt", "confidence")
 
 
 def composed(edges: DataFrame, first: str, second: str, derived: str, decay: float = 0.9) -> DataFrame:
