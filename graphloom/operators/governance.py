@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,42 +18,49 @@ def corroboration(evidence: DataFrame, position: str, gap: int) -> DataFrame:
     return e.join(ends, ["src", "tgt"]).where(far).groupBy("src", "tgt").agg(F.count_distinct("doc").alias("independent"))
 
 
-def contradictions(edges: DataFrame, negative: DataFrame, exclusive: list[tuple[str, str]], functional: list[str], known: DataFrame) -> DataFrame:
+def contradictions(edges: DataFrame, negative: DataFrame, exclusive: list[tuple[str, str]], functional: list[str], known: DataFrame, deal: Callable[..., DataFrame] = lambda df, *keys: df) -> DataFrame:
     """(kind, src, rel, tgt, docs) of what contradicts itself and isn't ``known`` (kind, src, rel, tgt) as open: the same relation
     both ways, two exclusive relations of one node from different documents, several targets of a functional relation, and an
     edge that is asserted and denied. ``docs``: how many documents say so. edges, negative: src, rel, tgt, doc.
 
-    Each kind is one aggregation or one join of distinct edges; pairs of documents are never made.
+    Each kind is one aggregation; pairs of documents are never made, and only documents are counted as distinct ones: that there
+    are two values shows in the least and the greatest, which multiplies no rows. ``deal`` (a table, its keys) may deal rows over
+    more tasks.
     """
+    two = lambda c: F.min(c) != F.max(c)
     docs = F.count_distinct("doc").alias("docs")
     row = lambda df, kind, rel, tgt: df.select(F.lit(kind).alias("kind"), "src", rel.alias("rel"), tgt.alias("tgt"), "docs")
     # an edge and its reverse under the name of the smaller end; documents of either direction are counted once
     same = edges.where((F.col("rel") != "RELATED_TO") & (F.col("src") != F.col("tgt"))).select(F.least("src", "tgt").alias("src"), "rel", F.greatest("src", "tgt").alias("tgt"), "doc", (F.col("src") < F.col("tgt")).alias("_up"))
-    both = same.groupBy("src", "rel", "tgt").agg(docs, F.count_distinct("_up").alias("_n")).where("_n = 2")
+    both = deal(same, "src", "rel", "tgt").groupBy("src", "rel", "tgt").agg(docs, two("_up").alias("_n")).where("_n")
     out = row(both, "directional_reversal", F.col("rel"), F.col("tgt"))
     for a, b in exclusive:
         # documents of either differ exactly when there are two or more in all
-        found = edges.where(F.col("rel").isin(a, b) & F.col("doc").isNotNull()).groupBy("src").agg(docs, F.count_distinct("rel").alias("_n")).where("_n = 2 AND docs > 1")
+        one = edges.where(F.col("rel").isin(a, b) & F.col("doc").isNotNull()).select("src", "doc", (F.col("rel") == a).alias("_a"))
+        found = deal(one, "src", "doc").groupBy("src").agg(docs, two("_a").alias("_n")).where("_n AND docs > 1")
         out = out.unionByName(row(found, "exclusive_state", F.lit(f"{a} vs {b}"), F.lit("")))
-    many = edges.where(F.col("rel").isin(*functional)).groupBy("src", "rel").agg(docs, F.count_distinct("tgt").alias("_n")).where("_n > 1")
+    many = deal(edges.where(F.col("rel").isin(*functional)), "src", "rel", "doc").groupBy("src", "rel").agg(docs, two("tgt").alias("_n")).where("_n")
     out = out.unionByName(row(many, "functional_violation", F.col("rel"), F.lit("")))
     signed = edges.select("src", "rel", "tgt", "doc", F.lit(True).alias("_yes")).unionByName(negative.select("src", "rel", "tgt", "doc", F.lit(False).alias("_yes")))
-    denied = signed.groupBy("src", "rel", "tgt").agg(docs, F.count_distinct("_yes").alias("_n")).where("_n = 2")
+    denied = deal(signed, "src", "rel", "tgt").groupBy("src", "rel", "tgt").agg(docs, two("_yes").alias("_n")).where("_n")
     out = out.unionByName(row(denied, "positive_negative_pair", F.col("rel"), F.col("tgt")))
     return out.join(known, ["kind", "src", "rel", "tgt"], "left_anti")
 
 
-def forget_documents(mentions: DataFrame, entities: DataFrame, edges: DataFrame, gone) -> dict[str, DataFrame]:
+def forget_documents(mentions: DataFrame, entities: DataFrame, edges: DataFrame, gone, deal: Callable[..., DataFrame] = lambda df, *keys: df) -> dict[str, DataFrame]:
     """The tables without the documents for which ``gone`` holds: their mentions go, entities that only they mention go, and edges
-    with such an end go. ``audit`` counts what went. mentions: doc, entity; entities: entity; edges: ends (one or two entities)."""
+    with such an end go. ``audit`` counts what went. mentions: doc, entity; entities: entity; edges: ends (one or two entities). ``deal`` (a table,
+    its keys) may deal edges over more tasks."""
     erased = mentions.groupBy("entity").agg(F.count_if(~gone).alias("_left")).where("_left = 0").select("entity")
+    erased = deal(erased, "entity")  # what joins with it is dealt likewise
     kept = mentions.where(~gone)
     count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
     touched = edges.where(F.size("ends") > 0).select(F.explode(F.array_distinct("ends")).alias("entity")).join(erased, "entity", "left_semi")
     audit = count(erased, "entities").unionByName(count(mentions.where(gone), "mentions")).unionByName(count(touched, "edges"))
     left = edges.select("*", F.array_distinct("ends").alias("_ends"))
-    for i in range(2):  # each end must survive
-        left = left.join(erased.select(F.col("entity").alias(f"_e{i}")), F.get("_ends", F.lit(i)) == F.col(f"_e{i}"), "left_anti")
+    for i in range(2):  # each end must survive; edges that have no such end aren't joined, as all of them would meet in one task
+        end = F.get("_ends", F.lit(i))
+        left = left.where(end.isNull()).unionAll(left.where(end.isNotNull()).join(erased, end == F.col("entity"), "left_anti"))
     return {"mentions": kept, "entities": entities.join(erased, "entity", "left_anti"), "edges": left.drop("_ends"), "audit": audit}
 
 

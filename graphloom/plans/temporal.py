@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import governance as G
 from graphloom.operators import temporal as T
 from graphloom.plans.registry import query
-from graphloom.session import Data
+from graphloom.session import Data, written
 
 
 @query("tmp01_as_of_edges", "SELECT src, tgt, count(*) AS n FROM evidence WHERE valid_from <= DATE '1996-01-01' AND valid_from + 90 > DATE '1996-01-01' AND recorded_at <= DATE '1995-12-15' GROUP BY src, tgt")
@@ -26,7 +26,7 @@ SELECT (SELECT count(*) FROM n WHERE NOT quarantined AND r > DATE '1996-01-01' A
 def transaction_diff(d: Data) -> DataFrame:
     ends = d.evidence.select(F.explode(F.array("src", "tgt")).alias("id"), "recorded_at")
     n = ends.groupBy("id").agg(F.min("recorded_at").alias("recorded_at")).select("id", F.when(~F.col("id").endswith(":7"), F.col("recorded_at")).alias("recorded_at"), F.col("id").endswith("9").alias("quarantined"))
-    e = d.evidence.groupBy("src", "tgt").agg(F.min("recorded_at").alias("recorded_at"))
+    e = d.spread(d.evidence, "src", "tgt").groupBy("src", "tgt").agg(F.min("recorded_at").alias("recorded_at"))
     return T.transaction_diff(n, e, F.lit("1996-01-01").cast("date"), F.lit("1997-01-01").cast("date"))
 
 
@@ -120,7 +120,7 @@ def stale_chunks(d: Data) -> DataFrame:
 
 @query("snk06_reconciled_evidence", "SELECT src, tgt, count(DISTINCT doc) AS docs FROM evidence WHERE doc % 5 <> 0 GROUP BY src, tgt")
 def reconciled_evidence(d: Data) -> DataFrame:
-    return T.without_document(d.evidence, F.col("doc") % 5 == 0).groupBy("src", "tgt").agg(F.count_distinct("doc").alias("docs"))
+    return d.spread(T.without_document(d.evidence, F.col("doc") % 5 == 0), "src", "tgt").groupBy("src", "tgt").agg(F.count_distinct("doc").alias("docs"))
 
 
 @query("snk07_tombstones", "SELECT c_custkey, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1999-01-01') AS tombstone FROM customer")
@@ -145,7 +145,7 @@ def audit_rows(d: Data) -> DataFrame:
 
 @query("gov01_functional_violations", "SELECT tgt AS subject, count(DISTINCT src) AS targets FROM evidence GROUP BY tgt HAVING count(DISTINCT src) > 1")
 def functional_violations(d: Data) -> DataFrame:
-    return G.functional_violations(d.evidence, "tgt", "src")
+    return G.functional_violations(d.spread(d.evidence, "tgt", "src"), "tgt", "src")
 
 
 @query("gov02_arbitration", """
@@ -175,7 +175,7 @@ def subject_erasure(d: Data) -> DataFrame:
 
 @query("gov05_retraction_impact", "WITH p AS (SELECT src, tgt, count(CASE WHEN doc % 10 = 3 THEN 1 END) AS lost, count(*) AS n FROM evidence GROUP BY src, tgt) SELECT count(*) AS affected, count(CASE WHEN lost = n THEN 1 END) AS orphaned, count(CASE WHEN n - lost = 1 THEN 1 END) AS at_risk FROM p WHERE lost > 0")
 def retraction_impact(d: Data) -> DataFrame:
-    return G.retraction_impact(d.evidence, F.col("doc") % 10 == 3)
+    return G.retraction_impact(d.spread(d.evidence, "src", "tgt"), F.col("doc") % 10 == 3)
 
 
 @query("gov06_retention", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' AND o_orderstatus <> 'O'")
@@ -235,14 +235,15 @@ def contradictions(d: Data) -> DataFrame:
     """All four kinds at once, but for those that stand open already (parts that end in 3)."""
     n = lambda c: F.concat(F.lit("N"), c.cast("string"))
     a, b = F.col("c_nationkey") % 7, F.col("c_custkey") % 11
-    ring = d.customer.select(n(a).alias("src"), F.when((a + b) % 3 == 0, "RELATED_TO").otherwise("SUPERSEDES").alias("rel"), n(b).alias("tgt"), F.lit(None).cast("long").alias("doc"))
+    ring = d.customer.select(n(a).alias("src"), F.when((a + b) % 3 == 0, "RELATED_TO").otherwise("SUPERSEDES").alias("rel"), n(b).alias("tgt"), F.lit(None).cast("long").alias("doc")).distinct()
     part = F.concat(F.lit("PART:"), F.col("l_partkey").cast("string"))
     states = d.lineitem.where("l_returnflag IN ('A', 'R')").select(part.alias("src"), F.when(F.col("l_returnflag") == "A", "IS_ACTIVE").otherwise("IS_DEPRECATED").alias("rel"), F.lit("").alias("tgt"), F.col("l_orderkey").alias("doc"))
-    supplied = d.evidence.select(F.col("tgt").alias("src"), F.lit("SUPPLIED_BY").alias("rel"), F.col("src").alias("tgt"), "doc")
-    said = lambda c: d.evidence.where(c).select("src", "rel", "tgt", "doc")
+    ev = written(d.evidence.select("src", "rel", "tgt", "doc", "confidence"))  # read five times
+    supplied = ev.select(F.col("tgt").alias("src"), F.lit("SUPPLIED_BY").alias("rel"), F.col("src").alias("tgt"), "doc")
+    said = lambda c: ev.where(c).select("src", "rel", "tgt", "doc")
     edges = ring.unionByName(states).unionByName(supplied).unionByName(said("confidence >= 0.85"))
     known = d.part.select(F.lit("functional_violation").alias("kind"), F.concat(F.lit("PART:"), F.col("p_partkey").cast("string")).alias("src"), F.lit("SUPPLIED_BY").alias("rel"), F.lit("").alias("tgt")).where(F.col("src").endswith("3"))
-    return G.contradictions(edges, said("confidence <= 0.55"), [("IS_ACTIVE", "IS_DEPRECATED")], ["SUPPLIED_BY"], known)
+    return G.contradictions(edges, said("confidence <= 0.55"), [("IS_ACTIVE", "IS_DEPRECATED")], ["SUPPLIED_BY"], known, d.spread)
 
 
 @query("gov03_remaining", """
@@ -254,11 +255,11 @@ def remaining(d: Data) -> DataFrame:
     """What is left when every fiftieth order is forgotten: orders mention parts, suppliers are linked to parts."""
     mentions = d.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("entity"))
     edges = d.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("tgt"))
-    left = G.forget_documents(mentions, d.part.select(F.col("p_partkey").alias("entity")), edges.withColumn("ends", F.array("tgt")), F.col("doc") % 50 == 0)
+    left = G.forget_documents(mentions, d.part.select(F.col("p_partkey").alias("entity")), edges.withColumn("ends", F.array("tgt")), F.col("doc") % 50 == 0, d.spread)
     s = lambda c: F.col(c).cast("string")
-    out = left["mentions"].groupBy("doc", "entity").agg(F.count("*").alias("n")).select(F.lit("mention").alias("kind"), s("doc").alias("a"), s("entity").alias("b"), "n")
+    out = d.spread(left["mentions"], "doc", "entity").groupBy("doc", "entity").agg(F.count("*").alias("n")).select(F.lit("mention").alias("kind"), s("doc").alias("a"), s("entity").alias("b"), "n")
     out = out.unionByName(left["entities"].select(F.lit("entity").alias("kind"), s("entity").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1).cast("long").alias("n")))
-    out = out.unionByName(left["edges"].groupBy("src", "tgt").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), s("src").alias("a"), s("tgt").alias("b"), "n"))
+    out = out.unionByName(d.spread(left["edges"], "src", "tgt").groupBy("src", "tgt").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), s("src").alias("a"), s("tgt").alias("b"), "n"))
     return out.unionByName(left["audit"].select(F.lit("audit").alias("kind"), F.col("what").alias("a"), F.lit(None).cast("string").alias("b"), "n"))
 
 
