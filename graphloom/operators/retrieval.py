@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -271,49 +272,100 @@ def ranking_metrics(ranked_items: DataFrame, relevant: DataFrame, by: str, item:
     return j.select(by, share("_hits", "_shown", 0.0).alias("precision_at_k"), share("_found", "_gold", 1.0).alias("recall_at_k"), F.coalesce(1 / F.col("_first"), F.lit(0.0)).alias("mrr"))
 
 
+#: Queries, documents and dimensions that are multiplied at once in a sparse search.
+SPARSE = (1024, 4096, 512)
+#: More than rounding to 5 digits moves a score.
+NEAR = 1.1e-5
+
+
 def sparse_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score): the k largest inner products of sparse vectors (query_id / doc_id, dim, w), never with itself,
     ties to the smaller doc_id. Queries are packed as one map each in blocks of QUERY_BLOCK, and every document, packed as
-    well, meets a block once: no row is made for a shared dimension, and each batch keeps its k best a query."""
-    q = cut(queries.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.collect_list(F.struct("dim", "w")).alias("v")))
+    well, meets a block once: no row is made for a shared dimension.
+
+    A task multiplies tiles of queries and documents over the dimensions that both have, and keeps for each query what can be
+    among its k best of all that the task has seen, so that a tile is mostly read once, against the k-th score. All pairs are
+    scored: the time grows with the product of both tables, the memory doesn't.
+    """
+    q = cut(queries.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.collect_list("dim").alias("d"), F.collect_list("w").alias("w")))
     blocks = -(-max(1, q.count()) // QUERY_BLOCK)
-    packed, out = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct("dim", "w")).alias("v")), None
+    packed, out = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list("dim").alias("d"), F.collect_list(F.col("w").cast("double")).alias("w")), None
+    packed = packed if blocks == 1 else cut(packed)  # each block of queries reads it
     for b in range(blocks):
         part = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()  # at most about QUERY_BLOCK vectors
-        dims = sorted({x["dim"] for r in part for x in r.v})
+        dims = sorted({x for r in part for x in r.d})
         at = {x: i for i, x in enumerate(dims)}
-        shared = docs.sparkSession.sparkContext.broadcast(([r.query_id for r in part], [[(at[x["dim"]], x["w"]) for x in r.v] for r in part], at))
+        row, col = np.repeat(np.arange(len(part)), [len(r.d) for r in part]), np.array([at[x] for r in part for x in r.d], np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in part], np.int64), dims, row, col, np.array([x for r in part for x in r.w], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors, at = shared.value
-            if not ids:
+            ids, dims, row, col, weight = shared.value
+            if not len(ids):
                 return
-            # a posting list for each dimension of the queries
-            posting: list[tuple[list, list]] = [([], []) for _ in at]
-            for i, v in enumerate(vectors):
-                for j, w in v:
-                    posting[j][0].append(i)
-                    posting[j][1].append(w)
-            lists, ids = [(np.array(i), np.array(w)) for i, w in posting], np.array(ids)
+            best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # place of the query, document, score
+            least, seen = np.full(len(ids), -np.inf), 0
+            rows, docs_at_once, dims_at_once = SPARSE
+            first = np.searchsorted(row, np.arange(0, len(ids) + rows, rows))
             for whole in batches:
-                for lo in range(0, whole.num_rows, 256):
-                    batch = whole.slice(lo, 256)
-                    own = batch.column(0).to_numpy()
-                    sim, hit = np.zeros((len(ids), len(own))), np.zeros((len(ids), len(own)), bool)
-                    for c, v in enumerate(batch.column(1).to_pylist()):
-                        for x in v:
-                            j = at.get(x["dim"])
-                            if j is not None:
-                                i, w = lists[j]
-                                sim[i, c] += w * x["w"]
-                                hit[i, c] = True
-                    sim[~hit | (ids[:, None] == own[None])] = -np.inf
-                    m = min(k, len(own))
-                    kth = -np.partition(-np.round(sim, 5), m - 1, axis=1)[:, m - 1]
-                    r, c = np.nonzero((np.round(sim, 5) >= kth[:, None]) & (sim > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(own[c]), pa.array(sim[r, c])], ["query_id", "doc_id", "score"])
+                lo = 0
+                while lo < whole.num_rows:
+                    step = min(docs_at_once, max(64, 3 * seen))  # few at first, while nothing is ruled out
+                    own, j, i, w = _unpacked(whole.slice(lo, step), dims)
+                    lo, seen = lo + step, seen + len(own)
+                    used, j = np.unique(j, return_inverse=True)
+                    found = [best]
+                    for n, q0 in enumerate(range(0, len(ids), rows)):
+                        mine = slice(first[n], first[n + 1])
+                        here, r, c, x = min(rows, len(ids) - q0), row[mine] - q0, col[mine], weight[mine]
+                        to = np.searchsorted(used, c)
+                        ok = (to < len(used)) & (used[np.minimum(to, len(used) - 1)] == c) if len(used) else np.zeros(len(c), bool)
+                        r, to, x = r[ok], to[ok], x[ok]
+                        sim, hit = np.zeros((here, len(own))), np.zeros((here, len(own)), bool)
+                        positive = (not len(x) or x.min() > 1e-100) and (not len(w) or w.min() > 1e-100)
+                        for d0 in range(0, len(used), dims_at_once):
+                            m, o = (to >= d0) & (to < d0 + dims_at_once), (j >= d0) & (j < d0 + dims_at_once)
+                            left, right = np.zeros((here, min(dims_at_once, len(used) - d0))), np.zeros((min(dims_at_once, len(used) - d0), len(own)))
+                            left[r[m], to[m] - d0], right[j[o] - d0, i[o]] = x[m], w[o]
+                            sim += left @ right
+                            if not positive:  # a product may be zero or less in a shared dimension
+                                left[r[m], to[m] - d0], right[j[o] - d0, i[o]] = 1, 1
+                                hit |= left @ right > 0.5
+                        near = sim >= np.maximum(least[q0 : q0 + here], 1e-250 if positive else -np.inf)[:, None]
+                        a, c = np.nonzero(near if positive else near & hit)
+                        fresh = ids[q0 + a] != own[c]
+                        a, c = a[fresh], c[fresh]
+                        found.append([q0 + a, own[c], sim[a, c]])
+                    best, least = _kept([np.concatenate(x) for x in zip(*found, strict=True)], len(ids), k)
+            for lo in range(0, len(best[0]), 100_000):
+                p, d, x = (v[lo : lo + 100_000] for v in best)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(d), pa.array(x)], ["query_id", "doc_id", "score"])
 
         found = packed.mapInArrow(run, "query_id long, doc_id long, score double")
         out = found if out is None else out.unionAll(found)
     s = out.withColumn("score", F.round("score", 5))
     return ranked(s, "query_id", "score", "doc_id", k).select("query_id", "doc_id", "score")
+
+
+def _unpacked(batch: pa.RecordBatch, dims: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of packed documents, and the place of the dimension, the document's number and the weight of each entry whose dimension
+    is one of ``dims``."""
+    of = batch.column(1)
+    where = pc.index_in(of.flatten(), value_set=pa.array(dims, of.type.value_type))
+    i = np.repeat(np.arange(batch.num_rows), pc.list_value_length(of).to_numpy(zero_copy_only=False))
+    known = pc.is_valid(where).to_numpy(zero_copy_only=False)
+    return batch.column(0).to_numpy(), where.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), i[known], batch.column(2).flatten().to_numpy(zero_copy_only=False)[known]
+
+
+def _kept(found: list[np.ndarray], queries: int, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of (place of the query, document, score) what can be among the k best of a query once scores are rounded; and the score from
+    which on others can be. Of equal scores only the k smallest documents can."""
+    order = np.lexsort((found[1], -found[2], found[0]))
+    p, d, x = (v[order] for v in found)
+    n, new = np.arange(len(p)), np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (x[1:] != x[:-1])
+    start = np.searchsorted(p, np.arange(queries + 1))
+    least = np.full(queries, -np.inf)
+    full = start[1:] - start[:-1] >= k
+    least[full] = x[start[:-1][full] + k - 1] - NEAR
+    keep = (x >= least[p]) & (n - np.maximum.accumulate(np.where(new, n, 0)) < k)
+    return [p[keep], d[keep], x[keep]], least

@@ -39,3 +39,32 @@ def test_edges_without_a_second_end_are_not_joined(spark):
     got = {r.id for r in left.collect()}
     assert got == set(range(0, 1000, 2)) | {5001, 5002}
     assert left._jdf.queryExecution().analyzed().toString().lower().count("isnotnull(get(_ends") >= 2
+
+
+def test_sparse_search_scores_all_pairs_in_tiles(spark, monkeypatch):
+    """Weights of either sign, zero products, ties, several blocks of queries, tiles of all three kinds: as by brute force. A task
+    returns some k rows a query, however many batches it reads."""
+    import random
+
+    from graphloom.operators import retrieval as R
+
+    r = random.Random(5)
+    for negative in (True, False):
+        docs = [(i, d, float(r.choice([1, 2, 3, 0, -1] if negative else [1, 2, 3]))) for i in range(300) for d in r.sample(range(12), r.randint(1, 4))]
+        asked = [(i, d, w) for i, d, w in docs if i % 20 == 0] + [(1000, 99, 1.0)]
+        vec = {}
+        for i, d, w in docs:
+            vec.setdefault(i, {})[d] = w
+        want = set()
+        for q in range(0, 300, 20):
+            s = [(-round(sum(vec[q][d] * vec[i][d] for d in vec[q] if d in vec[i]), 5), i) for i in vec if i != q and vec[q].keys() & vec[i].keys()]
+            want |= {(q, i, -x) for x, i in sorted(s)[:7]}
+        for block in (20_000, 5):
+            monkeypatch.setattr(R, "QUERY_BLOCK", block)
+            q, d = spark.createDataFrame(asked, "query_id long, dim long, w double"), spark.createDataFrame(docs, "doc_id long, dim long, w double")
+            assert {tuple(x) for x in R.sparse_search(q, d, 7).collect()} == want
+    p, x = [0] * 50, [1.0] * 40 + [2.0] * 10
+    import numpy as np
+
+    kept, least = R._kept([np.array(p), np.arange(50), np.array(x)], 2, 3)
+    assert kept[1].tolist() == [40, 41, 42] and abs(least[0] - 2) < 1e-4 and least[1] == -np.inf
