@@ -68,3 +68,17 @@ def test_sparse_search_scores_all_pairs_in_tiles(spark, monkeypatch):
 
     kept, least = R._kept([np.array(p), np.arange(50), np.array(x)], 2, 3)
     assert kept[1].tolist() == [40, 41, 42] and abs(least[0] - 2) < 1e-4 and least[1] == -np.inf
+
+
+def test_pairs_of_a_block_are_not_shuffled(spark):
+    """Each mention lists the entities of its block; nulls and several blocks count as they do in a join."""
+    from graphloom.operators import resolution as R
+
+    m = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (3, None), (4, 9)], "mention long, block long")
+    e = spark.createDataFrame([(10, 7), (11, 7), (11, 8), (12, None), (13, 8)], "entity long, block long")
+    line = spark.createDataFrame([(1, 10), (1, 10), (2, 12), (3, 10), (5, 11), (None, 10), (2, None)], "mention long, entity long")
+    pairs = m.join(e, "block").select("mention", "entity")
+    want = R.candidates({"line": line, "block": pairs}, "mention", "entity").collect()
+    got = R.block_candidates({"line": line}, "block", m, e, "mention", "entity")
+    key = lambda r: (str(r.mention), str(r.entity), tuple(r.sources))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want)) and len(want) == 10
