@@ -153,7 +153,22 @@ def mmr(candidates: DataFrame, by: str, item: str, relevance: str, vector: str,
 def retrieval_metrics(got: DataFrame, gold: DataFrame, by: str, item: str, k: int) -> DataFrame:
     """(hit_rate, precision, recall, mrr) over the queries of ``gold``. got: by, item, place (from 1)."""
     j = got.where(F.col("place") <= k).join(gold.select(by, item).distinct(), [by, item]).groupBy(by).agg(F.count("*").alias("hits"), F.min("place").alias("first"))
-    per = gold.select(by, item).distinct().groupBy(by).agg(F.count("*").alias("gold")).join(j, by, "left").fillna(0, ["hits"])
+    return _rates(gold.select(by, item).distinct().groupBy(by).agg(F.count("*").alias("gold")).join(j, by, "left"), k)
+
+
+def label_metrics(got: DataFrame, queries: DataFrame, items: DataFrame, by: str, item: str, label: str, k: int) -> DataFrame:
+    """retrieval_metrics() where all other items of a query's label are its gold. They are counted by label, so that no row is made for
+    a query and an item. queries: by, label; items: item, label; a query that is an item bears its id."""
+    own, q = items.select(item, label).distinct(), queries.select(by, label).distinct()
+    size = own.groupBy(label).agg(F.count("*").alias("_n"))
+    self = own.select(F.col(item).alias(by), label, F.lit(1).alias("_self"))
+    gold = q.join(size, label).join(self, [by, label], "left").select(by, (F.col("_n") - F.coalesce("_self", F.lit(0))).alias("gold")).where("gold > 0")
+    hit = got.where(F.col("place") <= k).join(q, by).join(own, [item, label]).groupBy(by).agg(F.count("*").alias("hits"), F.min("place").alias("first"))
+    return _rates(gold.join(hit, by, "left"), k)
+
+
+def _rates(per: DataFrame, k: int) -> DataFrame:
+    per = per.fillna(0, ["hits"])
     return per.agg(F.round(F.avg((F.col("hits") > 0).cast("double")), 6).alias("hit_rate"), F.round(F.avg(F.col("hits") / k), 6).alias("prec"), F.round(F.avg(F.col("hits") / F.col("gold")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 

@@ -108,8 +108,7 @@ SELECT round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, roun
 def metrics(d: Data) -> DataFrame:
     lab = d.embeddings.select("vec_id", "label")
     q = queries_of(d).select(F.col("vec_id").alias("query_id"), "label")
-    gold = q.join(lab, "label").where("query_id <> vec_id").select("query_id", "vec_id")
-    return R.retrieval_metrics(R.knn(queries_of(d), d.embeddings, 10), gold, "query_id", "vec_id", 10)
+    return R.label_metrics(R.knn(queries_of(d), d.embeddings, 10), q, lab, "query_id", "vec_id", "label", 10)
 
 
 @query("ret17_recall_vs_gold", f"""

@@ -82,3 +82,13 @@ def test_pairs_of_a_block_are_not_shuffled(spark):
     got = R.block_candidates({"line": line}, "block", m, e, "mention", "entity")
     key = lambda r: (str(r.mention), str(r.entity), tuple(r.sources))
     assert sorted(map(key, got.collect())) == sorted(map(key, want)) and len(want) == 10
+
+
+def test_gold_of_a_label_is_counted(spark):
+    from graphloom.operators import retrieval as R
+
+    items = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 2), (5, None)], "vec_id long, label int")
+    q = spark.createDataFrame([(1, 0), (4, 2), (9, 1), (5, None)], "query_id long, label int")
+    got = spark.createDataFrame([(1, 3, 1), (1, 2, 2), (9, 3, 1), (4, 1, 1)], "query_id long, vec_id long, place int")
+    gold = q.join(items, "label").where("query_id <> vec_id")
+    assert R.label_metrics(got, q, items, "query_id", "vec_id", "label", 2).collect() == R.retrieval_metrics(got, gold, "query_id", "vec_id", 2).collect()
