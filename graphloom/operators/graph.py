@@ -481,12 +481,18 @@ def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 42, passes: in
     the pass before, as long as modularity rises (``passes`` at most). Every community hangs together and is named by its smallest node. Weights
     are summed as whole numbers and chance comes from hashes, so the number of partitions changes nothing. Loops, and edges
     without a positive weight, don't count; a node needs an edge.
+
+    At a resolution of 1 at most, a node with one neighbour is never better off without it: such nodes are part of their neighbour
+    from the start, so that the many leaves of a hub take no rounds of their own.
     """
     first = _symmetric(edges)
     whole = first.agg(F.sum("w")).head()[0]
-    nodes = first.select(F.col("u").alias("node")).distinct()
     if not whole:
+        nodes = first.select(F.col("u").alias("node")).distinct()
         return nodes.select("node", F.col("node").alias("community"))
+    hub = cut(_hubs(first, resolution <= 1))
+    first = _within(first, hub.withColumnRenamed("hub", "p"))
+    nodes = hub.select(F.col("hub").alias("node")).distinct()
     degree = cut(first.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
     label, best, quality = cut(nodes.select("node", F.col("node").alias("c"))), None, None
     for p in range(passes):
@@ -501,7 +507,24 @@ def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 42, passes: in
         if best is not None and q <= quality + 1e-9:
             break
         best, quality, label = found, q, found
-    return best.select("node", F.col("c").alias("community"))
+    best = cut(hub.join(best.select(F.col("node").alias("hub"), "c"), "hub").select("node", "c"))
+    return best.join(best.groupBy("c").agg(F.min("node").alias("community")), "c").select("node", "community")
+
+
+def _hubs(e: DataFrame, fold: bool) -> DataFrame:
+    """(node, hub): the one neighbour of each node that has no other, and itself of any other node; of two nodes that have only each
+    other the smaller is the hub. e: u, v, w, both ways, without loops."""
+    ends = e.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    leaf = F.col("n") == 1
+    alone = ends.where(leaf).select(F.col("u").alias("v"), F.lit(True).alias("alone"))
+    goes = leaf & (F.col("alone").isNull() | (F.col("v") < F.col("u"))) & F.lit(fold)
+    return ends.join(alone, "v", "left").select(F.col("u").alias("node"), F.when(goes, F.col("v")).otherwise(F.col("u")).alias("hub"))
+
+
+def _within(e: DataFrame, found: DataFrame) -> DataFrame:
+    """The edges between the parts p that the nodes are in; those inside a part are its loop. found: node, p."""
+    a, b = found.select(F.col("node").alias("u"), F.col("p").alias("pu")), found.select(F.col("node").alias("v"), F.col("p").alias("pv"))
+    return cut(e.join(a, "u").join(b, "v").groupBy(F.col("pu").alias("u"), F.col("pv").alias("v")).agg(F.sum("w").alias("w")))
 
 
 def _pass(first: DataFrame, label: DataFrame, degree: DataFrame, resolution: float, whole: int, seed: int) -> tuple[DataFrame, bool]:
@@ -517,8 +540,7 @@ def _pass(first: DataFrame, label: DataFrame, degree: DataFrame, resolution: flo
         member = cut(found.select("node", "p", "c") if member is None else member.select("node", F.col("p").alias("n")).join(found.withColumnRenamed("node", "n"), "n").select("node", "p", "c"))
         if not met:  # no two nodes of the small graph belong together any more
             return member, any_
-        a, b = found.select(F.col("node").alias("u"), F.col("p").alias("pu")), found.select(F.col("node").alias("v"), F.col("p").alias("pv"))
-        e = cut(e.join(a, "u").join(b, "v").groupBy(F.col("pu").alias("u"), F.col("pv").alias("v")).agg(F.sum("w").alias("w")))
+        e = _within(e, found)
         label = cut(found.groupBy(F.col("p").alias("node")).agg(F.min("c").alias("c")))
 
 

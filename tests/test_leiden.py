@@ -112,3 +112,14 @@ def test_star_hub_loops_and_nothing(spark):
     got = {r.node: r.community for r in graph.leiden(e, 0.5).collect()}
     assert len(got) == 301 and connected(pairs, got)
     assert graph.leiden(e.where(F.lit(False))).count() == 0
+
+
+def test_leaves_take_no_rounds(spark, monkeypatch):
+    """Nodes with one neighbour move with it: rounds see the hubs only, and communities hold the leaves and bear the smallest name."""
+    pairs = [(100 * h, 100 * h + i) for h in (1, 2, 3) for i in range(1, 60)] + [(100, 200), (200, 300), (300, 100), (7, 8)]
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in pairs] + [(200, 5, 1.0)], "src long, tgt long, weight double")
+    seen, moved = [], graph._moved
+    monkeypatch.setattr(graph, "_moved", lambda e, label, *rest: (seen.append(label.count()), moved(e, label, *rest))[1])
+    got = {r.node: r.community for r in graph.leiden(e).collect()}
+    want = {n: h for h in (100, 300) for n in range(h, h + 60)} | {n: 5 for n in [*range(200, 260), 5]} | {7: 7, 8: 7}
+    assert got == want and max(seen) == 4
