@@ -293,11 +293,91 @@ CELL = 1_000_000
 def missing_tails(edges: DataFrame, rel: str, k: int) -> DataFrame:
     """(src, tgt, score): for each source the k targets it lacks that most of its co-sources have.
 
-    Every other source of a target votes, with the number of targets that it has in common. A target of many sources is
-    dealt over parts by a hash of the source, and the counts of the parts are added up. The votes are the product of two
-    sparse matrices, taken in cells of some sources by some targets, each of which keeps its k best a source.
+    Every other source of a target votes, with the number of targets that it has in common. Sources that share no target, not
+    even through others, have nothing to do with each other: groups of a bounded size that no target leads out of are counted
+    whole, each edge in one task. What is left is counted pair by pair.
     """
     e = cut(edges.where(F.col("rel") == rel).select("src", "tgt").dropna().distinct())
+    home = e.select("src", F.col("src").alias("home")).distinct()
+    for _ in range(2):  # the smallest source within so many steps
+        led = e.join(home, "src").groupBy("tgt").agg(F.min("home").alias("home"))
+        home = cut(e.join(led, "tgt").groupBy("src").agg(F.min("home").alias("home")))
+    e = cut(e.join(home, "src"))
+    ends = e.groupBy("tgt").agg(F.count("*").alias("n"), (F.min("home") != F.max("home")).alias("open"))
+    size = e.join(ends, "tgt").groupBy("home").agg(F.count("*").alias("edges"), F.sum("n").alias("pairs"), F.max("open").alias("open"))
+    size = cut(size.select("home", "edges", (~F.col("open") & (F.col("edges") <= CELL) & (F.col("pairs") <= 64 * CELL)).alias("whole")))
+    total = {r.whole: r.edges for r in size.groupBy("whole").agg(F.sum("edges").alias("edges")).collect()}
+    e = e.join(size.select("home", "whole"), "home")
+    out = None
+    if True in total:
+        blocks = max(-(-4 * total[True] // CELL), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        mine = e.where("whole").select(F.pmod(F.xxhash64("home"), F.lit(blocks)).alias("block"), "src", "tgt").repartition(blocks, "block")
+        kinds = {c: e.schema[c].dataType.simpleString() for c in ("src", "tgt")}
+        out = mine.groupBy("block").applyInArrow(lambda t: _votes_within(t, k), f"src {kinds['src']}, tgt {kinds['tgt']}, score long")
+    if False in total or out is None:
+        rest = _votes_between(cut(e.where("NOT whole").select("src", "tgt")), k)
+        out = rest if out is None else out.unionByName(rest)
+    return out
+
+
+def _votes_within(t: pa.Table, k: int) -> pa.Table:
+    """(src, tgt, score) of edges (src, tgt) that hold all sources of their targets."""
+    t = t.combine_chunks()
+    col = lambda c: t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c]
+    sources, tails = pc.unique(col("src")), pc.unique(col("tgt"))
+    tails = tails.take(pc.sort_indices(tails))
+    own = pc.index_in(col("src"), value_set=sources).to_numpy(zero_copy_only=False)
+    to = pc.index_in(col("tgt"), value_set=tails).to_numpy(zero_copy_only=False)
+    order = np.argsort(to, kind="stable")
+    owners, to_at = own[order], np.searchsorted(to[order], np.arange(len(tails) + 1))
+    order = np.argsort(own, kind="stable")
+    own, to = own[order], to[order]
+    at = np.searchsorted(own, np.arange(len(sources) + 1))
+
+    def gathered(values: np.ndarray, starts: np.ndarray, who: np.ndarray) -> np.ndarray:
+        n = starts[who + 1] - starts[who]
+        return values[np.repeat(starts[who] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def summed(places: np.ndarray, n: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        if len(places) * 8 < n:  # few of many: no array of all
+            found, back = np.unique(places, return_inverse=True)
+            return found, np.bincount(back, weight, len(found)).astype(np.int64)
+        all_ = np.bincount(places, weight, n).astype(np.int64)
+        found = np.flatnonzero(all_)
+        return found, all_[found]
+
+    who, what, score = [], [], []
+    for s in range(len(sources)):
+        has = to[at[s] : at[s + 1]]
+        peers, common = summed(gathered(owners, to_at, has), len(sources))
+        peers, common = peers[peers != s], common[peers != s]
+        if not len(peers):
+            continue
+        n = at[peers + 1] - at[peers]
+        if 2 * n.sum() > len(to):
+            weight = np.zeros(len(sources))
+            weight[peers] = common
+            found, votes = summed(to, len(tails), weight[own])
+        else:
+            found, votes = summed(gathered(to, at, peers), len(tails), np.repeat(common, n))
+        fresh = ~np.isin(found, has, assume_unique=True)
+        found, votes = found[fresh], votes[fresh]
+        if len(found) > k:
+            near = votes >= np.partition(votes, len(votes) - k)[len(votes) - k]
+            found, votes = found[near], votes[near]
+        best = np.lexsort((found, -votes))[:k]
+        who += [s] * len(best)
+        what += found[best].tolist()
+        score += votes[best].tolist()
+    return pa.table({"src": sources.take(pa.array(who, pa.int64())), "tgt": tails.take(pa.array(what, pa.int64())), "score": pa.array(score, pa.int64())})
+
+
+def _votes_between(e: DataFrame, k: int) -> DataFrame:
+    """(src, tgt, score) of edges (src, tgt) of any number.
+
+    A target of many sources is dealt over parts by a hash of the source, and the counts of the parts are added up. The votes are
+    the product of two sparse matrices, taken in cells of some sources by some targets, each of which keeps its k best a source.
+    """
     parts = e.groupBy("tgt").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
     s = e.join(parts, "tgt")
     one = s.select("src", "tgt", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int").alias("part"))
@@ -306,7 +386,7 @@ def missing_tails(edges: DataFrame, rel: str, k: int) -> DataFrame:
 
     side = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = max(-(-peers.count() // CELL), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = max(-(-peers.count() // CELL), int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     columns = max(1, -(-e.count() // CELL))
     left = peers.select(side("src", rows).alias("i"), every(columns).alias("j"), "src", "peer", "common")
     right = e.select(every(rows).alias("i"), side("tgt", columns).alias("j"), "src", "tgt")

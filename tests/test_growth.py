@@ -92,3 +92,23 @@ def test_gold_of_a_label_is_counted(spark):
     got = spark.createDataFrame([(1, 3, 1), (1, 2, 2), (9, 3, 1), (4, 1, 1)], "query_id long, vec_id long, place int")
     gold = q.join(items, "label").where("query_id <> vec_id")
     assert R.label_metrics(got, q, items, "query_id", "vec_id", "label", 2).collect() == R.retrieval_metrics(got, gold, "query_id", "vec_id", 2).collect()
+
+
+def test_closed_groups_of_sources_are_counted_whole(spark, monkeypatch):
+    """Groups that share no target make no table of pairs; what two steps don't close, and what is large, is counted pair by pair."""
+    import random
+
+    from graphloom.operators import graph
+
+    r = random.Random(3)
+    edges = {(100 * g + r.randrange(12), 100 * g + r.randrange(20)) for g in range(6) for _ in range(120)}
+    chain = {(10_000 + i, 10_000 + i + j) for i in range(40) for j in (0, 1)}
+    table = lambda pairs: spark.createDataFrame(sorted(pairs), "src long, tgt long").withColumn("rel", F.lit("r"))
+    between, seen = graph._votes_between, []
+    monkeypatch.setattr(graph, "_votes_between", lambda e, k: (seen.append({x.src for x in e.collect()}), between(e, k))[1])
+    monkeypatch.setattr(graph, "CELL", 150)
+    got = {tuple(x) for x in graph.missing_tails(table(edges | chain), "r", 3).collect()}
+    assert seen == [{s for s, _ in chain}]
+    assert {tuple(x) for x in graph.missing_tails(table(edges), "r", 3).collect()} == {x for x in got if x[0] < 10_000} and len(seen) == 1
+    monkeypatch.setattr(graph, "CELL", 30)  # no group is small enough
+    assert {tuple(x) for x in graph.missing_tails(table(edges | chain), "r", 3).collect()} == got and len(seen[-1]) > 90
