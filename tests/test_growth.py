@@ -112,3 +112,42 @@ def test_closed_groups_of_sources_are_counted_whole(spark, monkeypatch):
     assert {tuple(x) for x in graph.missing_tails(table(edges), "r", 3).collect()} == {x for x in got if x[0] < 10_000} and len(seen) == 1
     monkeypatch.setattr(graph, "CELL", 30)  # no group is small enough
     assert {tuple(x) for x in graph.missing_tails(table(edges | chain), "r", 3).collect()} == got and len(seen[-1]) > 90
+
+
+def test_chunks_of_some_texts_at_once(spark, monkeypatch):
+    """Chunks leave the task text by text, however many rows a batch has."""
+    from graphloom.functions import text as T
+
+    rows = [(i, "# Head\n" + "some words here. " * (60 * (i % 3)) + "\n\nTAIL PART\nx", f"s{i}" if i % 4 else None) for i in range(40)] + [(40, None, "s"), (41, " ", "s")]
+    df = spark.createDataFrame(rows, "k long, t string, s string").coalesce(1)
+    chunks = lambda: T.section_chunks(df, "k", "t", F.col("s"))
+    want = sorted(map(tuple, chunks().collect()))
+    monkeypatch.setattr(T, "TEXTS", 1)
+    assert sorted(map(tuple, chunks().collect())) == want and len({w[0] for w in want}) == 40
+    assert "ArrowEvalPython" not in chunks()._jdf.queryExecution().toString()
+
+
+def test_neighbours_within_a_label_in_many_batches(spark):
+    """What a task has seen bounds what it returns: ties, labels of few rows and nulls as by brute force."""
+    import numpy as np
+
+    from graphloom.operators import retrieval as R
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (300, 3)).astype(float)
+    label = [None if i % 50 == 7 else 9 if i in (3, 4) else i % 3 for i in range(300)]
+    df = spark.createDataFrame([(i, v.tolist(), g) for i, (v, g) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int").coalesce(2)
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    u = x / np.where(n == 0, 1, n)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for k in (1, 4):
+            for within in (None, "label"):
+                got = {(r.query_id, r.vec_id) for r in R.knn(df, df, k, within=within).collect()}
+                want = set()
+                for q in range(300):
+                    ok = [i for i in range(300) if i != q and (within is None or label[i] is not None and label[i] == label[q])]
+                    want |= {(q, i) for i in sorted(ok, key=lambda i: (-round(float(u[q] @ u[i]), 9), i))[:k]}
+                assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
