@@ -17,6 +17,8 @@ from graphloom.session import written as cut
 
 #: Queries that a k-nearest search broadcasts at once; more are taken block by block.
 QUERY_BLOCK = 20_000
+#: Cosines are compared to nine digits; more than this apart they differ.
+TIED = 2e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,8 +35,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", v
     """(query_id, vec_id, score, place): the k rows of ``corpus`` with the largest cosine, ties to the smaller id; never itself.
     With ``within``, only rows that have the query's value in that column; a null has none.
 
-    Each block of queries is broadcast to the corpus, each batch of the corpus keeps its k best for every query, and
-    these meet in one window per query. Scores are exact; queries of any number are taken in blocks.
+    Each block of queries is broadcast to the corpus, each batch of the corpus keeps for every query what can be among the k best
+    that its task has seen, and these meet in one window per query. With ``within`` only rows of one value are multiplied. Scores are exact; queries of any number are taken in blocks.
     """
     spark = corpus.sparkSession
     out = None
@@ -49,21 +51,30 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", v
             ids, vectors, groups = shared.value
             if not ids:
                 return
-            ids, x, groups = np.array(ids), _normal(np.array(vectors, np.float64)), np.array(groups)
+            order = np.argsort(np.array(groups), kind="stable")
+            ids, x, groups = np.array(ids)[order], _normal(np.array(vectors, np.float64))[order], np.array(groups)[order]
+            least = np.full(len(ids), -np.inf)  # the task has seen k rows of so much
             for whole in batches:
                 for at in range(0, whole.num_rows, 4096):
                     batch = whole.slice(at, 4096)
-                    own = batch.column(0).to_numpy()
-                    y = _normal(np.array(batch.column(1).to_pylist(), np.float64))
-                    for lo in range(0, len(ids), 1024):
-                        sim = x[lo : lo + 1024] @ y.T
-                        sim[ids[lo : lo + 1024, None] == own[None]] = -np.inf
-                        if within is not None:
-                            sim[groups[lo : lo + 1024, None] != batch.column(2).to_numpy()[None]] = -np.inf
-                        m = min(k, len(own))
-                        kth = -np.partition(-sim, m - 1, axis=1)[:, m - 1]
-                        r, c = np.nonzero((sim >= kth[:, None]) & (sim > -np.inf))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r]), pa.array(own[c]), pa.array(sim[r, c])], ["query_id", "vec_id", "score"])
+                    every, kinds = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                    z = _normal(np.array(batch.column(1).to_pylist(), np.float64))
+                    for g in np.unique(kinds):  # queries meet the rows of their own group only
+                        first, stop = np.searchsorted(groups, g), np.searchsorted(groups, g, "right")
+                        own, y = every[kinds == g], z[kinds == g]
+                        for lo in range(first, stop, 1024):
+                            hi = min(lo + 1024, stop)
+                            sim = x[lo:hi] @ y.T
+                            sim[ids[lo:hi, None] == own[None]] = -np.inf
+                            some = np.flatnonzero((sim.max(axis=1) >= least[lo:hi]) & (sim.max(axis=1) > -np.inf))
+                            if not len(some):
+                                continue
+                            sim, q = sim[some], lo + some
+                            if len(own) >= k:
+                                kth = sim.max(axis=1) if k == 1 else -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+                                least[q] = np.maximum(least[q], kth - TIED)
+                            r, c = np.nonzero((sim >= least[q][:, None]) & (sim > -np.inf))
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[q[r]]), pa.array(own[c]), pa.array(sim[r, c])], ["query_id", "vec_id", "score"])
 
         found = corpus.select(F.col(id_col).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), kind.alias("g")).where("v IS NOT NULL AND g IS NOT NULL").mapInArrow(run, "query_id long, vec_id long, score double")
         out = found if out is None else out.unionAll(found)
