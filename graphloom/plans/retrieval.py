@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from graphloom.operators import postings as P
 from graphloom.operators import retrieval as R
 from graphloom.plans.registry import query
-from graphloom.session import Data, written
+from graphloom.session import Data
 
 UNIT = """v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
 u AS (SELECT vec_id, label, [x / CASE WHEN list_inner_product(e, e) = 0 THEN 1 ELSE sqrt(list_inner_product(e, e)) END FOR x IN e] AS e FROM v)"""
@@ -36,10 +36,6 @@ w AS (SELECT doc_id, n, unnest(t) AS term FROM l), tf AS (SELECT doc_id, n, term
 b AS (SELECT q.query_id, tf.doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM tf JOIN df ON df.term = tf.term JOIN q ON q.term = tf.term CROSS JOIN g GROUP BY q.query_id, tf.doc_id)"""
 
 
-def bm25_of(d: Data) -> DataFrame:
-    return R.bm25(d.documents, d.benchmark, "doc_id", "item_id")
-
-
 def best_documents(d: Data, k: int) -> DataFrame:
     """query_id, doc_id, score, s, rank of the k best documents of each benchmark item, from the inverted index."""
     asked = P.query_terms(d.benchmark, "item_id")
@@ -63,10 +59,12 @@ def postings_read(d: Data) -> DataFrame:
 WITH {BM25}, x AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) - 1 AS rank FROM b), y AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY len(t), doc_id) - 1 AS rank FROM b JOIN d USING (doc_id)),
 z AS (SELECT * FROM x WHERE rank < 50 UNION ALL SELECT * FROM y WHERE rank < 50) SELECT query_id, doc_id, round(sum(1.0 / (61 + rank)), 8) AS score FROM z GROUP BY query_id, doc_id""")
 def rank_fusion(d: Data) -> DataFrame:
-    s = written(bm25_of(d).withColumn("s", F.round("score", 6)))
-    x = R.ranked(s, "query_id", "s", "doc_id", 50)
-    n = d.documents.select("doc_id", (-F.size(R.tokens(F.coalesce("text", F.lit(""))))).alias("short"))
-    y = R.ranked(s.join(n, "doc_id"), "query_id", "short", "doc_id", 50)
+    """The shortest of a query's documents are among the shortest of one of its terms."""
+    asked = P.query_terms(d.benchmark, "item_id")
+    index = P.text_index(d.documents, "doc_id", only=asked)
+    x = R.ranked(P.search(index, asked, 50)[0].withColumn("s", F.round("score", 6)), "query_id", "s", "doc_id", 50)
+    short = index.shortest(50).join(asked, "term").groupBy("query_id", "doc_id").agg((-F.min("len")).alias("short"))
+    y = R.ranked(short, "query_id", "short", "doc_id", 50)
     return R.fused([x, y], "query_id", "doc_id").withColumn("score", F.round("score", 8))
 
 
