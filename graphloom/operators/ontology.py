@@ -54,8 +54,10 @@ def density_groups(vectors: DataFrame, node: str, vector: str, least: int = 5, n
     return density_clusters(cut(lists), x.select("node"), least)
 
 
-#: Rows that an index is fitted on, and vectors of a cell that meet in one task.
-FITTED, CELL = 20_000, 4096
+#: Rows that an index is fitted on, vectors of a block of cells, and queries that meet them in one task, on average.
+FITTED, CELL, ASKED = 20_000, 32_768, 65_536
+#: Cosines are compared to nine digits; more than this apart they differ.
+TIED = 2e-9
 
 
 def fitted_cells(corpus: DataFrame, k: int, recall: float, id_col: str, vector: str, seed: int) -> tuple[np.ndarray, int]:
@@ -91,53 +93,97 @@ def ann_search(queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.
     """(query_id, vec_id, score): approximate neighbours by cosine, never itself: every row of the corpus lies in the cell of its
     nearest centroid, a query looks into so many of its nearest cells as ``recall`` needs by a sample, and scores are exact.
 
-    Cells meet their queries in a shuffle; a cell of more than CELL rows is dealt over several tasks. Null vectors take no part.
+    Cells are packed into blocks of about CELL rows, a larger cell is dealt over several. A query goes once to each block with a cell of
+    its own, meets the rows of its cells only, and brings back its k best of the block, so that what is shuffled grows with the
+    rows times blocks, whatever the number of cells looked into. Null vectors, and those with a null, take no part.
     """
     from graphloom.operators.retrieval import ranked
 
-    c, q = (cut(df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))) for df in (corpus, queries))
+    c, q = (cut(df.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))) for df in (corpus, queries))
     centroids, probes = fitted_cells(c, k, recall, "id", "v", seed)
     none = "query_id long, vec_id long, score double"
     if not probes:
         return corpus.sparkSession.createDataFrame([], none)
+    kind = c.schema["v"].dataType.simpleString()
 
     def placed(most: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, 2048):
                     b = whole.slice(at, 2048)
-                    x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-                    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-                    near = x @ centroids.T
+                    near = _units(b.column(1)) @ centroids.T
                     cells = near.argmax(axis=1)[:, None] if most == 1 else np.argpartition(-near, most - 1, axis=1)[:, :most]
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(cells.tolist(), pa.list_(pa.int32()))], ["id", "v", "cells"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells.tolist(), pa.list_(pa.int32()))], ["id", "v", "cells"])
 
         return run
 
-    own = cut(c.mapInArrow(placed(1), "id long, v array<double>, cells array<int>").select("id", "v", F.col("cells")[0].alias("cell")))
-    size = own.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
-    rows = own.join(F.broadcast(size), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v")
-    asked = q.mapInArrow(placed(min(probes, len(centroids))), "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
-    asked = asked.join(F.broadcast(size), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
+    own = cut(c.mapInArrow(placed(1), f"id long, v {kind}, cells array<int>").select("id", "v", F.col("cells")[0].alias("cell")))
+    size = dict.fromkeys(range(len(centroids)), 0) | {r.cell: r.n for r in own.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # as many as centroids
+    first, parts, block, held = {}, {}, 0, 0
+    for cell, n in size.items():
+        parts[cell] = max(1, -(-n // CELL))
+        if held and held + n > CELL:
+            block, held = block + 1, 0
+        first[cell], held = block, held + n
+        if parts[cell] > 1:
+            block, held = block + parts[cell], 0
+    at = F.array(*[F.lit(first[cell]) for cell in sorted(first)])
+    many = F.array(*[F.lit(parts[cell]) for cell in sorted(first)])
+    groups = max(1, -(-q.count() // ASKED))
+    rows = own.select(F.get(at, "cell").alias("block"), F.get(many, "cell").alias("parts"), "cell", "id", "v")
+    rows = rows.select((F.col("block") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "cell", "id", "v")
+    bounds = {b: [cell for cell in first if first[cell] <= b < first[cell] + parts[cell]] for b in range(block + 1)}
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and block, with the query's cells there."""
+        mine = {b: np.array(cells, np.int64) for b, cells in bounds.items() if cells}
+        for whole in placed(min(probes, len(centroids)))(batches):
+            probed = np.zeros((whole.num_rows, len(centroids)), bool)
+            probed[np.repeat(np.arange(whole.num_rows), min(probes, len(centroids))), whole.column(2).flatten().to_numpy()] = True
+            for b, cells in mine.items():
+                r = np.flatnonzero(probed[:, cells].any(axis=1))
+                if len(r):
+                    some = whole.take(pa.array(r))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), b, np.int32)), some.column(0), some.column(1), pa.array([np.packbits(x).tobytes() for x in probed[r][:, cells]], pa.binary())], ["block", "id", "v", "cells"])
+
+    asked = q.mapInArrow(asking, f"block int, id long, v {kind}, cells binary").withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if a.num_rows and b.num_rows:
-            ids, qs = b["id"].to_numpy(), a["id"].to_numpy()
-            y = np.array(b["v"].to_pylist())
-            for at in range(0, len(qs), 1024):
-                sim = np.round(np.array(a["v"].slice(at, 1024).to_pylist()) @ y.T, 9)
-                sim[qs[at : at + 1024, None] == ids[None]] = -np.inf
+            order = np.argsort(b["cell"].to_numpy(), kind="stable")
+            cell, ids, y = b["cell"].to_numpy()[order], b["id"].to_numpy()[order], _units(b["v"].combine_chunks())[order]
+            cells = bounds[b["block"][0].as_py()]
+            cuts = np.searchsorted(cell, [*cells, len(first)])
+            for lo in range(0, a.num_rows, 256):
+                some = a.slice(lo, 256)
+                qs, x = some["id"].to_numpy(), _units(some["v"].combine_chunks())
+                bits = np.unpackbits(np.frombuffer(b"".join(some["cells"].to_pylist()), np.uint8).reshape(len(qs), -1), axis=1)
+                sim = np.full((len(qs), len(ids)), -np.inf)
+                for j in range(len(cells)):
+                    r = np.flatnonzero(bits[:, j])
+                    if len(r) and cuts[j] < cuts[j + 1]:
+                        sim[r, cuts[j] : cuts[j + 1]] = x[r] @ y[cuts[j] : cuts[j + 1]].T
+                sim[qs[:, None] == ids[None]] = -np.inf
                 m = min(k, len(ids))
-                kth = -np.partition(-sim, m - 1, axis=1)[:, m - 1]
-                r, col = np.nonzero((sim >= kth[:, None]) & (sim > -np.inf))
-                out.append((qs[at + r], ids[col], sim[r, col]))
+                kth = np.partition(sim, len(ids) - m, axis=1)[:, len(ids) - m]
+                r, col = np.nonzero((sim >= kth[:, None] - TIED) & (sim > -np.inf))
+                score = np.round(sim[r, col], 9)
+                order = np.lexsort((ids[col], -score, r))
+                r, col, score = r[order], col[order], score[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k  # copies are ties: only the smallest ids go on
+                out.append((qs[r[keep]], ids[col[keep]], score[keep]))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    scored = asked.groupBy("cell", "part").cogroup(rows.groupBy("cell", "part")).applyInArrow(best, none)
+    scored = asked.groupBy("block", "group").cogroup(rows.groupBy("block", "group")).applyInArrow(best, none)
     return ranked(scored, "query_id", "score", "vec_id", k).drop("rank")
 
 
+def _units(column: pa.Array) -> np.ndarray:
+    x = np.array(column.flatten(), np.float64).reshape(len(column), -1)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
 #: Predicates that name a resource, the best first.
 NAMES = ("http://www.w3.org/2004/02/skos/core#prefLabel", "http://www.w3.org/2000/01/rdf-schema#label", "http://www.w3.org/2004/02/skos/core#altLabel")
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"

@@ -1,10 +1,11 @@
 """Rows of large tables are dealt over as many tasks as they need: no task takes more the larger the table is."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom import session
-from graphloom.operators import governance
+from graphloom.operators import governance, ontology, retrieval
 from graphloom.plans.registry import ORACLE, QUERIES
 from graphloom.session import Data, dealt
 from tests.compare import assert_same, oracle
@@ -151,3 +152,16 @@ def test_neighbours_within_a_label_in_many_batches(spark):
                 assert got == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_searched_cells_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ontology, "CELL", 60)
+    monkeypatch.setattr(ontology, "ASKED", 70)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6))
+    x[50:150] = x[50]  # copies fill a cell of several blocks
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r.vec_id) for r in ontology.ann_search(df, df, 7, recall=1.0).collect())
+    want = sorted((r.query_id, r.vec_id) for r in retrieval.knn(df.where("vec_id < 900"), df.where("vec_id < 900"), 7).collect())
+    assert len(got) == len(want) == 2100 and len(set(got) & set(want)) >= 0.99 * len(want)
