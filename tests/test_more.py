@@ -373,3 +373,20 @@ def test_approximate_search_recall_on_the_table(spark):
     exact = retrieval.knn(q, d.embeddings, 10).select("query_id", "vec_id")
     got = ontology.ann_search(q, d.embeddings, 10).select("query_id", "vec_id")
     assert exact.join(got, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
+
+
+def test_near_texts_in_two_orders_and_lengths():
+    rng = random.Random(5)
+    some = ["".join(rng.choice(["th", "ea", "is", "on", "ly", " "]) for _ in range(170))[: rng.choice([300, 300, 250, 40, 3])] for _ in range(40)]
+    for t in list(some):
+        w = list(t)
+        for _ in range(rng.randint(1, 45)):
+            w[rng.randrange(len(w))] = rng.choice("abc ")
+        some.append("".join(w))
+    some = sorted({*some, ""})
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False)
+    want = {frozenset((a, b)) for i, a in enumerate(some) for b in some[:i] if ratio(a, b).quick_ratio() >= 0.85 and max(ratio(a, b).ratio(), ratio(b, a).ratio()) >= 0.85}
+    got = T.near_texts(some, some)
+    assert {frozenset(g[:2]) for g in got} == want and len(got) == len(want) > 10
+    assert all(xy == ratio(x, y).ratio() and yx == ratio(y, x).ratio() for x, y, xy, yx in got)
+    assert len(T.near_texts(some[::2], some[1::2])) == sum(len(p & set(some[::2])) == 1 for p in want)
