@@ -1,18 +1,16 @@
-"""Approximate neighbours by a navigable graph: built by joins, kept as a table, searched by beams in shards.
+"""Approximate neighbours by a navigable graph: built shard by shard, kept as a table, searched by beams in shards.
 
-Rows are dealt to shards of a bounded size by a hash. In a shard, neighbour lists start from groups of rows that fall on one
-side of random planes, and improve by neighbour descent: those that share a neighbour meet in that neighbour's group, where
-each keeps the nearest of the others. A group has a bounded number of members. A round is one shuffle of vectors into groups and one
-of pairs by row; pairs that met before are not made again. The table of links (lists, their reverses, and a few
-random ones as long ways) is the index. A search walks the links of each shard from some of its rows, nearest first, until
-the beam holds nothing nearer, and the shards' best meet in one window.
+Rows are dealt to shards of a bounded size by a hash, one shuffle in all. In a shard the nearest others of each row are found by
+products of blocks of rows with the whole shard, so the work of building is the number of rows times the size of a shard. The table of
+links (lists, some of their reverses, and a few random ones as long ways) is the index. A search walks the links of each shard from some
+of its rows, nearest first, until the beam holds nothing that it has not looked around; many queries take a step at once. The shards'
+best meet in one window.
 
 Similarity is the cosine; null vectors take no part, a zero vector is as far from all. Copies are rows like others.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import dropped
 from graphloom.session import written as cut
 
-#: Rows of a shard at most, on average: what one task holds while it searches.
+#: Rows of a shard at most, on average: what one task holds while it builds or searches.
 SHARD = 16_384
-#: Members of a group besides its own row: links to it, and from it.
-REVERSE = 24
-#: Queries that one task searches in one shard.
-ASKED = 8192
+#: Queries that one task searches in one shard, queries that take a step at once, and rows that each of these looks around in a step.
+ASKED, TOGETHER, STEP = 4096, 128, 8
+#: Rows whose products with a shard are made at once.
+ROWS = 512
 LONG = 6
 
 
@@ -74,154 +71,114 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _met(members: DataFrame, k: int) -> DataFrame:
-    """(shard, id, other, sim): of each group the k nearest others of each member, nearer than its last neighbour so far; pairs
-    of which neither is fresh met before. members: shard, grp, id, x, far (similarity of the last neighbour), fresh."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, 2):
-            fresh = g["fresh"].to_numpy()
-            if g.num_rows < 2 or not fresh.any():
-                continue
-            ids, x, far = g["id"].to_numpy(), _vectors(g["x"]), g["far"].to_numpy()
-            sim = np.round(x @ x.T, 6)
-            sim[~(fresh[:, None] | fresh[None])] = -np.inf
-            sim[ids[:, None] == ids[None]] = -np.inf
-            m = min(k, len(ids) - 1)
-            near = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-            s = np.take_along_axis(sim, near, axis=1)
-            r, c = np.nonzero((s > far[:, None]) & (s > -np.inf))
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), g["shard"][0].as_py(), np.int32)), pa.array(ids[r]), pa.array(ids[near[r, c]]), pa.array(s[r, c].astype(np.float32))], ["shard", "id", "other", "sim"])
-
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.repartition(n, "shard", "grp").sortWithinPartitions("shard", "grp", "id")
-    return dealt.select("shard", "grp", "id", "x", "far", "fresh").mapInArrow(run, "shard int, id long, other long, sim float")
-
-
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """Of each row the k nearest others; a pair that is known already stays as it is."""
-    one = pairs.groupBy("shard", "id", "other").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    place = F.row_number().over(Window.partitionBy("shard", "id").orderBy(F.desc("sim"), "other"))
-    return one.withColumn("place", place).where(F.col("place") <= k)
-
-
-def _sided(x: DataFrame, shards: int, group: int, seed: int, tables: int) -> DataFrame:
-    """(shard, grp, id, x): each row in ``tables`` groups, of about ``group`` rows that lie on the same sides of random planes and,
-    where there are more of these, share a hash."""
-    count = x.count()
-    planes = max(1, int(np.log2(max(2.0, count / shards / group))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normals = None
-        for b in batches:
-            v = _vectors(b.column(2))
-            if normals is None:
-                normals = np.random.default_rng(seed).normal(size=(tables, planes, v.shape[1])).astype(np.float32)
-            sides = np.stack([((v @ n.T) > 0) @ (1 << np.arange(planes)) for n in normals], axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sides.tolist(), pa.list_(pa.int64()))], ["shard", "id", "x", "sides"])
-
-    rows = x.select("shard", "id", "x").mapInArrow(run, "shard int, id long, x binary, sides array<long>")
-    rows = rows.select("shard", "id", "x", F.posexplode("sides").alias("t", "side"))
-    size = rows.groupBy("shard", "t", "side").agg(F.ceil(F.count("*") / (2 * group)).alias("parts"))
-    part = F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.col("parts"))
-    return rows.join(size, ["shard", "t", "side"]).select("shard", F.xxhash64("t", "side", part).alias("grp"), "id", "x")
-
-
-def neighbour_graph(corpus: DataFrame, k: int = 16, rounds: int = 8, id_col: str = "vec_id", vector: str = "embedding", seed: int = 7, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(lists, index). lists: shard, id, other, sim, place, the k nearest found of each row. index: shard, id, x, links.
-
-    Rounds end when under one in a hundred of the lists' entries is new.
-    """
+def _near(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, similarities) of the k nearest others of each row, nearest first, ties to the smaller place; -1 where there are fewer."""
+    n = len(ids)
+    at, sim = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf, np.float32)
+    m = min(k, n - 1)
+    for y in range(0, n if m > 0 else 0, ROWS):
+        s = x[y : y + ROWS] @ x.T
+        s[np.arange(len(s)), np.arange(y, y + len(s))] = -np.inf
+        p = np.sort(np.argpartition(-s, m - 1, axis=1)[:, :m], axis=1)
+        v = np.round(np.take_along_axis(s, p, axis=1), 6)
+        order = np.argsort(-v, axis=1, kind="stable")
+        at[y : y + ROWS, :m], sim[y : y + ROWS, :m] = np.take_along_axis(p, order, axis=1), np.take_along_axis(v, order, axis=1)
+    return at, sim
+
+
+def _linked(at: np.ndarray, sim: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to), each once: the lists, up to k rows in whose lists a row is, and LONG random ones, along rings of about 64."""
+    n, k = at.shape
+    row, place = np.nonzero(at >= 0)
+    to = at[row, place]
+    order = np.lexsort((row, -sim[row, place], to))
+    first = np.searchsorted(to[order], np.arange(n))
+    back = order[np.arange(len(order)) - first[to[order]] < k]
+    links = [row * n + to, to[back] * n + row[back]]
+    rng = np.random.default_rng(seed)
+    for _ in range(LONG):
+        ring = rng.permutation(n)
+        inner = np.arange(n - 1)[np.arange(1, n) % 64 > 0]
+        links.append(ring[inner] * n + ring[inner + 1])
+    return np.divmod(np.unique(np.concatenate(links)), max(n, 1))
+
+
+def neighbour_graph(corpus: DataFrame, k: int = 16, id_col: str = "vec_id", vector: str = "embedding", seed: int = 7, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(lists, index). lists: shard, id, other, sim, place, the k nearest of each row in its shard. index: shard, id, x, links."""
     x = packed(corpus, id_col, vector)
     x = cut(x.groupBy("id").agg(F.min("x").alias("x")))
-    n = x.count()
-    shards = max(1, -(-n // shard))
-    x = cut(x.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), "id", "x"))
-    low = F.lit(-2.0).cast("float")
-    start = _met(_sided(x, shards, 3 * k, seed, 3).select("shard", "grp", "id", "x", low.alias("far"), F.lit(True).alias("fresh")), k)
-    lists = cut(_best(start.withColumn("fresh", F.lit(True)), k))
-    for r in range(rounds):
-        # a row's group: itself, its list, and some of the rows in whose lists it is, drawn by a hash
-        to = lists.select("shard", F.col("id").alias("grp"), F.col("other").alias("id"), "fresh")
-        salt = F.pmod(F.xxhash64("id", "other", F.lit(seed + r)), F.lit(64))
-        few = lambda c, by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("fresh"), F.xxhash64("id", "other", F.lit(seed + r)))) <= c
-        back = lists.withColumn("_s", salt).withColumn("_k", few(REVERSE, ["shard", "other", "_s"])).where("_k").withColumn("_k", few(REVERSE, ["shard", "other"])).where("_k")
-        back = back.select("shard", F.col("other").alias("grp"), "id", "fresh")
-        own = x.select("shard", F.col("id").alias("grp"), "id", F.lit(False).alias("fresh"))
-        members = to.unionByName(back).unionByName(own).groupBy("shard", "grp", "id").agg(F.max("fresh").alias("fresh"))
-        alive = members.groupBy("shard", "grp").agg(F.max("fresh").alias("any")).where("any").select("shard", "grp")
-        last = lists.groupBy("shard", "id").agg(F.count("*").alias("c"), F.min("sim").alias("far")).select("shard", "id", F.when(F.col("c") < k, low).otherwise(F.col("far")).alias("far"))
-        members = members.join(alive, ["shard", "grp"], "left_semi").join(x.join(last, ["shard", "id"], "left").select("shard", "id", "x", F.coalesce("far", low).alias("far")), ["shard", "id"])
-        found = _met(members, k).withColumn("fresh", F.lit(True))
-        old = lists.select("shard", "id", "other", "sim", F.lit(False).alias("fresh"))
-        new = cut(_best(old.unionByName(found), k))
-        dropped(lists)
-        lists = new
-        if lists.where("fresh").count() <= lists.count() // 100:
-            break
-    return lists.drop("fresh"), _linked(x, lists, k, seed, max(1, n // shards // 64))
-
-
-def _linked(x: DataFrame, lists: DataFrame, k: int, seed: int, rings: int) -> DataFrame:
-    """The rows with their links: their lists, up to k rows whose lists they are in, and LONG drawn by a hash, along rings."""
-    one = lists.select("shard", "id", "other")
-    salt = F.pmod(F.xxhash64("id"), F.lit(64))
-    few = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sim"), "id")) <= k
-    back = lists.withColumn("_s", salt).withColumn("_k", few("shard", "other", "_s")).where("_k").withColumn("_k", few("shard", "other")).where("_k")
-    back = back.select("shard", F.col("other").alias("id"), F.col("id").alias("other"))
-    # long ways: rows in the order of a hash, each to the next one of its ring of about 64
-    far = None
-    for t in range(LONG):
-        h = F.xxhash64("id", F.lit(seed * 1000 + t))
-        ring = x.select("shard", "id", F.lead("id").over(Window.partitionBy("shard", F.pmod(F.xxhash64("id", F.lit(t)), F.lit(rings))).orderBy(h)).alias("other"))
-        far = ring if far is None else far.unionByName(ring)
-    links = one.unionByName(back).unionByName(far.where("other IS NOT NULL")).groupBy("shard", "id").agg(F.sort_array(F.collect_set("other")).alias("links"))
-    return cut(x.join(links, ["shard", "id"], "left").select("shard", "id", "x", F.coalesce("links", F.array().cast("array<bigint>")).alias("links")))
+    shards = max(1, -(-x.count() // shard))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 1):
+            ids, own, v = g["id"].to_numpy(), g["shard"][0].as_py(), _vectors(g["x"])
+            at, sim = _near(ids, v, k)
+            row, to = _linked(at, sim, seed + own)
+            cuts = np.searchsorted(row, np.arange(len(ids) + 1)).astype(np.int32)
+            size = np.concatenate([[0], np.cumsum((at >= 0).sum(axis=1))]).astype(np.int32)
+            lists = lambda c, values: pa.ListArray.from_arrays(pa.array(c), pa.array(values))
+            made = pa.table([g["shard"], g["id"], g["x"], lists(size, ids[at[at >= 0]]), lists(size, sim[at >= 0]), lists(cuts, ids[to])], ["shard", "id", "x", "near", "sims", "links"])
+            yield from made.combine_chunks().to_batches(2048)
+
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = x.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"), "id", "x").repartition(max(n, shards), "shard").sortWithinPartitions("shard", "id")
+    made = cut(dealt.mapInArrow(run, "shard int, id long, x binary, near array<long>, sims array<float>, links array<long>"))
+    lists = made.select("shard", "id", F.posexplode(F.arrays_zip("near", "sims")).alias("place", "_n"))
+    return lists.select("shard", "id", F.col("_n.near").alias("other"), F.col("_n.sims").alias("sim"), (F.col("place") + 1).alias("place")), made.select("shard", "id", "x", "links")
 
 
 class Walker:
-    """The links of a shard, and searches along them."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, links: list[list[int]], seed: int = 7):
-        self.ids, self.x, self.visited = ids, x, 0
-        place = {int(i): n for n, i in enumerate(ids)}
-        self.links = [np.array([place[o] for o in own if o in place], np.int64) for own in links]
-        self.doors = np.random.default_rng(seed).permutation(len(ids))[:64]
-
-    def search(self, q: np.ndarray, own: int, k: int, beam: int) -> list[tuple[float, int]]:
-        """(similarity, place) of the k best, -similarity first; ``own`` is the id of the query, which isn't its own answer."""
-        seen = np.zeros(len(self.ids), bool)
-        seen[self.doors] = True
-        first = self.x[self.doors] @ q
-        todo = [(-float(s), int(p)) for s, p in zip(first, self.doors, strict=True)]
-        heapq.heapify(todo)
-        best = [(float(s), int(p)) for s, p in zip(first, self.doors, strict=True)]
-        best = heapq.nlargest(beam, best)
-        heapq.heapify(best)
-        while todo:
-            s, p = heapq.heappop(todo)
-            if len(best) == beam and -s < best[0][0]:
-                break
-            near = self.links[p]
-            near = near[~seen[near]]
-            if not len(near):
-                continue
-            seen[near] = True
-            for c, n in zip((self.x[near] @ q).tolist(), near.tolist(), strict=True):
-                if len(best) < beam:
-                    heapq.heappush(best, (c, n))
-                elif c > best[0][0]:
-                    heapq.heapreplace(best, (c, n))
-                else:
-                    continue
-                heapq.heappush(todo, (-c, n))
-        self.visited += int(seen.sum())
-        found = [(c, n) for c, n in best if self.ids[n] != own]
-        return heapq.nlargest(k, found, key=lambda f: (f[0], -int(self.ids[f[1]])))
-
-
-def graph_search(queries: DataFrame, index: DataFrame, k: int, beam: int = 100, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The links of a shard, and searches along them. Rows stand by id."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, links: pa.ListArray, seed: int = 7):
+        n, size = len(ids), np.diff(links.offsets.to_numpy())
+        self.ids, self.x = ids, x
+        # the place after the last one stands for no row
+        self.links = np.full((n + 1, max(1, int(size.max(initial=0)))), n, np.int32)
+        row = np.repeat(np.arange(n), size)
+        self.links[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = np.searchsorted(ids, links.flatten().to_numpy())
+        self.doors = np.random.default_rng(seed).permutation(n)[:64]
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, similarities, rows looked at) of the k best of each query, best first, ties to the smaller id, similarity -inf where
+        there are fewer; ``own`` are the ids of the queries, which aren't their own answers."""
+        n, m = len(self.ids), len(q)
+        seen = np.zeros((m, n + 1), bool)
+        seen[:, self.doors] = seen[:, n] = True
+        best, score = np.full((m, beam), n, np.int64), np.full((m, beam), -np.inf, np.float32)
+        looked = np.ones((m, beam), bool)  # around this row of the beam, or there is none
+        self._kept(best, score, looked, np.arange(m), np.broadcast_to(self.doors, (m, len(self.doors))), np.einsum("bd,kd->bk", q, self.x[self.doors]))
+        live = np.arange(m)
+        while len(live := live[~looked[live].all(axis=1)]):
+            open_ = np.where(looked[live], -np.inf, score[live])
+            take = np.argpartition(-open_, min(STEP, beam) - 1, axis=1)[:, : min(STEP, beam)]
+            rows = live[:, None]
+            chosen = np.where(np.take_along_axis(open_, take, axis=1) > -np.inf, best[rows, take], n)
+            looked[rows, take] = True
+            near = np.sort(self.links[chosen].reshape(len(live), -1), axis=1)
+            new = ~seen[rows, near]
+            new[:, 1:] &= near[:, 1:] != near[:, :-1]
+            seen[rows, near] = True
+            r, c = np.nonzero(new)
+            sim = np.full(near.shape, -np.inf, np.float32)
+            sim[r, c] = np.einsum("ij,ij->i", self.x[near[r, c]], q[live[r]])
+            self._kept(best, score, looked, live, near, sim)
+        score = np.where(self.ids[np.minimum(best, n - 1)] == own[:, None], -np.inf, score)
+        order = np.lexsort((best, -score), axis=1)[:, :k]
+        return np.take_along_axis(best, order, axis=1), np.take_along_axis(score, order, axis=1), seen[:, :n].sum(axis=1)
+
+    @staticmethod
+    def _kept(best: np.ndarray, score: np.ndarray, looked: np.ndarray, rows: np.ndarray, near: np.ndarray, sim: np.ndarray) -> None:
+        """Puts rows that were found into the beams of ``rows``, and keeps the best of each."""
+        beam = best.shape[1]
+        s = np.concatenate([score[rows], sim], axis=1)
+        keep = np.argpartition(-s, beam - 1, axis=1)[:, :beam]
+        score[rows] = kept = np.take_along_axis(s, keep, axis=1)
+        best[rows] = np.take_along_axis(np.concatenate([best[rows], near], axis=1), keep, axis=1)
+        looked[rows] = np.take_along_axis(np.concatenate([looked[rows], np.zeros(near.shape, bool)], axis=1), keep, axis=1) | (kept == -np.inf)
+
+
+def graph_search(queries: DataFrame, index: DataFrame, k: int, beam: int = 160, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, visited): the k nearest that a beam of each shard finds, by exact cosines of 32-bit unit vectors, and
     how many rows were looked at for the query in all shards."""
     q = packed(queries, id_col, vector).dropDuplicates(["id"])
@@ -241,14 +198,14 @@ def graph_search(queries: DataFrame, index: DataFrame, k: int, beam: int = 100,
             mine, theirs = g.slice(0, cut_at), g.slice(cut_at)
             if not cut_at or not theirs.num_rows:
                 continue
-            w = Walker(mine["id"].to_numpy(), _vectors(mine["x"]), mine["links"].to_pylist())
-            out: list[tuple] = []
-            for i, v in zip(theirs["id"].to_pylist(), theirs["x"].to_pylist(), strict=True):
-                w.visited = 0
-                found = w.search(np.frombuffer(v, np.float32), i, k, max(beam, k + 1))
-                out += [(i, int(w.ids[n]), round(c, 6), w.visited if not r else 0) for r, (c, n) in enumerate(found)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["query_id", "vec_id", "score", "visited"])
+            w = Walker(mine["id"].to_numpy(), _vectors(mine["x"]), mine["links"].combine_chunks())
+            asked_ids, vectors = theirs["id"].to_numpy(), _vectors(theirs["x"])
+            for y in range(0, len(asked_ids), TOGETHER):
+                own = asked_ids[y : y + TOGETHER]
+                at, score, visited = w.search(vectors[y : y + TOGETHER], own, k, max(beam, k + 1))
+                r, c = np.nonzero(score > -np.inf)
+                # what was looked at stands once, with the first answer of a query
+                yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(w.ids[at[r, c]]), pa.array(np.round(score[r, c].astype(np.float64), 6)), pa.array(np.where(c == 0, visited[r], 0))], ["query_id", "vec_id", "score", "visited"])
 
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = held.unionByName(asked).repartition(n, "shard", "block").sortWithinPartitions("shard", "block", "kind", "id")

@@ -53,3 +53,24 @@ def test_few_rows(spark):
     assert sorted((r.query_id, r.vec_id) for r in got) == [(a, b) for a in range(3) for b in range(3) if a != b]
     _, none = neighbours.neighbour_graph(df.limit(0))
     assert neighbours.graph_search(df, none, 5).count() == 0
+
+
+def test_lists_are_exact_and_walks_stand_alone(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(900, 32)).astype(np.float32)
+    df = table(spark, x.astype(np.float64))
+    lists, index = neighbours.neighbour_graph(df, k=8, shard=300)
+    u = (x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+    near: dict = {}
+    for r in lists.collect():
+        near.setdefault((r.shard, r.id), []).append((r.place, r.other))
+    shard = {i: s for s, i in near}
+    assert len(near) == 900 and len(set(shard.values())) == 3
+    for (s, i), got in near.items():
+        own = [o for o in range(900) if shard[o] == s and o != i]
+        assert {o for _, o in got} == {own[p] for p in np.argsort(-(u[own] @ u[i]))[:8]} and sorted(p for p, _ in got) == list(range(1, 9))
+    q = df.where("vec_id % 9 = 0")
+    found = lambda: sorted(tuple(r) for r in neighbours.graph_search(q, index, 5, beam=20).collect())
+    once = found()
+    monkeypatch.setattr(neighbours, "TOGETHER", 7)
+    monkeypatch.setattr(neighbours, "ASKED", 30)
+    assert [r[:3] for r in found()] == [r[:3] for r in once] and len(once) == 500
