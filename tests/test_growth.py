@@ -165,3 +165,21 @@ def test_searched_cells_meet_in_blocks(spark, monkeypatch):
     got = sorted((r.query_id, r.vec_id) for r in ontology.ann_search(df, df, 7, recall=1.0).collect())
     want = sorted((r.query_id, r.vec_id) for r in retrieval.knn(df.where("vec_id < 900"), df.where("vec_id < 900"), 7).collect())
     assert len(got) == len(want) == 2100 and len(set(got) & set(want)) >= 0.99 * len(want)
+
+
+def test_pairs_of_sets_are_shuffled_packed(spark, monkeypatch):
+    import random
+
+    from graphloom.operators import joins
+
+    monkeypatch.setattr(joins, "PAIRS", 50)
+    rng = random.Random(4)
+    rows = [[(rng.randrange(-9, 20) * 10**9, f"m{rng.randrange(40)}") for _ in range(300)] + [(None, "m1"), (7, None), (7, None), (8, "only" + side)] for side in "lr"]
+    l, r = (spark.createDataFrame(x, "k long, m string").repartition(3) for x in rows)
+    out = joins.set_similarity(l, r, "k", "m")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a" not in plan and "mapInArrow" in plan.replace("MapInArrow", "mapInArrow")
+    sets = [{k: {m for i, m in x if i == k} for k, _ in x if k is not None} for x in rows]
+    want = {a: max((len((x & y) - {None}) / (len(x) + len(y) - len((x & y) - {None})) for y in sets[1].values() if (x & y) - {None}), default=None) for a, x in sets[0].items()}
+    assert {r.a: r.similarity for r in out.collect()} == {a: s for a, s in want.items() if s is not None}
+    assert joins.set_similarity(l.limit(0), r, "k", "m").count() == 0
