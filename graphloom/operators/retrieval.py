@@ -312,6 +312,8 @@ def ranking_metrics(ranked_items: DataFrame, relevant: DataFrame, by: str, item:
 
 #: Queries, documents and dimensions that are multiplied at once in a sparse search.
 SPARSE = (1024, 4096, 512)
+#: Documents of like dimensions that one bound stands for in a sparse search.
+LIKE = 32
 #: More than rounding to 5 digits moves a score.
 NEAR = 1.1e-5
 
@@ -319,15 +321,19 @@ NEAR = 1.1e-5
 def sparse_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score): the k largest inner products of sparse vectors (query_id / doc_id, dim, w), never with itself,
     ties to the smaller doc_id. Queries are packed as one map each in blocks of QUERY_BLOCK, and every document, packed as
-    well, meets a block once: no row is made for a shared dimension.
+    well, meets a block once: no row is made for a shared dimension. A null dimension or weight is none.
 
-    A task multiplies tiles of queries and documents over the dimensions that both have, and keeps for each query what can be
-    among its k best of all that the task has seen, so that a tile is mostly read once, against the k-th score. All pairs are
-    scored: the time grows with the product of both tables, the memory doesn't.
+    A task keeps for each query what can be among its k best of all that the task has seen. Documents lie in the order of their
+    dimensions, after growing samples of them, so that LIKE in a row are alike: what their largest weights would score is a bound,
+    and only those that reach a query's k-th score, or tie with it under a smaller doc_id, are multiplied with it. With weights
+    that aren't all positive, or many dimensions, all pairs are scored, in tiles.
     """
-    q = cut(queries.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.collect_list("dim").alias("d"), F.collect_list("w").alias("w")))
+    given = lambda df: df.where("dim IS NOT NULL AND w IS NOT NULL")
+    q = cut(given(queries).groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.collect_list("dim").alias("d"), F.collect_list("w").alias("w")))
     blocks = -(-max(1, q.count()) // QUERY_BLOCK)
-    packed, out = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list("dim").alias("d"), F.collect_list(F.col("w").cast("double")).alias("w")), None
+    packed, out = given(docs).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("dim", F.col("w").cast("double").alias("w")))).alias("e")), None
+    sample = F.ceil(F.log(8.0, F.pmod(F.xxhash64("doc_id"), F.lit(4096)) + 1))
+    packed = packed.select("doc_id", F.col("e.dim").alias("d"), F.col("e.w").alias("w")).sortWithinPartitions(sample, F.desc(F.size("d")), "d", "w")
     packed = packed if blocks == 1 else cut(packed)  # each block of queries reads it
     for b in range(blocks):
         part = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()  # at most about QUERY_BLOCK vectors
@@ -340,42 +346,29 @@ def sparse_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             ids, dims, row, col, weight = shared.value
             if not len(ids):
                 return
-            best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # place of the query, document, score
-            least, seen = np.full(len(ids), -np.inf), 0
-            rows, docs_at_once, dims_at_once = SPARSE
-            first = np.searchsorted(row, np.arange(0, len(ids) + rows, rows))
+            best, fresh, waiting, seen = _Best(len(ids), k), [], 0, 0
+            few = len(dims) <= SPARSE[2] and (not len(weight) or weight.min() > 1e-100)
+            if few:
+                asked = np.zeros((len(ids), len(dims)))
+                asked[row, col] = weight
             for whole in batches:
                 lo = 0
                 while lo < whole.num_rows:
-                    step = min(docs_at_once, max(64, 3 * seen))  # few at first, while nothing is ruled out
+                    step = min(SPARSE[1], max(64, 3 * seen))  # few at first, while nothing is ruled out
                     own, j, i, w = _unpacked(whole.slice(lo, step), dims)
                     lo, seen = lo + step, seen + len(own)
-                    used, j = np.unique(j, return_inverse=True)
-                    found = [best]
-                    for n, q0 in enumerate(range(0, len(ids), rows)):
-                        mine = slice(first[n], first[n + 1])
-                        here, r, c, x = min(rows, len(ids) - q0), row[mine] - q0, col[mine], weight[mine]
-                        to = np.searchsorted(used, c)
-                        ok = (to < len(used)) & (used[np.minimum(to, len(used) - 1)] == c) if len(used) else np.zeros(len(c), bool)
-                        r, to, x = r[ok], to[ok], x[ok]
-                        sim, hit = np.zeros((here, len(own))), np.zeros((here, len(own)), bool)
-                        positive = (not len(x) or x.min() > 1e-100) and (not len(w) or w.min() > 1e-100)
-                        for d0 in range(0, len(used), dims_at_once):
-                            m, o = (to >= d0) & (to < d0 + dims_at_once), (j >= d0) & (j < d0 + dims_at_once)
-                            left, right = np.zeros((here, min(dims_at_once, len(used) - d0))), np.zeros((min(dims_at_once, len(used) - d0), len(own)))
-                            left[r[m], to[m] - d0], right[j[o] - d0, i[o]] = x[m], w[o]
-                            sim += left @ right
-                            if not positive:  # a product may be zero or less in a shared dimension
-                                left[r[m], to[m] - d0], right[j[o] - d0, i[o]] = 1, 1
-                                hit |= left @ right > 0.5
-                        near = sim >= np.maximum(least[q0 : q0 + here], 1e-250 if positive else -np.inf)[:, None]
-                        a, c = np.nonzero(near if positive else near & hit)
-                        fresh = ids[q0 + a] != own[c]
-                        a, c = a[fresh], c[fresh]
-                        found.append([q0 + a, own[c], sim[a, c]])
-                    best, least = _kept([np.concatenate(x) for x in zip(*found, strict=True)], len(ids), k)
-            for lo in range(0, len(best[0]), 100_000):
-                p, d, x = (v[lo : lo + 100_000] for v in best)
+                    if few and (not len(w) or w.min() > 1e-100):
+                        found = _bounded(ids, asked, own, j, i, w, best)
+                    else:
+                        found = _in_tiles(ids, row, col, weight, own, j, i, w, best)
+                    fresh.append(found)
+                    waiting += len(found[0])
+                    if waiting > len(best.kept[0]) // 2 or seen <= SPARSE[1]:
+                        best.add(fresh)
+                        fresh, waiting = [], 0
+            best.add(fresh)
+            for lo in range(0, len(best.kept[0]), 100_000):
+                p, d, x = (v[lo : lo + 100_000] for v in best.kept)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(d), pa.array(x)], ["query_id", "doc_id", "score"])
 
         found = packed.mapInArrow(run, "query_id long, doc_id long, score double")
@@ -384,6 +377,81 @@ def sparse_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return ranked(s, "query_id", "score", "doc_id", k).select("query_id", "doc_id", "score")
 
 
+class _Best:
+    """What can be among the k best of each query: kept (place of the query, document, score); scores from ``least`` on can be, and
+    of those up to ``tied`` only documents before ``last``."""
+
+    def __init__(self, queries: int, k: int):
+        self.queries, self.k, self.kept = queries, k, [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        self.least, self.tied, self.last = np.full(queries, -np.inf), np.full(queries, -np.inf), np.full(queries, np.iinfo(np.int64).max)
+
+    def add(self, found: list) -> None:
+        self.kept, self.least = _kept([np.concatenate(x) for x in zip(self.kept, *found, strict=True)], self.queries, self.k)
+        start = np.searchsorted(self.kept[0], np.arange(self.queries + 1))
+        full = np.flatnonzero(start[1:] - start[:-1] >= self.k)
+        at = start[full][:, None] + np.arange(self.k)
+        self.tied[full] = np.round(self.kept[2][at[:, -1]] - 1e-9, 5) + 0.5e-5 - 1e-9 if len(full) else 0
+        self.last[full] = self.kept[1][at].max(axis=1) if len(full) else 0
+
+    def fresh(self, place: np.ndarray, document: np.ndarray, score: np.ndarray) -> np.ndarray:
+        return (score > self.tied[place]) | (document < self.last[place])
+
+
+def _bounded(ids: np.ndarray, asked: np.ndarray, own: np.ndarray, j: np.ndarray, i: np.ndarray, w: np.ndarray, best: _Best) -> list[np.ndarray]:
+    """(place of the query, document, score) that can be among the best, by a bound for LIKE documents at once; all weights are positive."""
+    groups = -(-len(own) // LIKE)
+    has = np.zeros((groups * LIKE, asked.shape[1]))
+    has[i, j] = w
+    has = has.reshape(groups, LIKE, -1)
+    first = np.minimum.reduceat(own, np.arange(0, len(own), LIKE))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    bound = has.max(axis=1) @ asked.T
+    g, q = np.nonzero(bound >= np.maximum(best.least - 1e-9, 1e-250))
+    on = best.fresh(q, first[g], bound[g, q] + 1e-9)
+    g, q = g[on], q[on]
+    to = np.searchsorted(g, np.arange(groups + 1))
+    for n in range(groups):
+        if to[n] == to[n + 1]:
+            continue
+        some = q[to[n] : to[n + 1]]
+        sim = asked[some] @ has[n].T
+        a, c = np.nonzero(sim >= np.maximum(best.least[some], 1e-250)[:, None])
+        p, d, x = some[a], own[np.minimum(n * LIKE + c, len(own) - 1)], sim[a, c]
+        ok = (ids[p] != d) & best.fresh(p, d, x)
+        found.append((p[ok], d[ok], x[ok]))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _in_tiles(ids: np.ndarray, row: np.ndarray, col: np.ndarray, weight: np.ndarray, own: np.ndarray, j: np.ndarray, i: np.ndarray, w: np.ndarray, best: _Best) -> list[np.ndarray]:
+    """(place of the query, document, score) that can be among the best, of all pairs, in tiles over the dimensions that both have."""
+    rows, _, dims_at_once = SPARSE
+    first = np.searchsorted(row, np.arange(0, len(ids) + rows, rows))
+    used, j = np.unique(j, return_inverse=True)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    positive = (not len(weight) or weight.min() > 1e-100) and (not len(w) or w.min() > 1e-100)
+    for n, q0 in enumerate(range(0, len(ids), rows)):
+        mine = slice(first[n], first[n + 1])
+        here, r, c, x = min(rows, len(ids) - q0), row[mine] - q0, col[mine], weight[mine]
+        to = np.searchsorted(used, c)
+        ok = (to < len(used)) & (used[np.minimum(to, len(used) - 1)] == c) if len(used) else np.zeros(len(c), bool)
+        r, to, x = r[ok], to[ok], x[ok]
+        sim, hit = np.zeros((here, len(own))), np.zeros((here, len(own)), bool)
+        for d0 in range(0, len(used), dims_at_once):
+            m, o = (to >= d0) & (to < d0 + dims_at_once), (j >= d0) & (j < d0 + dims_at_once)
+            left, right = np.zeros((here, min(dims_at_once, len(used) - d0))), np.zeros((min(dims_at_once, len(used) - d0), len(own)))
+            left[r[m], to[m] - d0], right[j[o] - d0, i[o]] = x[m], w[o]
+            sim += left @ right
+            if not positive:  # a product may be zero or less in a shared dimension
+                left[r[m], to[m] - d0], right[j[o] - d0, i[o]] = 1, 1
+                hit |= left @ right > 0.5
+        near = sim >= np.maximum(best.least[q0 : q0 + here], 1e-250 if positive else -np.inf)[:, None]
+        a, c = np.nonzero(near if positive else near & hit)
+        fresh = ids[q0 + a] != own[c]
+        a, c = a[fresh], c[fresh]
+        found.append((q0 + a, own[c], sim[a, c]))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
 def _unpacked(batch: pa.RecordBatch, dims: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of packed documents, and the place of the dimension, the document's number and the weight of each entry whose dimension
     is one of ``dims``."""

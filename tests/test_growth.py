@@ -71,6 +71,46 @@ def test_sparse_search_scores_all_pairs_in_tiles(spark, monkeypatch):
     assert kept[1].tolist() == [40, 41, 42] and abs(least[0] - 2) < 1e-4 and least[1] == -np.inf
 
 
+def test_sparse_search_passes_over_what_a_bound_rules_out(spark, monkeypatch):
+    """Positive weights, copies and ties, tiny products and nulls: as by brute force, with few of the pairs multiplied."""
+    from graphloom.operators import retrieval as R
+
+    rng = np.random.default_rng(6)
+    docs = [(i, int(d), float(rng.integers(1, 6))) for i in range(3000) for d in rng.choice(12, rng.integers(1, 7), replace=False)]
+    docs += [(i + 10_000, d, w) for i, d, w in docs if i < 300] + [(5000, 50, 1e-60), (5020, 50, 1e-60), (5040, None, 1.0), (5060, 1, None)]
+    vec = np.zeros((10_300, 51))
+    for i, d, w in docs:
+        if d is not None and w is not None:
+            vec[i, d] = w
+    ids = np.flatnonzero(vec.any(axis=1))
+    asked = [x for x in docs if x[0] % 20 == 0]
+    want = set()
+    for q in {x[0] for x in asked}:
+        s = vec[ids] @ vec[q]
+        s[(ids == q)] = 0
+        near = [(-round(x, 5), i) for x, i in zip(s.tolist(), ids.tolist()) if x > 0]
+        want |= {(q, i, -x) for x, i in sorted(near)[:7]}
+    q, d = spark.createDataFrame(asked, "query_id long, dim long, w double"), spark.createDataFrame(docs, "doc_id long, dim long, w double")
+    for block in (20_000, 50):
+        monkeypatch.setattr(R, "QUERY_BLOCK", block)
+        assert {tuple(x) for x in R.sparse_search(q, d, 7).collect()} == want and (5000, 5020, 0.0) in want
+    order, best, met = np.lexsort((*vec[ids].T, *(vec[ids] > 0).T)), R._Best(160, 7), 0
+    some = np.concatenate([order[::8], order[np.arange(len(order)) % 8 > 0]])
+    bounded = R._Best.fresh
+
+    def counted(self, place, document, score):
+        nonlocal met
+        met += len(place)
+        return bounded(self, place, document, score)
+
+    monkeypatch.setattr(R._Best, "fresh", counted)
+    for lo in range(0, len(some), 200):
+        o = ids[some[lo : lo + 200]]
+        i, j = np.nonzero(vec[o])
+        best.add([R._bounded(ids[:3200:20], vec[ids[:3200:20]], o, j, i, vec[o][i, j], best)])
+    assert met < 0.5 * 160 * len(ids)
+
+
 def test_pairs_of_a_block_are_not_shuffled(spark):
     """Each mention lists the entities of its block; nulls and several blocks count as they do in a join."""
     from graphloom.operators import resolution as R
