@@ -155,6 +155,39 @@ def test_closed_groups_of_sources_are_counted_whole(spark, monkeypatch):
     assert {tuple(x) for x in graph.missing_tails(table(edges | chain), "r", 3).collect()} == got and len(seen[-1]) > 90
 
 
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_votes_make_no_table_of_pairs(spark, monkeypatch, held):
+    """One group of sources, of which most share a target: what is written are edges and less, and the votes are those of brute force."""
+    import random
+    from collections import Counter
+
+    from graphloom.operators import graph
+
+    r = random.Random(8)
+    edges = {(r.randrange(120), f"t{r.randrange(40)}") for _ in range(1200)} | {(s, "all") for s in range(120)} | {(200, "all"), (201, "own")}
+    has = {s: {t for x, t in edges if x == s} for s, _ in edges}
+    want = set()
+    for s in has:
+        votes = Counter()
+        for p in has:
+            if p != s:
+                votes.update({t: len(has[s] & has[p]) for t in has[p] - has[s] if has[s] & has[p]})
+        want |= {(s, t, n) for t, n in sorted(votes.items(), key=lambda v: (-v[1], v[0]))[:3]}
+    cut, rows = graph.cut, []
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    monkeypatch.setattr(graph, "CELL", 300)
+    monkeypatch.setattr(graph, "CROWD", 50)
+    monkeypatch.setattr(graph, "HELD", held, raising=False)
+    e = spark.createDataFrame(sorted(edges) + [(3, None), (None, "t1")], "src long, tgt string").withColumn("rel", F.lit("r"))
+    assert {tuple(x) for x in graph.missing_tails(e, "r", 3).collect()} == want and max(rows) <= len(edges)
+
+
 def test_chunks_of_some_texts_at_once(spark, monkeypatch):
     """Chunks leave the task text by text, however many rows a batch has."""
     from graphloom.functions import text as T
