@@ -125,6 +125,25 @@ def test_pairs_of_a_block_are_not_shuffled(spark):
     assert sorted(map(key, got.collect())) == sorted(map(key, want)) and len(want) == 10
 
 
+def test_pairs_of_sources_are_shuffled_once(spark):
+    """By mention, before they are grouped; what is read from there on is joined with broadcast tables only."""
+    from graphloom.operators import resolution as R
+
+    m = spark.range(40).select(F.col("id").alias("mention"), (F.col("id") % 3).alias("block"))
+    e = spark.range(20).select(F.col("id").alias("entity"), (F.col("id") % 3).alias("block"))
+    line = spark.range(300).select((F.col("id") % 41).alias("mention"), (F.col("id") % 23).alias("entity"))
+    found = {"a": line, "z": line.where("entity % 2 = 0")}
+    out = R.block_candidates(found, "m", m, e, "mention", "entity", 3_000_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = R.block_candidates(found, "m", m, e, "mention", "entity")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortMergeJoin" not in plan and "hashpartitioning(mention" not in plan
+    want = R.candidates({**found, "m": m.join(e, "block").select("mention", "entity")}, "mention", "entity")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_gold_of_a_label_is_counted(spark):
     from graphloom.operators import retrieval as R
 
