@@ -144,6 +144,21 @@ def test_pairs_of_sources_are_shuffled_once(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_a_search_holds_one_block_of_queries(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    from graphloom.operators import retrieval as R
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, R.knn(df, df, 3).collect()))
+    gone, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: (gone.append(self), destroy(self, blocking))[1])
+    monkeypatch.setattr(R, "QUERY_BLOCK", 16)
+    got = sorted(map(tuple, R.knn(df, df, 3).collect()))
+    assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want]) and len(gone) == 4
+
+
 def test_gold_of_a_label_is_counted(spark):
     from graphloom.operators import retrieval as R
 
