@@ -163,20 +163,26 @@ def most_stable(clusters: DataFrame, kids: DataFrame) -> DataFrame:
     """(key, chosen): the chosen cluster that each cluster is in or is; null if none. A cluster is chosen when it has as much
     stability as the best choice below it, and none above it is. clusters: key, stability; kids: key, parent.
 
-    A round settles the clusters whose kids are all settled: as many rounds as the tree of clusters is high.
+    A round settles the clusters without open kids and, at once, the chains of clusters with one open kid each that end in one of
+    them: along a chain the best is max(s, b + best of its end), in steps that double. So each round leaves at most half of the
+    clusters with several open kids.
     """
     open_ = cut(clusters.join(kids, "key", "left").select("key", "parent", "stability", F.lit(0.0).alias("below")))
     done = None
     while not open_.isEmpty():
-        waits = open_.where("parent IS NOT NULL").select(F.col("parent").alias("key")).distinct()
-        ready = cut(open_.join(waits, "key", "left_anti").select("key", "parent", (F.col("stability") >= F.col("below")).alias("good"), F.greatest("stability", "below").alias("best")))
-        done = ready.select("key", "parent", "good") if done is None else done.unionByName(ready.select("key", "parent", "good"))
+        waits = open_.where("parent IS NOT NULL").groupBy(F.col("parent").alias("key")).agg(F.count("*").alias("n"), F.min("key").alias("down"))
+        now = open_.join(waits, "key", "left").select("key", F.when(F.col("n").isNull(), F.greatest("stability", "below")).otherwise(F.col("stability")).alias("s"), F.col("below").alias("b"), F.when(F.col("n") == 1, F.col("down")).alias("down"), F.col("n").isNull().alias("known"))
+        best = _along(now).where("known").select("key", F.col("s").alias("best"))
+        ready = cut(open_.join(best, "key").select("key", "parent", "stability", "best"))
+        done = ready if done is None else done.unionByName(ready)
         given = ready.where("parent IS NOT NULL").groupBy(F.col("parent").alias("key")).agg(F.sum("best").alias("more"))
         new = cut(open_.join(ready.select("key"), "key", "left_anti").join(given, "key", "left").select("key", "parent", "stability", (F.col("below") + F.coalesce("more", F.lit(0.0))).alias("below")))
         dropped(open_)
         open_ = new
     if done is None:
         return clusters.select("key", F.lit(None).cast("string").alias("chosen"))
+    below = done.where("parent IS NOT NULL").groupBy(F.col("parent").alias("key")).agg(F.sum("best").alias("below"))
+    done = done.join(below, "key", "left").select("key", "parent", (F.col("stability") >= F.coalesce("below", F.lit(0.0))).alias("good"))
     # the highest good cluster on the way up, over twice as many steps in each round
     now = cut(done.select("key", F.col("parent").alias("up"), F.when(F.col("good"), F.col("key")).alias("chosen")))
     while not now.where("up IS NOT NULL").isEmpty():
@@ -187,6 +193,22 @@ def most_stable(clusters: DataFrame, kids: DataFrame) -> DataFrame:
     return now.select("key", "chosen")
 
 
+def _along(now: DataFrame) -> DataFrame:
+    """(key, s, b, down, known) with each chain of ``down`` followed: s is the best where the end is known, else the best is
+    max(s, b + best of ``down``)."""
+    now = cut(now)
+    while True:
+        end = now.select(F.col("key").alias("down"), F.col("s").alias("ds"), F.col("b").alias("db"), F.col("down").alias("next"), F.col("known").alias("dknown"))
+        moves = F.coalesce(F.col("dknown") | F.col("next").isNotNull(), F.lit(False))
+        go = lambda c, other: F.when(moves, c).otherwise(F.col(other)).alias(other)  # noqa: B023, E731
+        new = now.join(end, "down", "left").select("key", go(F.greatest(F.col("s"), F.col("b") + F.col("ds")), "s"), go(F.col("b") + F.col("db"), "b"), go(F.col("next"), "down"), (F.col("known") | (moves & F.col("dknown"))).alias("known"), moves.alias("moved"))
+        new = cut(new)
+        dropped(now)
+        done, now = new.where("moved").isEmpty(), new
+        if done:
+            return now.drop("moved")
+
+
 def density_clusters(lists: DataFrame, nodes: DataFrame, least: int = 5) -> DataFrame:
     """(node, community): clusters of at least ``least`` nodes, named by their smallest node; null is noise.
 

@@ -151,24 +151,29 @@ def ann_search(queries: DataFrame, corpus: DataFrame, k: int, recall: float = 0.
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if a.num_rows and b.num_rows:
-            order = np.argsort(b["cell"].to_numpy(), kind="stable")
-            cell, ids, y = b["cell"].to_numpy()[order], b["id"].to_numpy()[order], _units(b["v"].combine_chunks())[order]
-            cells = bounds[b["block"][0].as_py()]
-            cuts = np.searchsorted(cell, [*cells, len(first)])
-            for lo in range(0, a.num_rows, 256):
-                some = a.slice(lo, 256)
+            cell, ids, y = b["cell"].to_numpy(), b["id"].to_numpy(), _units(b["v"].combine_chunks())
+            cells, m = bounds[b["block"][0].as_py()], min(k, len(ids))
+            place, short = np.searchsorted(cells, cell), np.ascontiguousarray(y.T.astype(np.float32))
+            by_id, off = np.argsort(ids, kind="stable"), (y.shape[1] + 2) * 2.5e-7  # by so much a product of short vectors may be off
+            some_of = np.arange(0, len(ids), max(1, min(64, len(ids) // (4 * m))))
+            every, other = np.empty((64, len(ids)), np.float32), np.empty((64, len(ids)), np.float32)
+            for lo in range(0, a.num_rows, 64):
+                some = a.slice(lo, 64)
                 qs, x = some["id"].to_numpy(), _units(some["v"].combine_chunks())
+                sim, less = every[: len(qs)], other[: len(qs)]
                 bits = np.unpackbits(np.frombuffer(b"".join(some["cells"].to_pylist()), np.uint8).reshape(len(qs), -1), axis=1)
-                sim = np.full((len(qs), len(ids)), -np.inf)
-                for j in range(len(cells)):
-                    r = np.flatnonzero(bits[:, j])
-                    if len(r) and cuts[j] < cuts[j + 1]:
-                        sim[r, cuts[j] : cuts[j + 1]] = x[r] @ y[cuts[j] : cuts[j + 1]].T
-                sim[qs[:, None] == ids[None]] = -np.inf
-                m = min(k, len(ids))
-                kth = np.partition(sim, len(ids) - m, axis=1)[:, len(ids) - m]
-                r, col = np.nonzero((sim >= kth[:, None] - TIED) & (sim > -np.inf))
-                score = np.round(sim[r, col], 9)
+                np.matmul(x.astype(np.float32), short, out=sim)
+                np.take(np.where(bits[:, : len(cells)], np.float32(0), np.float32(-4)), place, axis=1, out=less, mode="clip")
+                sim += less
+                start, stop = (np.searchsorted(ids, qs, side, sorter=by_id) for side in ("left", "right"))
+                r = np.repeat(np.arange(len(qs)), stop - start)
+                sim[r, by_id[start[r] + np.arange(len(r)) - np.searchsorted(r, r)]] = -4
+                # the k-th of the best of some rows each is at most the k-th of all
+                top = np.maximum.reduceat(sim, some_of, axis=1)
+                kth = np.partition(top, len(some_of) - m, axis=1)[:, len(some_of) - m]
+                r, col = np.divmod(np.flatnonzero(sim >= np.maximum(kth - 2 * off - TIED, -2).astype(np.float32)[:, None]), len(ids))
+                score = np.concatenate([np.empty(0), *[np.einsum("ij,ij->i", x[r[at : at + 50_000]], y[col[at : at + 50_000]]) for at in range(0, len(r), 50_000)]])
+                score = np.round(score, 9)
                 order = np.lexsort((ids[col], -score, r))
                 r, col, score = r[order], col[order], score[order]
                 keep = np.arange(len(r)) - np.searchsorted(r, r) < k  # copies are ties: only the smallest ids go on

@@ -109,3 +109,27 @@ def test_little(spark):
     none = spark.createDataFrame([], "a long, b long, d double")
     assert {tuple(r) for r in density.density_clusters(none, nodes).collect()} == {(1, None), (2, None)}
     assert density.density_clusters(none, nodes.limit(0)).count() == 0
+
+
+def test_long_chains_of_clusters_take_few_rounds(spark, monkeypatch):
+    """A chain of 120 clusters, bushes and random trees: the choice of brute force, with tables by the logarithm of the height."""
+    import random
+
+    r = random.Random(4)
+    parent = {0: -1} | {i: i - 1 for i in range(1, 120)} | {i: i - 120 for i in range(120, 180)} | {200: -1} | {i: r.randrange(200, i) for i in range(201, 260)}
+    worth = {i: float(r.randrange(1, 9 if i < 110 else 300)) for i in parent}
+    kids = {}
+    for i, p in parent.items():
+        kids.setdefault(p, []).append(i)
+    best, good, chosen = {}, {}, {}
+    for i in sorted(parent, reverse=True):
+        below = sum(best[k] for k in kids.get(i, []))
+        best[i], good[i] = max(worth[i], below), worth[i] >= below
+    for i in sorted(parent):
+        chosen[i] = chosen.get(parent[i]) or (str(i) if good[i] else None)
+    cut, tables = density.cut, []
+    monkeypatch.setattr(density, "cut", lambda df: (tables.append(1), cut(df))[1])
+    c = spark.createDataFrame([(str(i), w) for i, w in worth.items()], "key string, stability double")
+    k = spark.createDataFrame([(str(i), str(p)) for i, p in parent.items()], "key string, parent string")
+    assert {x.key: x.chosen for x in density.most_stable(c, k).collect()} == {str(i): x for i, x in chosen.items()}
+    assert len(tables) < 100 and len(set(chosen.values())) > 20
