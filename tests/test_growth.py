@@ -274,6 +274,18 @@ def test_searched_cells_meet_in_blocks(spark, monkeypatch):
     assert len(got) == len(want) == 2100 and len(set(got) & set(want)) >= 0.99 * len(want)
 
 
+def test_cells_of_openings_keep_their_size(spark, monkeypatch):
+    """More documents are more cells, not larger ones; the pairs stay the same."""
+    texts = ["".join(f"w{(i * 7 + j) % 50} " for j in range(60)) + "end" * (i % 3) for i in range(80)] + ["", None]
+    docs = spark.createDataFrame([(i, t, None if i % 9 == 4 else "aa") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    want = sorted(map(tuple, retrieval.near_openings(docs).collect()))
+    cut, plans = retrieval.cut, []
+    monkeypatch.setattr(retrieval, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    monkeypatch.setattr(retrieval, "OPENINGS", 5, raising=False)
+    assert sorted(map(tuple, retrieval.near_openings(docs).collect())) == want and len(want) > 20
+    assert any(f"RepartitionByExpression [lang#" in p and int(p.split("RepartitionByExpression [lang#")[1].split("], ")[1].split("\n")[0].split(",")[0]) >= 4 * 10 * 10 for p in plans)
+
+
 def test_pairs_of_sets_are_shuffled_packed(spark, monkeypatch):
     import random
 
